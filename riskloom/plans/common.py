@@ -47,16 +47,26 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*cols)
 
 
+# Output columns that are never numeric (dates, timestamps, labels, flags,
+# lists); everything else in an oracle result is rounded.
+NON_NUMERIC = {"date", "ts", "sector", "timestamp", "window_start", "window_end", "label", "feature",
+               "column_name", "dtype", "risk_category", "category", "direction", "trend", "severity",
+               "message", "name", "text", "title", "url", "matched_keywords", "key_events", "impact_level",
+               "source", "lang", "role", "status", "alert_type", "level", "kind", "component"}
+
+
 def sql_round(inner: str, keep: list[str] | tuple[str, ...] = (), digits: int = 6) -> str:
-    """Wrap a DuckDB query so every non-``keep`` column is rounded.
+    """Wrap a DuckDB query so every numeric output column is rounded.
 
-    DuckDB's ``round`` keeps integer types, so integers pass unchanged.
+    Columns named in ``NON_NUMERIC`` or ``keep`` pass unchanged; DuckDB's
+    ``round`` keeps integer types, so integers pass unchanged too.
     """
-    if keep:
-        ex = ", ".join(f'"{k}"' for k in keep)
-        return (f"SELECT {ex}, round(COLUMNS(* EXCLUDE ({ex})), {digits}) "
-                f"FROM ({inner}) AS q_")
-    return f"SELECT round(COLUMNS(*), {digits}) FROM ({inner}) AS q_"
+    names = sorted(NON_NUMERIC | set(keep) | {"__keep_dummy"})
+    lst = ", ".join("'" + n + "'" for n in names)
+    # two dummy columns keep both COLUMNS() sets non-empty; dropped at the end
+    return (f"SELECT * EXCLUDE (__keep_dummy, __num_dummy) FROM ("
+            f"SELECT COLUMNS(lambda c: c IN ({lst})), round(COLUMNS(lambda c: c NOT IN ({lst})), {digits}) "
+            f"FROM (SELECT *, 'x' AS __keep_dummy, 0 AS __num_dummy FROM ({inner}) AS q0_) AS q_) AS q1_")
 
 
 # ----------------------------------------------------------- SQL role views

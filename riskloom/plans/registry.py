@@ -8,6 +8,7 @@ from riskloom.plans.common import ORACLE, QUERIES
 
 PLAN_MODULES = [
     "riskloom.plans.client_features",
+    "riskloom.plans.company_panel",
 ]
 
 for _m in PLAN_MODULES:
