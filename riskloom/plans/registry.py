@@ -9,6 +9,7 @@ from riskloom.plans.common import ORACLE, QUERIES
 PLAN_MODULES = [
     "riskloom.plans.client_features",
     "riskloom.plans.company_panel",
+    "riskloom.plans.portfolio",
 ]
 
 for _m in PLAN_MODULES:
