@@ -52,7 +52,9 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
 NON_NUMERIC = {"date", "ts", "sector", "timestamp", "window_start", "window_end", "label", "feature",
                "column_name", "dtype", "risk_category", "category", "direction", "trend", "severity",
                "message", "name", "text", "title", "url", "matched_keywords", "key_events", "impact_level",
-               "source", "lang", "role", "status", "alert_type", "level", "kind", "component"}
+               "source", "lang", "role", "status", "alert_type", "level", "kind", "component",
+               "body_md5", "text_md5", "cache_key", "headlines", "summary", "ticker_s", "rule_id", "json",
+               "iso_ts", "condition", "condition_field", "fn", "metric_name", "comparison", "section"}
 
 
 def sql_round(inner: str, keep: list[str] | tuple[str, ...] = (), digits: int = 6) -> str:
@@ -127,6 +129,14 @@ SQL_VIEWS = {
 }
 
 
+def with_cte(ctes: str, body: str) -> str:
+    """``WITH <ctes> <body>``, merging a body that has its own WITH list."""
+    b = body.lstrip()
+    if b[:4].upper() == "WITH":
+        return f"WITH {ctes}, {b[4:]}"
+    return f"WITH {ctes} {body}"
+
+
 def with_views(body: str, *names: str) -> str:
     """Prefix a query with WITH-clauses for the named role views."""
     ctes = ",\n".join(f"{n} AS ({SQL_VIEWS[n]})" for n in names)

@@ -48,10 +48,8 @@ FROM i"""
 
 
 def psql(body: str, keep=KEEP) -> str:
-    b = body.lstrip()
-    if b[:4].upper() == "WITH":
-        return sql_round(f"WITH portfolio AS ({PORTFOLIO_SQL}), {b[4:]}", keep=keep, digits=DIGITS)
-    return sql_round(f"WITH portfolio AS ({PORTFOLIO_SQL}) {body}", keep=keep, digits=DIGITS)
+    from riskloom.plans.common import with_cte
+    return sql_round(with_cte(f"portfolio AS ({PORTFOLIO_SQL})", body), keep=keep, digits=DIGITS)
 
 
 # ------------------------------------------------------------------ registry

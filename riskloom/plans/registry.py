@@ -10,6 +10,7 @@ PLAN_MODULES = [
     "riskloom.plans.client_features",
     "riskloom.plans.company_panel",
     "riskloom.plans.portfolio",
+    "riskloom.plans.text_queries",
 ]
 
 for _m in PLAN_MODULES:
