@@ -11,6 +11,7 @@ PLAN_MODULES = [
     "riskloom.plans.company_panel",
     "riskloom.plans.portfolio",
     "riskloom.plans.text_queries",
+    "riskloom.plans.alerts_queries",
 ]
 
 for _m in PLAN_MODULES:
