@@ -140,4 +140,4 @@ def with_cte(ctes: str, body: str) -> str:
 def with_views(body: str, *names: str) -> str:
     """Prefix a query with WITH-clauses for the named role views."""
     ctes = ",\n".join(f"{n} AS ({SQL_VIEWS[n]})" for n in names)
-    return f"WITH {ctes}\n{body}"
+    return with_cte(ctes, body)

@@ -12,6 +12,7 @@ PLAN_MODULES = [
     "riskloom.plans.portfolio",
     "riskloom.plans.text_queries",
     "riskloom.plans.alerts_queries",
+    "riskloom.plans.profiling_queries",
 ]
 
 for _m in PLAN_MODULES:

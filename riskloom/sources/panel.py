@@ -134,5 +134,6 @@ SQL = {
 
 
 def with_panel_views(body: str, *names: str) -> str:
+    from riskloom.plans.common import with_cte
     ctes = ",\n".join(f"{n} AS ({SQL[n]})" for n in names)
-    return f"WITH {ctes}\n{body}"
+    return with_cte(ctes, body)
