@@ -13,6 +13,7 @@ PLAN_MODULES = [
     "riskloom.plans.text_queries",
     "riskloom.plans.alerts_queries",
     "riskloom.plans.profiling_queries",
+    "riskloom.plans.stats_queries",
 ]
 
 for _m in PLAN_MODULES:
