@@ -14,6 +14,7 @@ PLAN_MODULES = [
     "riskloom.plans.alerts_queries",
     "riskloom.plans.profiling_queries",
     "riskloom.plans.stats_queries",
+    "riskloom.plans.sets_queries",
 ]
 
 for _m in PLAN_MODULES:
