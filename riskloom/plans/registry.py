@@ -15,6 +15,7 @@ PLAN_MODULES = [
     "riskloom.plans.profiling_queries",
     "riskloom.plans.stats_queries",
     "riskloom.plans.sets_queries",
+    "riskloom.plans.monitoring_queries",
 ]
 
 for _m in PLAN_MODULES:
