@@ -33,8 +33,15 @@ def dec_to_double(c: Column) -> Column:
     return c.cast("string").cast("double")
 
 
+def to_dec(x: Column) -> Column:
+    """Quantise to 6 decimals with ``round(x * 1e6) / 1e6`` before the decimal
+    cast, so a value exactly half-way between two 6-decimal numbers goes the
+    same way on every engine (plain double→decimal casts differ there)."""
+    return (F.round(x * F.lit(1e6)) / F.lit(1e6)).cast(DEC)
+
+
 def exact_sum(x: Column) -> Column:
-    return dec_to_double(F.sum(x.cast(DEC)))
+    return dec_to_double(F.sum(to_dec(x)))
 
 
 def exact_mean(x: Column) -> Column:
@@ -44,7 +51,7 @@ def exact_mean(x: Column) -> Column:
 def exact_var(x: Column, ddof: int = 1) -> Column:
     n = F.count(x)
     s1 = exact_sum(x)
-    s2 = dec_to_double(F.sum(x.cast(DEC) * x.cast(DEC)))
+    s2 = dec_to_double(F.sum(to_dec(x) * to_dec(x)))
     return F.when(n > ddof, F.greatest((s2 - s1 * s1 / n) / (n - ddof), F.lit(0.0)))
 
 

@@ -34,7 +34,7 @@ def round_half_away(c, digits: int):
     identical double rounds identically on both engines (Spark's own
     ``round(x, d)`` rounds the shortest decimal text instead)."""
     m = float(10 ** digits)
-    return F.round(c * F.lit(m)) / F.lit(m)
+    return F.round(c * F.lit(m)) / F.lit(m) + F.lit(0.0)  # + 0.0: no negative zero
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -67,7 +67,7 @@ def sql_round(inner: str, keep: list[str] | tuple[str, ...] = (), digits: int =
     lst = ", ".join("'" + n + "'" for n in names)
     # two dummy columns keep both COLUMNS() sets non-empty; dropped at the end
     return (f"SELECT * EXCLUDE (__keep_dummy, __num_dummy) FROM ("
-            f"SELECT COLUMNS(lambda c: c IN ({lst})), round(COLUMNS(lambda c: c NOT IN ({lst})), {digits}) "
+            f"SELECT COLUMNS(lambda c: c IN ({lst})), round(COLUMNS(lambda c: c NOT IN ({lst})), {digits}) + 0 "
             f"FROM (SELECT *, 'x' AS __keep_dummy, 0 AS __num_dummy FROM ({inner}) AS q0_) AS q_) AS q1_")
 
 

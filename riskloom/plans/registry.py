@@ -16,6 +16,7 @@ PLAN_MODULES = [
     "riskloom.plans.stats_queries",
     "riskloom.plans.sets_queries",
     "riskloom.plans.monitoring_queries",
+    "riskloom.plans.explain_queries",
 ]
 
 for _m in PLAN_MODULES:

@@ -30,8 +30,13 @@ def clean_token(v) -> str:
     return re.sub(r"[^0-9A-Za-z]+", "_", str(v)).strip("_") or "blank"
 
 
+def s_dec(x: str, width: int = 18) -> str:
+    """Twin of aggregates.to_dec: round(x * 1e6) / 1e6, then DECIMAL(width, 6)."""
+    return f"CAST(round(({x}) * 1000000.0) / 1000000.0 AS DECIMAL({width},6))"
+
+
 def exact_sum(x: str) -> str:
-    return f"CAST(CAST(sum(CAST({x} AS DECIMAL(18,6))) AS VARCHAR) AS DOUBLE)"
+    return f"CAST(CAST(sum({s_dec(x)}) AS VARCHAR) AS DOUBLE)"
 
 
 def exact_mean(x: str) -> str:
@@ -40,7 +45,8 @@ def exact_mean(x: str) -> str:
 
 def exact_var(x: str, ddof: int = 1) -> str:
     s1 = exact_sum(x)
-    s2 = f"CAST(CAST(sum(CAST(CAST({x} AS DECIMAL(18,6)) AS DECIMAL(38,6)) * CAST(CAST({x} AS DECIMAL(18,6)) AS DECIMAL(38,6))) AS VARCHAR) AS DOUBLE)"
+    d = f"CAST({s_dec(x)} AS DECIMAL(38,6))"
+    s2 = f"CAST(CAST(sum({d} * {d}) AS VARCHAR) AS DOUBLE)"
     n = f"count({x})"
     return f"CASE WHEN {n} > {ddof} THEN greatest(({s2} - {s1} * {s1} / {n}) / ({n} - {ddof}), 0.0) END"
 

@@ -98,7 +98,8 @@ _SENT = f"(({_K} - 50.0) / 50.0)"
 
 
 def _xsum(x: str) -> str:
-    return f"CAST(CAST(sum(CAST({x} AS DECIMAL(18,6))) AS VARCHAR) AS DOUBLE)"
+    from riskloom.plans.sqlgen import exact_sum
+    return exact_sum(x)
 
 
 def _xmean(x: str) -> str:
