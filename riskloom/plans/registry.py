@@ -17,6 +17,7 @@ PLAN_MODULES = [
     "riskloom.plans.sets_queries",
     "riskloom.plans.monitoring_queries",
     "riskloom.plans.explain_queries",
+    "riskloom.plans.source_queries",
 ]
 
 for _m in PLAN_MODULES:
