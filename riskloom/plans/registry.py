@@ -18,6 +18,7 @@ PLAN_MODULES = [
     "riskloom.plans.monitoring_queries",
     "riskloom.plans.explain_queries",
     "riskloom.plans.source_queries",
+    "riskloom.plans.misc_queries",
 ]
 
 for _m in PLAN_MODULES:
