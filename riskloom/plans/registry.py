@@ -19,6 +19,8 @@ PLAN_MODULES = [
     "riskloom.plans.explain_queries",
     "riskloom.plans.source_queries",
     "riskloom.plans.misc_queries",
+    "riskloom.plans.ml_queries",
+    "riskloom.plans.stream_queries",
 ]
 
 for _m in PLAN_MODULES:
