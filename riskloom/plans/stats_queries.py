@@ -268,3 +268,51 @@ def _ecdf_sql():
 
 
 _ecdf_sql()
+
+
+# ------------------------------------------------------------- KNN imputation (per ticker)
+def _knn_cols():
+    from riskloom.plans.company_panel import FUND_COLS, NEWS_COLS, PRICE_COLS
+    return FUND_COLS + PRICE_COLS + NEWS_COLS
+
+
+@register("impute_knn", None)
+def q_impute_knn(spark, d):
+    from riskloom.operators.knn import impute_knn
+    from riskloom.plans.company_panel import merged_panel
+    m = merged_panel(spark, d).select("ticker", "date", *_knn_cols())
+    return round_doubles(impute_knn(m, "ticker", "date", _knn_cols(), k=5, min_rows=10), DIGITS)
+
+
+def _knn_sql(k: int = 5, min_rows: int = 10) -> str:
+    """Brute force within each ticker: every ordered row pair, nan-euclidean
+    distance, k nearest donors per (row, column)."""
+    from riskloom.plans.company_panel import MERGED_SQL
+    cols = _knn_cols()
+    p = len(cols)
+    cnt = " + ".join(f"CAST(r.{c} IS NOT NULL AND o.{c} IS NOT NULL AS INTEGER)" for c in cols)
+    ssq = " + ".join(f"coalesce((r.{c} - o.{c}) * (r.{c} - o.{c}), 0.0)" for c in cols)
+    ctes = [f"m AS (SELECT ticker, date, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in cols)} FROM ({MERGED_SQL}) m0)",
+            "sz AS (SELECT ticker, count(*) AS n, " + ", ".join(f"avg({c}) AS mean_{c}" for c in cols) + " FROM m GROUP BY 1)",
+            f"""pr AS (SELECT r.ticker, r.date AS rdate, o.date AS odate, {cnt} AS common, {ssq} AS ssq,
+                {', '.join(f'r.{c} AS r_{c}, o.{c} AS o_{c}' for c in cols)}
+                FROM m r JOIN m o ON r.ticker = o.ticker AND r.date <> o.date)""",
+            f"pd AS (SELECT *, CASE WHEN common > 0 THEN sqrt({float(p)} / common * ssq) END AS dist FROM pr)"]
+    for c in cols:
+        ctes.append(f"""k_{c} AS (SELECT ticker, rdate, avg(v) AS v FROM (
+            SELECT ticker, rdate, o_{c} AS v, row_number() OVER (PARTITION BY ticker, rdate ORDER BY dist, odate) AS rn
+            FROM pd WHERE r_{c} IS NULL AND o_{c} IS NOT NULL AND dist IS NOT NULL) t WHERE rn <= {k} GROUP BY 1, 2)""")
+    sel = ", ".join(f"CASE WHEN sz.n > {min_rows} THEN coalesce(m.{c}, k_{c}.v, sz.mean_{c}) ELSE m.{c} END AS {c}"
+                    for c in cols)
+    joins = " ".join(f"LEFT JOIN k_{c} ON k_{c}.ticker = m.ticker AND k_{c}.rdate = m.date" for c in cols)
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT m.ticker, m.date, {sel} FROM m JOIN sz ON sz.ticker = m.ticker {joins}"
+
+
+def _register_knn_sql():
+    from riskloom.plans.common import ORACLE
+    from riskloom.sources.panel import with_panel_views
+    ORACLE["impute_knn"] = with_panel_views(sql_round(_knn_sql(), digits=DIGITS),
+                                            "fundamentals", "prices_daily", "news_daily")
+
+
+_register_knn_sql()
