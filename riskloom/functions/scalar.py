@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INF = float("inf")
@@ -57,3 +58,13 @@ def clip(c, lo, hi) -> Column:
 def safe_log(c) -> Column:
     c = _c(c)
     return F.when(c > 0, F.log(c))
+
+
+def evaluate_once(df: DataFrame, keep: Sequence[str], named: dict[str, Column]) -> DataFrame:
+    """Project ``keep`` plus ``named`` expressions, each evaluated once per row.
+
+    A later filter on one of these columns would otherwise be pushed below the
+    projection with the expression inlined, so an expensive expression (a
+    keyword scan over a whole text) runs twice per row.  A one-element
+    generator is a boundary such a filter is not pushed through."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[e.alias(n) for n, e in named.items()]))))

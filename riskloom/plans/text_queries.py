@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from riskloom.functions import text as TX
 from riskloom.functions.text import s_any, s_contains, s_count, s_matched, sql_lit
 from riskloom.plans.common import register, round_doubles, sql_round, with_cte
-from riskloom.sources.tables import table
+from riskloom.functions.scalar import evaluate_once
+from riskloom.sources.tables import spread, table
 
 DIGITS = 6
 
 
 def articles(spark: SparkSession, d: str) -> DataFrame:
-    doc = table(spark, d, "documents")
+    doc = spread(table(spark, d, "documents"))
     return doc.select("doc_id", F.col("source").alias("ticker"),
                       F.split_part("text", F.lit("."), F.lit(1)).alias("title"),
                       F.split_part("text", F.lit("\n"), F.lit(2)).alias("description"),
@@ -51,12 +52,17 @@ def relevance_frame(a: DataFrame, kw=None, weights=None) -> DataFrame:
     weights = weights or TX.RELEVANCE_WEIGHTS
     text = F.concat_ws(" ", TX.lower_or_empty(F.col("title")), TX.lower_or_empty(F.col("description")),
                        TX.lower_or_empty(F.col("content")))
-    score = F.lit(0)
-    for g, ws in kw.items():
-        score = score + TX.count_contained(text, ws) * weights[g]
     allw = [w for ws in kw.values() for w in ws]
-    out = a.select("doc_id", "ticker", score.alias("relevance_score"),
-                   F.array_sort(F.array_distinct(TX.matched_list(text, allw))).alias("matched_keywords"))
+    # one containment flag per keyword, shared by the score and the list
+    flags = a.select("doc_id", "ticker", text.alias("__t")).select(
+        "doc_id", "ticker", *[TX.contains(F.col("__t"), w).alias(f"__k{i}") for i, w in enumerate(allw)])
+    weight = [weights[g] for g, ws in kw.items() for _ in ws]
+    score = F.lit(0)
+    for i, wt in enumerate(weight):
+        score = score + F.col(f"__k{i}").cast("int") * wt
+    matched = F.array_compact(F.array(*[F.when(F.col(f"__k{i}"), F.lit(w)) for i, w in enumerate(allw)]))
+    out = evaluate_once(flags, ["doc_id", "ticker"], {"relevance_score": score,
+                                                     "matched_keywords": F.array_sort(F.array_distinct(matched))})
     return out.where(F.col("relevance_score") >= TX.RELEVANCE_MIN)
 
 

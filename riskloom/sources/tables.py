@@ -135,3 +135,12 @@ def prices_daily(spark: SparkSession, d: str) -> DataFrame:
     return (t.groupBy("ticker", "date")
              .agg(F.avg("close").alias("close"), F.avg("volume").alias("volume"),
                   F.count(F.lit(1)).alias("n_events")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an input over all cores before per-row CPU-heavy work (keyword
+    scans over whole texts).  Only an input with fewer splits than the
+    cluster has cores (a small single-row-group file) is repartitioned; a
+    large input already has at least that many splits and passes unshuffled."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
