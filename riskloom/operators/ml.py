@@ -212,9 +212,12 @@ def sampled_contributions(model, rows: DataFrame, background: DataFrame, key: st
     """
     from pyspark.sql import Window
     k = len(feats)
-    bg = (background.select(*[F.col(f).alias(f"__b_{f}") for f in feats])
-                    .withColumn("__p", F.row_number().over(Window.orderBy(F.xxhash64(*[F.col(f"__b_{f}") for f in feats], F.lit(seed)))) - 1)
-                    .where(F.col("__p") < permutations))
+    # background rows: the ``permutations`` smallest seeded hashes -- a
+    # distributed top-n (TakeOrderedAndProject), numbered after it is taken
+    h = F.xxhash64(*[F.col(f"__b_{f}") for f in feats], F.lit(seed))
+    picked = (background.select(*[F.col(f).alias(f"__b_{f}") for f in feats]).withColumn("__h", h)
+                        .orderBy("__h").limit(permutations))
+    bg = picked.withColumn("__p", F.row_number().over(Window.orderBy("__h")) - 1).drop("__h")
     r = rows.select(key, *feats).withColumn("__p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     j = r.join(bg, "__p")
     # position of each feature in this (row, p) permutation: rank of its seeded hash

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,29 +29,37 @@ STATE_SCHEMA = "last_score double, history array<double>"
 
 def _score_alert_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Per id: order this micro-batch by (ts, event_id), compare each score to
-    the previous one (carried in state), emit the changes >= the threshold,
-    keep the newest HISTORY_DEPTH scores in state."""
-    pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
+    the previous one (the first to the one carried in state), emit the
+    changes >= the threshold, keep the newest HISTORY_DEPTH scores in state."""
+    pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"], kind="stable")
     last, hist = (state.get if state.exists else (None, []))
-    hist = list(hist or [])
-    rows = []
-    for r in pdf.itertuples(index=False):
-        cur = r.score
-        if last is not None and cur is not None:
-            delta = cur - last
-            if abs(delta) >= ALERT_DELTA_ABS:
-                trend = "IMPROVING" if cur > last else ("WORSENING" if cur < last else "FLAT")
-                direction = "UP" if delta > 0 else ("DOWN" if delta < 0 else "FLAT")
-                rows.append((r.id, r.ts, r.event_id, cur, last, trend, delta, abs(delta), ALERT_DELTA_ABS, direction))
-        last = cur
-        hist = (hist + [cur])[-HISTORY_DEPTH:]
-    state.update((last, hist))
-    yield pd.DataFrame(rows, columns=[c.split()[0] for c in ALERT_SCHEMA.split(", ")])
+    cur = pdf["score"].astype("float64")
+    prev = cur.shift(1)
+    if len(prev):
+        prev.iloc[0] = np.nan if last is None else last
+    # the previous *row's* score, as in the batch twin (a NULL score breaks the chain)
+    delta = cur - prev
+    hit = delta.abs() >= ALERT_DELTA_ABS
+    a = pdf[hit.to_numpy()]
+    c, p, dl = cur[hit].to_numpy(), prev[hit].to_numpy(), delta[hit].to_numpy()
+    out = pd.DataFrame({
+        "id": a["id"].to_numpy(), "ts": a["ts"].to_numpy(), "event_id": a["event_id"].to_numpy(),
+        "score": c, "previous_score": p,
+        "trend": np.where(c > p, "IMPROVING", np.where(c < p, "WORSENING", "FLAT")),
+        "delta": dl, "delta_abs": np.abs(dl), "threshold": ALERT_DELTA_ABS,
+        "direction": np.where(dl > 0, "UP", np.where(dl < 0, "DOWN", "FLAT"))})
+    tail = cur.iloc[-1] if len(cur) else last
+    hist = (list(hist or []) + [None if pd.isna(v) else float(v) for v in cur])[-HISTORY_DEPTH:]
+    state.update((None if tail is None or pd.isna(tail) else float(tail), hist))
+    yield out
 
 
 def score_alert_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str,
-                       max_files_per_trigger: int | None = None):
-    """events landing folder → per-id change alerts (parquet sink)."""
+                       max_files_per_trigger: int | None = 64):
+    """events landing folder → per-id change alerts (parquet sink).
+
+    Micro-batches are bounded (``maxFilesPerTrigger``), so the rows one key
+    brings to a state step are bounded by a batch, not by the stream."""
     r = spark.readStream.schema(EVENT_SCHEMA)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -74,13 +83,8 @@ def hourly_metrics_stream(spark: SparkSession, landing: str, sink: str, checkpoi
                .outputMode("append").trigger(availableNow=True).start())
 
 
-def land_events_by_day(events: DataFrame, landing: str) -> list[str]:
-    """Write events as one parquet folder per day, in time order (successive
-    files = successive micro-batches for ``maxFilesPerTrigger``)."""
-    days = [r[0] for r in events.select(F.to_date("ts").alias("d")).distinct().orderBy("d").collect()]  # day list only
-    paths = []
-    for d in days:
-        p = f"{landing.rstrip('/')}/day={d.isoformat()}"
-        events.where(F.to_date("ts") == F.lit(d)).coalesce(1).write.parquet(p)
-        paths.append(p)
-    return paths
+def land_events_by_day(events: DataFrame, landing: str) -> str:
+    """Write events into a landing folder partitioned by day (one distributed
+    write; each task writes its own files per day)."""
+    (events.withColumn("day", F.to_date("ts")).write.partitionBy("day").mode("append").parquet(landing))
+    return landing
