@@ -3,7 +3,7 @@
 * ``asof_nearest_join`` -- per key, nearest right row by date within a
   tolerance; ties go to the earlier (backward) row (§2.15-A).
 * ``longest_substring_join`` -- each name → the longest dictionary entry
-  contained in it.
+  contained in it (an equi-join on the names' substrings).
 * ``broadcast_small`` -- explicit broadcast only for sides whose size is
   bounded by construction (literal dictionaries, per-column statistics,
   one-row aggregates); everything else is left to AQE's runtime sizing.
@@ -82,19 +82,53 @@ def _struct_type(right: DataFrame, rcols: Sequence[str], on: str):
     return right.select(F.struct(F.lit(0).alias("__rday"), *[F.col(c) for c in rcols])).schema[0].dataType
 
 
+_CHUNK = 256
+
+
 def longest_substring_join(names: DataFrame, name_col: str, dictionary: DataFrame, entry_col: str,
                            order_col: str, default: str = "_new_col") -> DataFrame:
     """Each ``name`` → the longest dictionary entry contained in it.
 
     Ties on length go to the entry first in dictionary order (``order_col``);
-    names without a match get ``default``.  The dictionary side is a
-    broadcast of a bounded list (column descriptions / vocabulary), so the
-    theta join does not shuffle the name side.
+    names without a match get ``default``.  ``names`` holds distinct names.
+
+    Plan: an equi-join, not a theta join.  Every substring of a name no
+    longer than the longest entry (a one-row aggregate) is generated and
+    joined on equality with the entries, so neither side is compared with
+    every row of the other; AQE picks broadcast or shuffle by measured size.
     """
+    from riskloom.session import cut_lineage
     d = dictionary.select(F.col(entry_col).alias("__entry"), F.col(order_col).alias("__ord"))
-    cand = names.join(F.broadcast(d), F.instr(F.col(name_col), F.col("__entry")) > 0, "left")
-    w = Window.partitionBy(name_col).orderBy(F.length("__entry").desc_nulls_last(), F.col("__ord").asc())
+    maxlen = d.agg(F.max(F.length("__entry")).alias("__maxlen"))
+    # substrings carry a name id, not the name: a long name is not copied
+    # into each of its substrings.  Ids are fixed by a reliable checkpoint.
+    ids = cut_lineage(names.select(name_col).distinct().withColumn("__nid", F.monotonically_increasing_id()))
+    n = F.length(F.col(name_col))
+    m = F.col("__maxlen")
+    # All substrings up to the longest entry, built as one array per name so
+    # the generator emits (id, substring) rows only.  The name is first cut
+    # into chunks starting every _CHUNK characters and _CHUNK + maxlen - 1
+    # long: each substring lies in the chunk of its start position, and each
+    # substring call walks one chunk, not the whole name.
+    chunks = F.transform(F.sequence(F.lit(0), F.ceil(n / F.lit(_CHUNK)).cast("int") - 1),
+                         lambda c: F.substring(F.col(name_col), c * _CHUNK + 1, F.lit(_CHUNK) + m - 1))
+
+    def in_chunk(ch):
+        k = F.length(ch)
+        return F.flatten(F.transform(
+            F.sequence(F.lit(1), F.least(F.lit(_CHUNK), k)),
+            lambda st: F.transform(F.sequence(F.lit(1), F.greatest(F.least(k - st + 1, m), F.lit(1))),
+                                   lambda ln: F.substring(ch, st, ln))))
+
+    every = F.flatten(F.transform(chunks, in_chunk))
+    subs = (ids.crossJoin(F.broadcast(maxlen))  # one row
+               .where((n > 0) & m.isNotNull())
+               .select("__nid", F.explode(every).alias("__entry"))
+               .distinct())
+    cand = subs.join(d, "__entry")
+    w = Window.partitionBy("__nid").orderBy(F.length("__entry").desc(), F.col("__ord").asc())
     best = (cand.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1)
-                .withColumn("matched", F.coalesce(F.col("__entry"), F.lit(default)))
-                .drop("__entry", "__ord", "__rn"))
-    return best
+                .select("__nid", F.col("__entry").alias("matched")))
+    named = ids.join(best, "__nid", "left").select(name_col, "matched")
+    return (names.join(named, name_col, "left")
+                 .withColumn("matched", F.coalesce(F.col("matched"), F.lit(default))))

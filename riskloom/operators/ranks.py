@@ -8,8 +8,9 @@ in two phases:
 2. ``repartitionByRange`` on the value, write the result to the shared
    checkpoint folder (partition ids become stable and survive executor
    loss), running sums within each partition, plus the offset of each
-   partition taken from a table with one row per partition (bounded by the
-   partition count, so broadcasting it is safe).
+   partition taken from a table with one row per (partition, group); AQE
+   broadcasts that table at run time when it is small and shuffles it
+   otherwise.
 
 Every phase is a distributed DataFrame job; nothing passes through the driver.
 """
@@ -52,7 +53,8 @@ def value_counts_ranked(df: DataFrame, value: str, counts: dict[str, Column] | N
     wp = Window.partitionBy(*gk).orderBy("__pmin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("__pid", *gk, *[F.coalesce(F.sum(f"__tot_{k}").over(wp), F.lit(0)).alias(f"__off_{k}")
                                            for k in names])
-    j = within.join(F.broadcast(offsets), ["__pid", *gk])
+    # partitions x groups rows: AQE broadcasts it when small, else shuffles
+    j = within.join(offsets, ["__pid", *gk])
     out = [F.col(k) for k in keys]
     for k in names:
         upto = F.col(f"__in_{k}") + F.col(f"__off_{k}")
@@ -71,7 +73,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], prefix: s
     r = value_counts_ranked(df, value, group=group)
     gk = [group] if group else []
     total = r.groupBy(*gk).agg(F.sum("n").alias("__N"))
-    j = r.join(F.broadcast(total), gk) if gk else r.crossJoin(F.broadcast(total))
+    # per group: sized by AQE at run time; overall: one row
+    j = r.join(total, gk) if gk else r.crossJoin(F.broadcast(total))
     cols = []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("__N") - 1)

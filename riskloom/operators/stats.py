@@ -112,7 +112,7 @@ def ks_two_sample(df: DataFrame, value: str, sample: str, group: str | None = No
     r = value_counts_ranked(df, value, {"a": (s == 0).cast("int"), "b": (s == 1).cast("int")}, group=group)
     gk = [group] if group else []
     tot = r.groupBy(*gk).agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
-    j = r.join(F.broadcast(tot), gk) if gk else r.crossJoin(F.broadcast(tot))
+    j = r.join(tot, gk) if gk else r.crossJoin(F.broadcast(tot))  # per group: AQE sizes it
     d = j.groupBy(*gk, "n_a", "n_b").agg(
         F.max(F.abs(F.col("a_upto") / F.col("n_a") - F.col("b_upto") / F.col("n_b"))).alias("ks_stat"))
     lam = F.sqrt(F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b"))) * F.col("ks_stat")

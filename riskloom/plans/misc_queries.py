@@ -125,11 +125,22 @@ def _name_frames(spark, d):
     return n, o, names, orig
 
 
-@register("longest_substring_join")
+@register("longest_substring_join", """WITH n AS (SELECT DISTINCT lower(split_part(text, '.', 1)) AS name FROM documents),
+  d AS (SELECT DISTINCT w AS entry FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM conversations) x
+        WHERE length(w) >= 3),
+  c AS (SELECT n.name, d.entry, row_number() OVER (PARTITION BY n.name ORDER BY length(d.entry) DESC, d.entry) AS rn
+        FROM n JOIN d ON contains(n.name, d.entry))
+  SELECT n.name, coalesce(c.entry, '_new_col') AS matched FROM n LEFT JOIN c ON c.name = n.name AND c.rn = 1""")
 def q_longest(spark, d):
+    """Each document title → the longest word of the conversation vocabulary
+    it contains (ties: alphabetical); both sides grow with the tables."""
     from riskloom.operators.joins import longest_substring_join
-    n, o, _, _ = _name_frames(spark, d)
-    return longest_substring_join(n, "name", o, "entry", "ord")
+    from riskloom.sources.tables import table
+    names = table(spark, d, "documents").select(F.lower(F.split_part("text", F.lit("."), F.lit(1))).alias("name")).distinct()
+    words = (table(spark, d, "conversations")
+             .select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("entry"))
+             .where(F.length("entry") >= 3).distinct())
+    return longest_substring_join(names, "name", words.withColumn("ord", F.col("entry")), "entry", "ord")
 
 
 @register("rule_metric_join", None)

@@ -35,3 +35,12 @@ def test_longest_substring(spark):
     dic = spark.createDataFrame([("AMT_CREDIT", 0), ("AMT_CREDIT_SUM", 1), ("AMT", 2)], "entry string, ord int")
     out = {r.name: r.matched for r in longest_substring_join(names, "name", dic, "entry", "ord").collect()}
     assert out == {"BURO_AMT_CREDIT_SUM_MEAN": "AMT_CREDIT_SUM", "NEW_THING": "_new_col"}
+
+
+def test_longest_substring_across_chunk_boundary(spark):
+    # a long name: the best entry starts a few characters before position 256
+    name = "x" * 250 + "boundaryword" + "y" * 400
+    names = spark.createDataFrame([(name,), ("yyy",), ("",)], "name string")
+    dic = spark.createDataFrame([("boundaryword", 1), ("boundary", 0), ("yyyy", 2), ("zz", 3)], "entry string, ord int")
+    out = {r.name: r.matched for r in longest_substring_join(names, "name", dic, "entry", "ord").collect()}
+    assert out == {name: "boundaryword", "yyy": "_new_col", "": "_new_col"}
