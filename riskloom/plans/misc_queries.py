@@ -108,23 +108,6 @@ def q_left_text(spark, d):
     return round_doubles(doc.select("doc_id", "source").join(s, "source", "left"), DIGITS)
 
 
-def _name_frames(spark, d):
-    """Derived feature names (the wide client table's schema) and the
-    dictionary of original column names in file order -- both bounded by
-    schema width."""
-    from riskloom.plans.client_features import client_features
-    from riskloom.sources import tables as T
-    names = [c for c in client_features(spark, d).columns]
-    orig = []
-    for view in (T.application, T.bureau, T.bureau_balance, T.previous_application, T.pos_cash, T.instalments, T.credit_card):
-        for c in view(spark, d).columns:
-            if c not in orig:
-                orig.append(c)
-    n = spark.createDataFrame([(c,) for c in names], "name string")
-    o = spark.createDataFrame([(c, i) for i, c in enumerate(orig)], "entry string, ord int")
-    return n, o, names, orig
-
-
 @register("longest_substring_join", """WITH n AS (SELECT DISTINCT lower(split_part(text, '.', 1)) AS name FROM documents),
   d AS (SELECT DISTINCT w AS entry FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM conversations) x
         WHERE length(w) >= 3),
