@@ -151,19 +151,23 @@ def event_impact(columns: Sequence[str]) -> Column:
     return num / F.lit(sum(ws))
 
 
-def beta(ticks: DataFrame, w: WindowSpec, min_rows_table: int = 100, min_rows_key: int = 30) -> DataFrame:
+def beta(ticks: DataFrame, min_rows_table: int = 100, min_rows_key: int = 30) -> DataFrame:
     """cov_samp(ticker return, market return) / var_pop(market return) per ticker.
 
     Market return: mean close per date, pct_change over dates (a table with
-    one row per distinct date).  NULL returns → 0 before the statistics;
-    zero market variance → 1.0; gates: table > 100 rows, ticker > 30 rows.
+    one row per distinct date).  Ticker returns: 1-row pct_change over exact
+    blocks of each ticker's ticks (a hot ticker spreads over tasks).  NULL
+    returns → 0 before the statistics; zero market variance → 1.0; gates:
+    table > 100 rows, ticker > 30 rows.
     """
     from pyspark.sql import Window
-    from riskloom.operators.windows import pct_change
+    from riskloom.operators import windows as W
     idx = ticks.groupBy("date").agg(F.avg("close").alias("idx"))
     # one row per date: ordering the date table needs no key partitioning
     mr = idx.select("date", (sdiv(F.col("idx"), F.lag("idx").over(Window.orderBy("date"))) - F.lit(1.0)).alias("mret"))
-    t = pct_change(ticks, "close", w, 1, "ret")
+    p = W.ffill_positioned(W.row_position(ticks, "ticker", ["ts", "event_id"]), "ticker", {"close": "__ff_close"})
+    b, w = W.halo_blocks(p, "ticker", 1)
+    t = W.home_rows(b.select("ticker", "date", "__i", "__b", "__home", W.pct_change_filled("__ff_close", w, 1).alias("ret")))
     t = t.join(mr, "date", "left").select(
         "ticker", F.coalesce("ret", F.lit(0.0)).alias("r"), F.coalesce("mret", F.lit(0.0)).alias("m"))
     total = ticks.agg(F.count(F.lit(1)).alias("__n"))

@@ -143,3 +143,67 @@ def trend_slope_last_n(df: DataFrame, key: str, order: str, col: str, n: int, ou
     return df.join(last, key, "left")
 
 
+
+
+# ---------------------------------------------------------------------------
+# Hot keys: ordered row frames split into blocks.
+#
+# A window partitioned by key alone sends every row of a key to one task; a
+# ticker holding a third of all ticks would be sorted and scanned by one
+# core.  Frames that look back at most ``lookback`` rows are split exactly:
+#
+# 1. each row gets its exact 0-based position ``__i`` within its key
+#    (distributed prefix counts, ``ranks.value_counts_ranked``);
+# 2. a key is cut into blocks of ``block_rows`` positions, and the last
+#    ``lookback`` rows of a block are copied into the next block as halo rows;
+# 3. windows run over (key, block) ordered by ``__i``; only home rows are kept.
+#
+# A home row's frame then sees exactly the rows it would see in the unsplit
+# window.  Forward fill looks back without limit, so it is done before
+# blocking: a running last value inside each block plus the carried last
+# value of earlier blocks (a table with one row per block).
+BLOCK_ROWS = 1 << 16
+
+
+def row_position(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """Adds ``__i``: the 0-based position of each row within its key in
+    ``order`` (which must be unique within a key, e.g. time + event id)."""
+    from riskloom.operators.ranks import value_counts_ranked
+    d = df.withColumn("__o", F.struct(*[F.col(c) for c in order]))
+    r = value_counts_ranked(d.select(key, "__o"), "__o", group=key)
+    return d.join(r.select(key, "__o", F.col("n_before").alias("__i")), [key, "__o"]).drop("__o")
+
+
+def ffill_positioned(df: DataFrame, key: str, cols: dict[str, str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact forward fill over ``__i`` (``cols``: source → output column)."""
+    d = df.withColumn("__fb", F.floor(F.col("__i") / F.lit(block_rows)))
+    wb = Window.partitionBy(key, "__fb").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.select("*", *[F.last(F.col(c), ignorenulls=True).over(wb).alias(f"__run_{o}") for c, o in cols.items()])
+    last = d.groupBy(key, "__fb").agg(
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("__i"))).alias(f"__last_{o}") for c, o in cols.items()])
+    before = Window.partitionBy(key).orderBy("__fb").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.select(key, "__fb", *[F.last(f"__last_{o}", ignorenulls=True).over(before).alias(f"__carry_{o}")
+                                       for o in cols.values()])
+    d = d.join(carry, [key, "__fb"], "left")
+    d = d.select("*", *[F.coalesce(F.col(f"__run_{o}"), F.col(f"__carry_{o}")).alias(o) for o in cols.values()])
+    return d.drop("__fb", *[f"__run_{o}" for o in cols.values()], *[f"__carry_{o}" for o in cols.values()])
+
+
+def halo_blocks(df: DataFrame, key: str, lookback: int, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, WindowSpec]:
+    """Positioned rows → (rows with ``__b`` and ``__home``, window over the blocks)."""
+    if lookback > block_rows:
+        raise ValueError("lookback must not exceed block_rows")
+    blk = F.floor(F.col("__i") / F.lit(block_rows))
+    halo = (F.col("__i") % F.lit(block_rows)) >= F.lit(block_rows - lookback)
+    d = (df.withColumn("__b", F.explode(F.when(halo & F.lit(lookback > 0), F.array(blk, blk + 1)).otherwise(F.array(blk))))
+           .withColumn("__home", F.col("__b") == blk))
+    return d, Window.partitionBy(key, "__b").orderBy("__i")
+
+
+def home_rows(df: DataFrame) -> DataFrame:
+    return df.where(F.col("__home")).drop("__b", "__home", "__i")
+
+
+def pct_change_filled(filled: str, w: WindowSpec, n: int) -> Column:
+    """pct_change over an already forward-filled column."""
+    return sdiv(F.col(filled), F.lag(F.col(filled), n).over(w)) - F.lit(1.0)

@@ -41,12 +41,23 @@ def day_window():
     return W.key_window("ticker", "date")
 
 
-def market_features(t: DataFrame) -> DataFrame:
-    w = tick_window()
-    t = W.pct_change(t, "close", w, 30, "price_momentum_30d")
-    t = W.pct_change(t, "close", w, 90, "price_momentum_90d")
-    return t.select(
-        "ticker", "ts", "event_id", "date", "close", "volume", "price_momentum_30d", "price_momentum_90d",
+def ticks_blocked(t: DataFrame, lookback: int, ffill: dict[str, str] | None = None,
+                  block_rows: int = W.BLOCK_ROWS):
+    """Tick rows split into exact blocks per ticker (a hot ticker is spread
+    over many tasks); see operators.windows.halo_blocks."""
+    p = W.row_position(t, "ticker", ["ts", "event_id"])
+    if ffill:
+        p = W.ffill_positioned(p, "ticker", ffill, block_rows)
+    return W.halo_blocks(p, "ticker", lookback, block_rows)
+
+
+def market_features(t: DataFrame, block_rows: int = W.BLOCK_ROWS) -> DataFrame:
+    # longest frame: 200 rows (ma_200d) -> 199 rows of look-back
+    b, w = ticks_blocked(t, 199, {"close": "__ff_close"}, block_rows)
+    out = b.select(
+        "ticker", "ts", "event_id", "date", "close", "volume", "__i", "__b", "__home",
+        W.pct_change_filled("__ff_close", w, 30).alias("price_momentum_30d"),
+        W.pct_change_filled("__ff_close", w, 90).alias("price_momentum_90d"),
         W.rolling_std("close", w, 30, 10).alias("price_volatility_30d"),
         W.rolling_std("close", w, 90, 30).alias("price_volatility_90d"),
         W.rolling_mean("close", w, 20, 10).alias("ma_20d"),
@@ -55,6 +66,7 @@ def market_features(t: DataFrame) -> DataFrame:
         W.rolling_mean("volume", w, 30, 10).alias("volume_trend"),
         W.rolling_std("volume", w, 30, 10).alias("volume_volatility"),
     )
+    return W.home_rows(out)
 
 
 def news_features(n: DataFrame, w=None) -> DataFrame:
@@ -248,12 +260,17 @@ FROM (SELECT *, CASE WHEN ret IS NOT NULL AND sentiment_score IS NOT NULL THEN s
       FROM (SELECT *, {s_pct('close', TW, 1)} AS ret, count(*) OVER (PARTITION BY ticker) AS n_rows
       FROM (SELECT *, {s_ffill('close', TW)} AS __ff_close FROM ticks) a) a2) b""", digits=DIGITS), "ticks"))
 def q_rolling_corr(spark, d):
-    w = tick_window()
-    t = W.pct_change(P.ticks(spark, d), "close", w, 1, "ret")
-    n_rows = F.count(F.lit(1)).over(Window.partitionBy("ticker"))
-    out = t.select("ticker", "ts", "event_id",
-                   F.when(n_rows > 30, W.rolling_corr("sentiment_score", "ret", w, 30)).alias("sentiment_price_correlation"))
-    return round_doubles(out, DIGITS)
+    t = P.ticks(spark, d)
+    # 30-row frame over 1-row returns: 30 rows of look-back
+    b, w = ticks_blocked(t, 30, {"close": "__ff_close"})
+    b = b.withColumn("ret", W.pct_change_filled("__ff_close", w, 1))
+    out = W.home_rows(b.select("ticker", "ts", "event_id", "__i", "__b", "__home",
+                               W.rolling_corr("sentiment_score", "ret", w, 30).alias("__corr")))
+    n_rows = t.groupBy("ticker").agg(F.count(F.lit(1)).alias("__n"))  # one row per ticker
+    out = out.join(n_rows, "ticker")
+    return round_doubles(out.select("ticker", "ts", "event_id",
+                                    F.when(F.col("__n") > 30, F.col("__corr")).alias("sentiment_price_correlation")),
+                         DIGITS)
 
 
 @register("rsi_14", P.with_panel_views(sql_round(f"""
@@ -265,10 +282,12 @@ SELECT ticker, ts, event_id,
 FROM (SELECT *, CASE WHEN dlt > 0 THEN dlt ELSE 0.0 END AS gain, CASE WHEN dlt < 0 THEN -dlt ELSE 0.0 END AS loss
       FROM (SELECT *, close - lag(close) OVER ({TW}) AS dlt FROM ticks) a) b""", digits=DIGITS), "ticks"))
 def q_rsi(spark, d):
-    w = tick_window()
+    # 14-row means of 1-row deltas: 14 rows of look-back
+    b, w = ticks_blocked(P.ticks(spark, d), 14)
     gain, loss, _ = W.rsi("close", w)
-    t = P.ticks(spark, d).select("ticker", "ts", "event_id", gain.alias("gain"), loss.alias("loss"))
-    return round_doubles(t.select("ticker", "ts", "event_id", W.rsi_from("gain", "loss", w, 14).alias("rsi_14d")), DIGITS)
+    t = b.select("ticker", "ts", "event_id", "__i", "__b", "__home", gain.alias("gain"), loss.alias("loss"))
+    return round_doubles(W.home_rows(t.select("ticker", "ts", "event_id", "__i", "__b", "__home",
+                                              W.rsi_from("gain", "loss", w, 14).alias("rsi_14d"))), DIGITS)
 
 
 @register("trend_slope_last_n", P.with_panel_views(sql_round("""
@@ -293,7 +312,7 @@ SELECT ticker, CASE WHEN max(tot.n) > 100 AND count(*) > 30 THEN
 FROM tr, tot GROUP BY ticker""", digits=DIGITS), "ticks"))
 def q_beta(spark, d):
     from riskloom.operators.scores import beta
-    return round_doubles(beta(P.ticks(spark, d), tick_window()), DIGITS)
+    return round_doubles(beta(P.ticks(spark, d)), DIGITS)
 
 
 @register("group_mean_relative", P.with_panel_views(sql_round("""
