@@ -165,8 +165,7 @@ def beta(ticks: DataFrame, min_rows_table: int = 100, min_rows_key: int = 30) ->
     idx = ticks.groupBy("date").agg(F.avg("close").alias("idx"))
     # one row per date: ordering the date table needs no key partitioning
     mr = idx.select("date", (sdiv(F.col("idx"), F.lag("idx").over(Window.orderBy("date"))) - F.lit(1.0)).alias("mret"))
-    p = W.ffill_positioned(W.row_position(ticks, "ticker", ["ts", "event_id"]), "ticker", {"close": "__ff_close"})
-    b, w = W.halo_blocks(p, "ticker", 1)
+    b, w = W.key_frames(ticks, "ticker", ["ts", "event_id"], 1, {"close": "__ff_close"})
     t = W.home_rows(b.select("ticker", "date", "__i", "__b", "__home", W.pct_change_filled("__ff_close", w, 1).alias("ret")))
     t = t.join(mr, "date", "left").select(
         "ticker", F.coalesce("ret", F.lit(0.0)).alias("r"), F.coalesce("mret", F.lit(0.0)).alias("m"))

@@ -207,3 +207,26 @@ def home_rows(df: DataFrame) -> DataFrame:
 def pct_change_filled(filled: str, w: WindowSpec, n: int) -> Column:
     """pct_change over an already forward-filled column."""
     return sdiv(F.col(filled), F.lag(F.col(filled), n).over(w)) - F.lit(1.0)
+
+
+def key_frames(df: DataFrame, key: str, order: Sequence[str], lookback: int,
+               ffill: dict[str, str] | None = None, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, WindowSpec]:
+    """Rows ready for per-key frames that look back at most ``lookback`` rows.
+
+    Decided at run time from the largest key (one aggregate row): if every
+    key fits in one block, the plain window partitioned by key is used (one
+    exchange); otherwise keys are split into exact halo blocks.  Either way
+    the result carries ``__i`` / ``__b`` / ``__home``; finish with
+    ``home_rows``.  ``ffill`` maps columns to forward-filled outputs.
+    """
+    largest = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0] or 0
+    if largest > block_rows:
+        p = row_position(df, key, order)
+        if ffill:
+            p = ffill_positioned(p, key, ffill, block_rows)
+        return halo_blocks(p, key, lookback, block_rows)
+    w = Window.partitionBy(key, "__b").orderBy(*order)
+    d = df.withColumn("__b", F.lit(0)).withColumn("__home", F.lit(True)).withColumn("__i", F.lit(0))
+    if ffill:
+        d = d.select("*", *[F.last(F.col(c), ignorenulls=True).over(running(w)).alias(o) for c, o in ffill.items()])
+    return d, w

@@ -43,12 +43,9 @@ def day_window():
 
 def ticks_blocked(t: DataFrame, lookback: int, ffill: dict[str, str] | None = None,
                   block_rows: int = W.BLOCK_ROWS):
-    """Tick rows split into exact blocks per ticker (a hot ticker is spread
-    over many tasks); see operators.windows.halo_blocks."""
-    p = W.row_position(t, "ticker", ["ts", "event_id"])
-    if ffill:
-        p = W.ffill_positioned(p, "ticker", ffill, block_rows)
-    return W.halo_blocks(p, "ticker", lookback, block_rows)
+    """Tick rows per ticker for frames of ``lookback`` rows; a ticker larger
+    than one block is split into exact halo blocks (operators.windows)."""
+    return W.key_frames(t, "ticker", ["ts", "event_id"], lookback, ffill, block_rows)
 
 
 def market_features(t: DataFrame, block_rows: int = W.BLOCK_ROWS) -> DataFrame:
