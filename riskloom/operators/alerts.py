@@ -25,13 +25,17 @@ def micros(ts: str) -> Column:
 
 
 def score_trend(df: DataFrame, key: str, order: list[str], score: str) -> DataFrame:
-    """Previous score, trend (IMPROVING if the score rose), delta -- per row."""
-    w = Window.partitionBy(key).orderBy(*order)
+    """Previous score, trend (IMPROVING if the score rose), delta -- per row.
+    One row of look-back: a hot key is split into exact halo blocks."""
+    from riskloom.operators.windows import home_rows, key_frames
+    b, w = key_frames(df, key, order, 1)
     prev = F.lag(score).over(w)
     cur = F.col(score)
     trend = (F.when(cur.isNull() | prev.isNull(), "FLAT").when(cur > prev, "IMPROVING")
               .when(cur < prev, "WORSENING").otherwise("FLAT"))
-    return df.select("*", prev.alias("previous_score"), trend.alias("trend"), (cur - prev).alias("delta"))
+    out = b.select(*[F.col(c) for c in df.columns], "__i", "__b", "__home",
+                   prev.alias("previous_score"), trend.alias("trend"), (cur - prev).alias("delta"))
+    return home_rows(out)
 
 
 def change_alerts(trended: DataFrame, threshold: float = ALERT_DELTA_ABS) -> DataFrame:
@@ -43,9 +47,9 @@ def change_alerts(trended: DataFrame, threshold: float = ALERT_DELTA_ABS) -> Dat
 
 
 def last_n_per_key(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
-    """Newest ``n`` rows per key (rank 1 = newest)."""
-    w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
-    return df.withColumn("recency", F.row_number().over(w)).where(F.col("recency") <= n)
+    """Newest ``n`` rows per key (rank 1 = newest); hot keys stay distributed."""
+    from riskloom.operators.windows import newest_n
+    return newest_n(df, key, order, n, "recency")
 
 
 def trend_7v7(daily: DataFrame, key: str, order: str, score: str) -> DataFrame:
@@ -103,8 +107,21 @@ def ttl_latest(df: DataFrame, key: list[str], ts: str, value: str, now: Column,
     return live.groupBy(*key).agg(F.max_by(value, F.struct(ts, value)).alias(value), F.max(ts).alias(ts))
 
 
-def rate_breach(df: DataFrame, key: str, ts: str, window_seconds: int, limit: int) -> DataFrame:
-    """Rows at which more than ``limit`` requests fell in the trailing window."""
-    w = Window.partitionBy(key).orderBy("__us").rangeBetween(-(int(window_seconds) * 1_000_000 - 1), 0)
-    c = df.withColumn("__us", micros(ts)).withColumn("n_in_window", F.count(F.lit(1)).over(w))
-    return c.where(F.col("n_in_window") > limit).drop("__us")
+def rate_breach(df: DataFrame, key: str, ts: str, window_seconds: int, limit: int,
+                block_rows: int = 1 << 16) -> DataFrame:
+    """Rows at which more than ``limit`` requests fell in the trailing window.
+
+    A key larger than ``block_rows`` is split by time into buckets one window
+    wide; each row is also copied into the next bucket, where it can fall in
+    a later row's window.  Counting then runs per (key, bucket)."""
+    from riskloom.operators.windows import _largest_key
+    win = int(window_seconds) * 1_000_000
+    c = df.withColumn("__us", micros(ts))
+    frame = lambda *part: Window.partitionBy(*part).orderBy("__us").rangeBetween(-(win - 1), 0)
+    if _largest_key(df, key) <= block_rows:
+        c = c.withColumn("n_in_window", F.count(F.lit(1)).over(frame(key)))
+        return c.where(F.col("n_in_window") > limit).drop("__us")
+    home = F.floor(F.col("__us") / F.lit(win))
+    c = (c.withColumn("__tb", F.explode(F.array(home, home + 1))).withColumn("__home", F.col("__tb") == home)
+          .withColumn("n_in_window", F.count(F.lit(1)).over(frame(key, "__tb"))))
+    return c.where(F.col("__home") & (F.col("n_in_window") > limit)).drop("__us", "__tb", "__home")

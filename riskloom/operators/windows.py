@@ -230,3 +230,23 @@ def key_frames(df: DataFrame, key: str, order: Sequence[str], lookback: int,
     if ffill:
         d = d.select("*", *[F.last(F.col(c), ignorenulls=True).over(running(w)).alias(o) for c, o in ffill.items()])
     return d, w
+
+
+def _largest_key(df: DataFrame, key: str | Sequence[str]) -> int:
+    keys = [key] if isinstance(key, str) else list(key)
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0] or 0
+
+
+def newest_n(df: DataFrame, key: str, order: Sequence[str], n: int, out: str = "recency",
+             block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Newest ``n`` rows per key by ``order`` (unique within a key), with
+    ``out`` = 1 for the newest.  Small keys: a window per key.  A key larger
+    than a block: exact positions from distributed prefix counts, so its rows
+    are never sorted by one task."""
+    if _largest_key(df, key) <= block_rows:
+        w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
+        return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= n)
+    p = row_position(df, key, order)
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))  # one row per key
+    return (p.join(sizes, key).withColumn(out, (F.col("__n") - F.col("__i")).cast("int"))
+             .where(F.col(out) <= n).drop("__i", "__n"))

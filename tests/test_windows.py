@@ -59,3 +59,21 @@ def test_row_position_is_exact(spark):
         want[r.event_id] = want.get(("n", r.ticker), 0)
         want[("n", r.ticker)] = want[r.event_id] + 1
     assert all(want[r["event_id"]] == r["__i"] for r in p.collect())
+
+
+def test_newest_n_hot_path_equals_window(spark):
+    t = _ticks(spark)
+    for n in (1, 7, 300):
+        hot = W.newest_n(t, "ticker", ["ts", "event_id"], n, block_rows=100)
+        plain = W.newest_n(t, "ticker", ["ts", "event_id"], n, block_rows=1 << 20)
+        assert _rows(hot) == _rows(plain)
+
+
+def test_rate_breach_time_buckets_equal_window(spark):
+    from riskloom.operators.alerts import rate_breach
+    t = _ticks(spark)  # one row per minute per ticker
+    for win_s, limit in ((300, 4), (3600, 30)):
+        hot = rate_breach(t, "ticker", "ts", win_s, limit, block_rows=100)
+        plain = rate_breach(t, "ticker", "ts", win_s, limit, block_rows=1 << 20)
+        assert hot.count() > 0
+        assert _rows(hot) == _rows(plain)
