@@ -22,11 +22,20 @@ def enrich_articles(a: DataFrame) -> DataFrame:
 
 
 def sentiment_summary(a: DataFrame, key: str = "ticker", order: str = "doc_id") -> DataFrame:
-    """Per key: mean score, counts by ±0.1, trend of the newest 3 vs the rest (±0.1)."""
+    """Per key: mean score, counts by ±0.1, trend of the newest 3 vs the rest (±0.1).
+
+    The newest 3 ids per key come from a ``row_number() <= 3`` filter on the
+    id columns alone (Spark limits it per map task before the shuffle, so a
+    key with most of the documents is never sorted whole); they are joined
+    back as a flag and every statistic is one grouped aggregation."""
     w = Window.partitionBy(key).orderBy(F.col(order).desc())
-    s = a.select(key, TX.sentiment_score(F.col("content")).alias("sc"), F.row_number().over(w).alias("rn"))
-    recent = F.avg(F.when(F.col("rn") <= 3, F.col("sc")))
-    older = F.coalesce(F.avg(F.when(F.col("rn") > 3, F.col("sc"))), recent)
+    newest = (a.select(key, order).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= 3)
+               .select(key, order, F.lit(True).alias("__new")))
+    s = (a.select(key, order, TX.sentiment_score(F.col("content")).alias("sc"))
+          .join(newest, [key, order], "left"))
+    is_new = F.coalesce(F.col("__new"), F.lit(False))
+    recent = F.avg(F.when(is_new, F.col("sc")))
+    older = F.coalesce(F.avg(F.when(~is_new, F.col("sc"))), recent)
     n = F.count(F.lit(1))
     trend = (F.when(n < 2, "neutral").when(recent > older + 0.1, "improving")
               .when(recent < older - 0.1, "declining").otherwise("stable"))
@@ -55,8 +64,9 @@ def batch_summary(df: DataFrame, batch: str, order: str, title: str, top: int =
     """First ``top`` titles per batch joined by ' | ' (empty ones skipped) and
     the keyword sentence.  Only ``top`` rows per batch are collected."""
     w = Window.partitionBy(batch).orderBy(order)
-    r = df.select(batch, title, F.row_number().over(w).alias("__rn"))
-    keep = (F.col("__rn") <= top) & (F.col(title) != "")
+    # a row_number filter: limited per map task before the shuffle
+    r = df.select(batch, title, F.row_number().over(w).alias("__rn")).where(F.col("__rn") <= top)
+    keep = F.col(title) != ""
     g = r.groupBy(batch).agg(F.array_sort(F.collect_list(F.when(keep, F.struct("__rn", title)))).alias("__h"))
     joined = F.array_join(F.transform("__h", lambda s: s[title]), " | ")
     return g.select(batch, joined.alias("headlines")).withColumn("summary", TX.summary_sentence(F.col("headlines")))

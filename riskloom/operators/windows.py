@@ -240,10 +240,14 @@ def _largest_key(df: DataFrame, key: str | Sequence[str]) -> int:
 def newest_n(df: DataFrame, key: str, order: Sequence[str], n: int, out: str = "recency",
              block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Newest ``n`` rows per key by ``order`` (unique within a key), with
-    ``out`` = 1 for the newest.  Small keys: a window per key.  A key larger
-    than a block: exact positions from distributed prefix counts, so its rows
-    are never sorted by one task."""
-    if _largest_key(df, key) <= block_rows:
+    ``out`` = 1 for the newest.  For n up to the window group limit, or keys
+    within a block: a window per key.  Otherwise (large n and a key larger
+    than a block): exact positions from distributed prefix counts, so its
+    rows are never sorted by one task."""
+    # n within Spark's window group limit: the row_number filter is cut to n
+    # rows per key in every map task before the shuffle -- hot keys are safe
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n <= limit or _largest_key(df, key) <= block_rows:
         w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
         return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= n)
     p = row_position(df, key, order)

@@ -63,10 +63,16 @@ def test_row_position_is_exact(spark):
 
 def test_newest_n_hot_path_equals_window(spark):
     t = _ticks(spark)
-    for n in (1, 7, 300):
-        hot = W.newest_n(t, "ticker", ["ts", "event_id"], n, block_rows=100)
-        plain = W.newest_n(t, "ticker", ["ts", "event_id"], n, block_rows=1 << 20)
-        assert _rows(hot) == _rows(plain)
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "0")  # force the exact-position path for a key > block
+    try:
+        for n in (1, 7, 300):
+            hot = W.newest_n(t, "ticker", ["ts", "event_id"], n, block_rows=100)
+            plain = W.newest_n(t, "ticker", ["ts", "event_id"], n, block_rows=1 << 20)
+            assert _rows(hot) == _rows(plain)
+    finally:
+        spark.conf.set(key, old)
 
 
 def test_rate_breach_time_buckets_equal_window(spark):
