@@ -27,12 +27,33 @@ BASE_CONF = {
 }
 
 
+# Cluster profile for inputs of tens of terabytes.  Shuffles start with many
+# partitions and AQE coalesces them to ~256 MB each (so a 100 TB shuffle runs
+# as ~400k tasks of bounded size, spilling rather than failing); scans split
+# files into 256 MB ranges; a join side is broadcast only when its measured
+# size is below 64 MB.  Skewed join partitions (5x the median and > 512 MB)
+# are split by AQE.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.parquet.aggregatePushdown": "true",
+}
+
+
 def get_session(master: str | None = None, app: str = "riskloom",
-                shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
+                shuffle_partitions: int | None = None, extra: dict | None = None,
+                cluster: bool = False) -> SparkSession:
+    """A session with the library's settings; ``cluster=True`` adds
+    ``CLUSTER_CONF`` (explicit ``shuffle_partitions`` / ``extra`` win)."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for k, v in BASE_CONF.items():
+    for k, v in {**BASE_CONF, **(CLUSTER_CONF if cluster else {})}.items():
         builder = builder.config(k, v)
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
