@@ -55,32 +55,47 @@ def exact_var(x: Column, ddof: int = 1) -> Column:
     return F.when(n > ddof, F.greatest((s2 - s1 * s1 / n) / (n - ddof), F.lit(0.0)))
 
 
-def stat_expr(fn: str, c: Column, cond: Column | None = None, integral: bool = False) -> Column:
+def stat_expr(fn: str, c: Column, cond: Column | None = None, integral: bool = False,
+              dec: Column | None = None, sq: Column | None = None) -> Column:
     """One pandas-style statistic as a Spark aggregate.
 
     pandas semantics: ``sum`` of only NULLs is 0, ``var`` has ddof=1,
     ``size`` counts rows including NULLs, ``nunique`` ignores NULLs.  With a
     ``cond`` (subset aggregation in one pass) a key without any subset row
     yields NULL for every statistic, as the reference's separate subset
-    aggregate followed by a left join does.
+    aggregate followed by a left join does.  ``dec`` / ``sq``: the column's
+    decimal value and its square, projected once per row (``prepare_exact``).
     """
     x = c if cond is None else F.when(cond, c)
+    d = None if dec is None else (dec if cond is None else F.when(cond, dec))
+    q = None if sq is None else (sq if cond is None else F.when(cond, sq))
     exact = EXACT and not integral
+
+    def dsum():
+        return dec_to_double(F.sum(d)) if d is not None else exact_sum(x)
+
+    def dvar(ddof=1):
+        if d is None or q is None:
+            return exact_var(x, ddof)
+        n = F.count(x)
+        s1, s2 = dec_to_double(F.sum(d)), dec_to_double(F.sum(q))
+        return F.when(n > ddof, F.greatest((s2 - s1 * s1 / n) / (n - ddof), F.lit(0.0)))
+
     if fn == "min":
         e = F.min(x)
     elif fn == "max":
         e = F.max(x)
     elif fn == "mean":
-        e = exact_mean(x) if EXACT else F.avg(x)
+        e = F.try_divide(dsum(), F.count(x)) if EXACT else F.avg(x)
     elif fn == "sum":
         if integral:
             e = F.coalesce(F.sum(x), F.lit(0).cast("bigint"))
         else:
-            e = F.coalesce(exact_sum(x) if exact else F.sum(x), F.lit(0.0))
+            e = F.coalesce(dsum() if exact else F.sum(x), F.lit(0.0))
     elif fn == "var":
-        e = exact_var(x) if EXACT else F.var_samp(x)
+        e = dvar() if EXACT else F.var_samp(x)
     elif fn == "std":
-        e = F.sqrt(exact_var(x)) if EXACT else F.stddev_samp(x)
+        e = F.sqrt(dvar()) if EXACT else F.stddev_samp(x)
     elif fn == "median":
         e = F.percentile(x, 0.5)
     elif fn == "size":
@@ -94,21 +109,50 @@ def stat_expr(fn: str, c: Column, cond: Column | None = None, integral: bool = F
     return e
 
 
+def _dec_name(col: str) -> str:
+    return f"__dec_{col}"
+
+
+def _sq_name(col: str) -> str:
+    return f"__sq_{col}"
+
+
+def prepare_exact(df: DataFrame, spec: Mapping[str, Sequence[str]], integral: Iterable[str] = ()) -> DataFrame:
+    """Project each column's decimal value (and square, for variances) once
+    per row, so the exact statistics of one column share a single cast."""
+    if not EXACT:
+        return df
+    integral = set(integral)
+    dec_cols = [c for c, fns in spec.items()
+                if any(f in ("mean", "var", "std") or (f == "sum" and c not in integral) for f in fns)]
+    sq_cols = [c for c, fns in spec.items() if any(f in ("var", "std") for f in fns)]
+    out = df.select("*", *[to_dec(F.col(c)).alias(_dec_name(c)) for c in dec_cols])
+    if sq_cols:
+        out = out.select("*", *[(F.col(_dec_name(c)) * F.col(_dec_name(c))).alias(_sq_name(c)) for c in sq_cols])
+    return out
+
+
 def stat_name(prefix: str, col: str, fn: str) -> str:
     return f"{prefix}{col}_{fn.upper()}"
 
 
 def multi_stat_exprs(spec: Mapping[str, Sequence[str]], prefix: str = "",
-                     cond: Column | None = None, integral: Iterable[str] = ()) -> list[Column]:
+                     cond: Column | None = None, integral: Iterable[str] = (),
+                     prepared: DataFrame | None = None) -> list[Column]:
     """``{col: [fn, ...]}`` → aliased aggregate columns ``PREFIX_COL_FN``.
 
-    ``integral`` names the integer-typed columns (their sums stay integers).
+    ``integral`` names the integer-typed columns (their sums stay integers);
+    ``prepared`` is the frame from ``prepare_exact`` whose decimal columns
+    the exact statistics then read.
     """
     integral = set(integral)
+    have = set(prepared.columns) if prepared is not None else set()
     out = []
     for col, fns in spec.items():
+        dec = F.col(_dec_name(col)) if _dec_name(col) in have else None
+        sq = F.col(_sq_name(col)) if _sq_name(col) in have else None
         for fn in fns:
-            out.append(stat_expr(fn, F.col(col), cond, col in integral).alias(stat_name(prefix, col, fn)))
+            out.append(stat_expr(fn, F.col(col), cond, col in integral, dec, sq).alias(stat_name(prefix, col, fn)))
     return out
 
 
@@ -184,14 +228,15 @@ def agg_multi_stat(df: DataFrame, key: str, spec: Mapping[str, Sequence[str]], p
     NULL keys are dropped first (pandas drops NaN group keys).
     """
     ints = integral_columns(df)
-    exprs = multi_stat_exprs(spec, prefix, integral=ints)
+    prep = prepare_exact(df.where(F.col(key).isNotNull()), spec, ints)
+    exprs = multi_stat_exprs(spec, prefix, integral=ints, prepared=prep)
     if vocab:
         exprs += category_share_exprs(vocab, prefix)
     for sub_prefix, cond in (subsets or {}).items():
-        exprs += multi_stat_exprs(spec, sub_prefix, cond, integral=ints)
+        exprs += multi_stat_exprs(spec, sub_prefix, cond, integral=ints, prepared=prep)
     if count_name:
         exprs.append(F.count(F.lit(1)).alias(count_name))
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*exprs)
+    return prep.groupBy(key).agg(*exprs)
 
 
 def agg_all_columns(df: DataFrame, key: str, prefix: str, fns: Sequence[str] = ("min", "max", "mean", "sum", "var"),
