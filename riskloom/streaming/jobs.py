@@ -24,15 +24,30 @@ EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type st
 
 ALERT_SCHEMA = ("id bigint, ts timestamp_ntz, event_id bigint, score double, previous_score double, trend string, "
                 "delta double, delta_abs double, threshold double, direction string")
-STATE_SCHEMA = "last_score double, history array<double>"
+STATE_SCHEMA = "last_score double, history array<double>, last_us bigint, last_event_id bigint, late_rows bigint"
+# Fixed value: how late an event may arrive (the refresh interval).
+LATE_TOLERANCE = "30 minutes"
 
 
 def _score_alert_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Per id: order this micro-batch by (ts, event_id), compare each score to
     the previous one (the first to the one carried in state), emit the
-    changes >= the threshold, keep the newest HISTORY_DEPTH scores in state."""
+    changes >= the threshold, keep the newest HISTORY_DEPTH scores in state.
+    Rows not newer than the last processed (ts, event_id) of the id arrive
+    out of order: they are skipped and counted in the state."""
     pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"], kind="stable")
-    last, hist = (state.get if state.exists else (None, []))
+    if state.exists:
+        last, hist, last_us, last_eid, late = state.get
+    else:
+        last, hist, last_us, last_eid, late = None, [], None, None, 0
+    us = pdf["ts"].to_numpy(dtype="datetime64[us]").astype("int64")
+    eid = pdf["event_id"].to_numpy(dtype="int64")
+    if last_us is not None:
+        fresh = (us > last_us) | ((us == last_us) & (eid > last_eid))
+        late = int(late or 0) + int((~fresh).sum())
+        pdf, us, eid = pdf[fresh], us[fresh], eid[fresh]
+    if len(pdf):
+        last_us, last_eid = int(us[-1]), int(eid[-1])
     cur = pdf["score"].astype("float64")
     prev = cur.shift(1)
     if len(prev):
@@ -50,7 +65,7 @@ def _score_alert_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> I
         "direction": np.where(dl > 0, "UP", np.where(dl < 0, "DOWN", "FLAT"))})
     tail = cur.iloc[-1] if len(cur) else last
     hist = (list(hist or []) + [None if pd.isna(v) else float(v) for v in cur])[-HISTORY_DEPTH:]
-    state.update((None if tail is None or pd.isna(tail) else float(tail), hist))
+    state.update((None if tail is None or pd.isna(tail) else float(tail), hist, last_us, last_eid, int(late or 0)))
     yield out
 
 
@@ -63,7 +78,12 @@ def score_alert_stream(spark: SparkSession, landing: str, sink: str, checkpoint:
     r = spark.readStream.schema(EVENT_SCHEMA)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    ev = r.parquet(landing).select(F.col("user_id").alias("id"), "ts", "event_id", (F.col("value") / 100.0).alias("score"))
+    # rows later than LATE_TOLERANCE behind the newest event are dropped by
+    # the engine (counted as numRowsDroppedByWatermark in the query progress)
+    ev = (r.parquet(landing)
+           .select(F.col("user_id").alias("id"), "ts", "event_id", (F.col("value") / 100.0).alias("score"),
+                   F.col("ts").cast("timestamp").alias("event_time"))
+           .withWatermark("event_time", LATE_TOLERANCE))
     alerts = ev.groupBy("id").applyInPandasWithState(_score_alert_step, ALERT_SCHEMA, STATE_SCHEMA, "append",
                                                      GroupStateTimeout.NoTimeout)
     return (alerts.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)

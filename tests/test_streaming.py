@@ -36,3 +36,19 @@ def test_restart_from_checkpoint_emits_nothing_twice(spark):
         jobs.score_alert_stream(spark, f"{base}/landing", f"{base}/sink", f"{base}/ckpt").awaitTermination()
     n = spark.read.schema(jobs.ALERT_SCHEMA).parquet(f"{base}/sink").count()
     assert n == E.queries()["score_change_alert"](spark, SF_SMALL).count()
+
+
+def test_late_rows_are_dropped(spark):
+    import datetime as dt
+    base = scratch_table_path(spark, "test-stream-late")
+    schema = jobs.EVENT_SCHEMA
+    t = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    on_time = [(1, t(10), 1, "view", 10.0, "{}"), (2, t(11), 1, "view", 50.0, "{}"), (3, t(12), 1, "view", 90.0, "{}")]
+    late = [(4, t(9), 1, "view", 0.0, "{}"),        # 3 h behind: beyond the watermark
+            (5, t(11, 50), 1, "view", 20.0, "{}")]  # within tolerance, older than the last row of id 1
+    spark.createDataFrame(on_time, schema).coalesce(1).write.parquet(f"{base}/landing/a=1")
+    spark.createDataFrame(late, schema).coalesce(1).write.parquet(f"{base}/landing/a=2")
+    q = jobs.score_alert_stream(spark, f"{base}/landing", f"{base}/sink", f"{base}/ckpt", max_files_per_trigger=1)
+    q.awaitTermination()
+    got = sorted(r["event_id"] for r in spark.read.schema(jobs.ALERT_SCHEMA).parquet(f"{base}/sink").collect())
+    assert got == [2, 3]
