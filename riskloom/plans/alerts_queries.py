@@ -171,7 +171,11 @@ METRIC_RULES = [("error", "gt", 200.0, "critical"), ("purchase", "gt", 150.0, "w
 
 
 def metric_candidates(spark, d):
-    e = table(spark, d, "events")
+    return candidates_from(spark, table(spark, d, "events"))
+
+
+def candidates_from(spark, e):
+    """Events breaching a metric rule (batch or streaming input)."""
     r = spark.createDataFrame(METRIC_RULES, "metric_name string, comparison string, threshold double, severity string")
     j = e.join(F.broadcast(r), e.event_type == r.metric_name)  # fixed 2-row rule table
     hit = F.when(F.col("comparison") == "gt", F.col("value") > F.col("threshold")).otherwise(F.col("value") < F.col("threshold"))
@@ -266,3 +270,13 @@ def q_latency(spark, d):
   (PARTITION BY id ORDER BY ts DESC, event_id DESC) AS rn FROM stream) x WHERE rn <= 100"""))
 def q_refwin(spark, d):
     return round_doubles(A.last_n_per_key(stream(spark, d), "id", ORDER, 100).drop("recency"), DIGITS)
+
+
+# the streaming twins (plans.stream_queries) are checked against the same SQL
+def _oracle(name: str) -> str:
+    from riskloom.plans.common import ORACLE
+    return ORACLE[name]
+
+
+ORACLE_COOLDOWN = _oracle("alert_cooldown")
+ORACLE_BROADCAST = _oracle("broadcast_on_change")

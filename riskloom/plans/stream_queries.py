@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskloom.plans import alerts_queries as AQ
 from riskloom.plans.alerts_queries import ALERT_SQL, ssql
 from riskloom.plans.common import register, round_doubles, sql_round
 from riskloom.session import scratch_table_path
@@ -34,3 +35,22 @@ def q_stream_hourly(spark, d):
     q = jobs.hourly_metrics_stream(spark, f"{base}/landing", f"{base}/sink", f"{base}/checkpoint")
     q.awaitTermination()
     return round_doubles(spark.read.parquet(f"{base}/sink"), DIGITS)
+
+
+@register("stream_alert_cooldown", AQ.ORACLE_COOLDOWN)
+def q_stream_cooldown(spark, d):
+    base = scratch_table_path(spark, "stream-cooldown")
+    table(spark, d, "events").write.parquet(f"{base}/landing")
+    jobs.cooldown_stream(spark, f"{base}/landing", f"{base}/sink", f"{base}/checkpoint").awaitTermination()
+    return round_doubles(spark.read.parquet(f"{base}/sink"), DIGITS)
+
+
+@register("stream_broadcast_on_change", AQ.ORACLE_BROADCAST)
+def q_stream_broadcast(spark, d):
+    from riskloom.operators.alerts import BROADCAST_MIN_CHANGE
+    from riskloom.sources import panel as P
+    base = scratch_table_path(spark, "stream-broadcast")
+    P.prices_daily(spark, d).select("ticker", "date", "close").write.parquet(f"{base}/landing")
+    jobs.emit_on_change_stream(spark, f"{base}/landing", f"{base}/sink", f"{base}/checkpoint",
+                               BROADCAST_MIN_CHANGE).awaitTermination()
+    return round_doubles(spark.read.parquet(f"{base}/sink"), DIGITS)

@@ -90,6 +90,94 @@ def score_alert_stream(spark: SparkSession, landing: str, sink: str, checkpoint:
                   .outputMode("append").trigger(availableNow=True).start())
 
 
+COOLDOWN_STATE = "last_fired_us bigint, last_us bigint, last_event_id bigint"
+
+
+def _cooldown_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Per rule: walk this micro-batch in (ts, event_id) order; fire when
+    nothing fired before or strictly more than the row's cooldown passed
+    since the last *fired* alert (the fold of ``streaming.folds``)."""
+    from riskloom.streaming.folds import cooldown_step
+    pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"], kind="stable")
+    last_fired, last_us, last_eid = state.get if state.exists else (None, None, None)
+    us = pdf["ts"].to_numpy(dtype="datetime64[us]").astype("int64")
+    eid = pdf["event_id"].to_numpy(dtype="int64")
+    cd = pdf["cooldown_s"].to_numpy(dtype="float64") * 1e6
+    fired = np.zeros(len(pdf), dtype=bool)
+    keep = np.ones(len(pdf), dtype=bool)
+    for i in range(len(pdf)):
+        if last_us is not None and (us[i], eid[i]) <= (last_us, last_eid):
+            keep[i] = False  # out of order for this rule: skipped
+            continue
+        if cooldown_step(last_fired, us[i], cd[i]):
+            fired[i] = True
+            last_fired = int(us[i])
+        last_us, last_eid = int(us[i]), int(eid[i])
+    state.update((last_fired, last_us, last_eid))
+    yield pdf.drop(columns=["event_time"]).assign(fired=fired)[keep]
+
+
+def cooldown_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str,
+                    max_files_per_trigger: int | None = 64):
+    """events landing folder → rule candidates (stream-static join with the
+    rule table) → per-rule cooldown fold → parquet sink."""
+    from riskloom.plans.alerts_queries import candidates_from
+    r = spark.readStream.schema(EVENT_SCHEMA)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    c = (candidates_from(spark, r.parquet(landing))
+         .withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", LATE_TOLERANCE))
+    out_schema = ("metric_name string, ts timestamp_ntz, event_id bigint, value double, severity string, "
+                  "cooldown_s double, fired boolean")
+    fired = c.groupBy("metric_name").applyInPandasWithState(_cooldown_step, out_schema, COOLDOWN_STATE, "append",
+                                                             GroupStateTimeout.NoTimeout)
+    return (fired.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
+                 .outputMode("append").trigger(availableNow=True).start())
+
+
+EMIT_STATE = "last_value double, last_date date"
+
+
+def _emit_step(min_change: float):
+    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Per ticker: emit when nothing was emitted before or the value moved
+        >= min_change since the last *emitted* value; days already seen are
+        skipped."""
+        pdf = pd.concat(list(pdfs)).sort_values("date", kind="stable")
+        last, last_date = state.get if state.exists else (None, None)
+        if last_date is not None:
+            pdf = pdf[pdf["date"] > last_date]
+        v = pdf["close"].to_numpy(dtype="float64")
+        emitted = np.zeros(len(pdf), dtype=bool)
+        change = np.full(len(pdf), np.nan)
+        for i in range(len(pdf)):
+            if np.isnan(v[i]):
+                continue
+            if last is None or abs(v[i] - last) >= min_change:
+                emitted[i] = True
+                change[i] = v[i] - (last if last is not None else v[i])
+                last = float(v[i])
+        if len(pdf):
+            last_date = pdf["date"].iloc[-1]
+        state.update((last, last_date))
+        yield pdf.assign(emitted=emitted, change=change)
+    return step
+
+
+def emit_on_change_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str, min_change: float,
+                          max_files_per_trigger: int | None = 64):
+    """daily prices landing folder (ticker, date, close) → per-ticker
+    emit-on-change fold → parquet sink."""
+    r = spark.readStream.schema("ticker bigint, date date, close double")
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    out_schema = "ticker bigint, date date, close double, emitted boolean, change double"
+    out = r.parquet(landing).groupBy("ticker").applyInPandasWithState(
+        _emit_step(min_change), out_schema, EMIT_STATE, "append", GroupStateTimeout.NoTimeout)
+    return (out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
+               .outputMode("append").trigger(availableNow=True).start())
+
+
 def hourly_metrics_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str):
     """Per function and hour: count and mean; an hour is final (and dropped
     from state) once the watermark passes it."""

@@ -52,3 +52,18 @@ def test_late_rows_are_dropped(spark):
     q.awaitTermination()
     got = sorted(r["event_id"] for r in spark.read.schema(jobs.ALERT_SCHEMA).parquet(f"{base}/sink").collect())
     assert got == [2, 3]
+
+
+def test_cooldown_stream_state_across_micro_batches(spark):
+    base = scratch_table_path(spark, "test-stream-cooldown")
+    ev = table(spark, SF_SMALL, "events")
+    days = sorted(r[0] for r in ev.select(F.to_date("ts")).distinct().collect())
+    for d in days:
+        ev.where(F.to_date("ts") == F.lit(d)).coalesce(1).write.parquet(f"{base}/landing/day={d.isoformat()}")
+    q = jobs.cooldown_stream(spark, f"{base}/landing", f"{base}/sink", f"{base}/ckpt", max_files_per_trigger=1)
+    q.awaitTermination()
+    got = round_doubles(spark.read.parquet(f"{base}/sink"), 6)
+    want = E.queries()["alert_cooldown"](spark, SF_SMALL)
+    cols = want.columns
+    assert canon_rows(cols, [tuple(r) for r in got.select(*cols).collect()]) == \
+        canon_rows(cols, [tuple(r) for r in want.collect()])
