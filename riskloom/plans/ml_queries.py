@@ -102,3 +102,23 @@ def q_online_sgd(spark, d):
     from riskloom.streaming.online import online_sgd_batches
     f = kfold(SQ.feats(spark, d), "vec_id", 5, 7).withColumnRenamed("fold", "batch")
     return round_doubles(online_sgd_batches(f, SQ.FEATS, "y", "batch"), DIGITS)
+
+
+@register("stream_online_sgd")
+def q_stream_online_sgd(spark, d):
+    """online_sgd as a foreachBatch stream over mini-batch files landed in
+    batch order (the batch twin is ``online_sgd``)."""
+    from riskloom.session import scratch_table_path
+    from riskloom.streaming.online import METRICS_SCHEMA, online_sgd_stream
+    f = kfold(SQ.feats(spark, d), "vec_id", 5, 7).withColumnRenamed("fold", "batch")
+    base = scratch_table_path(spark, "stream-sgd")
+    cols = ["batch", "vec_id", "y", *SQ.FEATS]
+    f = f.select(*cols)
+    # one folder per mini-batch, written oldest first (5 batch ids: a bounded loop)
+    for bid in range(5):
+        f.where(F.col("batch") == bid).coalesce(1).write.parquet(f"{base}/landing/b={bid}")
+    schema = ", ".join(f"{fld.name} {fld.dataType.simpleString()}" for fld in f.schema.fields)
+    online_sgd_stream(spark, f"{base}/landing", schema, SQ.FEATS, "y", "batch", f"{base}/state", f"{base}/sink",
+                      f"{base}/checkpoint").awaitTermination()
+    m = spark.read.schema(METRICS_SCHEMA).parquet(f"{base}/sink")
+    return round_doubles(m.select(*[c.split()[0] for c in METRICS_SCHEMA.split(", ")]), DIGITS)

@@ -84,3 +84,71 @@ def online_sgd_batches(df: DataFrame, feats: Sequence[str], label: str, batch_co
         out.append((int(bid), int(n), float(lr), float(p), bool(drift), acc, ll, float(math.sqrt(sum(x * x for x in w)))))
     return spark.createDataFrame(out, "batch int, n long, learning_rate double, mean_p_value double, drift boolean, "
                                       "accuracy double, log_loss double, coef_norm double")
+
+
+# ---------------------------------------------------------------- streaming
+METRICS_SCHEMA = ("batch int, n long, learning_rate double, mean_p_value double, drift boolean, "
+                  "accuracy double, log_loss double, coef_norm double")
+
+
+def online_sgd_stream(spark, landing: str, schema: str, feats: Sequence[str], label: str, batch_col: str,
+                      state_dir: str, sink: str, checkpoint: str, order_key: str = "vec_id", window: int = WINDOW):
+    """The same learner as a Structured Streaming job: each micro-batch (one
+    landed mini-batch file) is tested for drift against the reference window
+    and takes one gradient step inside ``foreachBatch``.
+
+    Between micro-batches the model (k+1 coefficients and the learning rate)
+    and the reference window (at most ``window`` rows) are small tables under
+    ``state_dir``, written per micro-batch id: a restarted query (or a
+    re-executed micro-batch) reads the state of the last completed batch and
+    overwrites its own outputs, so results are written exactly once.
+    """
+    feats = list(feats)
+    model_schema = "w array<double>, b double, lr double"
+
+    def path(kind: str, batch_id: int) -> str:
+        return f"{state_dir.rstrip('/')}/{kind}/id={batch_id}"
+
+    def latest(kind: str, upto: int, schema: str | None = None):
+        """State of the newest micro-batch id < upto, read through Spark (works
+        on any shared file system); None before the first batch."""
+        from pyspark.errors import AnalysisException
+        try:
+            r = spark.read
+            if schema:
+                r = r.schema(schema + ", id long")
+            allv = r.parquet(f"{state_dir.rstrip('/')}/{kind}")
+        except AnalysisException:
+            return None
+        top = allv.where(F.col("id") < upto).agg(F.max("id")).first()[0]
+        return None if top is None else allv.where(F.col("id") == top).drop("id")
+
+    def step(batch_df: DataFrame, batch_id: int):
+        if batch_df.isEmpty():
+            return
+        mp = latest("model", batch_id, model_schema)
+        m = mp.first() if mp is not None else None
+        if m is not None:
+            w, b, lr = list(m["w"]), m["b"], m["lr"]
+        else:
+            w, b, lr = [0.0] * len(feats), 0.0, LR_START
+        ref = latest("reference", batch_id)
+        n_ref = ref.count() if ref is not None else 0   # at most `window` rows
+        cur = batch_df.select(batch_col, order_key, label, *feats)
+        p = mean_ks_pvalue(ref, cur, feats) if n_ref >= window else 1.0
+        drift = n_ref >= window and p < DRIFT_P
+        lr = adapt_learning_rate(lr, p) if n_ref >= window else lr
+        w, b, n, acc, ll = sgd_step(cur, w, b, lr, feats, label)
+        bid = cur.agg(F.min(batch_col)).first()[0]
+        norm = float(math.sqrt(sum(x * x for x in w)))
+        spark.createDataFrame([(w, float(b), float(lr))], model_schema).coalesce(1).write.mode("overwrite") \
+            .parquet(path("model", batch_id))
+        both = cur if ref is None else ref.select(*cur.columns).unionByName(cur)
+        (both.orderBy(F.col(batch_col).desc(), F.col(order_key).desc()).limit(window)   # the reference window
+             .write.mode("overwrite").parquet(path("reference", batch_id)))
+        spark.createDataFrame([(int(bid), int(n), float(lr), float(p), bool(drift), acc, ll, norm)], METRICS_SCHEMA) \
+            .coalesce(1).write.mode("overwrite").parquet(f"{sink.rstrip('/')}/id={batch_id}")
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    return (stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+                  .trigger(availableNow=True).start())

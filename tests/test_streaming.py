@@ -67,3 +67,11 @@ def test_cooldown_stream_state_across_micro_batches(spark):
     cols = want.columns
     assert canon_rows(cols, [tuple(r) for r in got.select(*cols).collect()]) == \
         canon_rows(cols, [tuple(r) for r in want.collect()])
+
+
+def test_online_sgd_stream_equals_batch_learner(spark):
+    q = E.queries()
+    got = q["stream_online_sgd"](spark, SF_SMALL)
+    want = q["online_sgd"](spark, SF_SMALL)
+    assert got.columns == want.columns
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
