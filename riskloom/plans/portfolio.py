@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.scalar import sdiv
 from riskloom.operators import portfolio as PF
 from riskloom.operators.aggregates import exact_mean
-from riskloom.operators.scores import nclip, statement_ratio
+from riskloom.operators.scores import statement_ratio
 from riskloom.plans import sqlgen
 from riskloom.plans.common import register, round_doubles, sql_round, with_views
 from riskloom.sources import panel as P

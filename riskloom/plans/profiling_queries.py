@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.functions.scalar import clamp_positive, null_if_infinite, null_if_sentinel, sdiv
+from riskloom.functions.scalar import clamp_positive, null_if_infinite, null_if_sentinel
 from riskloom.operators import profiling as PR
 from riskloom.operators.aggregates import exact_mean
 from riskloom.plans import client_features as CF

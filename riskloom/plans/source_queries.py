@@ -12,8 +12,8 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.text import WS_CLASS, squeeze_ws, strip_tags
-from riskloom.plans.common import register, round_doubles, sql_round, with_views
+from riskloom.functions.text import WS_CLASS
+from riskloom.plans.common import register, round_doubles, sql_round
 from riskloom.session import ensure_checkpoint_dir, scratch_table_path
 from riskloom.sources import files as FS
 from riskloom.sources import filings as FL

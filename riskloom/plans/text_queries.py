@@ -6,11 +6,11 @@ line, content = whole text.  Every query reads whole texts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions import text as TX
-from riskloom.functions.text import s_any, s_contains, s_count, s_matched, sql_lit
+from riskloom.functions.text import s_any, s_count, s_matched, sql_lit
 from riskloom.plans.common import register, round_doubles, sql_round, with_cte
 from riskloom.functions.scalar import evaluate_once
 from riskloom.sources.tables import spread, table
