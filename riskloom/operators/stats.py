@@ -120,10 +120,14 @@ def ks_two_sample(df: DataFrame, value: str, sample: str, group: str | None = No
 
 
 def ks_pvalue(lam: Column, terms: int = 100) -> Column:
-    s = None
-    for j in range(1, terms + 1):
-        t = F.lit(2.0 * (-1) ** (j - 1)) * F.exp(F.lit(-2.0 * j * j) * lam * lam)
-        s = t if s is None else s + t
+    """2 Σ_{j=1..terms} (-1)^(j-1) exp(-2 j² λ²), summed left to right by one
+    ``aggregate`` over ``sequence(1, terms)`` (an unrolled sum would repeat
+    λ in every term and outgrow the JVM's generated-method limit)."""
+    def add(acc, j):
+        jd = j.cast("double")
+        sign = F.when(j % 2 == 1, F.lit(2.0)).otherwise(F.lit(-2.0))
+        return acc + sign * F.exp(F.lit(-2.0) * jd * jd * lam * lam)
+    s = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), add)
     return F.when(lam <= 0, F.lit(1.0)).otherwise(nclip(s, 0.0, 1.0))
 
 

@@ -42,15 +42,19 @@ def _logit(w, b, feats: Sequence[str]):
 def sgd_step(batch: DataFrame, w, b, lr: float, feats: Sequence[str], label: str):
     """One full-batch gradient step of the logistic loss (one aggregate pass),
     plus accuracy and log-loss of the pre-update model on this batch."""
-    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-_logit(w, b, feats)))
-    err = p - F.col(label).cast("double")
+    # the prediction is projected once per row: inlined into each of the k+1
+    # gradient sums it would grow the generated code past the JVM method limit
     eps = 1e-15
+    pre = batch.select(F.col(label).cast("double").alias("__y"),
+                       *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"__x{i}") for i, f in enumerate(feats)],
+                       (F.lit(1.0) / (F.lit(1.0) + F.exp(-_logit(w, b, feats)))).alias("__p"))
+    p, y = F.col("__p"), F.col("__y")
+    err = p - y
     pc = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
-    y = F.col(label).cast("double")
-    row = batch.agg(F.count(F.lit(1)).alias("n"), F.sum(err).alias("g0"),
-                    *[F.sum(err * F.coalesce(F.col(f).cast("double"), F.lit(0.0))).alias(f"g_{i}") for i, f in enumerate(feats)],
-                    F.avg(((p > 0.5).cast("double") == y).cast("double")).alias("acc"),
-                    (-F.avg(y * F.log(pc) + (1 - y) * F.log(1 - pc))).alias("ll")).collect()[0]
+    row = pre.agg(F.count(F.lit(1)).alias("n"), F.sum(err).alias("g0"),
+                  *[F.sum(err * F.col(f"__x{i}")).alias(f"g_{i}") for i in range(len(feats))],
+                  F.avg(((p > 0.5).cast("double") == y).cast("double")).alias("acc"),
+                  (-F.avg(y * F.log(pc) + (1 - y) * F.log(1 - pc))).alias("ll")).collect()[0]
     n = row["n"] or 1
     w2 = [wi - lr * (row[f"g_{i}"] or 0.0) / n for i, wi in enumerate(w)]
     b2 = b - lr * (row["g0"] or 0.0) / n
