@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,10 +31,24 @@ def cooldown_step(last_fired, t, cooldown):
     return last_fired is None or (t - last_fired) > cooldown
 
 
-def alert_cooldown(df: DataFrame, key: str, ts: str, tiebreak: str, cooldown_col: str) -> DataFrame:
+def alert_cooldown(df: DataFrame, key: str, ts: str, tiebreak: str, cooldown_col: str,
+                   block_rows: int = 1 << 16) -> DataFrame:
     """Adds ``fired`` (bool): the candidate alert is sent, given per-key
     cooldowns measured from the last *fired* alert (``cooldown_col`` in
-    seconds, per row, e.g. 1800 for critical and 3600 otherwise)."""
+    seconds, per row, e.g. 1800 for critical and 3600 otherwise).
+
+    Decided from one aggregate row: if some key has more than ``block_rows``
+    candidates and every key has a single cooldown, the distributed chain
+    (``alert_cooldown_chain``) runs; otherwise the per-key fold."""
+    st = (df.groupBy(key).agg(F.count(F.lit(1)).alias("n"),
+                              (F.min(cooldown_col) == F.max(cooldown_col)).alias("one"))
+            .agg(F.max("n").alias("n"), F.min(F.col("one").cast("int")).alias("one")).first())
+    if (st["n"] or 0) > block_rows and st["one"] == 1:
+        return alert_cooldown_chain(df, key, ts, tiebreak, cooldown_col)
+    return _cooldown_fold(df, key, ts, tiebreak, cooldown_col)
+
+
+def _cooldown_fold(df: DataFrame, key: str, ts: str, tiebreak: str, cooldown_col: str) -> DataFrame:
     out_schema = df.schema.add("fired", "boolean")
     s = _sorted_by_key(df.withColumn("__us", F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")),
                        key, [ts, tiebreak])
@@ -82,3 +96,62 @@ def emit_on_change(df: DataFrame, key: str, order: list[str], value: str, min_ch
             yield pdf.assign(emitted=emitted, change=pd.Series(change, dtype="Float64").mask(~emitted))
 
     return s.mapInPandas(run, out_schema)
+
+
+# ---------------------------------------------------------------------------
+# Cooldown at scale: the fold above walks each key in one task, and the
+# cooldown is keyed by rule (a handful of keys).  When the cooldown is the
+# same for every row of a key, the fired alerts are a chain: the first row
+# fires, and after a fire at t the next fire is the first row later than
+# t + cooldown.  So
+#   1. each row gets its exact position i and its successor s(i) = number of
+#      rows with time <= t_i + cooldown (an as-of count, bucketed by the
+#      cooldown with the next bucket as halo);
+#   2. the fired set C starts at position 0 and grows by pointer doubling:
+#      C <- C u J(C), J <- J o J, so after k rounds C holds the first 2^k
+#      links of the chain -- O(log n) distributed joins, no key in one task.
+def _micros(ts: str):
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")
+
+
+def alert_cooldown_chain(df: DataFrame, key: str, ts: str, tiebreak: str, cooldown_col: str) -> DataFrame:
+    """``alert_cooldown`` for a cooldown constant within each key, fully
+    distributed (see above).  Same output as the fold."""
+    import math
+
+    from riskloom.operators.ranks import value_counts_ranked
+    from riskloom.operators.windows import row_position
+    from riskloom.session import cut_lineage
+
+    d = df.withColumn("__us", _micros(ts)).withColumn("__cd", F.round(F.col(cooldown_col) * 1e6).cast("long"))
+    p = row_position(d, key, [ts, tiebreak])                       # __i: 0-based position in the key
+    counts = value_counts_ranked(d.select(key, "__us"), "__us", group=key)   # (key, __us, n_upto)
+    cds = d.groupBy(key).agg(F.min("__cd").alias("__cd"), F.max("__cd").alias("__cd_max"),
+                             F.count(F.lit(1)).alias("__n"))
+    # as-of count: rows with time <= t_i + cd.  Partition (key, bucket of width cd);
+    # data points also go to the previous bucket, so [t_i, t_i + cd] is inside.
+    pts = counts.join(cds.select(key, "__cd"), key)
+    bucket = F.floor(F.col("__us") / F.col("__cd"))
+    data = pts.select(key, F.col("__us").alias("__v"), F.lit(0).alias("__side"), "n_upto",
+                      F.explode(F.array(bucket, bucket - 1)).alias("__pb"), F.lit(None).cast("long").alias("__i"))
+    qry = p.select(
+        key, (F.col("__us") + F.col("__cd")).alias("__v"), F.lit(1).alias("__side"),
+        F.lit(None).cast("long").alias("n_upto"), bucket.alias("__pb"), "__i")
+    w = (Window.partitionBy(key, "__pb").orderBy("__v", "__side")
+               .rowsBetween(Window.unboundedPreceding, 0))
+    succ = (data.unionByName(qry).withColumn("__j", F.last("n_upto", ignorenulls=True).over(w))
+                .where(F.col("__side") == 1).select(key, "__i", F.col("__j").cast("long").alias("__j")))
+    jump = cut_lineage(succ)                                           # J_0: i -> s(i); s(i) = n means none
+    fired = cut_lineage(cds.select(key, F.lit(0).cast("long").alias("__i")))
+    largest = cds.agg(F.max("__n")).first()[0] or 0                   # one aggregate row
+    for _ in range(max(1, math.ceil(math.log2(largest + 1)) + 1)):
+        step = (fired.join(jump, [key, "__i"]).join(cds.select(key, "__n"), key)
+                     .where(F.col("__j") < F.col("__n")).select(key, F.col("__j").alias("__i")))
+        fired = cut_lineage(fired.unionByName(step).distinct())
+        nxt = jump.alias("a").join(jump.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) &
+                                   (F.col("a.__j") == F.col("b.__i")), "left")
+        jump = cut_lineage(nxt.select(F.col(f"a.{key}").alias(key), F.col("a.__i").alias("__i"),
+                                      F.coalesce(F.col("b.__j"), F.col("a.__j")).alias("__j")))
+    flag = fired.withColumn("fired", F.lit(True))
+    out = p.join(flag, [key, "__i"], "left").withColumn("fired", F.coalesce(F.col("fired"), F.lit(False)))
+    return out.select(*df.columns, "fired")
