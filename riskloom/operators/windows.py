@@ -125,9 +125,19 @@ def volume_spike(volume, trend) -> Column:
     return F.coalesce(volume > trend * 2, F.lit(False)).cast("double")
 
 
-def group_mean_relative(c, keys: Sequence[str]) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return sdiv(c, F.avg(c).over(Window.partitionBy(*keys)))
+def group_mean_relative(df: DataFrame, col: str, keys: Sequence[str], out: str) -> DataFrame:
+    """``out`` = col / mean(col) of the row's group.  The mean is a grouped
+    aggregate (partial aggregation before the shuffle) joined back on the keys
+    (NULL-safe), so a large group is never buffered whole in one task, as an
+    unordered window partition would be."""
+    keys = list(keys)
+    m = df.groupBy(*keys).agg(F.avg(col).alias("__gm")).select(*[F.col(k).alias(f"__g_{k}") for k in keys], "__gm")
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"__g_{k}"))
+        cond = c if cond is None else cond & c
+    j = df.join(m, cond, "left")
+    return j.select(*[F.col(c) for c in df.columns], sdiv(F.col(col), F.col("__gm")).alias(out))
 
 
 def trend_slope_last_n(df: DataFrame, key: str, order: str, col: str, n: int, out: str) -> DataFrame:

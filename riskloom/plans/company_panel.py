@@ -317,8 +317,8 @@ SELECT p.ticker, p.date, s.sector, p.close / nullif(avg(p.close) OVER (PARTITION
 FROM prices_daily p JOIN sectors s ON p.ticker = s.ticker""", digits=DIGITS), "prices_daily", "sectors"))
 def q_group_rel(spark, d):
     p = P.prices_daily(spark, d).join(P.sectors(spark, d), "ticker", "inner")
-    return round_doubles(p.select("ticker", "date", "sector",
-                                  W.group_mean_relative("close", ["date", "sector"]).alias("close_vs_sector")), DIGITS)
+    return round_doubles(W.group_mean_relative(p.select("ticker", "date", "sector", "close"), "close", ["date", "sector"],
+                                               "close_vs_sector").drop("close"), DIGITS)
 
 
 @register("ffill_bfill", P.with_panel_views(sql_round(f"""
