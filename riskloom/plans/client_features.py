@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.scalar import clamp_positive, sdiv
 from riskloom.operators.aggregates import (agg_all_columns, agg_multi_stat, category_share_exprs,
                                            discover_vocabulary, integral_columns, multi_stat_exprs,
-                                           one_hot_exprs, prepare_exact)
+                                           one_hot_exprs)
 from riskloom.plans import sqlgen
 from riskloom.plans.common import register, round_doubles, sql_round, with_views
 from riskloom.sources import tables as T
@@ -95,12 +95,11 @@ def bureau_agg(spark: SparkSession, d: str) -> DataFrame:
     active = F.col("CREDIT_ACTIVE") == F.lit(ACTIVE_VALUE)
     closed = F.col("CREDIT_ACTIVE") == F.lit(CLOSED_VALUE)
     ints = integral_columns(b)
-    prep = prepare_exact(b.where(F.col("SK_ID_CURR").isNotNull()), spec, ints)
-    exprs = (multi_stat_exprs(BUREAU_SPEC, "BURO_", integral=ints, prepared=prep) + category_share_exprs(vocab, "BURO_")
-             + multi_stat_exprs({c: ["mean"] for c in bb_cat_cols}, "BURO_", prepared=prep)
-             + multi_stat_exprs(BUREAU_SPEC, "ACTIVE_", active, integral=ints, prepared=prep)
-             + multi_stat_exprs(BUREAU_SPEC, "CLOSED_", closed, integral=ints, prepared=prep))
-    return prep.groupBy("SK_ID_CURR").agg(*exprs)
+    exprs = (multi_stat_exprs(BUREAU_SPEC, "BURO_", integral=ints) + category_share_exprs(vocab, "BURO_")
+             + multi_stat_exprs({c: ["mean"] for c in bb_cat_cols}, "BURO_")
+             + multi_stat_exprs(BUREAU_SPEC, "ACTIVE_", active, integral=ints)
+             + multi_stat_exprs(BUREAU_SPEC, "CLOSED_", closed, integral=ints))
+    return b.where(F.col("SK_ID_CURR").isNotNull()).groupBy("SK_ID_CURR").agg(*exprs)
 
 
 def prev_agg(spark: SparkSession, d: str) -> DataFrame:
