@@ -48,6 +48,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` written once to shared scratch as a table bucketed by ``key``, so
+    that later joins and cogroups on the key read it without a shuffle."""
+    spark = df.sparkSession
+    path = scratch_table_path(spark, name)
+    full = f"{name}_{path.rsplit('-', 1)[1]}"
+    df.write.format("parquet").bucketBy(shuffle_partitions(spark), key).option("path", path).saveAsTable(full)
+    return spark.table(full)
+
+
 def text_of(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the columns an operator works on, renamed: ``doc_id`` (long) and
     ``text`` (null as empty).  Extra columns, whatever their names, stay out."""
@@ -57,4 +67,4 @@ def text_of(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFram
 
 
 __all__ = ["QUERIES", "ORACLE", "WORD", "SPACE", "register", "table", "shuffle_partitions", "checkpointed",
-           "written", "text_of", "ensure_checkpoint_dir", "scratch_table_path"]
+           "written", "bucketed", "text_of", "ensure_checkpoint_dir", "scratch_table_path"]

@@ -6,7 +6,8 @@ import importlib
 
 from riskloom.llm.common import ORACLE, QUERIES, ensure_checkpoint_dir
 
-MODULES = ["token_counts"]
+MODULES = ["mixing", "token_counts", "word_codec", "suffix_dedup", "quality_rules", "metric_join", "secret_scan",
+           "shingle_join"]
 
 
 def _ready(fn):
