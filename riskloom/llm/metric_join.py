@@ -97,7 +97,9 @@ def cells(reps: DataFrame, radius: float) -> DataFrame:
         pid = piv["id"].to_numpy()
         return pa.table([rows["g"].take(at_arr), pa.array(pid[cell]), pa.array(home[at] == cell), rows["id"].take(at_arr),
                          rows["copies"].take(at_arr), rows["vec"].take(at_arr)], schema=types)
-    return dealt.groupBy("g", "part").cogroup(pivots.groupBy("g", "part")).applyInArrow(
+    pivots = pivots.select(F.col("g").alias("of"), F.col("part").alias("of_part"), F.col("id").alias("id"),
+                           F.col("vec").alias("vec"))
+    return dealt.groupBy("g", "part").cogroup(pivots.groupBy("of", "of_part")).applyInArrow(
         assign, "g string, cell long, home boolean, id long, copies long, vec array<double>")
 
 
@@ -134,7 +136,8 @@ def range_links(placed: DataFrame, cosine: float) -> DataFrame:
     a = x.where("home").withColumn("r", F.pmod("h", "rows").cast("int")).withColumn(
         "c", F.explode(F.sequence(F.lit(0), F.col("cols") - 1))).select(*key, "id", "copies", "vec")
     b = x.withColumn("c", F.pmod("h", "cols").cast("int")).withColumn(
-        "r", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).select(*key, "id", "copies", "vec")
+        "r", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).select(
+        *[F.col(k).alias(f"{k}2") for k in key], *[F.col(k).alias(k) for k in ("id", "copies", "vec")])
     types = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("low", pa.int64())])
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -146,7 +149,7 @@ def range_links(placed: DataFrame, cosine: float) -> DataFrame:
         return pa.table([pa.array(np.concatenate([ia, ids[moved]])),
                          pa.array(np.concatenate([n, np.zeros(moved.sum(), np.int64)])),
                          pa.array(np.concatenate([ia, low[moved]]))], schema=types)
-    return a.groupBy(*key).cogroup(b.groupBy(*key)).applyInArrow(join, "id long, links long, low long")
+    return a.groupBy(*key).cogroup(b.groupBy(*[f"{k}2" for k in key])).applyInArrow(join, "id long, links long, low long")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -175,10 +178,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
 
 COMPONENTS_SQL = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL),
-n AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, x -> x * x))) AS size FROM v
-      WHERE list_sum(list_transform(e, x -> CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END)) = 0),
+n AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS size FROM v
+      WHERE list_sum(list_transform(e, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END)) = 0),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
       WHERE a.size > 0 AND b.size > 0 AND list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.98),
 reach(vec_id, low) AS (

@@ -88,7 +88,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     blocks = bucketed(word_blocks(text_of(docs, id_col, text_col), path, block_chars), "block", "word_blocks")
     used = blocks.select("block", F.posexplode("words").alias("place", "word"))
     distinct = used.select("word").distinct().withColumn("word_ids", word_encoder(path)("word"))
-    coded = used.join(distinct, "word").select("block", "place", "word_ids")
+    coded = used.join(distinct, "word").select(F.col("block").alias("of"), "place", "word_ids")
     types = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def place(block: pa.Table, words: pa.Table) -> pa.Table:
@@ -113,7 +113,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                                                           pa.array(flat[take].astype(np.int32)))], schema=types))
         return pa.concat_tables(out) if out else types.empty_table()
     return (blocks.select("block", "ids", "sizes", "codes").groupBy("block")
-            .cogroup(coded.groupBy("block")).applyInArrow(place, "doc_id long, ids array<int>"))
+            .cogroup(coded.groupBy("of")).applyInArrow(place, "doc_id long, ids array<int>"))
 
 
 def decode(coded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
