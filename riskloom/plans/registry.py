@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 
 from riskloom.plans.common import ORACLE, QUERIES
+from riskloom.session import prepare
 
 PLAN_MODULES = [
     "riskloom.plans.client_features",
@@ -27,8 +29,12 @@ for _m in PLAN_MODULES:
     importlib.import_module(_m)
 
 
+def _ready(fn):
+    return functools.wraps(fn)(lambda spark, sf_dir: fn(prepare(spark), sf_dir))
+
+
 def queries():
-    return dict(QUERIES)
+    return {name: _ready(fn) for name, fn in QUERIES.items()}
 
 
 def oracle_sql():

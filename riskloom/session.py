@@ -7,6 +7,8 @@ scheduling or storage of our own.
 from __future__ import annotations
 
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -61,16 +63,15 @@ def get_session(master: str | None = None, app: str = "riskloom",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
-    return spark
+    return prepare(spark)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is set by the operator (a shared file system or
-    object store).  Only when it is unset, as in local tests, a scratch folder
-    is created.
+    object store).  Only when it is unset and everything runs in this process,
+    as in local tests, a scratch folder is created.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -78,11 +79,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="riskloom-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers wherever they run, once
+    per application."""
+    sc = spark.sparkContext
+    name = f"riskloom-{sc.applicationId}.zip"
+    if any(f.endswith(name) for f in sc.listFiles):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = os.path.join(tempfile.mkdtemp(prefix="riskloom-"), name[:-4])
+    sc.addPyFile(shutil.make_archive(base, "zip", root, "riskloom"))
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """What every job of the library needs: a checkpoint folder and the package
+    on the workers."""
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+    return spark
+
+
 def scratch_table_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark)
