@@ -164,6 +164,14 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= reject))
 
 
+def passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """The rows of ``docs`` that the rules keep.  Rejected rows are named by id
+    and text, so a row that shares an id with one of them stays."""
+    named = docs.withColumn(id_col, F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
+    gone = quality_rules(named, id_col, text_col, **kw).where(~F.col("kept")).select(F.col("doc_id").alias("__row")).distinct()
+    return docs.join(gone, F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")) == F.col("__row"), "left_anti")
+
+
 @register("op6_quality_rules")
 def q_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import importlib
 
-from riskloom.llm.common import ORACLE, QUERIES, ensure_checkpoint_dir
+from riskloom.llm.common import ORACLE, QUERIES
+from riskloom.session import prepare
 
-MODULES = ["mixing", "token_counts", "word_codec", "suffix_dedup", "quality_rules", "metric_join", "secret_scan",
-           "shingle_join"]
+MODULES = ["mixing", "token_counts", "word_codec", "suffix_dedup", "quality_model", "quality_rules",
+           "metric_join", "toxicity", "secret_scan", "shingle_join"]
 
 
 def _ready(fn):
     def query(spark, sf_dir):
-        ensure_checkpoint_dir(spark)
+        prepare(spark)
         return fn(spark, sf_dir)
     return query
 
