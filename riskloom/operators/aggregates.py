@@ -19,40 +19,20 @@ from pyspark.sql import functions as F
 STAT_FUNCS = ("min", "max", "mean", "sum", "var", "size", "nunique", "std", "median")
 
 
-# Exact-sum settings.  Sums, means and variances of floating columns are
-# accumulated as DECIMAL(18, 6) (exact for values with up to 6 decimals), and
-# the total is converted to double once through its decimal text, which is
-# correctly rounded.  The result is then independent of summation order
-# (partition layout, spill, retries) -- bit-identical on every run and engine.
-# Set ``EXACT = False`` to accumulate in doubles (faster, last bits vary).
-EXACT = True
-DEC = "decimal(18,6)"
+# Sums, means and variances accumulate in doubles; their last bits depend on
+# the order of rows, so registered queries round their output.  Infinities and
+# NaN stay what they are.
+def sum_of(x: Column) -> Column:
+    return F.sum(x.cast("double"))
 
 
-def dec_to_double(c: Column) -> Column:
-    return c.cast("string").cast("double")
+def mean_of(x: Column) -> Column:
+    return F.avg(x)
 
 
-def to_dec(x: Column) -> Column:
-    """Quantise to 6 decimals with ``round(x * 1e6) / 1e6`` before the decimal
-    cast, so a value exactly half-way between two 6-decimal numbers goes the
-    same way on every engine (plain double→decimal casts differ there)."""
-    return (F.round(x * F.lit(1e6)) / F.lit(1e6)).cast(DEC)
-
-
-def exact_sum(x: Column) -> Column:
-    return dec_to_double(F.sum(to_dec(x)))
-
-
-def exact_mean(x: Column) -> Column:
-    return F.try_divide(exact_sum(x), F.count(x))
-
-
-def exact_var(x: Column, ddof: int = 1) -> Column:
-    n = F.count(x)
-    s1 = exact_sum(x)
-    s2 = dec_to_double(F.sum(to_dec(x) * to_dec(x)))
-    return F.when(n > ddof, F.greatest((s2 - s1 * s1 / n) / (n - ddof), F.lit(0.0)))
+def var_of(x: Column, ddof: int = 1) -> Column:
+    """NULL where fewer than ``ddof + 1`` values are there."""
+    return F.var_samp(x) if ddof == 1 else F.var_pop(x)
 
 
 def stat_expr(fn: str, c: Column, cond: Column | None = None, integral: bool = False) -> Column:
@@ -65,22 +45,21 @@ def stat_expr(fn: str, c: Column, cond: Column | None = None, integral: bool = F
     aggregate followed by a left join does.
     """
     x = c if cond is None else F.when(cond, c)
-    exact = EXACT and not integral
     if fn == "min":
         e = F.min(x)
     elif fn == "max":
         e = F.max(x)
     elif fn == "mean":
-        e = exact_mean(x) if EXACT else F.avg(x)
+        e = mean_of(x)
     elif fn == "sum":
         if integral:
             e = F.coalesce(F.sum(x), F.lit(0).cast("bigint"))
         else:
-            e = F.coalesce(exact_sum(x) if exact else F.sum(x), F.lit(0.0))
+            e = F.coalesce(sum_of(x), F.lit(0.0))
     elif fn == "var":
-        e = exact_var(x) if EXACT else F.var_samp(x)
+        e = var_of(x)
     elif fn == "std":
-        e = F.sqrt(exact_var(x)) if EXACT else F.stddev_samp(x)
+        e = F.sqrt(var_of(x))
     elif fn == "median":
         e = F.percentile(x, 0.5)
     elif fn == "size":

@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.operators.aggregates import exact_mean
+from riskloom.operators.aggregates import mean_of
 from riskloom.plans.common import round_half_away
 
 SIGNIFICANT, MODERATE = 10.0, 5.0
@@ -33,7 +33,7 @@ def contributions(df: DataFrame, key: str, coef: Mapping[str, float], intercept:
     """Long table (key, feature, value, contribution, base_value, prediction)."""
     feats = list(coef)
     if means is None:
-        means = df.agg(*[exact_mean(F.col(f)).alias(f"__mu_{f}") for f in feats])
+        means = df.agg(*[mean_of(F.col(f)).alias(f"__mu_{f}") for f in feats])
     base = F.lit(float(intercept))
     for f in feats:
         base = base + F.lit(float(coef[f])) * F.col(f"__mu_{f}")
@@ -53,7 +53,7 @@ def top_by_abs(long: DataFrame, key: str, k: int, value: str = "contribution") -
 
 
 def global_importance(long: DataFrame) -> DataFrame:
-    return long.groupBy("feature").agg(exact_mean(F.abs(F.col("contribution"))).alias("mean_abs_contribution"),
+    return long.groupBy("feature").agg(mean_of(F.abs(F.col("contribution"))).alias("mean_abs_contribution"),
                                        F.count(F.lit(1)).alias("n"))
 
 
@@ -137,7 +137,7 @@ def ranking_category(score: Column) -> Column:
 def peer_comparison(long: DataFrame, key: str, sector: DataFrame, sector_col: str) -> DataFrame:
     """Feature value vs the sector average of that feature."""
     lj = long.join(sector, key)
-    bench = lj.groupBy(sector_col, "feature").agg(exact_mean(F.col("value")).alias("sector_average"))
+    bench = lj.groupBy(sector_col, "feature").agg(mean_of(F.col("value")).alias("sector_average"))
     j = lj.join(bench, [sector_col, "feature"])
     diff = F.col("value") - F.col("sector_average")
     rel = F.when(F.col("sector_average") != 0, F.try_divide(diff, F.col("sector_average")) * 100).otherwise(F.lit(0.0))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.operators.aggregates import exact_sum
+from riskloom.operators.aggregates import sum_of
 from riskloom.operators.ranks import value_counts_ranked
 
 # Reference thresholds.
@@ -125,7 +125,7 @@ def metric_rules(values: DataFrame, rules: DataFrame) -> DataFrame:
 
 def cost_rollup(c: DataFrame, budget: float) -> DataFrame:
     nd = c.agg(F.count_distinct("date").alias("__nd"))
-    r = c.rollup("kind", "component").agg(exact_sum(F.col("cost")).alias("total_cost"))
+    r = c.rollup("kind", "component").agg(sum_of(F.col("cost")).alias("total_cost"))
     return (r.crossJoin(F.broadcast(nd))  # one row
              .select("kind", "component", "total_cost", (F.col("total_cost") / budget * 100.0).alias("budget_used_pct"),
                      (F.col("total_cost") / F.col("__nd") * 30.0).alias("projected_monthly")))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.operators.aggregates import exact_mean, exact_var
+from riskloom.operators.aggregates import mean_of, var_of
 from riskloom.operators.ranks import value_counts_ranked
 
 
@@ -23,8 +23,8 @@ def peer_group_stats(df: DataFrame, group: str, score: str) -> DataFrame:
     j = r.join(tot, group)
     k = F.floor(F.col("__N") / 2)
     med = j.where((F.col("n_before") <= k) & (k < F.col("n_upto"))).select(group, F.col(score).alias("upper_median"))
-    base = df.groupBy(group).agg(exact_mean(F.col(score)).alias("mean"),
-                                 F.sqrt(exact_var(F.col(score), ddof=0)).alias("std_pop"),
+    base = df.groupBy(group).agg(mean_of(F.col(score)).alias("mean"),
+                                 F.sqrt(var_of(F.col(score), ddof=0)).alias("std_pop"),
                                  F.count(F.col(score)).alias("peer_count"))
     return base.join(med, group, "left")
 

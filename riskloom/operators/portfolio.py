@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from riskloom.operators.aggregates import exact_mean, exact_var
+from riskloom.operators.aggregates import mean_of, var_of
 from riskloom.operators.scores import nclip
 
 # Role name lists and thresholds of the reference dashboard.
@@ -39,7 +39,7 @@ def row_sum(cols: list[str]) -> Column:
 
 def zscore_or_raw(df: DataFrame, col: str, out: str) -> DataFrame:
     """(x - mean) / (std + 1e-9); constant or empty column → x with NULL → 0."""
-    st = df.agg(exact_mean(F.col(col)).alias("__mu"), F.sqrt(exact_var(F.col(col))).alias("__sd"))
+    st = df.agg(mean_of(F.col(col)).alias("__mu"), F.sqrt(var_of(F.col(col))).alias("__sd"))
     j = df.crossJoin(F.broadcast(st))  # one row
     z = (F.when(F.col("__sd").isNull() | (F.col("__sd") == 0), F.coalesce(F.col(col), F.lit(0.0)))
           .otherwise((F.col(col) - F.col("__mu")) / (F.col("__sd") + F.lit(Z_EPS))))
@@ -107,10 +107,10 @@ def build_portfolio(df: DataFrame) -> DataFrame:
 
 
 def kpi_row(p: DataFrame) -> DataFrame:
-    return p.agg(exact_mean(F.col("credit_score")).alias("avg_credit_score"),
+    return p.agg(mean_of(F.col("credit_score")).alias("avg_credit_score"),
                  (F.avg((F.col("risk_category") == "High Risk").cast("double")) * 100).alias("high_risk_pct"),
-                 exact_mean(F.col("income")).alias("avg_income"),
-                 exact_mean(F.col("credit_utilization")).alias("avg_utilization"))
+                 mean_of(F.col("income")).alias("avg_income"),
+                 mean_of(F.col("credit_utilization")).alias("avg_utilization"))
 
 
 def histogram(df: DataFrame, value: str, bins: int, by: str | None = None) -> DataFrame:

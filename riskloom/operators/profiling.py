@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from riskloom.operators.aggregates import exact_var
+from riskloom.operators.aggregates import var_of
 
 SPARSE_KEEP_SHARE = 0.3      # keep columns with non-null share > 0.3
 MISSING_DROP_RATIO = 0.3     # drop columns with null share > 0.3
@@ -33,7 +33,7 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         aggs += [F.count(x).alias(f"nn__{c}"), F.count_distinct(x).alias(f"nd__{c}"),
                  (F.min(x).cast("double") if num else F.lit(None).cast("double")).alias(f"mn__{c}"),
                  (F.max(x).cast("double") if num else F.lit(None).cast("double")).alias(f"mx__{c}"),
-                 (F.sqrt(exact_var(x.cast("double"))) if num else F.lit(None).cast("double")).alias(f"sd__{c}")]
+                 (F.sqrt(var_of(x.cast("double"))) if num else F.lit(None).cast("double")).alias(f"sd__{c}")]
     row = df.agg(*aggs)
     structs = [F.struct(F.lit(c).alias("column_name"), F.lit(types[c].simpleString()).alias("dtype"),
                         F.col(f"nn__{c}").alias("non_null"), F.col(f"nd__{c}").alias("n_unique"),

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.aggregates import exact_mean, exact_var
+from riskloom.operators.aggregates import mean_of, var_of
 from riskloom.operators.ranks import exact_quantiles, value_counts_ranked
 from riskloom.operators.scores import nclip
 
@@ -61,8 +61,8 @@ def feature_quality(df: DataFrame, cols: Sequence[str], target: str) -> DataFram
     s1 = df.agg(n.alias("__n"),
                 *[pair_corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(f"r_{c}") for c in cols],
                 *[F.count(c).alias(f"nn_{c}") for c in cols],
-                *[exact_mean(F.col(c).cast("double")).alias(f"mu_{c}") for c in cols],
-                *[F.sqrt(exact_var(F.col(c).cast("double"))).alias(f"sd_{c}") for c in cols])
+                *[mean_of(F.col(c).cast("double")).alias(f"mu_{c}") for c in cols],
+                *[F.sqrt(var_of(F.col(c).cast("double"))).alias(f"sd_{c}") for c in cols])
     j = df.crossJoin(F.broadcast(s1))  # one row
     s2 = j.agg(F.first("__n").alias("__n"),
                *[F.first(f"{p}_{c}").alias(f"{p}_{c}") for c in cols for p in ("r", "nn")],
@@ -144,8 +144,8 @@ def scale(df: DataFrame, cols: Sequence[str], how: str = "standard", suffix: str
     fit and kept): standard (x-μ)/σ_pop, minmax (x-min)/range, robust
     (x-median)/IQR; a zero scale is replaced by 1."""
     if how == "standard":
-        st = df.agg(*[exact_mean(F.col(c)).alias(f"__c_{c}") for c in cols],
-                    *[F.sqrt(exact_var(F.col(c), ddof=0)).alias(f"__s_{c}") for c in cols])
+        st = df.agg(*[mean_of(F.col(c)).alias(f"__c_{c}") for c in cols],
+                    *[F.sqrt(var_of(F.col(c), ddof=0)).alias(f"__s_{c}") for c in cols])
     elif how == "minmax":
         st = df.agg(*[F.min(c).alias(f"__c_{c}") for c in cols],
                     *[(F.max(c) - F.min(c)).alias(f"__s_{c}") for c in cols])

@@ -41,15 +41,9 @@ def with_min_periods(c: Column, w: WindowSpec, n: int, k: int, value: Column) ->
 
 
 def rolling_mean(c, w: WindowSpec, n: int, min_periods: int | None = None) -> Column:
-    """Mean over the trailing n rows; the frame sum is an exact decimal sum
-    (see operators.aggregates.EXACT) so the result is order-independent."""
-    from riskloom.operators.aggregates import EXACT, dec_to_double, to_dec
+    """Mean over the trailing n rows."""
     c = F.col(c) if isinstance(c, str) else c
-    k = n if min_periods is None else min_periods
-    fr = last_n(w, n)
-    mean = (F.try_divide(dec_to_double(F.sum(to_dec(c)).over(fr)), F.count(c).over(fr)) if EXACT
-            else F.avg(c).over(fr))
-    return with_min_periods(c, w, n, k, mean)
+    return with_min_periods(c, w, n, n if min_periods is None else min_periods, F.avg(c).over(last_n(w, n)))
 
 
 def rolling_std(c, w: WindowSpec, n: int, min_periods: int | None = None) -> Column:

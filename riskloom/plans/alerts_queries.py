@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators import alerts as A
-from riskloom.operators.aggregates import exact_mean
+from riskloom.operators.aggregates import mean_of
 from riskloom.plans import sqlgen
 from riskloom.plans.common import register, round_doubles, sql_round, with_cte
 from riskloom.sources import panel as P
@@ -67,8 +67,8 @@ def q_bounded(spark, d):
 
 T7_SQL = f"""WITH r AS (SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS recency
     FROM prices_daily),
-  g AS (SELECT ticker, {sqlgen.exact_mean("CASE WHEN recency <= 7 THEN close END")} AS recent_avg,
-    {sqlgen.exact_mean("CASE WHEN recency > 7 THEN close END")} AS older_avg, count(*) AS n,
+  g AS (SELECT ticker, {sqlgen.mean_of("CASE WHEN recency <= 7 THEN close END")} AS recent_avg,
+    {sqlgen.mean_of("CASE WHEN recency > 7 THEN close END")} AS older_avg, count(*) AS n,
     max(CASE WHEN recency = 1 THEN close END) AS current_score FROM r WHERE recency <= 14 GROUP BY ticker),
   t AS (SELECT ticker, current_score, CASE WHEN n >= 2 AND older_avg IS NOT NULL THEN recent_avg - older_avg ELSE 0.0 END AS trend_magnitude
     FROM g)
@@ -80,8 +80,8 @@ def trend7(spark, d):
     from riskloom.operators.alerts import last_n_per_key
     p = P.prices_daily(spark, d)
     r = last_n_per_key(p, "ticker", ["date"], 14)
-    g = r.groupBy("ticker").agg(exact_mean(F.when(F.col("recency") <= 7, F.col("close"))).alias("recent_avg"),
-                                exact_mean(F.when(F.col("recency") > 7, F.col("close"))).alias("older_avg"),
+    g = r.groupBy("ticker").agg(mean_of(F.when(F.col("recency") <= 7, F.col("close"))).alias("recent_avg"),
+                                mean_of(F.when(F.col("recency") > 7, F.col("close"))).alias("older_avg"),
                                 F.count(F.lit(1)).alias("n"),
                                 F.max(F.when(F.col("recency") == 1, F.col("close"))).alias("current_score"))
     mag = (F.when((F.col("n") >= 2) & F.col("older_avg").isNotNull(), F.col("recent_avg") - F.col("older_avg"))
@@ -250,7 +250,7 @@ def q_rate(spark, d):
 def q_hourly(spark, d):
     e = table(spark, d, "events")
     g = e.groupBy(F.col("event_type").alias("fn"), F.window("ts", "1 hour").alias("w")).agg(
-        F.count(F.lit(1)).alias("n"), exact_mean(F.col("value")).alias("avg_value"))
+        F.count(F.lit(1)).alias("n"), mean_of(F.col("value")).alias("avg_value"))
     return round_doubles(g.select("fn", F.col("w.start").alias("window_start"), "n", "avg_value"), DIGITS)
 
 
@@ -262,7 +262,7 @@ def q_latency(spark, d):
                                          F.window("ts", "1 hour").start.alias("window_start"), "value")
     g = e.withColumn("__g", F.concat_ws("|", "fn", F.col("window_start").cast("string")))
     q = exact_quantiles(g, "value", [0.95], prefix="p95_latency", group="__g")
-    m = g.groupBy("__g", "fn", "window_start").agg(exact_mean(F.col("value")).alias("avg_latency"))
+    m = g.groupBy("__g", "fn", "window_start").agg(mean_of(F.col("value")).alias("avg_latency"))
     return round_doubles(m.join(q, "__g").drop("__g"), DIGITS)
 
 

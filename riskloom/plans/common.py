@@ -8,6 +8,7 @@ that different summation orders cannot change the value hash.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -37,10 +38,23 @@ def round_half_away(c, digits: int):
     return F.round(c * F.lit(m)) / F.lit(m) + F.lit(0.0)  # + 0.0: no negative zero
 
 
+# Means and variances: their last bits depend on the order of sums, so they are
+# cut to single precision (seven digits) before decimals are rounded.  A binary
+# grid, as means of few amounts often lie half-way between two decimal ones.
+RELATIVE = "(_VAR|_STD|_MEAN)$|^ma_"
+
+
+def significant(c):
+    return c.cast("float").cast("double")
+
+
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     cols = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (DoubleType, FloatType, DecimalType)):
+        if isinstance(f.dataType, DoubleType) and re.search(RELATIVE, f.name):
+            c = F.col(f"`{f.name}`")
+            cols.append(F.when(c.isNotNull(), round_half_away(significant(c), digits)).alias(f.name))
+        elif isinstance(f.dataType, (DoubleType, FloatType, DecimalType)):
             cols.append(round_half_away(F.col(f"`{f.name}`").cast("double"), digits).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
@@ -65,10 +79,13 @@ def sql_round(inner: str, keep: list[str] | tuple[str, ...] = (), digits: int =
     """
     names = sorted(NON_NUMERIC | set(keep) | {"__keep_dummy"})
     lst = ", ".join("'" + n + "'" for n in names)
-    # two dummy columns keep both COLUMNS() sets non-empty; dropped at the end
-    return (f"SELECT * EXCLUDE (__keep_dummy, __num_dummy) FROM ("
-            f"SELECT COLUMNS(lambda c: c IN ({lst})), round(COLUMNS(lambda c: c NOT IN ({lst})), {digits}) + 0 "
-            f"FROM (SELECT *, 'x' AS __keep_dummy, 0 AS __num_dummy FROM ({inner}) AS q0_) AS q_) AS q1_")
+    # dummy columns keep all COLUMNS() sets non-empty; dropped at the end
+    rel = f"regexp_matches(c, '{RELATIVE}')"
+    cut = f"COLUMNS(lambda c: c NOT IN ({lst}) AND {rel})"
+    return (f"SELECT * EXCLUDE (__keep_dummy, __num_dummy, __dummy_MEAN) FROM ("
+            f"SELECT COLUMNS(lambda c: c IN ({lst})), round(COLUMNS(lambda c: c NOT IN ({lst}) AND NOT {rel}), {digits}) + 0, "
+            f"round(CAST(CAST({cut} AS FLOAT) AS DOUBLE), {digits}) + 0 "
+            f"FROM (SELECT *, 'x' AS __keep_dummy, 0 AS __num_dummy, 0.0::DOUBLE AS \"__dummy_MEAN\" FROM ({inner}) AS q0_) AS q_) AS q1_")
 
 
 # ----------------------------------------------------------- SQL role views

@@ -108,9 +108,7 @@ def s_rows(n: int, w: str) -> str:
 
 
 def s_mean(c: str, w: str, n: int, k: int) -> str:
-    from riskloom.plans.sqlgen import s_dec
-    xs = f"CAST(CAST(sum({s_dec(c)}) {s_rows(n, w)} AS VARCHAR) AS DOUBLE)"
-    return f"CASE WHEN count({c}) {s_rows(n, w)} >= {k} THEN {xs} / count({c}) {s_rows(n, w)} END"
+    return f"CASE WHEN count({c}) {s_rows(n, w)} >= {k} THEN avg({c}) {s_rows(n, w)} END"
 
 
 def s_std(c: str, w: str, n: int, k: int) -> str:

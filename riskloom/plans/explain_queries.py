@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators import explain as X
-from riskloom.operators.aggregates import exact_mean
+from riskloom.operators.aggregates import mean_of
 from riskloom.plans import sqlgen
 from riskloom.plans.common import register, round_doubles, sql_round, with_cte
 from riskloom.plans.sets_queries import s_hash
@@ -29,7 +29,7 @@ def client_table(spark: SparkSession, d: str, cutoff: str | None = None) -> Data
     o = table(spark, d, "orders")
     if cutoff:
         o = o.where(F.to_date("o_orderdate") < F.lit(cutoff).cast("date"))
-    g = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("__n"), exact_mean(F.col("o_totalprice")).alias("__avgp"))
+    g = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("__n"), mean_of(F.col("o_totalprice")).alias("__avgp"))
     j = c.join(g, c.c_custkey == g.o_custkey, "left")
     return j.select(F.col("c_custkey").alias(KEY), (F.col("c_acctbal") / 1000.0).alias("balance_k"),
                     F.coalesce(F.col("__n"), F.lit(0)).cast("double").alias("n_orders"),
@@ -38,7 +38,7 @@ def client_table(spark: SparkSession, d: str, cutoff: str | None = None) -> Data
 
 
 def means(ct: DataFrame) -> DataFrame:
-    return ct.agg(*[exact_mean(F.col(f)).alias(f"__mu_{f}") for f in COEF])
+    return ct.agg(*[mean_of(F.col(f)).alias(f"__mu_{f}") for f in COEF])
 
 
 def contrib(spark, d, cutoff=None, background=None) -> DataFrame:
@@ -55,11 +55,11 @@ def ct_sql(cutoff: str | None = None) -> str:
     where = f"WHERE CAST(o_orderdate AS DATE) < DATE '{cutoff}'" if cutoff else ""
     return f"""SELECT c_custkey AS {KEY}, c_acctbal / 1000.0 AS balance_k, CAST(coalesce(g.n, 0) AS DOUBLE) AS n_orders,
       coalesce(g.avgp / 100000.0, 0.0) AS price_ratio, CAST(c_nationkey AS DOUBLE) / 10.0 AS nation_scaled
-      FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, {sqlgen.exact_mean('o_totalprice')} AS avgp FROM orders {where}
+      FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, {sqlgen.mean_of('o_totalprice')} AS avgp FROM orders {where}
       GROUP BY o_custkey) g ON c_custkey = g.o_custkey"""
 
 
-MU_SQL = "SELECT " + ", ".join(f"{sqlgen.exact_mean(f)} AS mu_{f}" for f in COEF) + " FROM ct"
+MU_SQL = "SELECT " + ", ".join(f"{sqlgen.mean_of(f)} AS mu_{f}" for f in COEF) + " FROM ct"
 
 
 def _lin(prefix: str) -> str:
@@ -85,7 +85,7 @@ def q_local(spark, d):
     return round_doubles(contrib(spark, d), DIGITS)
 
 
-@register("global_importance", esql(f"""SELECT feature, {sqlgen.exact_mean('abs(contribution)')} AS mean_abs_contribution,
+@register("global_importance", esql(f"""SELECT feature, {sqlgen.mean_of('abs(contribution)')} AS mean_abs_contribution,
   count(*) AS n FROM lc WHERE {KEY} IN (SELECT {KEY} FROM ct ORDER BY {s_hash(KEY, 42)} LIMIT 1000) GROUP BY feature"""))
 def q_global(spark, d):
     from riskloom.operators.sampling import sample_n
@@ -185,7 +185,7 @@ SECTOR_SQL = f"""SELECT c_custkey AS {KEY}, r_name AS sector FROM customer JOIN
 
 def _peer_sql() -> str:
     return f"""WITH s AS ({SECTOR_SQL}), lj AS (SELECT lc.*, s.sector FROM lc JOIN s USING ({KEY})),
-      b AS (SELECT sector, feature, {sqlgen.exact_mean('value')} AS sector_average FROM lj GROUP BY sector, feature),
+      b AS (SELECT sector, feature, {sqlgen.mean_of('value')} AS sector_average FROM lj GROUP BY sector, feature),
       j AS (SELECT lj.{KEY}, lj.sector, lj.feature, lj.value AS company_value, b.sector_average, lj.value - b.sector_average AS difference,
              CASE WHEN b.sector_average <> 0 THEN (lj.value - b.sector_average) / b.sector_average * 100 ELSE 0.0 END AS relative_performance
             FROM lj JOIN b USING (sector, feature)),
@@ -256,7 +256,7 @@ def q_plain(spark, d):
 
 # ------------------------------------------------------------------ feature trends
 @register("feature_trend_stats", sql_round(f"""WITH p AS (SELECT user_id AS ticker, CAST(ts AS DATE) AS date,
-    {sqlgen.exact_mean('value')} AS close, {sqlgen.exact_mean("CAST(json_extract_string(props, '$.k') AS DOUBLE)")} AS volume
+    {sqlgen.mean_of('value')} AS close, {sqlgen.mean_of("CAST(json_extract_string(props, '$.k') AS DOUBLE)")} AS volume
     FROM events GROUP BY 1, 2),
   l AS (SELECT ticker, date, 'close' AS feature, close AS v FROM p UNION ALL SELECT ticker, date, 'volume', volume FROM p),
   r AS (SELECT *, CAST(row_number() OVER (PARTITION BY ticker, feature ORDER BY date) - 1 AS DOUBLE) AS idx FROM l WHERE v IS NOT NULL),

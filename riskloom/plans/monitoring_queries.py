@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.operators import monitoring as MO
-from riskloom.operators.aggregates import exact_sum
+from riskloom.operators.aggregates import sum_of
 from riskloom.operators.stats import ks_two_sample
 from riskloom.plans import sqlgen
 from riskloom.plans.common import register, round_doubles, sql_round, with_cte
@@ -220,7 +220,7 @@ def _metric_rules_sql() -> str:
     UNION ALL SELECT 'model_accuracy', (SELECT min(acc) FROM (SELECT avg(CAST(y_pred = y_true AS DOUBLE)) AS acc FROM pred GROUP BY c_mktsegment) a)
     UNION ALL SELECT 'model_drift_score', (SELECT max(ks_stat) FROM ks)
     UNION ALL SELECT 'api_latency_p95', (SELECT quantile_cont(value / 100.0, 0.95) FROM events)
-    UNION ALL SELECT 'external_api_cost_usd', (SELECT {sqlgen.exact_sum('value / 100.0')} FROM events
+    UNION ALL SELECT 'external_api_cost_usd', (SELECT {sqlgen.sum_of('value / 100.0')} FROM events
                                                WHERE event_type IN ('purchase', 'signup', 'error'))) v
   USING (metric_name)"""
     return sql_round(with_cte(f"pred AS ({PRED_SQL}), ks AS ({KS_SQL}), l AS ({LATEST_SQL})", body),
@@ -235,7 +235,7 @@ def q_metric_rules(spark, d):
     ks = ks_two_sample(ks_frame(spark, d), "v", "sample", group="feature")
     e = table(spark, d, "events")
     lat = exact_quantiles(e.select((F.col("value") / 100.0).alias("lat")), "lat", [0.95], prefix="value")
-    cost = e.where(F.col("event_type").isin("purchase", "signup", "error")).agg(exact_sum(F.col("value") / 100.0).alias("value"))
+    cost = e.where(F.col("event_type").isin("purchase", "signup", "error")).agg(sum_of(F.col("value") / 100.0).alias("value"))
     values = (latest.where(F.col("name") == "cpu_percent").select(F.lit("system_cpu_percent").alias("metric_name"), "value")
               .unionByName(latest.where(F.col("name") == "memory_percent").select(F.lit("system_memory_percent").alias("metric_name"), "value"))
               .unionByName(acc.agg(F.min("acc").alias("value")).select(F.lit("model_accuracy").alias("metric_name"), "value"))
@@ -264,7 +264,7 @@ BUDGET_USD = 1000.0
   nd AS (SELECT count(DISTINCT date) AS n_days FROM c)
   SELECT kind, component, total_cost, total_cost / {BUDGET_USD!r} * 100.0 AS budget_used_pct,
     total_cost / n_days * 30.0 AS projected_monthly FROM (
-    SELECT kind, component, {sqlgen.exact_sum('cost')} AS total_cost FROM c GROUP BY ROLLUP (kind, component)) r, nd""",
+    SELECT kind, component, {sqlgen.sum_of('cost')} AS total_cost FROM c GROUP BY ROLLUP (kind, component)) r, nd""",
     digits=DIGITS))
 def q_cost(spark, d):
     e = table(spark, d, "events")

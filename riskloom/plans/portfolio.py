@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.scalar import sdiv
 from riskloom.operators import portfolio as PF
-from riskloom.operators.aggregates import exact_mean
+from riskloom.operators.aggregates import mean_of
 from riskloom.operators.scores import statement_ratio
 from riskloom.plans import sqlgen
 from riskloom.plans.common import register, round_doubles, sql_round, with_views
@@ -33,7 +33,7 @@ def _clip(x: str, lo, hi) -> str:
 _ROWSUM = "coalesce(CAST(c_custkey AS DOUBLE), 0.0) + coalesce(CAST(c_nationkey AS DOUBLE), 0.0) + coalesce(CAST(c_acctbal AS DOUBLE), 0.0)"
 PORTFOLIO_SQL = f"""
 WITH base AS (SELECT *, {_ROWSUM} AS __rowsum FROM customer),
-st AS (SELECT {sqlgen.exact_mean('__rowsum')} AS __mu, sqrt({sqlgen.exact_var('__rowsum')}) AS __sd FROM base),
+st AS (SELECT {sqlgen.mean_of('__rowsum')} AS __mu, sqrt({sqlgen.var_of('__rowsum')}) AS __sd FROM base),
 z AS (SELECT base.*, CASE WHEN __sd IS NULL OR __sd = 0 THEN coalesce(__rowsum, 0.0)
                           ELSE (__rowsum - __mu) / (__sd + 1e-9) END AS __z FROM base, st),
 p AS (SELECT * EXCLUDE (__rowsum, __z), {_clip('1.0 / (1.0 + exp(-__z))', 0.0, 1.0)} AS y_pred_proba FROM z),
@@ -60,7 +60,7 @@ def q_portfolio(spark, d):
 
 @register("zscore_or_raw", sql_round(f"""
 WITH base AS (SELECT c_custkey, {_ROWSUM} AS __rowsum FROM customer),
-st AS (SELECT {sqlgen.exact_mean('__rowsum')} AS __mu, sqrt({sqlgen.exact_var('__rowsum')}) AS __sd FROM base)
+st AS (SELECT {sqlgen.mean_of('__rowsum')} AS __mu, sqrt({sqlgen.var_of('__rowsum')}) AS __sd FROM base)
 SELECT c_custkey, CASE WHEN __sd IS NULL OR __sd = 0 THEN coalesce(__rowsum, 0.0)
                        ELSE (__rowsum - __mu) / (__sd + 1e-9) END AS z FROM base, st""", digits=DIGITS))
 def q_zscore(spark, d):
@@ -88,7 +88,7 @@ def q_threshold(spark, d):
 
 
 _SCORE_SRC_SQL = f"""SELECT c_custkey, o.score FROM customer LEFT JOIN (
-   SELECT o_custkey, {sqlgen.exact_mean('o_totalprice')} / 1000.0 AS score FROM orders GROUP BY o_custkey) o ON c_custkey = o.o_custkey"""
+   SELECT o_custkey, {sqlgen.mean_of('o_totalprice')} / 1000.0 AS score FROM orders GROUP BY o_custkey) o ON c_custkey = o.o_custkey"""
 
 
 @register("score_from_probability", sql_round(f"""
@@ -97,15 +97,15 @@ SELECT c_custkey, {_clip('coalesce(score, m)', 300.0, 850.0)} AS credit_score FR
 def q_score_from_prob(spark, d):
     """Upload that carries a 'score' column with gaps: gaps → median, clip 300..850."""
     c = table(spark, d, "customer").select("c_custkey")
-    o = table(spark, d, "orders").groupBy("o_custkey").agg((exact_mean(F.col("o_totalprice")) / 1000.0).alias("score"))
+    o = table(spark, d, "orders").groupBy("o_custkey").agg((mean_of(F.col("o_totalprice")) / 1000.0).alias("score"))
     src = c.join(o, c.c_custkey == o.o_custkey, "left").select("c_custkey", "score")
     p = PF.build_portfolio(src)
     return round_doubles(p.select("c_custkey", "credit_score"), DIGITS)
 
 
-@register("kpi_row", psql(f"""SELECT {sqlgen.exact_mean('credit_score')} AS avg_credit_score,
+@register("kpi_row", psql(f"""SELECT {sqlgen.mean_of('credit_score')} AS avg_credit_score,
   avg(CAST(risk_category = 'High Risk' AS DOUBLE)) * 100 AS high_risk_pct,
-  {sqlgen.exact_mean('income')} AS avg_income, {sqlgen.exact_mean('credit_utilization')} AS avg_utilization
+  {sqlgen.mean_of('income')} AS avg_income, {sqlgen.mean_of('credit_utilization')} AS avg_utilization
   FROM portfolio"""))
 def q_kpi(spark, d):
     return round_doubles(PF.kpi_row(portfolio(spark, d)), DIGITS)

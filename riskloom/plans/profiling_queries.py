@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.scalar import clamp_positive, null_if_infinite, null_if_sentinel
 from riskloom.operators import profiling as PR
-from riskloom.operators.aggregates import exact_mean
+from riskloom.operators.aggregates import mean_of
 from riskloom.plans import client_features as CF
 from riskloom.plans import sqlgen
 from riskloom.plans.common import register, round_doubles, sql_round, with_views, with_cte
@@ -49,7 +49,7 @@ PROFILE_SQL = " UNION ALL ".join(
     f"""SELECT '{c}' AS column_name, '{dtype_of(c)}' AS dtype, count(*) AS n_rows, count("{c}") AS non_null,
       (count(*) - count("{c}")) * 100.0 / count(*) AS pct_missing, count(DISTINCT "{c}") AS n_unique,
       CAST(min("{c}") AS DOUBLE) AS min, CAST(max("{c}") AS DOUBLE) AS max,
-      sqrt({sqlgen.exact_var(f'CAST("{c}" AS DOUBLE)')}) AS std FROM pf""" for c in PF_COLS)
+      sqrt({sqlgen.var_of(f'CAST("{c}" AS DOUBLE)')}) AS std FROM pf""" for c in PF_COLS)
 
 
 @register("describe_columns", pfsql(PROFILE_SQL))
@@ -295,10 +295,10 @@ def q_crosstab(spark, d):
   quantile_cont(c_acctbal, 0.75) AS q75, max(c_acctbal) AS max FROM customer""", digits=4))
 def q_summary(spark, d):
     from riskloom.operators.ranks import exact_quantiles
-    from riskloom.operators.aggregates import exact_var
+    from riskloom.operators.aggregates import var_of
     c = table(spark, d, "customer")
-    base = c.agg(F.count("c_acctbal").alias("count"), exact_mean(F.col("c_acctbal")).alias("mean"),
-                 F.sqrt(exact_var(F.col("c_acctbal"))).alias("std"), F.min("c_acctbal").alias("min"),
+    base = c.agg(F.count("c_acctbal").alias("count"), mean_of(F.col("c_acctbal")).alias("mean"),
+                 F.sqrt(var_of(F.col("c_acctbal"))).alias("std"), F.min("c_acctbal").alias("min"),
                  F.max("c_acctbal").alias("max"))
     q = exact_quantiles(c, "c_acctbal", [0.25, 0.5, 0.75], prefix="q")
     q = q.select(F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"))

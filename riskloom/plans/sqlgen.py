@@ -30,25 +30,16 @@ def clean_token(v) -> str:
     return re.sub(r"[^0-9A-Za-z]+", "_", str(v)).strip("_") or "blank"
 
 
-def s_dec(x: str, width: int = 18) -> str:
-    """Twin of aggregates.to_dec: round(x * 1e6) / 1e6, then DECIMAL(width, 6)."""
-    return f"CAST(round(({x}) * 1000000.0) / 1000000.0 AS DECIMAL({width},6))"
+def sum_of(x: str) -> str:
+    return f"sum(CAST({x} AS DOUBLE))"
 
 
-def exact_sum(x: str) -> str:
-    return f"CAST(CAST(sum({s_dec(x)}) AS VARCHAR) AS DOUBLE)"
+def mean_of(x: str) -> str:
+    return f"avg({x})"
 
 
-def exact_mean(x: str) -> str:
-    return f"({exact_sum(x)} / nullif(count({x}), 0))"
-
-
-def exact_var(x: str, ddof: int = 1) -> str:
-    s1 = exact_sum(x)
-    d = f"CAST({s_dec(x)} AS DECIMAL(38,6))"
-    s2 = f"CAST(CAST(sum({d} * {d}) AS VARCHAR) AS DOUBLE)"
-    n = f"count({x})"
-    return f"CASE WHEN {n} > {ddof} THEN greatest(({s2} - {s1} * {s1} / {n}) / ({n} - {ddof}), 0.0) END"
+def var_of(x: str, ddof: int = 1) -> str:
+    return f"{'var_samp' if ddof == 1 else 'var_pop'}({x})"
 
 
 def stat(fn: str, col: str, cond: str | None = None, integral: bool = False) -> str:
@@ -58,13 +49,13 @@ def stat(fn: str, col: str, cond: str | None = None, integral: bool = False) ->
     elif fn == "max":
         e = f"max({x})"
     elif fn == "mean":
-        e = exact_mean(x)
+        e = mean_of(x)
     elif fn == "sum":
-        e = f"CAST(coalesce(sum({x}), 0) AS BIGINT)" if integral else f"coalesce({exact_sum(x)}, 0.0)"
+        e = f"CAST(coalesce(sum({x}), 0) AS BIGINT)" if integral else f"coalesce({sum_of(x)}, 0.0)"
     elif fn == "var":
-        e = exact_var(x)
+        e = var_of(x)
     elif fn == "std":
-        e = f"sqrt({exact_var(x)})"
+        e = f"sqrt({var_of(x)})"
     elif fn == "median":
         e = f"quantile_cont({x}, 0.5)"
     elif fn == "size":

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import peers as PE
 from riskloom.operators import stats as ST
-from riskloom.operators.aggregates import discover_vocabulary, exact_mean, exact_var, one_hot_exprs
+from riskloom.operators.aggregates import discover_vocabulary, mean_of, var_of, one_hot_exprs
 from riskloom.plans import sqlgen
 from riskloom.plans.common import register, round_doubles, sql_round, with_cte
 from riskloom.sources.tables import table
@@ -65,7 +65,7 @@ def _fq_sql() -> str:
           SELECT max(st.r) AS r, (max(st.n) - max(st.nn)) * 1.0 / max(st.n) AS miss,
             sum(CASE WHEN st.sd <> 0 AND abs((f.{c} - st.mu) / st.sd) > 3 THEN 1 ELSE 0 END) * 1.0 / max(st.n) AS outr
           FROM feats f, (SELECT count(*) AS n, count({c}) AS nn, {s_corr(c, 'y')} AS r,
-                          {sqlgen.exact_mean(c)} AS mu, sqrt({sqlgen.exact_var(c)}) AS sd FROM feats) st) x""")
+                          {sqlgen.mean_of(c)} AS mu, sqrt({sqlgen.var_of(c)}) AS sd FROM feats) st) x""")
     return " UNION ALL ".join(parts)
 
 
@@ -81,7 +81,7 @@ def scaled_sql(how: str) -> str:
     elif how == "standard":
         cols = ", ".join(
             f"(e{i} - s.mu{i}) / (CASE WHEN s.sd{i} IS NULL OR s.sd{i} = 0 THEN 1.0 ELSE s.sd{i} END) AS e{i}" for i in range(NF))
-        stats = ", ".join(f"{sqlgen.exact_mean(f'e{i}')} AS mu{i}, sqrt({sqlgen.exact_var(f'e{i}', ddof=0)}) AS sd{i}"
+        stats = ", ".join(f"{sqlgen.mean_of(f'e{i}')} AS mu{i}, sqrt({sqlgen.var_of(f'e{i}', ddof=0)}) AS sd{i}"
                           for i in range(NF))
         return f"SELECT vec_id, label, y, {cols} FROM feats, (SELECT {stats} FROM feats) s"
     else:
@@ -202,8 +202,8 @@ def psql(body: str, keep=()) -> str:
     return sql_round(with_cte(f"sup AS ({SUPP_SQL})", body), keep=list(keep), digits=DIGITS)
 
 
-@register("peer_group_stats", psql(f"""SELECT sector, {sqlgen.exact_mean('score')} AS mean,
-  sqrt({sqlgen.exact_var('score', ddof=0)}) AS std_pop, count(score) AS peer_count,
+@register("peer_group_stats", psql(f"""SELECT sector, {sqlgen.mean_of('score')} AS mean,
+  sqrt({sqlgen.var_of('score', ddof=0)}) AS std_pop, count(score) AS peer_count,
   (list_sort(list(score)))[CAST(floor(count(score) / 2) AS BIGINT) + 1] AS upper_median FROM sup GROUP BY sector"""))
 def q_peer_stats(spark, d):
     return round_doubles(PE.peer_group_stats(suppliers(spark, d), "sector", "score"), DIGITS)
@@ -231,8 +231,8 @@ def q_select_peers(spark, d):
     return PE.select_peers(s, "ticker", ["sector", "bucket"], 10)
 
 
-@register("relative_strength_text", psql(f"""WITH g AS (SELECT sector, {sqlgen.exact_mean('score')} AS sector_avg,
-    sqrt({sqlgen.exact_var('score', ddof=0)}) AS sector_std FROM sup GROUP BY sector),
+@register("relative_strength_text", psql(f"""WITH g AS (SELECT sector, {sqlgen.mean_of('score')} AS sector_avg,
+    sqrt({sqlgen.var_of('score', ddof=0)}) AS sector_std FROM sup GROUP BY sector),
   r AS (SELECT ticker, sector, score, rank() OVER (PARTITION BY sector ORDER BY score) * 100.0 / count(*) OVER (PARTITION BY sector) AS pct FROM sup)
   SELECT r.ticker, CASE WHEN pct >= 75 THEN 'Strong performer - significantly above sector average by ' || printf('%.1f', round((score - sector_avg) * 10) / 10) || ' points'
     WHEN pct >= 50 THEN 'Above average performer - ' || printf('%.1f', round((score - sector_avg) * 10) / 10) || ' points above sector average'
@@ -244,8 +244,8 @@ def q_select_peers(spark, d):
   FROM r JOIN g USING (sector)"""))
 def q_rel_text(spark, d):
     s = suppliers(spark, d)
-    g = s.groupBy("sector").agg(exact_mean(F.col("score")).alias("sector_avg"),
-                                F.sqrt(exact_var(F.col("score"), ddof=0)).alias("sector_std"))
+    g = s.groupBy("sector").agg(mean_of(F.col("score")).alias("sector_avg"),
+                                F.sqrt(var_of(F.col("score"), ddof=0)).alias("sector_std"))
     r = PE.peer_rank(s, "ticker", "sector", "score").join(g, "sector")
     return r.select("ticker", PE.relative_strength_text("score", "sector_avg", "percentile_rank").alias("message"),
                     PE.peer_risk_text("percentile_rank", "sector_std").alias("level"))

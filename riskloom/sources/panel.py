@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.operators.aggregates import exact_mean, exact_sum
+from riskloom.operators.aggregates import mean_of, sum_of
 from riskloom.sources.tables import table
 
 # Fixed values of the stand-in mapping.
@@ -40,17 +40,17 @@ def ticks(spark: SparkSession, d: str) -> DataFrame:
 def prices_daily(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     return (e.groupBy(F.col("user_id").alias("ticker"), F.to_date("ts").alias("date"))
-             .agg(exact_mean(F.col("value")).alias("close"), exact_mean(_k()).alias("volume")))
+             .agg(mean_of(F.col("value")).alias("close"), mean_of(_k()).alias("volume")))
 
 
 def news_daily(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").where(F.col("event_type").isin(*NEWS_TYPES))
     t = F.col("event_type")
     return (e.groupBy(F.col("user_id").alias("ticker"), F.to_date("ts").alias("date"))
-             .agg(exact_mean(_sent()).alias("sentiment_score"),
+             .agg(mean_of(_sent()).alias("sentiment_score"),
                   F.count(F.lit(1)).cast("int").alias("news_volume"),
-                  exact_mean(F.when(t == "error", _k() / F.lit(100.0))).alias("regulatory_risk_score"),
-                  exact_mean(F.when(t == "signup", _sent())).alias("management_sentiment")))
+                  mean_of(F.when(t == "error", _k() / F.lit(100.0))).alias("regulatory_risk_score"),
+                  mean_of(F.when(t == "signup", _sent())).alias("management_sentiment")))
 
 
 def fundamentals(spark: SparkSession, d: str, period_days: int = PERIOD_DAYS) -> DataFrame:
@@ -62,11 +62,11 @@ def fundamentals(spark: SparkSession, d: str, period_days: int = PERIOD_DAYS) ->
     v = F.col("value")
 
     def s(cond):
-        return F.coalesce(exact_sum(F.when(cond, v)), F.lit(0.0))
+        return F.coalesce(sum_of(F.when(cond, v)), F.lit(0.0))
 
     g = (e.groupBy(F.col("user_id").alias("ticker"), end.alias("date"))
           .agg(s(t == "purchase").alias("revenue"), s(t == "error").alias("total_debt"),
-               exact_sum(v).alias("total_assets"), s(t.isin(*ASSET_TYPES)).alias("current_assets"),
+               sum_of(v).alias("total_assets"), s(t.isin(*ASSET_TYPES)).alias("current_assets"),
                s(t == "signup").alias("current_liabilities")))
     return g.select("ticker", "date", "revenue", "total_debt",
                     (F.col("total_assets") - F.lit(2.0) * F.col("total_debt")).alias("shareholders_equity"),
@@ -78,7 +78,7 @@ def fundamentals(spark: SparkSession, d: str, period_days: int = PERIOD_DAYS) ->
 def target_daily(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").where(F.col("event_type") == "purchase")
     return (e.groupBy(F.col("user_id").alias("ticker"), F.to_date("ts").alias("date"))
-             .agg(exact_mean(F.col("value")).alias("target")))
+             .agg(mean_of(F.col("value")).alias("target")))
 
 
 def sectors(spark: SparkSession, d: str) -> DataFrame:
@@ -98,8 +98,8 @@ _SENT = f"(({_K} - 50.0) / 50.0)"
 
 
 def _xsum(x: str) -> str:
-    from riskloom.plans.sqlgen import exact_sum
-    return exact_sum(x)
+    from riskloom.plans.sqlgen import sum_of
+    return sum_of(x)
 
 
 def _xmean(x: str) -> str:
