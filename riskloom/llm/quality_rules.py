@@ -53,35 +53,58 @@ STATS = {
 }
 
 
+def let(value, body):
+    """``body(value)`` with ``value`` worked out once, also where the body uses
+    it inside lambdas (a column named there would be inlined by the optimizer
+    and worked out again for every element)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def repeat_words(words):
+    """Number of words in windows of ``WINDOW`` words that occur twice."""
+    def places(words, n):
+        return F.sequence(F.lit(1), n - (WINDOW - 1))
+
+    def covered(at):
+        # starts in order: each covers up to the next one, at most a window
+        return F.aggregate(F.transform(at, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1) - x, F.lit(WINDOW)))),
+                           F.lit(0), lambda a, x: a + x)
+
+    def exact(words):
+        windows = F.array_sort(F.transform(places(words, F.size(words)), lambda i: F.struct(
+            F.array_join(F.slice(words, i, WINDOW), " ").alias("w"), i.alias("i"))))
+        same = lambda all_, x, k: F.coalesce(F.get(all_, k)["w"] == x["w"], F.lit(False))
+        return let(windows, lambda all_: let(F.array_sort(F.transform(F.filter(
+            all_, lambda x, k: same(all_, x, k - 1) | same(all_, x, k + 1)), lambda x: x["i"])), covered))
+
+    # Most texts have no window twice: equal windows have equal hashes, so a
+    # text without an equal pair of hashes needs no comparison of words.
+    def hashes(words):
+        return let(F.transform(words, lambda w: F.xxhash64(w)), lambda codes: F.transform(
+            places(words, F.size(words)), lambda i: F.xxhash64(F.slice(codes, i, WINDOW))))
+    return F.when(F.size(words) < WINDOW, 0).otherwise(let(words, lambda w: F.when(
+        let(hashes(w), lambda h: F.size(h) > F.size(F.array_distinct(h))), exact(w)).otherwise(0)))
+
+
 def base_counts(docs: DataFrame) -> DataFrame:
     """Adds the base counts to rows of (doc_id, text, ...) and drops the text."""
+    keep = [c for c in docs.columns if c != "text"]
+
+    def of_words(words):
+        return F.struct(F.size(words).cast("long").alias("n_words"),
+                        F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
+                        repeat_words(words).cast("long").alias("n_repeat_words"))
+
+    def of_lines(lines):
+        return F.struct(F.size(lines).cast("long").alias("n_lines"),
+                        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"))
     words = F.array_remove(F.split("text", f"{SPACE}+"), "")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACE[1:]}"))
-    keep = [c for c in docs.columns if c != "text"]
-    d = docs.select(*keep, words.alias("words"), lines.alias("lines"),
-                    F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"))
-    d = d.select(*keep, "words", "n_symbols", F.size("words").cast("long").alias("n_words"),
-                 F.size("lines").cast("long").alias("n_lines"),
-                 (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-                 F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
-                 F.transform("words", lambda w: F.xxhash64(w)).alias("codes"))
-    rest = [c for c in d.columns if c not in ("words", "codes")]
-    starts = F.when(F.size("words") >= WINDOW, F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)))
-    # Most texts have no window twice: equal windows have equal hashes, so a
-    # text without an equal pair of hashes needs no comparison of words.
-    d = d.select(*rest, "words", F.transform(starts, lambda i: F.xxhash64(F.slice("codes", i, WINDOW))).alias("hashes"))
-    twice = F.size("hashes") > F.size(F.array_distinct("hashes"))
-    d = d.select(*rest, F.when(twice, F.array_sort(F.transform(
-        F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)),
-        lambda i: F.struct(F.array_join(F.slice("words", i, WINDOW), " ").alias("w"), i.alias("i"))))).alias("windows"))
-    same = lambda x, k: F.coalesce(F.get("windows", k)["w"] == x["w"], F.lit(False))
-    d = d.select(*rest, F.when(F.col("windows").isNotNull(), F.array_sort(F.transform(F.filter(
-        "windows", lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"]))).alias("at"))
-    covered = F.aggregate(F.transform("at", lambda x, k: F.least(F.lit(WINDOW), F.coalesce(
-        F.get("at", k + 1) - x, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x)
-    return d.select(*rest, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words")).withColumn(
-        "base_failed", (F.col("n_words") < MIN_WORDS)
-        | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words")))
+    d = docs.select(*keep, F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+                    let(words, of_words).alias("w"), let(lines, of_lines).alias("l"))
+    d = d.select(*keep, "n_symbols", "w.*", "l.*")
+    return d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
+                        | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words")))
 
 
 def grouped(rows: DataFrame, group_cols: list[str], min_group: int) -> DataFrame:
