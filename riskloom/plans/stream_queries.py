@@ -19,10 +19,11 @@ DIGITS = 6
 @register("stream_score_alerts", ssql(ALERT_SQL))
 def q_stream_alerts(spark, d):
     base = scratch_table_path(spark, "stream-alerts")
-    table(spark, d, "events").write.parquet(f"{base}/landing")
-    q = jobs.score_alert_stream(spark, f"{base}/landing", f"{base}/sink", f"{base}/checkpoint")
-    q.awaitTermination()
-    return round_doubles(spark.read.schema(jobs.ALERT_SCHEMA).parquet(f"{base}/sink"), DIGITS)
+    ev = table(spark, d, "events")
+    ev.write.parquet(f"{base}/landing")
+    jobs.score_alert_stream(spark, f"{base}/landing", f"{base}/sink", f"{base}/checkpoint",
+                            lateness_s=jobs.span_seconds(ev, "ts"))
+    return round_doubles(jobs.read_sink(spark, f"{base}/sink", jobs.ALERT_SCHEMA), DIGITS)
 
 
 @register("stream_hourly_metrics", sql_round("""SELECT fn, window_start, n, avg_value FROM (
@@ -40,9 +41,11 @@ def q_stream_hourly(spark, d):
 @register("stream_alert_cooldown", AQ.ORACLE_COOLDOWN)
 def q_stream_cooldown(spark, d):
     base = scratch_table_path(spark, "stream-cooldown")
-    table(spark, d, "events").write.parquet(f"{base}/landing")
-    jobs.cooldown_stream(spark, f"{base}/landing", f"{base}/sink", f"{base}/checkpoint").awaitTermination()
-    return round_doubles(spark.read.parquet(f"{base}/sink"), DIGITS)
+    ev = table(spark, d, "events")
+    ev.write.parquet(f"{base}/landing")
+    jobs.cooldown_stream(spark, f"{base}/landing", f"{base}/sink", f"{base}/checkpoint",
+                         lateness_s=jobs.span_seconds(ev, "ts"))
+    return round_doubles(jobs.read_sink(spark, f"{base}/sink", jobs.COOLDOWN_SCHEMA), DIGITS)
 
 
 @register("stream_broadcast_on_change", AQ.ORACLE_BROADCAST)
@@ -51,6 +54,7 @@ def q_stream_broadcast(spark, d):
     from riskloom.sources import panel as P
     base = scratch_table_path(spark, "stream-broadcast")
     P.prices_daily(spark, d).select("ticker", "date", "close").write.parquet(f"{base}/landing")
-    jobs.emit_on_change_stream(spark, f"{base}/landing", f"{base}/sink", f"{base}/checkpoint",
-                               BROADCAST_MIN_CHANGE).awaitTermination()
-    return round_doubles(spark.read.parquet(f"{base}/sink"), DIGITS)
+    landed = spark.read.parquet(f"{base}/landing")
+    jobs.emit_on_change_stream(spark, f"{base}/landing", f"{base}/sink", f"{base}/checkpoint", BROADCAST_MIN_CHANGE,
+                               lateness_s=jobs.span_seconds(landed, "date"))
+    return round_doubles(jobs.read_sink(spark, f"{base}/sink", jobs.EMIT_SCHEMA), DIGITS)

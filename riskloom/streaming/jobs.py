@@ -1,181 +1,90 @@
 """Structured Streaming versions of the stateful operators.
 
-Each job reads a landing folder with ``readStream``, keeps per-key state in
-the state store (``applyInPandasWithState``) or uses a watermark, writes to a
-sink, and checkpoints to the shared folder -- a restarted query (or a lost
-executor) resumes from the checkpoint.  Each has a batch twin in
-``operators.alerts`` / ``streaming.folds`` with the same results when the
-input arrives in time order.
+Each job reads a landing folder with ``readStream``, writes to a sink, and
+checkpoints to the shared folder: a restarted query (or a lost executor)
+resumes from the checkpoint.  Jobs whose result depends on the order of events
+(score changes, cooldown, emit-on-change) run the batch operator on rows
+released in event-time order (``streaming.ordered``), so neither the number of
+files nor their order matters.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from riskloom.operators.alerts import ALERT_DELTA_ABS, HISTORY_DEPTH
+from riskloom.operators import alerts as A
+from riskloom.streaming.ordered import OrderedJob, OrderedStream, read_sink
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-
 ALERT_SCHEMA = ("id bigint, ts timestamp_ntz, event_id bigint, score double, previous_score double, trend string, "
                 "delta double, delta_abs double, threshold double, direction string")
-STATE_SCHEMA = "last_score double, history array<double>, last_us bigint, last_event_id bigint, late_rows bigint"
+COOLDOWN_SCHEMA = ("metric_name string, ts timestamp_ntz, event_id bigint, value double, severity string, "
+                   "cooldown_s double, fired boolean")
+EMIT_SCHEMA = "ticker bigint, date date, close double, emitted boolean, change double"
 # Fixed value: how late an event may arrive (the refresh interval).
-LATE_TOLERANCE = "30 minutes"
-
-
-def _score_alert_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per id: order this micro-batch by (ts, event_id), compare each score to
-    the previous one (the first to the one carried in state), emit the
-    changes >= the threshold, keep the newest HISTORY_DEPTH scores in state.
-    Rows not newer than the last processed (ts, event_id) of the id arrive
-    out of order: they are skipped and counted in the state."""
-    pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"], kind="stable")
-    if state.exists:
-        last, hist, last_us, last_eid, late = state.get
-    else:
-        last, hist, last_us, last_eid, late = None, [], None, None, 0
-    us = pdf["ts"].to_numpy(dtype="datetime64[us]").astype("int64")
-    eid = pdf["event_id"].to_numpy(dtype="int64")
-    if last_us is not None:
-        fresh = (us > last_us) | ((us == last_us) & (eid > last_eid))
-        late = int(late or 0) + int((~fresh).sum())
-        pdf, us, eid = pdf[fresh], us[fresh], eid[fresh]
-    if len(pdf):
-        last_us, last_eid = int(us[-1]), int(eid[-1])
-    cur = pdf["score"].astype("float64")
-    prev = cur.shift(1)
-    if len(prev):
-        prev.iloc[0] = np.nan if last is None else last
-    # the previous *row's* score, as in the batch twin (a NULL score breaks the chain)
-    delta = cur - prev
-    hit = delta.abs() >= ALERT_DELTA_ABS
-    a = pdf[hit.to_numpy()]
-    c, p, dl = cur[hit].to_numpy(), prev[hit].to_numpy(), delta[hit].to_numpy()
-    out = pd.DataFrame({
-        "id": a["id"].to_numpy(), "ts": a["ts"].to_numpy(), "event_id": a["event_id"].to_numpy(),
-        "score": c, "previous_score": p,
-        "trend": np.where(c > p, "IMPROVING", np.where(c < p, "WORSENING", "FLAT")),
-        "delta": dl, "delta_abs": np.abs(dl), "threshold": ALERT_DELTA_ABS,
-        "direction": np.where(dl > 0, "UP", np.where(dl < 0, "DOWN", "FLAT"))})
-    tail = cur.iloc[-1] if len(cur) else last
-    hist = (list(hist or []) + [None if pd.isna(v) else float(v) for v in cur])[-HISTORY_DEPTH:]
-    state.update((None if tail is None or pd.isna(tail) else float(tail), hist, last_us, last_eid, int(late or 0)))
-    yield out
+LATENESS_S = 1800.0
+
+
+def span_seconds(df: DataFrame, ts: str) -> float:
+    """Seconds between the oldest and the newest event: the lateness with which
+    files in any order can be read."""
+    lo, hi = df.agg(F.min(ts), F.max(ts)).first()
+    return 0.0 if lo is None else float((hi - lo).total_seconds()) + 1.0
+
+
+def _landed(spark: SparkSession, landing: str, schema: str, max_files: int | None) -> DataFrame:
+    r = spark.readStream.schema(schema)
+    return (r.option("maxFilesPerTrigger", max_files) if max_files else r).parquet(landing)
+
+
+def _newest(marked: DataFrame, key: str, order: list[str], cols: list[str]) -> DataFrame:
+    """The last row of every key."""
+    return marked.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("r")).select("r.*")
 
 
 def score_alert_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str,
-                       max_files_per_trigger: int | None = 64):
-    """events landing folder → per-id change alerts (parquet sink).
-
-    Micro-batches are bounded (``maxFilesPerTrigger``), so the rows one key
-    brings to a state step are bounded by a batch, not by the stream."""
-    r = spark.readStream.schema(EVENT_SCHEMA)
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    # rows later than LATE_TOLERANCE behind the newest event are dropped by
-    # the engine (counted as numRowsDroppedByWatermark in the query progress)
-    ev = (r.parquet(landing)
-           .select(F.col("user_id").alias("id"), "ts", "event_id", (F.col("value") / 100.0).alias("score"),
-                   F.col("ts").cast("timestamp").alias("event_time"))
-           .withWatermark("event_time", LATE_TOLERANCE))
-    alerts = ev.groupBy("id").applyInPandasWithState(_score_alert_step, ALERT_SCHEMA, STATE_SCHEMA, "append",
-                                                     GroupStateTimeout.NoTimeout)
-    return (alerts.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
-                  .outputMode("append").trigger(availableNow=True).start())
-
-
-COOLDOWN_STATE = "last_fired_us bigint, last_us bigint, last_event_id bigint"
-
-
-def _cooldown_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per rule: walk this micro-batch in (ts, event_id) order; fire when
-    nothing fired before or strictly more than the row's cooldown passed
-    since the last *fired* alert (the fold of ``streaming.folds``)."""
-    from riskloom.streaming.folds import cooldown_step
-    pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"], kind="stable")
-    last_fired, last_us, last_eid = state.get if state.exists else (None, None, None)
-    us = pdf["ts"].to_numpy(dtype="datetime64[us]").astype("int64")
-    eid = pdf["event_id"].to_numpy(dtype="int64")
-    cd = pdf["cooldown_s"].to_numpy(dtype="float64") * 1e6
-    fired = np.zeros(len(pdf), dtype=bool)
-    keep = np.ones(len(pdf), dtype=bool)
-    for i in range(len(pdf)):
-        if last_us is not None and (us[i], eid[i]) <= (last_us, last_eid):
-            keep[i] = False  # out of order for this rule: skipped
-            continue
-        if cooldown_step(last_fired, us[i], cd[i]):
-            fired[i] = True
-            last_fired = int(us[i])
-        last_us, last_eid = int(us[i]), int(eid[i])
-    state.update((last_fired, last_us, last_eid))
-    yield pdf.drop(columns=["event_time"]).assign(fired=fired)[keep]
+                       max_files_per_trigger: int | None = 64, lateness_s: float = LATENESS_S, close: bool = True):
+    """events landing folder → per-id change alerts (parquet sink).  Carried
+    over: the last row of every id."""
+    cols = ["id", "ts", "event_id", "score"]
+    job = OrderedJob("id bigint, ts timestamp_ntz, event_id bigint, score double", "ts",
+                     lambda rows: A.score_trend(rows, "id", ["ts", "event_id"], "score"),
+                     lambda m: A.change_alerts(m).select(*[c.split()[0] for c in ALERT_SCHEMA.split(", ")]),
+                     lambda m: _newest(m, "id", ["ts", "event_id"], cols))
+    ev = _landed(spark, landing, EVENT_SCHEMA, max_files_per_trigger).select(
+        F.col("user_id").alias("id"), "ts", "event_id", (F.col("value") / 100.0).alias("score"))
+    return OrderedStream(spark, job, sink, f"{checkpoint}/ordered", lateness_s).run(ev, f"{checkpoint}/query", close)
 
 
 def cooldown_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str,
-                    max_files_per_trigger: int | None = 64):
+                    max_files_per_trigger: int | None = 64, lateness_s: float = LATENESS_S, close: bool = True):
     """events landing folder → rule candidates (stream-static join with the
-    rule table) → per-rule cooldown fold → parquet sink."""
+    rule table) → cooldown → parquet sink.  Carried over: the last fired
+    candidate of every rule, which fires again as the first of the next step."""
     from riskloom.plans.alerts_queries import candidates_from
-    r = spark.readStream.schema(EVENT_SCHEMA)
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    c = (candidates_from(spark, r.parquet(landing))
-         .withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", LATE_TOLERANCE))
-    out_schema = ("metric_name string, ts timestamp_ntz, event_id bigint, value double, severity string, "
-                  "cooldown_s double, fired boolean")
-    fired = c.groupBy("metric_name").applyInPandasWithState(_cooldown_step, out_schema, COOLDOWN_STATE, "append",
-                                                             GroupStateTimeout.NoTimeout)
-    return (fired.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
-                 .outputMode("append").trigger(availableNow=True).start())
-
-
-EMIT_STATE = "last_value double, last_date date"
-
-
-def _emit_step(min_change: float):
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """Per ticker: emit when nothing was emitted before or the value moved
-        >= min_change since the last *emitted* value; days already seen are
-        skipped."""
-        pdf = pd.concat(list(pdfs)).sort_values("date", kind="stable")
-        last, last_date = state.get if state.exists else (None, None)
-        if last_date is not None:
-            pdf = pdf[pdf["date"] > last_date]
-        v = pdf["close"].to_numpy(dtype="float64")
-        emitted = np.zeros(len(pdf), dtype=bool)
-        change = np.full(len(pdf), np.nan)
-        for i in range(len(pdf)):
-            if np.isnan(v[i]):
-                continue
-            if last is None or abs(v[i] - last) >= min_change:
-                emitted[i] = True
-                change[i] = v[i] - (last if last is not None else v[i])
-                last = float(v[i])
-        if len(pdf):
-            last_date = pdf["date"].iloc[-1]
-        state.update((last, last_date))
-        yield pdf.assign(emitted=emitted, change=change)
-    return step
+    from riskloom.streaming.folds import alert_cooldown
+    cols = [c.split()[0] for c in COOLDOWN_SCHEMA.split(", ")]
+    job = OrderedJob(COOLDOWN_SCHEMA.replace(", fired boolean", ""), "ts",
+                     lambda rows: alert_cooldown(rows, "metric_name", "ts", "event_id", "cooldown_s"),
+                     lambda m: m.select(*cols),
+                     lambda m: _newest(m.where("fired"), "metric_name", ["ts", "event_id"], cols[:-1]))
+    c = candidates_from(spark, _landed(spark, landing, EVENT_SCHEMA, max_files_per_trigger))
+    return OrderedStream(spark, job, sink, f"{checkpoint}/ordered", lateness_s).run(c, f"{checkpoint}/query", close)
 
 
 def emit_on_change_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str, min_change: float,
-                          max_files_per_trigger: int | None = 64):
+                          max_files_per_trigger: int | None = 64, lateness_s: float = 86400.0, close: bool = True):
     """daily prices landing folder (ticker, date, close) → per-ticker
-    emit-on-change fold → parquet sink."""
-    r = spark.readStream.schema("ticker bigint, date date, close double")
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    out_schema = "ticker bigint, date date, close double, emitted boolean, change double"
-    out = r.parquet(landing).groupBy("ticker").applyInPandasWithState(
-        _emit_step(min_change), out_schema, EMIT_STATE, "append", GroupStateTimeout.NoTimeout)
-    return (out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
-               .outputMode("append").trigger(availableNow=True).start())
+    emit-on-change → parquet sink.  Carried over: the last emitted day of every
+    ticker, which emits again as the first of the next step."""
+    from riskloom.streaming.folds import emit_on_change
+    cols = [c.split()[0] for c in EMIT_SCHEMA.split(", ")]
+    schema = "ticker bigint, date date, close double"
+    job = OrderedJob(schema, "date", lambda rows: emit_on_change(rows, "ticker", ["date"], "close", min_change),
+                     lambda m: m.select(*cols), lambda m: _newest(m.where("emitted"), "ticker", ["date"], cols[:3]))
+    rows = _landed(spark, landing, schema, max_files_per_trigger)
+    return OrderedStream(spark, job, sink, f"{checkpoint}/ordered", lateness_s).run(rows, f"{checkpoint}/query", close)
 
 
 def hourly_metrics_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str):
@@ -191,8 +100,4 @@ def hourly_metrics_stream(spark: SparkSession, landing: str, sink: str, checkpoi
                .outputMode("append").trigger(availableNow=True).start())
 
 
-def land_events_by_day(events: DataFrame, landing: str) -> str:
-    """Write events into a landing folder partitioned by day (one distributed
-    write; each task writes its own files per day)."""
-    (events.withColumn("day", F.to_date("ts")).write.partitionBy("day").mode("append").parquet(landing))
-    return landing
+__all__ = ["read_sink", "score_alert_stream", "cooldown_stream", "emit_on_change_stream", "hourly_metrics_stream"]

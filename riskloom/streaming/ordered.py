@@ -1,0 +1,114 @@
+"""Streams whose result depends on the order of events, fed in any order.
+
+Files of a landing folder arrive in no particular order, so a micro-batch may
+hold events older than those of the batch before.  Rows therefore wait: a row
+is released once an event more than ``lateness`` newer has been seen, and
+released rows are worked on in event-time order by the job's batch operator,
+together with the rows carried over from what was released before (the last
+one of each key, say).  The result is that of the batch operator over all
+rows, for any number and order of files whose disorder is within ``lateness``.
+Rows that come later than that are not dropped silently: they are written to
+``late``.  ``close`` releases what still waits when the input has ended.
+
+Each micro-batch writes its tables (staged rows, marked rows, carry, bounds)
+under its own version, so a repeated batch overwrites the same folders and
+nothing is emitted twice.  All work is distributed: no state sits in a task.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+@dataclass
+class OrderedJob:
+    """``mark(rows)``: the batch operator over rows with a boolean ``fresh``
+    (false: carried over), which it keeps; ``output(marked)`` and
+    ``carry(marked)``: what to emit of fresh rows, and the rows to carry."""
+    schema: str
+    time: str
+    mark: Callable[[DataFrame], DataFrame]
+    output: Callable[[DataFrame], DataFrame]
+    carry: Callable[[DataFrame], DataFrame]
+
+
+META = "released timestamp_ntz, newest timestamp_ntz"
+
+
+class OrderedStream:
+    def __init__(self, spark: SparkSession, job: OrderedJob, sink: str, base: str, lateness_s: float):
+        self.spark, self.job, self.sink, self.base, self.lateness_s = spark, job, sink, base, lateness_s
+        self.columns = StructType.fromDDL(job.schema).names
+
+    def _bounds(self, before: int | None = None):
+        """(version, released, newest) of the last version, or of the last one
+        below ``before``."""
+        meta = self._read("meta", META + ", version int")
+        meta = meta if before is None else meta.where(F.col("version") < before)
+        return meta.orderBy(F.desc("version")).first()
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        path = f"{self.base}/{name}"
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        if not at.getFileSystem(conf).exists(at):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def step(self, new: DataFrame | None, version: int) -> None:
+        """One micro-batch; ``new`` is None to release all that waits."""
+        job, last = self.job, self._bounds(version)
+        waiting = (None if last is None else self.spark.read.schema(job.schema).parquet(f"{self.base}/staged/version={last.version}"))
+        if waiting is not None and last.released is not None:
+            waiting = waiting.where(F.col(job.time) > F.lit(last.released))
+        if new is not None:
+            new = new.select(*self.columns)
+            if last is not None and last.released is not None:
+                new.where(F.col(job.time) <= F.lit(last.released)).write.mode("overwrite").parquet(
+                    f"{self.base}/late/version={version}")
+                new = new.where(F.col(job.time) > F.lit(last.released))
+            waiting = new if waiting is None else waiting.unionByName(new)
+        if waiting is None:
+            return
+        staged_at = f"{self.base}/staged/version={version}"
+        waiting.write.mode("overwrite").parquet(staged_at)
+        staged = self.spark.read.schema(job.schema).parquet(staged_at)
+        seen = staged.agg(F.max(F.col(job.time).cast("timestamp_ntz"))).first()[0]
+        newest = max((t for t in (seen, None if last is None else last.newest) if t is not None), default=None)
+        if newest is None:
+            return
+        released = newest if new is None else self.spark.range(1).select(
+            F.lit(newest) - F.make_dt_interval(secs=F.lit(float(self.lateness_s)))).first()[0]
+        rows = staged.where(F.col(job.time) <= F.lit(released)).withColumn("fresh", F.lit(True))
+        if last is not None:
+            rows = rows.unionByName(self.spark.read.schema(job.schema).parquet(
+                f"{self.base}/carry/version={last.version}").withColumn("fresh", F.lit(False)))
+        marked_at = f"{self.base}/marked/version={version}"
+        job.mark(rows).write.mode("overwrite").parquet(marked_at)
+        marked = self.spark.read.parquet(marked_at)
+        job.carry(marked).select(*self.columns).write.mode("overwrite").parquet(f"{self.base}/carry/version={version}")
+        job.output(marked.where("fresh")).write.mode("overwrite").parquet(f"{self.sink}/version={version}")
+        if last is not None and last.released is not None:
+            released = max(released, last.released)
+        self.spark.createDataFrame([(released, newest)], META).coalesce(1).write.mode("overwrite").parquet(
+            f"{self.base}/meta/version={version}")
+
+    def run(self, stream: DataFrame, checkpoint: str, close: bool = True):
+        """Process all that has landed; returns the finished query."""
+        q = (stream.writeStream.foreachBatch(lambda df, batch: self.step(df, 2 * batch))
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()
+        if close:
+            last = self._bounds()
+            if last is not None:
+                self.step(None, last.version + 1 if last.version % 2 == 0 else last.version)
+        return q
+
+
+def read_sink(spark: SparkSession, sink: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(sink)

@@ -12,61 +12,79 @@ from tools.check_oracle import canon_rows
 import __spark_entry__ as E
 
 
-def test_score_alerts_state_carries_across_micro_batches(spark):
+def _shuffled_files(spark, df, path, n=200):
+    """``df`` in n files, each with rows of all times."""
+    df.withColumn("__h", F.pmod(F.xxhash64(*df.columns), F.lit(n))).repartition(n, "__h").drop("__h").sortWithinPartitions(
+        F.rand(3)).write.option("maxRecordsPerFile", max(1, df.count() // n)).parquet(path)
+
+
+def _same(got, want):
+    cols = want.columns
+    assert canon_rows(cols, [tuple(r) for r in got.select(*cols).collect()]) == \
+        canon_rows(cols, [tuple(r) for r in want.collect()])
+
+
+def test_files_in_any_order_and_several_batches(spark):
     base = scratch_table_path(spark, "test-stream")
     ev = table(spark, SF_SMALL, "events")
-    # land day folders oldest first, so one-file micro-batches arrive in time order
-    days = sorted(r[0] for r in ev.select(F.to_date("ts")).distinct().collect())
-    for d in days:
-        ev.where(F.to_date("ts") == F.lit(d)).coalesce(1).write.parquet(f"{base}/landing/day={d.isoformat()}")
-    q = jobs.score_alert_stream(spark, f"{base}/landing", f"{base}/sink", f"{base}/ckpt", max_files_per_trigger=1)
-    q.awaitTermination()
-    assert len(q.recentProgress) >= 2  # really several micro-batches
-    got = round_doubles(spark.read.schema(jobs.ALERT_SCHEMA).parquet(f"{base}/sink"), 6)
-    want = E.queries()["score_change_alert"](spark, SF_SMALL)
-    cols = want.columns
-    g = got.select(*cols)
-    assert canon_rows(cols, [tuple(r) for r in g.collect()]) == canon_rows(cols, [tuple(r) for r in want.collect()])
+    _shuffled_files(spark, ev, f"{base}/landing")
+    span = jobs.span_seconds(ev, "ts")
+    q = jobs.score_alert_stream(spark, f"{base}/landing", f"{base}/s1", f"{base}/c1", lateness_s=span)
+    assert len(q.recentProgress) >= 2
+    _same(round_doubles(jobs.read_sink(spark, f"{base}/s1", jobs.ALERT_SCHEMA), 6), E.queries()["score_change_alert"](spark, SF_SMALL))
+    q = jobs.cooldown_stream(spark, f"{base}/landing", f"{base}/s2", f"{base}/c2", lateness_s=span)
+    assert len(q.recentProgress) >= 2
+    _same(round_doubles(jobs.read_sink(spark, f"{base}/s2", jobs.COOLDOWN_SCHEMA), 6), E.queries()["alert_cooldown"](spark, SF_SMALL))
+    from riskloom.operators.alerts import BROADCAST_MIN_CHANGE
+    from riskloom.sources import panel as P
+    daily = P.prices_daily(spark, SF_SMALL).select("ticker", "date", "close")
+    _shuffled_files(spark, daily, f"{base}/daily")
+    q = jobs.emit_on_change_stream(spark, f"{base}/daily", f"{base}/s3", f"{base}/c3", BROADCAST_MIN_CHANGE,
+                                   lateness_s=jobs.span_seconds(daily, "date"))
+    assert len(q.recentProgress) >= 2
+    _same(round_doubles(jobs.read_sink(spark, f"{base}/s3", jobs.EMIT_SCHEMA), 6), E.queries()["broadcast_on_change"](spark, SF_SMALL))
 
 
-def test_restart_from_checkpoint_emits_nothing_twice(spark):
-    base = scratch_table_path(spark, "test-stream-restart")
-    table(spark, SF_SMALL, "events").write.parquet(f"{base}/landing")
-    for _ in range(2):  # second run resumes from the checkpoint: no new input, no new output
-        jobs.score_alert_stream(spark, f"{base}/landing", f"{base}/sink", f"{base}/ckpt").awaitTermination()
-    n = spark.read.schema(jobs.ALERT_SCHEMA).parquet(f"{base}/sink").count()
-    assert n == E.queries()["score_change_alert"](spark, SF_SMALL).count()
+def test_days_in_order_release_as_they_come(spark):
+    """With day folders oldest first, batches emit before the input has ended,
+    and carried rows connect them."""
+    base = scratch_table_path(spark, "test-stream-days")
+    ev = table(spark, SF_SMALL, "events")
+    days = sorted(r[0] for r in ev.select(F.to_date("ts")).distinct().collect())[:6]
+    some = ev.where(F.to_date("ts") <= F.lit(days[-1]))
+    for i, d in enumerate(days):
+        some.where(F.to_date("ts") == F.lit(d)).coalesce(1).write.parquet(f"{base}/landing/day={d.isoformat()}")
+        jobs.score_alert_stream(spark, f"{base}/landing", f"{base}/sink", f"{base}/ckpt", close=i == len(days) - 1)
+        jobs.cooldown_stream(spark, f"{base}/landing", f"{base}/sink2", f"{base}/ckpt2", close=i == len(days) - 1)
+        if i == 2:
+            assert jobs.read_sink(spark, f"{base}/sink", jobs.ALERT_SCHEMA).count() > 0
+    from riskloom.operators import alerts as A
+    from riskloom.plans.alerts_queries import candidates_from
+    from riskloom.streaming.folds import alert_cooldown
+    rows = some.select(F.col("user_id").alias("id"), "ts", "event_id", (F.col("value") / 100.0).alias("score"))
+    want = A.change_alerts(A.score_trend(rows, "id", ["ts", "event_id"], "score"))
+    _same(jobs.read_sink(spark, f"{base}/sink", jobs.ALERT_SCHEMA), want.select(*[c.split()[0] for c in jobs.ALERT_SCHEMA.split(", ")]))
+    _same(jobs.read_sink(spark, f"{base}/sink2", jobs.COOLDOWN_SCHEMA),
+          alert_cooldown(candidates_from(spark, some), "metric_name", "ts", "event_id", "cooldown_s"))
 
 
-def test_late_rows_are_dropped(spark):
+def test_restart_emits_nothing_twice_and_late_rows_are_set_aside(spark):
     import datetime as dt
     base = scratch_table_path(spark, "test-stream-late")
     schema = jobs.EVENT_SCHEMA
     t = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
-    on_time = [(1, t(10), 1, "view", 10.0, "{}"), (2, t(11), 1, "view", 50.0, "{}"), (3, t(12), 1, "view", 90.0, "{}")]
-    late = [(4, t(9), 1, "view", 0.0, "{}"),        # 3 h behind: beyond the watermark
-            (5, t(11, 50), 1, "view", 20.0, "{}")]  # within tolerance, older than the last row of id 1
-    spark.createDataFrame(on_time, schema).coalesce(1).write.parquet(f"{base}/landing/a=1")
-    spark.createDataFrame(late, schema).coalesce(1).write.parquet(f"{base}/landing/a=2")
-    q = jobs.score_alert_stream(spark, f"{base}/landing", f"{base}/sink", f"{base}/ckpt", max_files_per_trigger=1)
-    q.awaitTermination()
-    got = sorted(r["event_id"] for r in spark.read.schema(jobs.ALERT_SCHEMA).parquet(f"{base}/sink").collect())
-    assert got == [2, 3]
-
-
-def test_cooldown_stream_state_across_micro_batches(spark):
-    base = scratch_table_path(spark, "test-stream-cooldown")
-    ev = table(spark, SF_SMALL, "events")
-    days = sorted(r[0] for r in ev.select(F.to_date("ts")).distinct().collect())
-    for d in days:
-        ev.where(F.to_date("ts") == F.lit(d)).coalesce(1).write.parquet(f"{base}/landing/day={d.isoformat()}")
-    q = jobs.cooldown_stream(spark, f"{base}/landing", f"{base}/sink", f"{base}/ckpt", max_files_per_trigger=1)
-    q.awaitTermination()
-    got = round_doubles(spark.read.parquet(f"{base}/sink"), 6)
-    want = E.queries()["alert_cooldown"](spark, SF_SMALL)
-    cols = want.columns
-    assert canon_rows(cols, [tuple(r) for r in got.select(*cols).collect()]) == \
-        canon_rows(cols, [tuple(r) for r in want.collect()])
+    first = [(1, t(10), 1, "view", 10.0, "{}"), (2, t(11), 1, "view", 50.0, "{}"), (3, t(12), 1, "view", 90.0, "{}")]
+    then = [(4, t(9), 1, "view", 0.0, "{}"),         # 3 h behind: later than the tolerance
+            (5, t(11, 50), 1, "view", 20.0, "{}")]   # within it: takes its place before event 3
+    spark.createDataFrame(first, schema).coalesce(1).write.parquet(f"{base}/landing/a=1")
+    jobs.score_alert_stream(spark, f"{base}/landing", f"{base}/sink", f"{base}/ckpt", close=False)
+    spark.createDataFrame(then, schema).coalesce(1).write.parquet(f"{base}/landing/a=2")
+    for _ in range(2):
+        jobs.score_alert_stream(spark, f"{base}/landing", f"{base}/sink", f"{base}/ckpt")
+    got = sorted((r["event_id"], r["previous_score"]) for r in jobs.read_sink(spark, f"{base}/sink", jobs.ALERT_SCHEMA).collect())
+    assert got == [(2, .1), (3, .2), (5, .5)]
+    late = spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/ckpt/ordered/late").collect()
+    assert [r["event_id"] for r in late] == [4]
 
 
 def test_online_sgd_stream_equals_batch_learner(spark):
