@@ -11,6 +11,7 @@ aggregates in the same pass instead of extra group-bys and joins.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -101,28 +102,30 @@ def clean_token(v) -> str:
     return re.sub(r"[^0-9A-Za-z]+", "_", str(v)).strip("_") or "blank"
 
 
-def discover_vocabulary(df: DataFrame, cols: Sequence[str], max_values: int = 256) -> dict[str, list]:
+def discover_vocabulary(df: DataFrame, cols: Sequence[str]) -> dict[str, list]:
     """Distinct values per categorical column in one distributed job.
 
-    The result is bounded: the job stops at ``max_values`` distinct values per
-    column overall and raises when a column exceeds it, so a high-cardinality
-    column can never flood the driver.
+    Each value becomes an output column, so what is collected is as large as
+    the schema it makes.
     """
     if not cols:
         return {}
     pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in cols
     ])).alias("p")).select("p.k", "p.v").where(F.col("v").isNotNull()).distinct()
-    limit = max_values * len(cols) + 1
-    rows = pairs.limit(limit).collect()
     vocab: dict[str, list] = {c: [] for c in cols}
-    for r in rows:
+    for r in pairs.collect():
         vocab[r["k"]].append(r["v"])
-    for c, vs in vocab.items():
-        if len(vs) > max_values:
-            raise ValueError(f"column {c} has more than {max_values} categories")
-        vs.sort()
-    return vocab
+    return {c: sorted(vs) for c, vs in vocab.items()}
+
+
+def category_tokens(values: Sequence) -> dict:
+    """Column-name token of each category value.  Values whose tokens would be
+    equal (up to letter case) get the value's CRC appended, so names stay unique
+    whatever the other values are."""
+    plain = [clean_token(v).lower() for v in values]
+    return {v: clean_token(v) if plain.count(p) == 1 and p != "nan" else f"{clean_token(v)}_{zlib.crc32(str(v).encode()):08x}"
+            for v, p in zip(values, plain)}
 
 
 def category_share_exprs(vocab: Mapping[str, Sequence], prefix: str = "", suffix: str = "_MEAN",
@@ -134,9 +137,8 @@ def category_share_exprs(vocab: Mapping[str, Sequence], prefix: str = "", suffix
     """
     out = []
     for col, values in vocab.items():
-        for v in values:
-            out.append(F.avg(F.col(col).eqNullSafe(F.lit(v)).cast("double"))
-                       .alias(f"{prefix}{col}_{clean_token(v)}{suffix}"))
+        for v, token in category_tokens(values).items():
+            out.append(F.avg(F.col(col).eqNullSafe(F.lit(v)).cast("double")).alias(f"{prefix}{col}_{token}{suffix}"))
         if nan_category:
             out.append(F.avg(F.col(col).isNull().cast("double")).alias(f"{prefix}{col}_nan{suffix}"))
     return out
@@ -147,8 +149,8 @@ def one_hot_exprs(vocab: Mapping[str, Sequence], nan_category: bool = False,
     """Indicator columns (0/1 int) per category value, for row-level one-hot."""
     out = [F.col(k) for k in keep]
     for col, values in vocab.items():
-        for v in values:
-            out.append(F.col(col).eqNullSafe(F.lit(v)).cast("int").alias(f"{col}_{clean_token(v)}"))
+        for v, token in category_tokens(values).items():
+            out.append(F.col(col).eqNullSafe(F.lit(v)).cast("int").alias(f"{col}_{token}"))
         if nan_category:
             out.append(F.col(col).isNull().cast("int").alias(f"{col}_nan"))
     return out

@@ -22,36 +22,53 @@ MISSING_DROP_RATIO = 0.3     # drop columns with null share > 0.3
 UNFILLED_THRESHOLD_PCT = 30  # share of columns with more than 30 % missing
 
 
-def profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Per column: n, non-null, % missing, distinct, dtype, min, max, std."""
+def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column_name, n_unique): columns unpivoted to (column, value), so every
+    column is one grouped count and no row is copied per column and key."""
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("v"))
+                                          for c in cols])).alias("p")).select("p.*").where("v IS NOT NULL").distinct()
+    return pairs.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_unique"))
+
+
+def profile(df: DataFrame, cols: Sequence[str] | None = None, distinct: bool = False) -> DataFrame:
+    """Per column: n, non-null, % missing, dtype, min, max, std, and ``n_unique``
+    where ``distinct`` asks for it (NULL otherwise).  Without it the plan is one
+    aggregate over one scan."""
     cols = list(cols or df.columns)
     types = {f.name: f.dataType for f in df.schema.fields}
     aggs = [F.count(F.lit(1)).alias("__n")]
     for c in cols:
         x = F.col(f"`{c}`")
         num = isinstance(types[c], NumericType)
-        aggs += [F.count(x).alias(f"nn__{c}"), F.count_distinct(x).alias(f"nd__{c}"),
+        aggs += [F.count(x).alias(f"nn__{c}"),
                  (F.min(x).cast("double") if num else F.lit(None).cast("double")).alias(f"mn__{c}"),
                  (F.max(x).cast("double") if num else F.lit(None).cast("double")).alias(f"mx__{c}"),
                  (F.sqrt(var_of(x.cast("double"))) if num else F.lit(None).cast("double")).alias(f"sd__{c}")]
     row = df.agg(*aggs)
     structs = [F.struct(F.lit(c).alias("column_name"), F.lit(types[c].simpleString()).alias("dtype"),
-                        F.col(f"nn__{c}").alias("non_null"), F.col(f"nd__{c}").alias("n_unique"),
+                        F.col(f"nn__{c}").alias("non_null"),
                         F.col(f"mn__{c}").alias("min"), F.col(f"mx__{c}").alias("max"),
                         F.col(f"sd__{c}").alias("std")) for c in cols]
     long = row.select("__n", F.explode(F.array(*structs)).alias("s")).select("__n", "s.*")
+    if distinct:
+        long = long.join(distinct_counts(df, cols), "column_name", "left").withColumn(
+            "n_unique", F.coalesce("n_unique", F.lit(0).cast("bigint")))
+    else:
+        long = long.withColumn("n_unique", F.lit(None).cast("bigint"))
     return long.select("column_name", "dtype", F.col("__n").alias("n_rows"), "non_null",
                        ((F.col("__n") - F.col("non_null")) * 100.0 / F.col("__n")).alias("pct_missing"),
                        "n_unique", "min", "max", "std")
 
 
-def fill_rate(prof: DataFrame, top: int = 200, include_full: bool = False) -> DataFrame:
-    """% filled (half-even rounding as numpy), sorted desc, top-n, bucket of 7."""
+def fill_rate(prof: DataFrame, top: int | None = None, include_full: bool = False) -> DataFrame:
+    """% filled (half-even rounding as numpy) and bucket of 7; the ``top``
+    fullest columns where a report asks for some."""
     taux = F.bround(F.lit(100.0) - F.col("pct_missing"), 0)
     r = prof.select("column_name", taux.alias("taux"))
     if not include_full:
         r = r.where(F.col("taux") < 99.99)
-    r = r.orderBy(F.col("taux").desc(), F.col("column_name")).limit(top)
+    if top is not None:
+        r = r.orderBy(F.col("taux").desc(), F.col("column_name")).limit(top)
     return r.withColumn("bucket", F.floor(F.col("taux") / 7) * 7)
 
 

@@ -86,13 +86,9 @@ def q_local(spark, d):
 
 
 @register("global_importance", esql(f"""SELECT feature, {sqlgen.mean_of('abs(contribution)')} AS mean_abs_contribution,
-  count(*) AS n FROM lc WHERE {KEY} IN (SELECT {KEY} FROM ct ORDER BY {s_hash(KEY, 42)} LIMIT 1000) GROUP BY feature"""))
+  count(*) AS n FROM lc GROUP BY feature"""))
 def q_global(spark, d):
-    from riskloom.operators.sampling import sample_n
-    ct = client_table(spark, d)
-    sample = sample_n(ct.select(KEY), KEY, 1000, 42)
-    lc = X.contributions(ct, KEY, COEF, INTERCEPT, means(ct)).join(sample, KEY, "left_semi")
-    return round_doubles(X.global_importance(lc), DIGITS)
+    return round_doubles(X.global_importance(contrib(spark, d)), DIGITS)
 
 
 def _top_sql(k: int) -> str:

@@ -89,12 +89,10 @@ def q_shap(spark, d):
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
-    from riskloom.operators.sampling import sample_n
     f = SQ.feats(spark, d)
     model = Pipeline(stages=[VectorAssembler(inputCols=SQ.FEATS, outputCol="features"),
                              RandomForestClassifier(featuresCol="features", labelCol="y", numTrees=20, seed=42)]).fit(f)
-    rows = sample_n(f, "vec_id", 20, 42)
-    return round_doubles(ML.sampled_contributions(model, rows, f, "vec_id", SQ.FEATS, permutations=8), DIGITS)
+    return round_doubles(ML.sampled_contributions(model, f, f, "vec_id", SQ.FEATS, permutations=8), DIGITS)
 
 
 @register("online_sgd")

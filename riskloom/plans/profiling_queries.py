@@ -54,7 +54,7 @@ PROFILE_SQL = " UNION ALL ".join(
 
 @register("describe_columns", pfsql(PROFILE_SQL))
 def q_describe(spark, d):
-    return round_doubles(PR.profile(pf(spark, d)), DIGITS)
+    return round_doubles(PR.profile(pf(spark, d), distinct=True), DIGITS)
 
 
 @register("missing_share", pfsql(f"SELECT column_name, pct_missing / 100.0 AS missing_share FROM ({PROFILE_SQL}) p"))
@@ -64,8 +64,7 @@ def q_missing(spark, d):
 
 
 @register("fill_rate", pfsql(f"""SELECT column_name, taux, floor(taux / 7) * 7 AS bucket FROM (
-  SELECT column_name, round_even(100.0 - pct_missing, 0) AS taux FROM ({PROFILE_SQL}) p) x WHERE taux < 99.99
-  ORDER BY taux DESC, column_name LIMIT 200"""))
+  SELECT column_name, round_even(100.0 - pct_missing, 0) AS taux FROM ({PROFILE_SQL}) p) x WHERE taux < 99.99"""))
 def q_fill(spark, d):
     return round_doubles(PR.fill_rate(PR.profile(pf(spark, d))), DIGITS)
 
@@ -79,7 +78,7 @@ DEC_KEEP = ["single_value", "non_var", "keep_sparse_rule", "drop_missing_rule",
 
 def _decision_query(flag: str):
     def q(spark, d):
-        dec = PR.decisions(PR.profile(pf(spark, d)))
+        dec = PR.decisions(PR.profile(pf(spark, d), distinct=flag == "single_value"))
         return dec.where(F.col(flag)).select("column_name")
     return q
 

@@ -7,9 +7,9 @@ sinks write to shared storage and are idempotent where the reference is
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
@@ -62,11 +62,24 @@ def to_json_records(df: DataFrame, key: str) -> DataFrame:
 def reuse_or_compute(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
     """Reload the stored result if present, else compute, store and reload
     (the stored table also cuts the lineage of the computation)."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        compute().write.mode("ignore").parquet(path)
-        return spark.read.parquet(path)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    # only a committed table is reused: a half-written folder has no marker
+    if not done.getFileSystem(conf).exists(done):
+        compute().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def input_version(spark: SparkSession, path: str) -> str:
+    """Digest of the names, sizes and times of the files below ``path``: a key
+    under which derived results may be kept."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files, seen = at.getFileSystem(conf).listFiles(at, True), []
+    while files.hasNext():
+        f = files.next()
+        seen.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(seen)).encode()).hexdigest()
 
 
 ARTICLE_SCHEMA = ("title string, description string, content string, url string, publishedAt string, "

@@ -73,15 +73,31 @@ def _number(text: Column) -> Column:
     return t.try_cast("double")
 
 
-def xml_metric(xml: Column, tags: list[str]) -> Column:
-    """First numeric value among the candidate tags, matched on the local name
-    (namespace prefixes ignored)."""
-    vals = [_number(F.xpath_string(xml, F.lit(f"//*[local-name()='{t}']"))) for t in tags]
-    return F.coalesce(*vals)
+# An element with one of the metric tags and text only, whatever its prefix.
+XBRL_ELEMENT = (r"<(?:[\w.-]+:)?(" + "|".join(t for tags in XBRL_TAGS.values() for t in tags)
+                + r")(?:\s[^<>]*)?>([^<]*)</")
+
+
+def xml_metric(elements: Column, tags: list[str]) -> Column:
+    """First numeric value of the first tag that has one.  ``elements``: the
+    filing's (tag, text) pairs in document order."""
+    def numbers(tag):
+        return F.filter(F.transform(F.filter(elements, lambda e: e["tag"] == tag), lambda e: _number(e["text"])),
+                        lambda v: v.isNotNull())
+    return F.coalesce(*[F.get(numbers(t), F.lit(0)) for t in tags])
 
 
 def extract_xml_metrics(filings: DataFrame, xml_col: str) -> DataFrame:
-    return filings.select("*", *[xml_metric(F.col(xml_col), tags).alias(m) for m, tags in XBRL_TAGS.items()])
+    """The metrics of each filing; all NULL where its XML is not well-formed.
+    Elements are read once per filing into (tag, text) pairs, matched on the
+    local name."""
+    xml, cols = F.col(f"`{xml_col}`"), filings.columns
+    broken = F.from_xml(xml, "_corrupt_record string, __none string", {"mode": "PERMISSIVE"})["_corrupt_record"]
+    pairs = F.arrays_zip(F.regexp_extract_all(xml, F.lit(XBRL_ELEMENT), F.lit(1)).alias("tag"),
+                         F.regexp_extract_all(xml, F.lit(XBRL_ELEMENT), F.lit(2)).alias("text"))
+    read = filings.select("*", F.when(broken.isNull(), pairs).alias("__elements"))
+    return read.select(*[F.col(f"`{c}`") for c in cols],
+                       *[xml_metric(F.col("__elements"), tags).alias(m) for m, tags in XBRL_TAGS.items()])
 
 
 def html_metric(html: Column, patterns: list[str]) -> Column:
