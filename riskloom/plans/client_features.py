@@ -20,8 +20,10 @@ from riskloom.operators.aggregates import (agg_all_columns, agg_multi_stat, cate
 from riskloom.plans import sqlgen
 from riskloom.plans.common import register, round_doubles, sql_round, with_views
 from riskloom.sources import tables as T
+from riskloom.sources.tables import table
 
 # ------------------------------------------------------------------ specs
+# Statistics per column of each child table.
 BB_SPEC = {"MONTHS_BALANCE": ["min", "max", "size"]}
 BUREAU_SPEC = {
     "DAYS_CREDIT": ["min", "max", "mean", "var"],
@@ -68,11 +70,11 @@ INT_COLS = ("DAYS_CREDIT", "MONTHS_BALANCE", "MONTHS_BALANCE_MIN", "MONTHS_BALAN
 
 
 # ------------------------------------------------------------------ Spark
-def application_features(spark: SparkSession, d: str) -> DataFrame:
+def application_features(spark: SparkSession, d: str, vocab: dict | None = None) -> DataFrame:
     app = T.application(spark, d)
     # CODE_GENDER != 'XNA' with NULLs kept (role: contract type)
     app = app.where(~F.col("NAME_CONTRACT_TYPE").eqNullSafe("XNA"))
-    vocab = discover_vocabulary(app, ["NAME_CONTRACT_TYPE"])
+    vocab = vocab or discover_vocabulary(app, ["NAME_CONTRACT_TYPE"])
     return app.select(*one_hot_exprs(vocab, nan_category=False,
                                      keep=["SK_ID_CURR", "TARGET", "NATION_KEY", "AMT_BALANCE"]))
 
@@ -118,7 +120,10 @@ def pos_agg(spark: SparkSession, d: str) -> DataFrame:
 
 
 def instalments_frame(spark: SparkSession, d: str) -> DataFrame:
-    ins = T.instalments(spark, d)
+    return with_instalment_ratios(T.instalments(spark, d))
+
+
+def with_instalment_ratios(ins: DataFrame) -> DataFrame:
     return ins.select(
         "*",
         sdiv("AMT_PAYMENT", "AMT_INSTALMENT").alias("PAYMENT_PERC"),
@@ -139,11 +144,68 @@ def cc_agg(spark: SparkSession, d: str) -> DataFrame:
     return agg_all_columns(cc, "SK_ID_CURR", "CC_", CC_FNS, count_name="CC_COUNT")
 
 
+def vocabularies(spark: SparkSession, d: str) -> dict[str, list]:
+    """Values of all category columns, each read from the table that holds it,
+    in one job."""
+    pairs = None
+    for name, cols in (("customer", ["c_mktsegment"]), ("orders", ["o_orderstatus", "o_orderpriority"]),
+                       ("lineitem", ["l_returnflag", "l_linestatus"])):
+        p = table(spark, d, name).select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in cols])).alias("p")).select("p.*")
+        pairs = p if pairs is None else pairs.unionByName(p)
+    found = pairs.where("v IS NOT NULL").groupBy("k").agg(F.array_sort(F.collect_set("v")).alias("v")).collect()
+    return {r["k"]: r["v"] for r in found}
+
+
+def order_level_agg(spark: SparkSession, d: str, vocab: dict) -> DataFrame:
+    """Bureau and previous-application features of a client: lines to orders,
+    then orders to clients, for both roles at once."""
+    bb_vocab = {"STATUS": vocab.get("l_returnflag", []), "LINE_STATUS": vocab.get("l_linestatus", [])}
+    li = T.order_lines(spark, d)
+    per_order = li.where("SK_ID_BUREAU IS NOT NULL").groupBy("SK_ID_BUREAU").agg(
+        *multi_stat_exprs(BB_SPEC, integral=integral_columns(li)), *category_share_exprs(bb_vocab),
+        F.sum("NET").alias("AMT_CREDIT"))
+    bb_cats = [c for c in per_order.columns if c.endswith("_MEAN")]
+    o = T.bureau(spark, d).join(per_order, "SK_ID_BUREAU", "left").drop("SK_ID_BUREAU")
+    o = o.select("*", F.col("AMT_CREDIT_SUM").alias("AMT_APPLICATION"), F.col("DAYS_CREDIT").alias("DAYS_DECISION"),
+                 sdiv("AMT_CREDIT_SUM", "AMT_CREDIT").alias("APP_CREDIT_PERC"),
+                 F.col("CREDIT_ACTIVE").alias("NAME_CONTRACT_STATUS"), F.col("CREDIT_PRIORITY").alias("NAME_PRODUCT_TYPE"))
+    ints = integral_columns(o)
+    status, priority = vocab.get("o_orderstatus", []), vocab.get("o_orderpriority", [])
+    subset = lambda v: F.col("CREDIT_ACTIVE") == F.lit(v)
+    exprs = (multi_stat_exprs(BUREAU_SPEC, "BURO_", integral=ints)
+             + category_share_exprs({"CREDIT_ACTIVE": status, "CREDIT_PRIORITY": priority}, "BURO_")
+             + multi_stat_exprs({c: ["mean"] for c in bb_cats}, "BURO_")
+             + multi_stat_exprs(BUREAU_SPEC, "ACTIVE_", subset(ACTIVE_VALUE), integral=ints)
+             + multi_stat_exprs(BUREAU_SPEC, "CLOSED_", subset(CLOSED_VALUE), integral=ints)
+             + multi_stat_exprs(PREV_SPEC, "PREV_", integral=ints)
+             + category_share_exprs({"NAME_CONTRACT_STATUS": status, "NAME_PRODUCT_TYPE": priority}, "PREV_")
+             + multi_stat_exprs(PREV_SPEC, "APPROVED_", subset(APPROVED_VALUE), integral=ints)
+             + multi_stat_exprs(PREV_SPEC, "REFUSED_", subset(REFUSED_VALUE), integral=ints))
+    return o.where("SK_ID_CURR IS NOT NULL").groupBy("SK_ID_CURR").agg(*exprs)
+
+
+def line_level_agg(spark: SparkSession, d: str, vocab: dict) -> DataFrame:
+    """POS, instalment and card features of a client: one join, one grouping."""
+    lines = with_instalment_ratios(T.line_roles(spark, d))
+    ints = integral_columns(lines)
+    exprs = (multi_stat_exprs(POS_SPEC, "POS_", integral=ints)
+             + category_share_exprs({"NAME_CONTRACT_STATUS": vocab.get("l_linestatus", [])}, "POS_")
+             + multi_stat_exprs(INS_SPEC, "INSTAL_", integral=ints)
+             + category_share_exprs({"PAYMENT_FLAG": vocab.get("l_returnflag", [])}, "INSTAL_")
+             + multi_stat_exprs({c: CC_FNS for c in CC_COLS}, "CC_", integral=ints)
+             + [F.count(F.lit(1)).alias(n) for n in ("POS_COUNT", "INSTAL_COUNT", "CC_COUNT")])
+    return lines.where("SK_ID_CURR IS NOT NULL").groupBy("SK_ID_CURR").agg(*exprs)
+
+
 def client_features(spark: SparkSession, d: str) -> DataFrame:
-    """application LEFT JOIN bureau, previous, POS, instalments, card aggregates."""
-    df = application_features(spark, d)
-    for part in (bureau_agg, prev_agg, pos_agg, ins_agg, cc_agg):
-        df = df.join(part(spark, d), "SK_ID_CURR", "left")
+    """application LEFT JOIN bureau, previous, POS, instalments, card
+    aggregates.  The first two are views of orders and their lines, the others
+    of the same line join, so each base table is scanned at most twice."""
+    vocab = vocabularies(spark, d)
+    df = application_features(spark, d, {"NAME_CONTRACT_TYPE": vocab.get("c_mktsegment", [])})
+    for part in (order_level_agg, line_level_agg):
+        df = df.join(part(spark, d, vocab), "SK_ID_CURR", "left")
     return df
 
 

@@ -85,34 +85,60 @@ def previous_application(spark: SparkSession, d: str) -> DataFrame:
                      days_from_ref(F.col("o_orderdate")).alias("DAYS_DECISION")))
 
 
-def instalments(spark: SparkSession, d: str) -> DataFrame:
-    return _lines_with_client(spark, d, [
+def _instalment_cols() -> list[Column]:
+    return [
         F.col("l_linenumber").cast("double").alias("NUM_INSTALMENT_VERSION"),
         F.col("l_extendedprice").alias("AMT_INSTALMENT"),
         (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("AMT_PAYMENT"),
         days_from_ref(F.date_add(F.to_date("o_orderdate"), DUE_OFFSET_DAYS)).cast("double").alias("DAYS_INSTALMENT"),
         days_from_ref(F.col("l_shipdate")).cast("double").alias("DAYS_ENTRY_PAYMENT"),
         F.col("l_returnflag").alias("PAYMENT_FLAG"),
-    ])
+    ]
 
 
-def pos_cash(spark: SparkSession, d: str) -> DataFrame:
-    return _lines_with_client(spark, d, [
+def _pos_cols() -> list[Column]:
+    return [
         (-F.col("l_linenumber")).alias("MONTHS_BALANCE"),
         F.datediff(F.to_date("l_shipdate"), F.to_date("o_orderdate")).cast("int").alias("SK_DPD"),
         F.col("l_quantity").cast("int").alias("SK_DPD_DEF"),
         F.col("l_linestatus").alias("NAME_CONTRACT_STATUS"),
-    ])
+    ]
 
 
-def credit_card(spark: SparkSession, d: str) -> DataFrame:
-    return _lines_with_client(spark, d, [
-        F.col("l_orderkey").alias("SK_ID_PREV"),
+def _card_cols() -> list[Column]:
+    return [
         F.col("l_quantity").alias("AMT_QUANTITY"),
         F.col("l_extendedprice").alias("AMT_BALANCE"),
         (F.col("l_discount") + F.lit(0.0)).alias("RATE_DISCOUNT"),
         (F.col("l_tax") + F.lit(0.0)).alias("RATE_TAX"),
-    ])
+    ]
+
+
+def instalments(spark: SparkSession, d: str) -> DataFrame:
+    return _lines_with_client(spark, d, _instalment_cols())
+
+
+def pos_cash(spark: SparkSession, d: str) -> DataFrame:
+    return _lines_with_client(spark, d, _pos_cols())
+
+
+def credit_card(spark: SparkSession, d: str) -> DataFrame:
+    return _lines_with_client(spark, d, [F.col("l_orderkey").alias("SK_ID_PREV"), *_card_cols()])
+
+
+def line_roles(spark: SparkSession, d: str) -> DataFrame:
+    """The columns of the POS, instalment and card roles in one row per line:
+    they are views of the same join."""
+    return _lines_with_client(spark, d, [*_pos_cols(), *_instalment_cols(), *_card_cols()])
+
+
+def order_lines(spark: SparkSession, d: str) -> DataFrame:
+    """bureau_balance with the net amount of each line."""
+    li = table(spark, d, "lineitem")
+    return li.select(
+        F.col("l_orderkey").alias("SK_ID_BUREAU"), (-F.col("l_linenumber")).alias("MONTHS_BALANCE"),
+        F.col("l_returnflag").alias("STATUS"), F.col("l_linestatus").alias("LINE_STATUS"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("NET"))
 
 
 # ---------------------------------------------------------------- part B roles
