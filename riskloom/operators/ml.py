@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
@@ -17,7 +18,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.operators.stats import pair_corr
 
 
 def assembled(df: DataFrame, feats: Sequence[str], out: str = "features") -> DataFrame:
@@ -65,21 +65,22 @@ def select_gbdt(df: DataFrame, feats: Sequence[str], label: str, iters: int = 50
 def gramian(df: DataFrame, feats: Sequence[str], label: str | None = None):
     """One distributed pass: n, Σx, Σxxᵀ (and Σxy, Σy) over complete rows."""
     cols = list(feats) + ([label] if label else [])
-    ok = F.lit(True)
-    for c in cols:
-        ok = ok & F.col(c).isNotNull()
-    d = df.where(ok)
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(F.col(c).cast("double")).alias(f"s_{i}") for i, c in enumerate(cols)]
-    aggs += [F.sum(F.col(a).cast("double") * F.col(b).cast("double")).alias(f"p_{i}_{j}")
-             for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
-    row = d.agg(*aggs).collect()[0]  # one row of k(k+1)/2 sums: bounded by the feature count
-    n = row["n"]
-    s = np.array([row[f"s_{i}"] or 0.0 for i in range(len(cols))])
-    p = np.zeros((len(cols), len(cols)))
-    for i in range(len(cols)):
-        for j in range(i, len(cols)):
-            p[i, j] = p[j, i] = row[f"p_{i}_{j}"] or 0.0
-    return n, s, p
+    k = len(cols)
+    d = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(cols)]).dropna()
+
+    def partial(batches):
+        # a leading column of ones gives n and the sums in the same product
+        g = np.zeros((k + 1, k + 1))
+        for b in batches:
+            x = np.column_stack([np.ones(b.num_rows), *[c.to_numpy(zero_copy_only=False) for c in b.columns]])
+            g += x.T @ x
+        i, j = np.triu_indices(k + 1)
+        yield pa.RecordBatch.from_pydict({"i": i, "j": j, "v": g[i, j]})
+    rows = d.mapInArrow(partial, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    g = np.zeros((k + 1, k + 1))   # (k + 1)(k + 2) / 2 numbers: as large as the result
+    for r in rows:
+        g[r["i"], r["j"]] = g[r["j"], r["i"]] = r["v"]
+    return int(round(g[0, 0])), g[0, 1:], g[1:, 1:]
 
 
 def ridge_coefficients(n, s, p, k, alpha):
@@ -114,16 +115,13 @@ def select_rfe_ridge(df: DataFrame, feats: Sequence[str], label: str, n_select:
 
 
 def correlation_matrix_np(df: DataFrame, feats: Sequence[str]) -> np.ndarray:
-    """Pairwise-complete Pearson matrix from one distributed aggregate."""
-    aggs = [pair_corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c_{i}_{j}")
-            for i, a in enumerate(feats) for j, b in enumerate(feats) if j > i]
-    row = df.agg(*aggs).collect()[0] if aggs else {}
-    k = len(feats)
-    c = np.eye(k)
-    for i in range(k):
-        for j in range(i + 1, k):
-            v = row[f"c_{i}_{j}"]
-            c[i, j] = c[j, i] = 0.0 if v is None else v
+    """Pearson matrix over complete rows (0 where a column does not vary)."""
+    n, s, p = gramian(df, feats)
+    cov = p - np.outer(s, s) / max(n, 1)
+    sd = np.sqrt(np.clip(np.diag(cov), 0.0, None))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        c = np.where(np.outer(sd, sd) > 0, cov / np.outer(sd, sd), 0.0)
+    np.fill_diagonal(c, 1.0)
     return c
 
 
@@ -220,21 +218,17 @@ def sampled_contributions(model, rows: DataFrame, background: DataFrame, key: st
     bg = picked.withColumn("__p", F.row_number().over(Window.orderBy("__h")) - 1).drop("__h")
     r = rows.select(key, *feats).withColumn("__p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     j = r.join(bg, "__p")
-    # position of each feature in this (row, p) permutation: rank of its seeded hash
-    hs = [F.xxhash64(F.col(key), F.col("__p"), F.lit(f), F.lit(seed)) for f in feats]
-    pos = []
-    for i in range(k):
-        e = F.lit(0)
-        for jx in range(k):
-            if jx != i:
-                e = e + (hs[jx] < hs[i]).cast("int")
-        pos.append(e)
-    j = j.select("*", *[p.alias(f"__pos_{f}") for p, f in zip(pos, feats)])
+    # features in the order of this (row, p) permutation, by seeded hash
+    hashed = F.array(*[F.struct(F.xxhash64(F.col(key), F.col("__p"), F.lit(f), F.lit(seed)).alias("h"), F.lit(i).alias("i"))
+                       for i, f in enumerate(feats)])
+    j = j.withColumn("__order", F.transform(F.array_sort(hashed), lambda x: x["i"]))
     j = j.withColumn("__step", F.explode(F.sequence(F.lit(0), F.lit(k))))
+    # step s has the row's own value of the first s features
+    j = j.withColumn("__own", F.slice("__order", F.lit(1), F.col("__step")))
     inst = j.select(key, "__p", "__step",
-                    *[F.when(F.col(f"__pos_{f}") < F.col("__step"), F.col(f)).otherwise(F.col(f"__b_{f}")).alias(f) for f in feats],
-                    # the feature added at this step (step s adds the feature at position s-1)
-                    F.coalesce(*[F.when(F.col(f"__pos_{f}") == F.col("__step") - 1, F.lit(f)) for f in feats]).alias("__added"))
+                    *[F.when(F.array_contains("__own", i), F.col(f)).otherwise(F.col(f"__b_{f}")).alias(f)
+                      for i, f in enumerate(feats)],
+                    F.get(F.array(*[F.lit(f) for f in feats]), F.get("__order", F.col("__step") - 1)).alias("__added"))
     scored = model.transform(inst).select(key, "__p", "__step", "__added", vector_to_array("probability")[1].alias("__pr"))
     w = Window.partitionBy(key, "__p").orderBy("__step")
     marg = scored.withColumn("__delta", F.col("__pr") - F.lag("__pr").over(w)).where(F.col("__step") > 0)

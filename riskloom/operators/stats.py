@@ -8,7 +8,6 @@ quantiles) use the two-phase prefix counts of ``operators.ranks``.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -36,9 +35,11 @@ def unpivot_row(df: DataFrame, names: Sequence[str], value_cols: dict[str, str],
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """All-pairs Pearson r (pairwise complete), clipped to [-1, 1], long form."""
     aggs = [nclip(pair_corr(F.col(a).cast("double"), F.col(b).cast("double")), -1.0, 1.0).alias(f"{a}__{b}")
-            for a in cols for b in cols]
+            for i, a in enumerate(cols) for b in cols[i:]]
     row = df.agg(*aggs)
-    structs = [F.struct(F.lit(a).alias("feature"), F.lit(b).alias("feature_b"), F.col(f"{a}__{b}").alias("corr"))
+    at = {c: i for i, c in enumerate(cols)}
+    structs = [F.struct(F.lit(a).alias("feature"), F.lit(b).alias("feature_b"),
+                        F.col(f"{a}__{b}" if at[a] <= at[b] else f"{b}__{a}").alias("corr"))
                for a in cols for b in cols]
     return row.select(F.explode(F.array(*structs)).alias("__s")).select("__s.*")
 
@@ -68,9 +69,9 @@ def feature_quality(df: DataFrame, cols: Sequence[str], target: str) -> DataFram
                *[F.first(f"{p}_{c}").alias(f"{p}_{c}") for c in cols for p in ("r", "nn")],
                *[F.sum(F.coalesce(F.abs(F.try_divide(F.col(c) - F.col(f"mu_{c}"), F.col(f"sd_{c}"))) > 3,
                                   F.lit(False)).cast("int")).alias(f"out_{c}") for c in cols])
-    long = unpivot_row(s2.withColumn("__nn", F.col("__n")), cols,
-                       {"correlation_with_target": "r_", "non_null": "nn_", "outliers": "out_"})
-    long = long.crossJoin(F.broadcast(s2.select("__n")))
+    long = s2.select(F.explode(F.array(*[F.struct(
+        F.lit(c).alias("feature"), "__n", F.col(f"r_{c}").alias("correlation_with_target"),
+        F.col(f"nn_{c}").alias("non_null"), F.col(f"out_{c}").alias("outliers")) for c in cols])).alias("s")).select("s.*")
     miss = (F.col("__n") - F.col("non_null")) / F.col("__n")
     outr = F.col("outliers") / F.col("__n")
     return long.select("feature", F.abs("correlation_with_target").alias("importance_score"),
@@ -131,13 +132,6 @@ def ks_pvalue(lam: Column, terms: int = 100) -> Column:
     return F.when(lam <= 0, F.lit(1.0)).otherwise(nclip(s, 0.0, 1.0))
 
 
-def ks_pvalue_py(lam: float, terms: int = 100) -> float:
-    if lam <= 0:
-        return 1.0
-    s = sum(2.0 * (-1) ** (j - 1) * math.exp(-2.0 * j * j * lam * lam) for j in range(1, terms + 1))
-    return min(max(s, 0.0), 1.0)
-
-
 # ----------------------------------------------------------------- scaling
 def scale(df: DataFrame, cols: Sequence[str], how: str = "standard", suffix: str = "") -> DataFrame:
     """sklearn-style scalers fitted on the whole table (NULLs ignored in the
@@ -150,13 +144,9 @@ def scale(df: DataFrame, cols: Sequence[str], how: str = "standard", suffix: str
         st = df.agg(*[F.min(c).alias(f"__c_{c}") for c in cols],
                     *[(F.max(c) - F.min(c)).alias(f"__s_{c}") for c in cols])
     elif how == "robust":
-        parts = []
-        for c in cols:
-            q = exact_quantiles(df.select(F.col(c).cast("double").alias("__v")), "__v", [0.25, 0.5, 0.75], prefix="__q")
-            parts.append(q.select(F.col("__q1").alias(f"__c_{c}"), (F.col("__q2") - F.col("__q0")).alias(f"__s_{c}")))
-        st = parts[0]
-        for p in parts[1:]:
-            st = st.crossJoin(p)
+        q = column_quantiles(df, cols, [0.25, 0.5, 0.75])
+        st = q.select(*[F.col(f"{c}__q1").alias(f"__c_{c}") for c in cols],
+                      *[(F.col(f"{c}__q2") - F.col(f"{c}__q0")).alias(f"__s_{c}") for c in cols])
     else:
         raise ValueError(how)
     j = df.crossJoin(F.broadcast(st))
@@ -168,13 +158,24 @@ def scale(df: DataFrame, cols: Sequence[str], how: str = "standard", suffix: str
     return j.select(*keep, *out)
 
 
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], group: str | None = None) -> DataFrame:
+    """Exact quantiles of all columns in one job: one row (per ``group``) with
+    ``{column}__q{i}``.  Columns are unpivoted, ranked together by (column,
+    group), and the few results laid side by side."""
+    key = lambda c: F.struct(F.lit(c).alias("c"), *([F.col(group).alias("g")] if group else []))
+    long = df.select(F.explode(F.array(*[F.struct(key(c).alias("__k"), F.col(f"`{c}`").cast("double").alias("__v"))
+                                         for c in cols])).alias("__p")).select("__p.*")
+    q = exact_quantiles(long, "__v", list(probs), prefix="__q", group="__k")
+    names = ["__q"] if len(probs) == 1 else [f"__q{i}" for i in range(len(probs))]
+    wide = [F.max(F.when(F.col("__k.c") == c, F.col(n))).alias(f"{c}__q{i}") for c in cols for i, n in enumerate(names)]
+    return q.groupBy(F.col("__k.g").alias(group)).agg(*wide) if group else q.agg(*wide)
+
+
 def impute_median(df: DataFrame, cols: Sequence[str], group: str | None = None) -> DataFrame:
     """NULL → the column median (per ``group`` if given), exact quantiles."""
-    out = df
-    for c in cols:
-        m = exact_quantiles(df.select(*([group] if group else []), F.col(c).cast("double").alias("__v")),
-                            "__v", [0.5], prefix=f"__m_{c}", group=group)
-        # one row per group (AQE sizes the join) or one row overall (broadcast)
-        out = (out.join(m, group, "left") if group else out.crossJoin(F.broadcast(m)))
-        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"__m_{c}"))).drop(f"__m_{c}")
-    return out
+    m = column_quantiles(df, cols, [0.5], group)
+    # one row per group (AQE sizes the join) or one row overall (broadcast)
+    out = df.join(m, group, "left") if group else df.crossJoin(F.broadcast(m))
+    names = set(cols)
+    return out.select(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.col(f"{c}__q0")).alias(c) if c in names
+                        else F.col(f"`{c}`") for c in df.columns])

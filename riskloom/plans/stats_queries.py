@@ -1,6 +1,6 @@
 """Statistics, selection scores, encodings, imputation, peers (§2.11 'S', §2.4, §2.5).
 
-Feature table: embeddings → e0..e7 (first eight dimensions as double), class
+Feature table: embeddings → e0..e63 (all dimensions as double), class
 = label (0..9), binary target y = label >= 5.
 """
 
@@ -17,7 +17,7 @@ from riskloom.plans.common import register, round_doubles, sql_round, with_cte
 from riskloom.sources.tables import table
 
 DIGITS = 6
-NF = 8
+NF = 64   # all dimensions
 FEATS = [f"e{i}" for i in range(NF)]
 
 
