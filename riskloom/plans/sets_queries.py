@@ -115,11 +115,15 @@ def q_union(spark, d):
     return round_doubles(u, DIGITS)
 
 
-@register("horizontal_concat", sql_round("""SELECT x.vec_id, CAST(x.embedding[1] AS DOUBLE) AS e0, CAST(x.embedding[2] AS DOUBLE) AS e1,
-  y.label FROM embeddings x JOIN (SELECT vec_id, label FROM embeddings) y USING (vec_id)""", digits=DIGITS))
+N_DIMS = 64
+
+
+@register("horizontal_concat", sql_round("SELECT x.vec_id, " + ", ".join(
+    f"CAST(x.embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(N_DIMS))
+    + ", y.label FROM embeddings x JOIN (SELECT vec_id, label FROM embeddings) y USING (vec_id)", digits=DIGITS))
 def q_hconcat(spark, d):
     e = table(spark, d, "embeddings")
-    x = e.select("vec_id", F.col("embedding")[0].cast("double").alias("e0"), F.col("embedding")[1].cast("double").alias("e1"))
+    x = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(N_DIMS)])
     y = e.select("vec_id", "label")
     return round_doubles(x.join(y, "vec_id"), DIGITS)
 
