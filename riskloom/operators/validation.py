@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def validate_required(frames: Mapping[str, DataFrame], required: Mapping[str, Sequence[str]],
-                      spark: SparkSession) -> DataFrame:
-    """One row per (source, required column) with ``present``; warn-only, as
-    in the reference (missing columns are reported, not raised).  Only
-    schemas are inspected -- no data is read."""
-    rows = [(src, c, c in frames[src].columns) for src, cols in required.items() for c in cols]
-    return spark.createDataFrame(rows, "source string, column_name string, present boolean")
+def validate_required(frames: Mapping[str, DataFrame], required: Mapping[str, Sequence[str]]) -> DataFrame:
+    """One row per (source, required column): ``present``, and of how many rows
+    it is filled in.  Missing columns are reported, not raised; each source is
+    read once."""
+    out = None
+    for src, cols in required.items():
+        df = frames[src]
+        have = set(df.columns)
+        row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"f_{c}") for c in cols if c in have])
+        part = row.select("n", F.explode(F.array(*[F.struct(
+            F.lit(src).alias("source"), F.lit(c).alias("column_name"), F.lit(c in have).alias("present"),
+            (F.col(f"f_{c}") if c in have else F.lit(0).cast("bigint")).alias("n_filled")) for c in cols])).alias("s"))
+        part = part.select("s.source", "s.column_name", "s.present", F.col("n").alias("n_rows"), "s.n_filled")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def validate_financials(c=F.col) -> Column:

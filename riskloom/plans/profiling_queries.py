@@ -113,21 +113,19 @@ def q_numeric_only(spark, d):
     return round_doubles(PR.numeric_columns_only(a.join(t, "SK_ID_CURR")), DIGITS)
 
 
-RAW_NAMES = (["ages - (93_years)", "NAME CONTRACT TYPE"]
-             + [f"CREDIT_PRIORITY_{v}" for v in sqlgen.DOMAINS["o_orderpriority"]])
-
-
-@register("rename_clean", "SELECT * FROM (VALUES " + ", ".join(
-    f"('{n}', '{PR.clean_name(n)}')" for n in RAW_NAMES) + ") t(name, category)")
+@register("rename_clean", sql_round("""SELECT o_orderkey AS order_key, 2001 - CAST(year(o_orderdate) AS BIGINT) AS ages_93_years,
+  o_orderstatus AS "NAME_CONTRACT_TYPE", CAST(o_orderpriority = '1-URGENT' AS INTEGER) AS "CREDIT_PRIORITY_1URGENT",
+  CAST(o_orderpriority = '4-NOT SPECIFIED' AS INTEGER) AS "CREDIT_PRIORITY_4NOT_SPECIFIED", o_totalprice AS total_price_
+  FROM orders""", keep=["NAME_CONTRACT_TYPE"], digits=DIGITS))
 def q_rename(spark, d):
-    """Cleans the raw one-hot names of the order priorities (data-derived)."""
-    pr = table(spark, d, "orders").select("o_orderpriority").distinct()
-    raw = pr.select(F.concat(F.lit("CREDIT_PRIORITY_"), F.col("o_orderpriority")).alias("name"))
-    extra = spark.createDataFrame([(n,) for n in RAW_NAMES[:2]], "name string")
-    names = [r["name"] for r in raw.unionByName(extra).collect()]  # bounded: category values
-    df = spark.createDataFrame([tuple(0 for _ in names)], ", ".join(f"`{n}` int" for n in names))
-    cleaned = PR.rename_clean(df).columns
-    return spark.createDataFrame(list(zip(names, cleaned)), "name string, category string")
+    """A frame of all orders whose raw column names need cleaning."""
+    o = table(spark, d, "orders")
+    raw = o.select(
+        F.col("o_orderkey").alias("order key"), (F.lit(2001) - F.year("o_orderdate")).cast("bigint").alias("ages - (93_years)"),
+        F.col("o_orderstatus").alias("NAME CONTRACT TYPE"),
+        *[(F.col("o_orderpriority") == v).cast("int").alias(f"CREDIT_PRIORITY_{v}") for v in ("1-URGENT", "4-NOT SPECIFIED")],
+        F.col("o_totalprice").alias("total__price ($)"))
+    return round_doubles(PR.rename_clean(raw), DIGITS)
 
 
 @register("infinite_counts", sql_round("""SELECT 'x_pow' AS column_name, count(*) AS inf_count FROM events
@@ -232,13 +230,19 @@ REQUIRED = {"fundamentals": ["ticker", "date", "revenue", "total_debt", "shareho
             "news": ["ticker", "date", "sentiment_score", "news_volume", "earnings_sentiment"]}
 
 
-@register("validate_required_cols", "SELECT * FROM (VALUES " + ", ".join(
-    f"('{s}', '{c}', {str(c != 'earnings_sentiment').lower()})" for s, cs in REQUIRED.items() for c in cs)
-    + ") t(source, column_name, present)")
+def _required_sql() -> str:
+    views = {"fundamentals": "fundamentals", "prices": "prices_daily", "news": "news_daily"}
+    return " UNION ALL ".join(
+        f"SELECT '{s}' AS source, '{c}' AS column_name, {str(c != 'earnings_sentiment').lower()} AS present, count(*) AS n_rows, "
+        f"{'count(' + c + ')' if c != 'earnings_sentiment' else 'CAST(0 AS BIGINT)'} AS n_filled FROM {views[s]}"
+        for s, cs in REQUIRED.items() for c in cs)
+
+
+@register("validate_required_cols", P.with_panel_views(_required_sql(), "fundamentals", "prices_daily", "news_daily"))
 def q_validate_cols(spark, d):
     from riskloom.operators.validation import validate_required
     return validate_required({"fundamentals": P.fundamentals(spark, d), "prices": P.prices_daily(spark, d),
-                              "news": P.news_daily(spark, d)}, REQUIRED, spark)
+                              "news": P.news_daily(spark, d)}, REQUIRED)
 
 
 @register("validate_financials", P.with_panel_views(f"""SELECT ticker, date,

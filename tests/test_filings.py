@@ -50,3 +50,10 @@ def test_sums_keep_small_and_infinite_values(spark):
     assert got["s"].s == pytest.approx(9e-7) and got["s"].v == pytest.approx(1e-14)
     assert got["i"].s == float("inf") and got["b"].s == pytest.approx(1.002e15)
     assert got["n"].s is None and got["o"].v is None and got["f"].s != got["f"].s
+
+
+def test_clean_names():
+    from riskloom.operators.profiling import clean_name
+    want = {"order key": "order_key", "ages - (93_years)": "ages_93_years", "NAME CONTRACT TYPE": "NAME_CONTRACT_TYPE",
+            "CREDIT_PRIORITY_1-URGENT": "CREDIT_PRIORITY_1URGENT", "total__price ($)": "total_price_", "a___b": "a__b"}
+    assert {n: clean_name(n) for n in want} == want
