@@ -41,3 +41,15 @@ def test_projection_reaches_the_scan(spark):
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", p)
     assert schemas and all("props" not in s or "value" in s for s in schemas)
     assert all(len(s.split(",")) <= 5 for s in schemas)  # not all columns of events
+
+
+def test_client_row_scans_each_base_table_at_most_twice(spark):
+    p = plan(spark, "wide_feature_join")
+    final = p.split("== Initial Plan ==")[0]
+    for t, most in (("lineitem", 2), ("orders", 2), ("customer", 1)):
+        assert 1 <= len(re.findall(rf"FileScan parquet[^\n]*{t}\.parquet", final)) <= most, t
+
+
+@pytest.mark.parametrize("name", ["missing_share", "fill_rate", "downcast_types", "columns_full"])
+def test_profiles_without_distinct_counts_do_not_expand(spark, name):
+    assert "Expand" not in plan(spark, name)
