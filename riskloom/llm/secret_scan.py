@@ -148,7 +148,40 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "__id", "__hash", "__spans")
 
 
-@register("op9_secret_scan")
+def oracle() -> str:
+    """The same result in DuckDB SQL."""
+    q = lambda s: s.replace("'", "''")
+    word = "|".join(["".join(f"[{c.upper()}{c}]" for c in w) for w in ("password","passwd","secret","token")] + ["[Aa][Pp][Ii]_?[Kk][Ee][Yy]"])
+    kinds = [("assign", 0, rf"""(?:{word})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+             ("access", 1, r"AKIA[A-Z0-9]+", 0, 20), ("hex", 2, r"[0-9a-f]+", 0, 24), ("live", 3, r"[A-Za-z0-9+/_=-]{20,}", 0, 20)]
+    parts = []
+    for kind, rank, pat, grp, least in kinds:
+        parts.append(f"""SELECT rid, '{kind}' AS kind, {rank} AS rank, i,
+      coalesce(list_sum(list_transform(gaps[:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(whole[:i - 1], lambda x: length(x))), 0) AS s,
+      length(whole[i]) AS n, val[i] AS val FROM (
+      SELECT rid, gaps, whole, val, unnest(range(1, len(whole) + 1)) AS i FROM (
+        SELECT rid, regexp_split_to_array(t, '{q(pat)}') AS gaps, regexp_extract_all(t, '{q(pat)}', 0) AS whole,
+          regexp_extract_all(t, '{q(pat)}', {grp}) AS val FROM d WHERE regexp_matches(t, '{q(pat)}'))) WHERE length(val[i]) >= {least}""")
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+  f AS ({" UNION ALL ".join(parts)}),
+  b AS (SELECT rid, kind, rank, s, s + n AS e, val FROM f WHERE kind <> 'live'),
+  o AS (SELECT rid, kind, rank, s, s + n AS e, val FROM f WHERE kind = 'live' AND regexp_matches(val, '[0-9]') AND regexp_matches(val, '[a-z]')
+    AND regexp_matches(val, '[A-Z]') AND len(list_distinct(string_split(val, ''))) >= 10
+    AND NOT EXISTS (SELECT 1 FROM b WHERE b.rid = f.rid AND b.s < f.s + f.n AND f.s < b.e)),
+  c AS (SELECT * FROM b UNION ALL SELECT * FROM o),
+  w AS (SELECT val, count(DISTINCT coalesce('s' || source, 'n')) AS owners FROM c JOIN d USING (rid) GROUP BY val),
+  j AS (SELECT c.*, owners FROM c JOIN w USING (val)),
+  g AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+      count(*) FILTER (kind = 'hex') AS n_hex,
+      string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (kind <> 'live') AS base,
+      string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (kind <> 'live' OR owners = 1) AS spans,
+      count(*) FILTER (owners = 1) AS n_live, count(*) FILTER (owners >= 3) AS n_example FROM j GROUP BY rid)
+  SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
+    coalesce(n_example, 0) AS n_example FROM d LEFT JOIN g USING (rid)"""
+
+
+@register("op9_secret_scan", oracle())
 def q_secret_scan(spark, sf_dir):
     out = secret_spans(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != LIVE)

@@ -43,13 +43,13 @@ from riskloom.llm.common import checkpointed, register, table, text_of, written
 from riskloom.llm.components import components
 
 WIDTH, PERCENT = 4, 85
-BITS = 1024             # bits of the signatures below keys
-SAMPLE_DOCS = 20_000    # documents, about, from which frequent shingles are learnt
+LEAST_BITS, MOST_BITS = 256, 8192  # of signatures below keys; between, the power of two from the set size on
+SAMPLE_DOCS = 10_000    # documents, about, from which frequent shingles are learnt
 SAMPLE_SHINGLES = 65_536
 HOT_KEY = 4_096         # sets below one key; beyond, all are joined at once
 BLOCK = 1_024           # sets of a candidate group on either side of a task
-HUBS, HUB_ROUNDS = 16, 2
-BROADCAST_ROWS = 2_000_000  # candidate ids (16 bytes) that may be sent to all tasks
+HUBS = 32               # members of a large group that meet all others first
+BROADCAST_ROWS = 2_000_000  # rows of two longs that may be sent to all tasks; beyond, a shuffled join
 FANOUT = 32
 
 _WORDS_KEPT = 500_000
@@ -92,6 +92,16 @@ def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def signature_bits(n: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (n - 1).bit_length()))
+
+
+def folded(bits: np.ndarray) -> np.ndarray:
+    """Bitmaps at half their length: shingles keep their low bits."""
+    half = bits.shape[1] // 2
+    return bits[:, :half] | bits[:, half:]
+
+
 def _need(a, b, percent: int):
     """Least overlap of linked sets of sizes a and b."""
     total = percent * (a + b)
@@ -233,12 +243,18 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                             hit = frequent[at] == s
                             common[hit] = counts[at[hit]]
                         row["prefix"] = s[np.argsort(common, kind="stable")[:take]].view(np.int64)
-                        row["bits"] = bitmaps([s], BITS).tobytes()
+                        row["bits"] = bitmaps([s], signature_bits(len(s))).tobytes()
                 out.append(row)
             yield pa.RecordBatch.from_pylist(out, schema=types)
     return docs.mapInArrow(read, "doc_id long, n long, unit long, prefix array<long>, bits binary")
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """``df`` (checkpointed, a few longs a row) marked for broadcast where its
+    counted size allows it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _key_links(rows: DataFrame, percent: int) -> DataFrame:
     """Rows (token, id, n, bits), sorted by token in each partition, as links
     (a, b) that connect what survives below each token."""
@@ -246,17 +262,51 @@ def _key_links(rows: DataFrame, percent: int) -> DataFrame:
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
+
+        def stacked(bits, rows):
+            return np.frombuffer(b"".join(bits[rows].tolist()), np.uint64).reshape(len(rows), -1)
+
+        def level(n, bits):
+            return bits, n, n, n - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+
+        def pairs(first, n, bits, width):
+            """Which of the pairs (first, first + 1) may link."""
+            ok = np.zeros(len(first), np.bool_)
+            wide, narrow = np.maximum(width[first], width[first + 1]), np.minimum(width[first], width[first + 1])
+            for w in np.unique(narrow):
+                for twice in (False, True):
+                    at = np.flatnonzero((narrow == w) & (wide == (2 * w if twice else w)))
+                    if not len(at):
+                        continue
+                    low = np.where(width[first[at]] == w, first[at], first[at] + 1)
+                    high = 2 * first[at] + 1 - low
+                    x, y = stacked(bits, low), stacked(bits, high)
+                    y = folded(y) if twice else y
+                    k = np.arange(len(at))
+                    ok[at] = _possible(level(n[low], x), k, level(n[high], y), k, percent)
+            return ok
+
         def links(token, ids, n, bits):
+            width = np.fromiter(map(len, bits), np.int64, len(bits))
             cuts = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
             size = np.diff(cuts)
             two = cuts[:-1][size == 2]
-            level = (bits, n, n, n - np.bitwise_count(bits).sum(axis=1).astype(np.int64))
-            ok = two[_possible(level, two, level, two + 1, percent)] if len(two) else two
-            a, b = [ids[ok]], [ids[ok + 1]]
+            two = two[pairs(two, n, bits, width)]
+            a, b = [ids[two]], [ids[two + 1]]
             for s, m in zip(cuts[:-1][size > 2], size[size > 2], strict=True):
-                tree, low = SignatureTree(n[s:s + m], bits[s:s + m]), np.arange(m)
-                for i, j in survivors(tree, tree, percent, lambda i, j: low[i] != low[j]):  # noqa: B023
-                    low = _connect(low, i, j)
+                low = np.arange(m)
+                # sets that link have sizes within a factor of two: their
+                # bitmaps are of equal length, or one is folded once
+                for w in np.unique(width[s:s + m]):
+                    own = np.flatnonzero(width[s:s + m] == w)
+                    above = np.flatnonzero(width[s:s + m] == 2 * w)
+                    tree = SignatureTree(n[s + own], stacked(bits, s + own))
+                    for i, j in survivors(tree, tree, percent, lambda i, j: low[own[i]] != low[own[j]]):  # noqa: B023
+                        low = _connect(low, own[i], own[j])
+                    if len(above):
+                        other = SignatureTree(n[s + above], folded(stacked(bits, s + above)))
+                        for i, j in survivors(tree, other, percent, lambda i, j: low[own[i]] != low[above[j]]):  # noqa: B023
+                            low = _connect(low, own[i], above[j])
                 moved = np.flatnonzero(low != np.arange(m))
                 a.append(ids[s:s + m][moved])
                 b.append(ids[s:s + m][low[moved]])
@@ -264,7 +314,8 @@ def _key_links(rows: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bits = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            bits = np.empty(batch.num_rows, dtype=object)
+            bits[:] = batch.column(3).to_pylist()
             got = [batch.column(i).to_numpy() for i in range(3)] + [bits]
             if held is not None:
                 got = [np.concatenate(x) for x in zip(held, got, strict=True)]
@@ -284,11 +335,12 @@ def candidate_links(sigs: DataFrame, percent: int) -> DataFrame:
     kept = (keys.groupBy("token").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("who"))
             .where("members > 1").groupBy("members", "who").agg(F.min("token").alias("token")))
     kept = checkpointed(kept.select("token", "members"))
-    below = keys.join(kept.where(F.col("members") <= HOT_KEY).select("token"), "token")
+    below = checkpointed(keys.join(_sent(kept), "token"))
+    hot = below.where(F.col("members") > HOT_KEY).select("token", "id")
+    below = below.where(F.col("members") <= HOT_KEY)
     rows = below.join(units.select(F.col("doc_id").alias("id"), "n", "bits"), "id").select("token", "id", "n", "bits")
     n_parts = int(sigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = _key_links(rows.repartition(n_parts, "token").sortWithinPartitions("token"), percent)
-    hot = keys.join(kept.where(F.col("members") > HOT_KEY).select("token"), "token")
     first = hot.groupBy("token").agg(F.min("id").alias("b"))
     return found.union(hot.join(first, "token").select("id", "b")).distinct()
 
@@ -347,8 +399,7 @@ def verified_links(docs: DataFrame, groups: DataFrame, width: int, percent: int)
     """Links that connect the linked units of each candidate group.  ``docs``
     (doc_id, text), ``groups`` (id, grp)."""
     sized = checkpointed(groups.join(groups.groupBy("grp").agg(F.count("*").alias("size")), "grp"))
-    known = F.broadcast(sized) if sized.count() <= BROADCAST_ROWS else sized
-    texts = written(docs.join(known, docs["doc_id"] == sized["id"]).select("grp", "size", "id", "text"), "candidates")
+    texts = written(docs.join(_sent(sized), docs["doc_id"] == sized["id"]).select("grp", "size", "id", "text"), "candidates")
     zero = F.lit(0)
     small = texts.where(F.col("size") <= BLOCK).select(
         "grp", zero.alias("i"), zero.alias("j"), zero.alias("side"), "id", F.col("id").alias("label"), "text")
@@ -356,33 +407,27 @@ def verified_links(docs: DataFrame, groups: DataFrame, width: int, percent: int)
     large = sized.where(F.col("size") > BLOCK)
     if large.isEmpty():
         return found
-    # members of large groups, with the component that is known so far
+    # hubs: the members with the smallest hashes; a cut by hash bounds the list
     n = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), n).cast("int")
     big = texts.where(F.col("size") > BLOCK)
-    labels = checkpointed(large.select("grp", "id", F.col("id").alias("label")))
-    links = None
-    for r in range(HUB_ROUNDS):
-        # hubs: the members with the smallest hashes; a cut by hash bounds the list
-        h = F.xxhash64("id", F.lit(r))
-        share = F.least(F.lit(1.0), 4.0 * HUBS / F.col("size"))
-        near = large.where(h / float(2 ** 64) + 0.5 <= share).groupBy("grp").agg(F.slice(F.array_sort(
-            F.collect_list(F.struct(h.alias("h"), "id"))), 1, HUBS).alias("top"))
-        hub_ids = near.select("grp", F.explode("top.id").alias("id"))
-        rows = big.join(labels, ["grp", "id"])
-        hubs = rows.join(hub_ids, ["grp", "id"]).select("grp", F.explode(F.sequence(zero, n - 1)).alias("i"), zero.alias("j"),
-                                                       zero.alias("side"), "id", "label", "text")
-        others = rows.select("grp", own.alias("i"), zero.alias("j"), F.lit(1).alias("side"), "id", "label", "text")
-        new = checkpointed(_verified(hubs.union(others), width, percent))
-        links = new if links is None else links.union(new)
-        comp = components(links)
-        labels = checkpointed(large.select("grp", "id").join(comp, "id", "left").select(
-            "grp", "id", F.coalesce("component", "id").alias("label")))
+    h = F.xxhash64("id", F.lit(1))
+    share = F.least(F.lit(1.0), 4.0 * HUBS / F.col("size"))
+    near = large.where(h / float(2 ** 64) + 0.5 <= share).groupBy("grp").agg(F.slice(F.array_sort(
+        F.collect_list(F.struct(h.alias("h"), "id"))), 1, HUBS).alias("top"))
+    hub_ids = checkpointed(near.select("grp", F.explode("top.id").alias("id")))
+    hubs = big.join(_sent(hub_ids), ["grp", "id"]).select(
+        "grp", F.explode(F.sequence(zero, n - 1)).alias("i"), zero.alias("j"), zero.alias("side"), "id",
+        F.col("id").alias("label"), "text")
+    others = big.select("grp", own.alias("i"), zero.alias("j"), F.lit(1).alias("side"), "id", F.col("id").alias("label"), "text")
+    links = checkpointed(_verified(hubs.union(others), width, percent))
+    labels = checkpointed(large.select("grp", "id").join(components(links), "id", "left").select(
+        "grp", "id", F.coalesce("component", "id").alias("label")))
     main = labels.groupBy("grp", "label").count().groupBy("grp").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    rows = big.join(labels, ["grp", "id"]).join(main, "grp")
-    apart = large.join(labels, ["grp", "id"]).join(main, "grp").where("label <> main").groupBy("grp").agg(
-        F.ceil(F.count("*") / BLOCK).cast("int").alias("n_apart"))
-    rows = rows.join(apart, "grp")
+    known = labels.join(main, "grp")
+    apart = known.where("label <> main").groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_apart"))
+    known = checkpointed(known.join(apart, "grp").select("grp", "id", "label", "main", "n_apart"))
+    rows = big.join(_sent(known), ["grp", "id"])
     left = rows.where("label <> main").select(
         "grp", F.pmod(F.xxhash64("id"), F.col("n_apart")).cast("int").alias("i"),
         F.explode(F.sequence(zero, n - 1)).alias("j"), zero.alias("side"), "id", "label", "text")
@@ -405,6 +450,22 @@ def near_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-@register("op10_shingle_join")
+ORACLE_SQL = rf"""WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  s AS (SELECT DISTINCT rid, unnest(CASE WHEN len(w) < {WIDTH} THEN [array_to_string(w, ' ')] ELSE list_transform(
+    range(1, len(w) - {WIDTH - 2}), lambda i: array_to_string(w[i:i + {WIDTH - 1}], ' ')) END) AS g FROM w WHERE len(w) > 0),
+  n AS (SELECT rid, doc_id, count(g) AS n FROM w LEFT JOIN s USING (rid) GROUP BY rid, doc_id),
+  p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.rid <> b.rid GROUP BY a.rid, b.rid),
+  l AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM p JOIN n x ON x.rid = p.a JOIN n y ON y.rid = p.b
+    WHERE 100 * c >= {PERCENT} * (x.n + y.n - c) AND x.doc_id <> y.doc_id),
+  reach(doc_id, low) AS (
+    SELECT DISTINCT doc_id, doc_id FROM documents
+    UNION
+    SELECT l.b, reach.low FROM reach JOIN l ON l.a = reach.doc_id WHERE reach.low < l.b),
+  c AS (SELECT doc_id, min(low) AS component_id FROM reach GROUP BY doc_id)
+  SELECT n.doc_id, n.n AS n_shingles, c.component_id FROM n LEFT JOIN c ON c.doc_id = n.doc_id"""
+
+
+@register("op10_shingle_join", ORACLE_SQL)
 def q_shingle_join(spark, sf_dir):
     return near_documents(table(spark, sf_dir, "documents"))

@@ -394,7 +394,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
 
 
-@register("op4_suffix_dedup")
+ORACLE_SQL = f"""WITH h AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+  win AS (SELECT rid, doc_id, i, substr(h, 2 * i + 1, {2 * LENGTH}) AS w FROM (
+    SELECT rid, doc_id, h, unnest(range(0, len(h) // 2 - {LENGTH - 1})) AS i FROM h)),
+  m AS (SELECT w, min(doc_id) AS low FROM win GROUP BY w),
+  dup AS (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS prev FROM win JOIN m USING (w) WHERE low < doc_id),
+  g AS (SELECT rid, i, sum(CASE WHEN i <= prev + {LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS k FROM dup),
+  sp AS (SELECT rid, min(i) AS s, max(i) + {LENGTH} AS e FROM g GROUP BY rid, k),
+  gap AS (SELECT rid, s, e, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s), 0) AS pe FROM sp),
+  k AS (SELECT rid, count(*) AS n_spans, sum(e - s) AS n_removed, max(e) AS last,
+    string_agg(substr(h, 2 * pe + 1, 2 * (s - pe)), '' ORDER BY s) AS head FROM gap JOIN h USING (rid) GROUP BY rid)
+  SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM h LEFT JOIN k USING (rid)"""
+
+
+@register("op4_suffix_dedup", ORACLE_SQL)
 def q_suffix_dedup(spark, sf_dir):
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),

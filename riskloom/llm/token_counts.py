@@ -25,14 +25,14 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from riskloom.llm.byte_pieces import alphabet_bytes, vocabulary
 from riskloom.llm.common import register, table, text_of
 
-MEMO_PIECES = 200_000     # pieces a worker remembers; the memo is emptied beyond
-MEMO_PIECE_CHARS = 64     # longer pieces are worked out each time
+MEMO_PIECES = 1_000_000   # pieces a worker remembers (about 150 bytes each); the memo is emptied beyond
+MEMO_PIECE_CHARS = 48     # longer pieces are worked out each time
 
 
 class PrefixTables:
@@ -155,45 +155,47 @@ def token_counts(docs: DataFrame, path: str, budget: int = 1024, id_col: str = "
                  text_col: str = "text") -> DataFrame:
     """One row per document: ``n_bytes``, ``n_tokens`` and ``budget_bytes``,
     the bytes that its first ``budget`` tokens cover (where truncation cuts)."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = prefix_tables(path)
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for text in pdf["text"]:
+            for text in batch.column(1).to_pylist():
                 pieces, counts = t.prefixes(text)
                 n, size = (counts[-1] if counts else 0), len(text.encode())
                 out.append((size, n, size if n <= budget else t.first_tokens(pieces, counts, budget)))
             got = np.array(out, dtype=np.int64).reshape(-1, 3)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_bytes": got[:, 0], "n_tokens": got[:, 1],
-                                "budget_bytes": got[:, 2]})
-    return text_of(docs, id_col, text_col).mapInPandas(
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_bytes": got[:, 0], "n_tokens": got[:, 1],
+                                              "budget_bytes": got[:, 2]})
+    return text_of(docs, id_col, text_col).mapInArrow(
         count, "doc_id long, n_bytes long, n_tokens long, budget_bytes long")
 
 
 def prefix_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The table itself, one row per document: ``ends`` (characters) and
     ``tokens`` (running count) at the end of every piece."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = prefix_tables(path)
-        for pdf in batches:
-            rows = [t.prefixes(text) for text in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"),
-                                "ends": [list(accumulate(map(len, p))) for p, _ in rows],
-                                "tokens": [c for _, c in rows]})
-    return text_of(docs, id_col, text_col).mapInPandas(count, "doc_id long, ends array<long>, tokens array<long>")
+        for batch in batches:
+            rows = [t.prefixes(text) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column(0),
+                "ends": pa.array([list(accumulate(map(len, p))) for p, _ in rows], pa.list_(pa.int64())),
+                "tokens": pa.array([c for _, c in rows], pa.list_(pa.int64()))})
+    return text_of(docs, id_col, text_col).mapInArrow(count, "doc_id long, ends array<long>, tokens array<long>")
 
 
 def counts_at(docs: DataFrame, path: str, cut_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Exact token count of ``text[:cut]`` for a column of cuts in characters
     (null: the whole text)."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = prefix_tables(path)
-        for pdf in batches:
-            cuts = [len(x) if pd.isna(c) else max(0, min(int(c), len(x)))
-                    for x, c in zip(pdf["text"], pdf[cut_col], strict=True)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "cut": cuts,
-                                "n_tokens": [t.count_prefix(x, c) for x, c in zip(pdf["text"], cuts, strict=True)]})
-    return text_of(docs, id_col, text_col, cut_col).mapInPandas(count, "doc_id long, cut long, n_tokens long")
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            cuts = [len(x) if c is None else max(0, min(int(c), len(x)))
+                    for x, c in zip(texts, batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "cut": pa.array(cuts, pa.int64()), "n_tokens": pa.array(
+                [t.count_prefix(x, c) for x, c in zip(texts, cuts, strict=True)], pa.int64())})
+    return text_of(docs, id_col, text_col, cut_col).mapInArrow(count, "doc_id long, cut long, n_tokens long")
 
 
 @register("op2_token_counts")
