@@ -16,24 +16,39 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import checkpointed
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+PART_ROWS = 100_000    # links of a partition between steps, about
 
 
-def _lower(links: DataFrame) -> DataFrame:
+def _few(df: DataFrame, parts: int) -> DataFrame:
+    """Link tables shrink fast, and a step is many shuffles: as few partitions
+    as their rows need, so that a small table does not leave thousands of
+    nearly empty shuffle files behind."""
+    return df.coalesce(parts)
+
+
+def _lower(links: DataFrame, parts: int) -> DataFrame:
     """Every node's links to smaller nodes, all moved to the smallest."""
-    least = links.groupBy("a").agg(F.min("b").alias("low"))
+    least = _few(links.groupBy("a").agg(F.min("b").alias("low")), parts)
     moved = links.join(least, "a").where("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-    return moved.union(least.select("a", F.col("low").alias("b"))).distinct()
+    return _few(_few(moved, parts).union(least.select("a", F.col("low").alias("b"))).distinct(), parts)
 
 
-def _upper(links: DataFrame) -> DataFrame:
+def _upper(links: DataFrame, parts: int) -> DataFrame:
     """Every node's larger neighbours linked to its smallest neighbour (or to
     itself where it has none)."""
     both = links.union(links.select("b", "a"))
-    least = both.groupBy("a").agg(F.min("b").alias("low"))
-    return (links.select(F.col("b").alias("a"), F.col("a").alias("b")).join(least, "a")
-            .select(F.col("b").alias("a"), F.least("a", "low").alias("b"))).distinct()
+    least = _few(both.groupBy("a").agg(F.min("b").alias("low")), parts)
+    moved = links.select(F.col("b").alias("a"), F.col("a").alias("b")).join(least, "a").select(
+        F.col("b").alias("a"), F.least("a", "low").alias("b"))
+    return _few(moved, parts)
+
+
+def _settled(links: DataFrame, parts: int) -> bool:
+    """Whether all links are stars: no node links twice, or links and is linked
+    to."""
+    roles = links.select(F.col("a").alias("id"), F.lit(1).alias("out")).union(links.select("b", F.lit(0)))
+    node = _few(roles.groupBy("id").agg(F.sum("out").alias("n_out"), F.min("out").alias("least")), parts)
+    return node.where((F.col("n_out") > 1) | ((F.col("n_out") > 0) & (F.col("least") == 0))).isEmpty()
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -41,12 +56,12 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     and the smallest node that links reach."""
     now = checkpointed(links.where("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before, state = None, _state(now)
     for _ in range(max_rounds):
-        if state == before or not state[0]:
+        parts = max(1, -(-now.count() // PART_ROWS))
+        now = _few(now, parts)
+        if _settled(now, parts):
             break
-        now = checkpointed(_lower(_upper(now)))
-        before, state = state, _state(now)
+        now = checkpointed(_lower(_upper(now, parts), parts))
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
