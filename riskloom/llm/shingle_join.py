@@ -220,7 +220,7 @@ def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
 
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, n, unit, prefix, bits): ``unit`` is the id of the task's first
-    document with the same set, which alone has prefix and bitmap."""
+    row with the same set, which alone has prefix and bitmap."""
     frequent, counts = frequent_shingles(docs, width)
     types = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("unit", pa.int64()),
                        ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())])
@@ -234,8 +234,9 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 row = {"doc_id": doc_id, "n": len(s), "unit": None, "prefix": None, "bits": None}
                 if len(s) and doc_id is not None:
                     digest = xxhash.xxh3_128_digest(s.tobytes())
+                    first = digest not in units
                     row["unit"] = units.setdefault(digest, doc_id)
-                    if row["unit"] == doc_id:
+                    if first:
                         take = len(s) - (percent * len(s) + 99) // 100 + 1
                         common = np.zeros(len(s), np.int64)
                         if len(frequent):
@@ -330,15 +331,27 @@ def _key_links(rows: DataFrame, percent: int) -> DataFrame:
 
 def candidate_links(sigs: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) whose components hold every linked pair of units."""
-    units = sigs.where("prefix IS NOT NULL")
-    keys = units.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("id"))
-    kept = (keys.groupBy("token").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("who"))
-            .where("members > 1").groupBy("members", "who").agg(F.min("token").alias("token")))
-    kept = checkpointed(kept.select("token", "members"))
-    below = checkpointed(keys.join(_sent(kept), "token"))
+    units = sigs.where("prefix IS NOT NULL").select(F.col("doc_id").alias("id"), "n", "prefix", "bits")
+    # ids with several units: a key's hash is that of a set only where each of
+    # its ids is there once, and equal signatures of an id are one
+    shared = checkpointed(units.groupBy("id").agg(F.count("*").alias("n_units"), F.count_distinct(
+        F.xxhash64("n", "bits")).alias("rows")).where("n_units > 1").select("id", "rows"))
+    sides = units.select("id", "n", "bits")
+    keys = units.select(F.explode("prefix").alias("token"), "id", F.lit(1).cast("long").alias("rows"))
+    if not shared.isEmpty():
+        few = _sent(shared)
+        alone, more = units.join(few, "id", "left_anti"), units.join(few, "id")
+        sides = alone.select("id", "n", "bits").union(more.select("id", "n", "bits").distinct())
+        keys = alone.select(F.explode("prefix").alias("token"), "id", F.lit(1).cast("long").alias("rows")).union(
+            more.select(F.explode("prefix").alias("token"), "id", "rows").distinct())
+    kept = (keys.groupBy("token").agg(F.count("*").alias("ids"), F.sum("rows").alias("members"),
+                                      F.bit_xor(F.xxhash64("id")).alias("who"))
+            .where("ids > 1").groupBy("ids", "who").agg(F.min(F.struct("token", "members")).alias("key")).select("key.*"))
+    kept = checkpointed(kept)
+    below = checkpointed(keys.drop("rows").join(_sent(kept), "token"))
     hot = below.where(F.col("members") > HOT_KEY).select("token", "id")
     below = below.where(F.col("members") <= HOT_KEY)
-    rows = below.join(units.select(F.col("doc_id").alias("id"), "n", "bits"), "id").select("token", "id", "n", "bits")
+    rows = below.join(sides, "id").select("token", "id", "n", "bits")
     n_parts = int(sigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = _key_links(rows.repartition(n_parts, "token").sortWithinPartitions("token"), percent)
     first = hot.groupBy("token").agg(F.min("id").alias("b"))

@@ -74,6 +74,19 @@ def test_hot_keys_and_large_groups(spark, monkeypatch):
     assert run(spark, rows) == want
 
 
+def test_repeated_rows_keep_links(spark, monkeypatch):
+    rows = corpus(7, n=60)
+    for times in (2, 3):
+        many = rows * times
+        want = brute(many, 4, 85)
+        assert any(r[0] != r[2] for r in want)
+        assert run(spark, many) == want
+    monkeypatch.setattr(J, "BROADCAST_ROWS", 0)
+    # some repeated, some with a second text
+    many = rows + rows[::3] + [(i, rows[k + 1][1]) for k, (i, _) in enumerate(rows[:40:4])]
+    assert run(spark, many) == brute(many, 4, 85)
+
+
 def test_tree_keeps_every_pair():
     rng = np.random.default_rng(3)
     sets = []
