@@ -9,7 +9,9 @@ last return the columns of ``documents``.
    are alike (five-word shingles, similarity 0.8).
 3. ``secrets`` masks secret spans in texts.
 4. ``mixing`` orders rows so that sources interleave by target weight.
-5. ``tokens`` encodes every text; one row per document with its ids.
+5. ``tokens`` encodes every text; one row per document with its ids, and its
+   slot and place in the mixture (worked out again: files and blocks keep no
+   order).  Sorting by slot and place gives the mixture.
 
 Null or empty texts fail the quality rules.  Rows that share an id share their
 class; repeated rows with the smallest id of a class all stay.
@@ -57,8 +59,10 @@ def mixing(spark, docs, sf_dir):
 def tokens(spark, docs, sf_dir):
     prepare(spark)
     import public_tokenizers
-    ids = encode(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    placed = mix(docs).select("doc_id", "text", F.col("mix_place.slot").cast("long").alias("slot"),
+                              F.col("mix_place.place").cast("long").alias("place"))
+    ids = encode(placed, public_tokenizers.path("word_bpe_49k.json"), carry=("slot", "place"))
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "slot", "place")
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("secrets", secrets),

@@ -39,36 +39,40 @@ BLOCK_CHARS = 32 << 20
 BLOCK_SCHEMA = "block long, ids array<long>, sizes array<int>, words array<string>, codes binary"
 
 
-def word_blocks(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def word_blocks(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per block: its documents, their numbers of words, its distinct
-    words and the word numbers of all documents in order."""
+    words and the word numbers of all documents in order, and the documents'
+    ``carry`` columns."""
     types = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())),
-                       ("words", pa.list_(pa.string())), ("codes", pa.binary())])
+                       ("words", pa.list_(pa.string())), ("codes", pa.binary()),
+                       *[(c, pa.list_(pa.int64())) for c in carry]])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, block = vocabulary(path), TaskContext.get().partitionId() << 32
-        ids, sizes, codes, words, chars = [], [], array("i"), {}, 0
+        ids, sizes, codes, words, chars, kept = [], [], array("i"), {}, 0, [[] for _ in carry]
 
         def full():
             body = zstandard.ZstdCompressor(level=3).compress(codes.tobytes())
             return pa.RecordBatch.from_pylist([{"block": block, "ids": ids, "sizes": sizes, "words": list(words),
-                                                "codes": body}], schema=types)
+                                                "codes": body, **dict(zip(carry, kept, strict=True))}], schema=types)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text, *more in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 before = len(codes)
                 for i, segment in enumerate(voc.segments(text)):
                     found = [segment] if i % 2 else voc.pieces(segment)
                     codes.extend([words.setdefault(w, len(words)) for w in found])
                 ids.append(doc_id)
                 sizes.append(len(codes) - before)
+                for values, value in zip(kept, more, strict=True):
+                    values.append(value)
                 chars += len(text)
                 if chars >= block_chars:
                     yield full()
                     block += 1
-                    ids, sizes, codes, words, chars = [], [], array("i"), {}, 0
+                    ids, sizes, codes, words, chars, kept = [], [], array("i"), {}, 0, [[] for _ in carry]
         if ids:
             yield full()
-    return docs.mapInArrow(pack, BLOCK_SCHEMA)
+    return docs.mapInArrow(pack, ", ".join([BLOCK_SCHEMA, *[f"{c} array<long>" for c in carry]]))
 
 
 def word_encoder(path: str):
@@ -83,13 +87,14 @@ def word_encoder(path: str):
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
-           block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per document: ``doc_id`` and its ``ids``."""
-    blocks = bucketed(word_blocks(text_of(docs, id_col, text_col), path, block_chars), "block", "word_blocks")
+           block_chars: int = BLOCK_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: ``doc_id``, its ``ids`` and its ``carry`` columns
+    (long)."""
+    blocks = bucketed(word_blocks(text_of(docs, id_col, text_col, *carry), path, block_chars, carry), "block", "word_blocks")
     used = blocks.select("block", F.posexplode("words").alias("place", "word"))
     distinct = used.select("word").distinct().withColumn("word_ids", word_encoder(path)("word"))
     coded = used.join(distinct, "word").select(F.col("block").alias("of"), "place", "word_ids")
-    types = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    types = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), *[(c, pa.int64()) for c in carry]])
 
     def place(block: pa.Table, words: pa.Table) -> pa.Table:
         out = []
@@ -110,10 +115,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             word_ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(row["sizes"], dtype=np.int64)])]
             out.append(pa.table([pa.array(row["ids"], pa.int64()),
                                  pa.ListArray.from_arrays(pa.array(word_ends.astype(np.int32)),
-                                                          pa.array(flat[take].astype(np.int32)))], schema=types))
+                                                          pa.array(flat[take].astype(np.int32))),
+                                 *[pa.array(row[c], pa.int64()) for c in carry]], schema=types))
         return pa.concat_tables(out) if out else types.empty_table()
-    return (blocks.select("block", "ids", "sizes", "codes").groupBy("block")
-            .cogroup(coded.groupBy("of")).applyInArrow(place, "doc_id long, ids array<int>"))
+    return (blocks.select("block", "ids", "sizes", "codes", *carry).groupBy("block").cogroup(coded.groupBy("of"))
+            .applyInArrow(place, ", ".join(["doc_id long, ids array<int>", *[f"{c} long" for c in carry]])))
 
 
 def decode(coded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

@@ -12,6 +12,7 @@ import test_secret_scan as TS
 import test_shingle_join as TJ
 from riskloom.llm import secret_scan as S
 from riskloom.llm.common import written
+from riskloom.llm.mixing import mix
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -81,6 +82,25 @@ def test_stages_against_brute_force(spark):
         (i, len(e), e) for i, e in ((r[0], lib.encode(r[1], add_special_tokens=False).ids) for r in masked))
 
 
+def test_mixture_reaches_the_last_rows(spark):
+    sizes = {"hot": 200, "b": 50, None: 20}
+    rows = [(k * 1000 + i, f"text {i}", "en", s, 9) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
+    rows += [(7, "other text", "en", "hot", 9), rows[3]]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = sorted((r.doc_id, r.mix_place.slot, r.mix_place.place) for r in mix(docs).collect())
+    stages = dict(P.STAGES)
+    mixed = written(stages["mixing"](spark, docs, None), "mixing")
+    got = written(stages["tokens"](spark, mixed, None), "tokens").collect()
+    assert sorted((r.doc_id, r.slot, r.place) for r in got) == want
+    source = {r[0]: r[3] for r in rows}
+    slots = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.slot, r.place)):
+        slots[r.slot].append(r)
+    assert sorted(slots) == list(range(len(slots)))
+    order = [source[slots[t][0].doc_id] for t in range(len(slots))]
+    assert all({source[r.doc_id] for r in slots[t]} == {s} for t, s in enumerate(order))
+
+
 def test_empty_documents(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for name, stage in P.STAGES:
