@@ -7,7 +7,8 @@ last return the columns of ``documents``.
 1. ``quality_rules`` drops documents that the rules reject.
 2. ``near_duplicates`` keeps the smallest id of each class of documents that
    are alike (five-word shingles, similarity 0.8).
-3. ``secrets`` masks secret spans in texts.
+3. ``secrets`` masks secret spans in texts; candidates count as live below
+   ``EXAMPLE_OWNERS`` owners.
 4. ``mixing`` orders rows so that sources interleave by target weight.
 5. ``tokens`` encodes every text; one row per document with its ids, and its
    slot and place in the mixture (worked out again: files and blocks keep no
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.mixing import mix
 from riskloom.llm.quality_rules import passing
-from riskloom.llm.secret_scan import mask_secrets
+from riskloom.llm.secret_scan import EXAMPLE_OWNERS, mask_secrets
 from riskloom.llm.shingle_join import near_documents
 from riskloom.llm.word_codec import encode
 from riskloom.session import ensure_checkpoint_dir, prepare
@@ -48,7 +49,7 @@ def near_duplicates(spark, docs, sf_dir):
 
 def secrets(spark, docs, sf_dir):
     prepare(spark)
-    return mask_secrets(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return mask_secrets(docs, live_owners=EXAMPLE_OWNERS - 1).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mixing(spark, docs, sf_dir):

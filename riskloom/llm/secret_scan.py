@@ -9,7 +9,9 @@ Every base value, and every other long mixed string of letters and digits, is
 a candidate.  Candidates are hashed and counted over the corpus by distinct
 repositories and owners: a value that many owners hold is a copied example, a
 value of a single owner looks like a live credential.  Other strings outside
-of base spans become spans of kind ``live`` when only one owner has them.
+of base spans become spans of kind ``live`` when no more than ``live_owners``
+owners have them: one in the query, as in its SQL; the pipeline masks all that
+is not an example, below ``EXAMPLE_OWNERS``.
 
 A value copied into a third of all rows is counted by partial sums; joining
 the counts back is a sort-merge join that Spark splits where it is skewed.
@@ -100,7 +102,7 @@ def ownership(found: DataFrame) -> DataFrame:
                                                F.count("*").alias("n_owners"))
 
 
-def secret_spans(docs: DataFrame, **cols) -> DataFrame:
+def secret_spans(docs: DataFrame, live_owners: int = 1, **cols) -> DataFrame:
     """One row per document: ``base`` and ``live`` spans in order, and how many
     of its candidates are ``n_live`` or ``n_example`` by ownership."""
     found = checkpointed(candidates(docs, **cols))
@@ -108,8 +110,8 @@ def secret_spans(docs: DataFrame, **cols) -> DataFrame:
     each = some.select("doc_id", "text_hash", F.explode(F.concat("base", "other")).alias("s")).withColumn(
         "value_hash", F.sha2(F.col("s.value"), 256))
     judged = each.join(ownership(found), "value_hash").groupBy("doc_id", "text_hash").agg(
-        F.array_sort(F.collect_list(F.when((F.col("s.kind") != LIVE) | (F.col("n_owners") == 1), F.col("s")))).alias("spans"),
-        F.count_if(F.col("n_owners") == 1).alias("n_live"),
+        F.array_sort(F.collect_list(F.when((F.col("s.kind") != LIVE) | (F.col("n_owners") <= live_owners), F.col("s")))).alias("spans"),
+        F.count_if(F.col("n_owners") <= live_owners).alias("n_live"),
         F.count_if(F.col("n_owners") >= EXAMPLE_OWNERS).alias("n_example"))
     judged = judged.withColumnsRenamed({"doc_id": "j_id", "text_hash": "j_hash"})
     return found.select("doc_id", "text_hash").join(

@@ -101,6 +101,14 @@ def test_mixture_reaches_the_last_rows(spark):
     assert all({source[r.doc_id] for r in slots[t]} == {s} for t, s in enumerate(order))
 
 
+def test_credential_of_two_sources_is_masked(spark):
+    two, three = "Zk9abCdeF0123ghIJklMN4501", "Zk9abCdeF0123ghIJklMN4502"
+    rows = [(i, f"key {v} {i}", "en", s, 9) for i, (v, s) in enumerate(
+        [(two, "a"), (two, "b"), (three, "a"), (three, "b"), (three, None)])]
+    got = {r.doc_id: r.text for r in P.secrets(spark, spark.createDataFrame(rows, SCHEMA), None).collect()}
+    assert got == {i: f"key {S.MASK} {i}" if i < 2 else f"key {three} {i}" for i in range(5)}
+
+
 def test_empty_documents(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for name, stage in P.STAGES:
