@@ -2,7 +2,6 @@
 
 import pytest
 
-from conftest import SF_SMALL
 from riskloom.plans import source_queries as SQ
 from riskloom.sources import filings as FL
 
@@ -18,8 +17,8 @@ def test_elements_and_malformed_rows(spark):
     assert sorted((r.id, r.total_assets, r.revenue) for r in got) == [(r[0], r[2], r[3]) for r in rows]
 
 
-def test_values_of_the_source(spark):
-    out = FL.extract_xml_metrics(SQ._xml_filings(spark, SF_SMALL), "xml")
+def test_values_of_the_source(spark, sf_small):
+    out = FL.extract_xml_metrics(SQ._xml_filings(spark, sf_small), "xml")
     rows = out.collect()
     assert rows
     import re

@@ -5,7 +5,6 @@ import math
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
 from riskloom.operators import explain as X
 from riskloom.operators import ml as ML
 from riskloom.operators import stats as ST
@@ -13,8 +12,8 @@ from riskloom.operators.sampling import kfold, undersample_majority
 from riskloom.plans import stats_queries as SQ
 
 
-def test_auc_in_unit_interval_and_equals_mllib(spark):
-    f = SQ.feats(spark, SF_SMALL)
+def test_auc_in_unit_interval_and_equals_mllib(spark, sf_small):
+    f = SQ.feats(spark, sf_small)
     ours = ST.auc_roc(f, "e0", "y").first()["auc"]
     ev = BinaryClassificationEvaluator(rawPredictionCol="e0", labelCol="y", metricName="areaUnderROC")
     theirs = ev.evaluate(f.select(F.col("e0").cast("double"), F.col("y").cast("double")))
@@ -22,24 +21,24 @@ def test_auc_in_unit_interval_and_equals_mllib(spark):
     assert math.isclose(ours, theirs, abs_tol=1e-9)
 
 
-def test_kfold_covers_each_row_once(spark):
-    f = SQ.feats(spark, SF_SMALL)
+def test_kfold_covers_each_row_once(spark, sf_small):
+    f = SQ.feats(spark, sf_small)
     k = kfold(f, "vec_id", 5, 7)
     assert k.count() == f.count() == k.select("vec_id").distinct().count()
     folds = {r["fold"]: r["n"] for r in k.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert set(folds) == set(range(5)) and all(n > 0 for n in folds.values())
 
 
-def test_undersample_gives_equal_classes(spark):
-    f = SQ.feats(spark, SF_SMALL)
+def test_undersample_gives_equal_classes(spark, sf_small):
+    f = SQ.feats(spark, sf_small)
     u = undersample_majority(f, "vec_id", "y")
     counts = {r["y"]: r["n"] for r in u.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     full = {r["y"]: r["n"] for r in f.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert len(set(counts.values())) == 1 and list(counts.values())[0] == min(full.values())
 
 
-def test_contributions_sum_to_prediction(spark):
-    f = SQ.feats(spark, SF_SMALL)
+def test_contributions_sum_to_prediction(spark, sf_small):
+    f = SQ.feats(spark, sf_small)
     coef = {"e0": 0.7, "e1": -1.3, "e2": 0.25}
     long = X.contributions(f, "vec_id", coef, 0.4)
     chk = long.groupBy("vec_id").agg(F.sum("contribution").alias("s"), F.first("base_value").alias("b"),
@@ -48,8 +47,8 @@ def test_contributions_sum_to_prediction(spark):
     assert bad == 0
 
 
-def test_selectors_and_vif(spark):
-    f = SQ.feats(spark, SF_SMALL)
+def test_selectors_and_vif(spark, sf_small):
+    f = SQ.feats(spark, sf_small)
     rfe = ML.select_rfe_ridge(f, SQ.FEATS, "y", n_select=4, step=2, alpha=2000.0)
     assert rfe.where(F.col("selected")).count() == 4
     assert rfe.count() == len(SQ.FEATS)
@@ -57,8 +56,8 @@ def test_selectors_and_vif(spark):
     assert len(v) == len(SQ.FEATS) and all(r["vif"] >= 1.0 - 1e-9 for r in v)
 
 
-def test_kfold_gbdt_one_out_of_fold_prediction_per_row(spark):
-    f = kfold(SQ.feats(spark, SF_SMALL), "vec_id", 2, 1001)
+def test_kfold_gbdt_one_out_of_fold_prediction_per_row(spark, sf_small):
+    f = kfold(SQ.feats(spark, sf_small), "vec_id", 2, 1001)
     oof, imp = ML.kfold_gbdt(f, "vec_id", SQ.FEATS, "y", "fold", 2, iters=5)
     assert oof.count() == f.count() == oof.select("vec_id").distinct().count()
     assert oof.where((F.col("oof_probability") < 0) | (F.col("oof_probability") > 1)).count() == 0

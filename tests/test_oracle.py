@@ -3,7 +3,6 @@
 import duckdb
 import pytest
 
-from conftest import SF_SMALL
 from tools.check_oracle import TABLES, canon_rows
 
 import __spark_entry__ as E
@@ -13,16 +12,16 @@ QUERIES = E.queries()
 
 
 @pytest.fixture(scope="module")
-def con():
+def con(sf_small):
     c = duckdb.connect()
     for t in TABLES:
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_small}/{t}.parquet')")
     return c
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
-def test_query_matches_oracle(spark, con, name):
-    df = QUERIES[name](spark, SF_SMALL)
+def test_query_matches_oracle(spark, con, name, sf_small):
+    df = QUERIES[name](spark, sf_small)
     rows = [tuple(r) for r in df.collect()]
     cur = con.execute(ORACLE[name])
     ocols = [d[0] for d in cur.description]
@@ -32,10 +31,10 @@ def test_query_matches_oracle(spark, con, name):
     assert canon_rows(df.columns, rows) == canon_rows(ocols, orows)
 
 
-def test_every_query_runs(spark):
+def test_every_query_runs(spark, sf_small):
     for name, fn in QUERIES.items():
         if name not in ORACLE:
-            fn(spark, SF_SMALL).limit(5).collect()
+            fn(spark, sf_small).limit(5).collect()
 
 
 def test_entry(spark):

@@ -4,8 +4,6 @@ import re
 
 import pytest
 
-from conftest import SF_SMALL
-
 import __spark_entry__ as E
 
 QUERIES = E.queries()
@@ -13,43 +11,44 @@ PYTHON_NODES = re.compile(r"ArrowEvalPython|BatchEvalPython|FlatMapGroupsInPanda
                           r"FlatMapCoGroupsInPandas|PythonUDF")
 
 
-def plan(spark, name):
-    return QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+@pytest.fixture
+def plan(spark, sf_small):
+    return lambda name: QUERIES[name](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("name", ["rolling_std", "rsi_14"])
-def test_tick_features_one_exchange_on_ticker(spark, name):
+def test_tick_features_one_exchange_on_ticker(plan, name):
     # keys fit in one block here: one hash exchange on ticker, one sort
-    ex = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(spark, name))
+    ex = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(name))
     assert len(ex) == 1 and re.match(r"ticker#\d+L?, \d+$", ex[0]), ex
 
 
 @pytest.mark.parametrize("name", ["wide_feature_join", "agg_conditional_subset", "asof_nearest_join", "rolling_std",
                                   "rsi_14", "composite_weighted", "keyword_relevance", "auc_roc",
                                   "score_change_alert", "impute_median_by_group", "longest_substring_join"])
-def test_headline_plans_stay_in_the_jvm(spark, name):
-    assert not PYTHON_NODES.search(plan(spark, name))
+def test_headline_plans_stay_in_the_jvm(plan, name):
+    assert not PYTHON_NODES.search(plan(name))
 
 
-def test_filters_reach_the_scan(spark):
-    p = plan(spark, "rolling_mean_news")
+def test_filters_reach_the_scan(plan):
+    p = plan("rolling_mean_news")
     assert re.search(r"PushedFilters: \[[^\]]*In\(event_type", p)
 
 
-def test_projection_reaches_the_scan(spark):
-    p = plan(spark, "rsi_14")
+def test_projection_reaches_the_scan(plan):
+    p = plan("rsi_14")
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", p)
     assert schemas and all("props" not in s or "value" in s for s in schemas)
     assert all(len(s.split(",")) <= 5 for s in schemas)  # not all columns of events
 
 
-def test_client_row_scans_each_base_table_at_most_twice(spark):
-    p = plan(spark, "wide_feature_join")
+def test_client_row_scans_each_base_table_at_most_twice(plan):
+    p = plan("wide_feature_join")
     final = p.split("== Initial Plan ==")[0]
     for t, most in (("lineitem", 2), ("orders", 2), ("customer", 1)):
         assert 1 <= len(re.findall(rf"FileScan parquet[^\n]*{t}\.parquet", final)) <= most, t
 
 
 @pytest.mark.parametrize("name", ["missing_share", "fill_rate", "downcast_types", "columns_full"])
-def test_profiles_without_distinct_counts_do_not_expand(spark, name):
-    assert "Expand" not in plan(spark, name)
+def test_profiles_without_distinct_counts_do_not_expand(plan, name):
+    assert "Expand" not in plan(name)

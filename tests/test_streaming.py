@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
 from riskloom.plans.common import round_doubles
 from riskloom.session import scratch_table_path
 from riskloom.sources.tables import table
@@ -24,32 +23,32 @@ def _same(got, want):
         canon_rows(cols, [tuple(r) for r in want.collect()])
 
 
-def test_files_in_any_order_and_several_batches(spark):
+def test_files_in_any_order_and_several_batches(spark, sf_small):
     base = scratch_table_path(spark, "test-stream")
-    ev = table(spark, SF_SMALL, "events")
+    ev = table(spark, sf_small, "events")
     _shuffled_files(spark, ev, f"{base}/landing")
     span = jobs.span_seconds(ev, "ts")
     q = jobs.score_alert_stream(spark, f"{base}/landing", f"{base}/s1", f"{base}/c1", lateness_s=span)
     assert len(q.recentProgress) >= 2
-    _same(round_doubles(jobs.read_sink(spark, f"{base}/s1", jobs.ALERT_SCHEMA), 6), E.queries()["score_change_alert"](spark, SF_SMALL))
+    _same(round_doubles(jobs.read_sink(spark, f"{base}/s1", jobs.ALERT_SCHEMA), 6), E.queries()["score_change_alert"](spark, sf_small))
     q = jobs.cooldown_stream(spark, f"{base}/landing", f"{base}/s2", f"{base}/c2", lateness_s=span)
     assert len(q.recentProgress) >= 2
-    _same(round_doubles(jobs.read_sink(spark, f"{base}/s2", jobs.COOLDOWN_SCHEMA), 6), E.queries()["alert_cooldown"](spark, SF_SMALL))
+    _same(round_doubles(jobs.read_sink(spark, f"{base}/s2", jobs.COOLDOWN_SCHEMA), 6), E.queries()["alert_cooldown"](spark, sf_small))
     from riskloom.operators.alerts import BROADCAST_MIN_CHANGE
     from riskloom.sources import panel as P
-    daily = P.prices_daily(spark, SF_SMALL).select("ticker", "date", "close")
+    daily = P.prices_daily(spark, sf_small).select("ticker", "date", "close")
     _shuffled_files(spark, daily, f"{base}/daily")
     q = jobs.emit_on_change_stream(spark, f"{base}/daily", f"{base}/s3", f"{base}/c3", BROADCAST_MIN_CHANGE,
                                    lateness_s=jobs.span_seconds(daily, "date"))
     assert len(q.recentProgress) >= 2
-    _same(round_doubles(jobs.read_sink(spark, f"{base}/s3", jobs.EMIT_SCHEMA), 6), E.queries()["broadcast_on_change"](spark, SF_SMALL))
+    _same(round_doubles(jobs.read_sink(spark, f"{base}/s3", jobs.EMIT_SCHEMA), 6), E.queries()["broadcast_on_change"](spark, sf_small))
 
 
-def test_days_in_order_release_as_they_come(spark):
+def test_days_in_order_release_as_they_come(spark, sf_small):
     """With day folders oldest first, batches emit before the input has ended,
     and carried rows connect them."""
     base = scratch_table_path(spark, "test-stream-days")
-    ev = table(spark, SF_SMALL, "events")
+    ev = table(spark, sf_small, "events")
     days = sorted(r[0] for r in ev.select(F.to_date("ts")).distinct().collect())[:6]
     some = ev.where(F.to_date("ts") <= F.lit(days[-1]))
     for i, d in enumerate(days):
@@ -87,9 +86,9 @@ def test_restart_emits_nothing_twice_and_late_rows_are_set_aside(spark):
     assert [r["event_id"] for r in late] == [4]
 
 
-def test_online_sgd_stream_equals_batch_learner(spark):
+def test_online_sgd_stream_equals_batch_learner(spark, sf_small):
     q = E.queries()
-    got = q["stream_online_sgd"](spark, SF_SMALL)
-    want = q["online_sgd"](spark, SF_SMALL)
+    got = q["stream_online_sgd"](spark, sf_small)
+    want = q["online_sgd"](spark, sf_small)
     assert got.columns == want.columns
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
