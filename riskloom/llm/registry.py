@@ -8,7 +8,7 @@ from riskloom.llm.common import ORACLE, QUERIES
 from riskloom.session import prepare
 
 MODULES = ["mixing", "token_counts", "word_codec", "suffix_dedup", "quality_model", "quality_rules",
-           "metric_join", "toxicity", "secret_scan", "shingle_join", "line_dedup"]
+           "metric_join", "toxicity", "secret_scan", "shingle_join", "line_dedup", "token_alignment"]
 
 
 def _ready(fn):
