@@ -8,7 +8,8 @@ from riskloom.llm.common import ORACLE, QUERIES
 from riskloom.session import prepare
 
 MODULES = ["mixing", "token_counts", "word_codec", "suffix_dedup", "quality_model", "quality_rules",
-           "metric_join", "toxicity", "secret_scan", "shingle_join", "line_dedup", "token_alignment"]
+           "metric_join", "toxicity", "secret_scan", "shingle_join", "line_dedup", "token_alignment",
+           "hard_negatives"]
 
 
 def _ready(fn):
