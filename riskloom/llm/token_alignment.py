@@ -8,7 +8,7 @@ its B id, so it is counted by A id alone.
 
 1. Units.  Neither tokenizer joins a space to what stands before it (checked
    on the vocabularies; else the whole text is one unit), so texts are cut
-   there and every unit is aligned once per block.  Blocks of about 16 million
+   there and every unit is aligned once per block.  Blocks of about 8 million
    characters are written: a unit table, and each document as unit numbers.
 2. Counts.  One-to-one groups are summed in vectors of the vocabulary's length;
    only the other, irregular links are exploded as (A id, B id) pairs and
@@ -35,7 +35,6 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -47,13 +46,12 @@ from pyspark.sql import functions as F
 from riskloom.llm.byte_pieces import alphabet_bytes
 from riskloom.llm.common import bucketed, checkpointed, register, table, text_of
 
-BLOCK_CHARS = 16 << 20
-MEMO_UNITS = 200_000      # aligned units a worker remembers (under 1 KB each); the memo is emptied beyond
-MEMO_UNIT_CHARS = 48      # longer units are aligned each time
+BLOCK_CHARS = 8 << 20
+CHUNK_UNITS = 4_096       # units that a worker encodes in one call
 _CUT = re.compile(r" (?<=\S )(?!\Z)")   # a space alone would be no text for B
 
-BLOCK_SCHEMA = ("block long, ids array<long>, body binary, unit_groups array<string>, regular array<int>, "
-                "regular_n array<long>, pairs array<long>, pairs_n array<long>")
+BLOCK_SCHEMA = ("block long, ids array<long>, body binary, regular array<int>, regular_n array<long>, "
+                "pairs array<long>, pairs_n array<long>")
 DOC_SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
 
@@ -86,7 +84,8 @@ class Aligner:
         split_a = ((spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec.get("normalizer")
                    and not spec["pre_tokenizer"].get("add_prefix_space") and all(t["special"] for t in spec["added_tokens"]))
         self.cuts = split_a and not any(re.search("[^▁]▁", p) for p in pieces)
-        self.memo: dict[str, tuple | None] = {}
+        self.identity_of = np.array(self.identity, dtype=np.int64)
+        self.size_a, self.size_b = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.bytes_a, self.bytes_b))
 
     def units(self, text: str) -> list[str]:
         """The text cut at spaces after something else; each unit's own space
@@ -95,46 +94,63 @@ class Aligner:
             return []
         return _CUT.split(text) if self.cuts else [text]
 
-    def align(self, unit: str, ids_a: list[int], ids_b: list[int]):
-        """(n_a, n_b, n_groups, groups, regular A ids, irregular links), or
-        None where a tokenizer does not give back the bytes."""
-        raw = b" " + unit.encode()
-        parts_a, parts_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
+    def encode(self, text: str):
+        """Ids of both tokenizers on a space and ``text``, or None where one of
+        them does not give back the bytes."""
+        ids_a = self.a.encode(" " + text, add_special_tokens=False).ids
+        ids_b, raw = self.b.encode(text), b" " + text.encode()
+        if any(b"".join([t[i] for i in ids]) != raw for t, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b))):
             return None
-        ends_b = {end: j for j, end in enumerate(accumulate(map(len, parts_b)), 1)}
-        groups, regular, irregular, i0, j0, end = [], [], [], 0, 0, 0
-        for i, part in enumerate(parts_a, 1):
-            end += len(part)
-            j = ends_b.get(end)
-            if j is None:
+        return np.array(ids_a, dtype=np.int64), np.array(ids_b, dtype=np.int64)
+
+    def tables(self, units: list[str]) -> tuple[np.ndarray, ...]:
+        """Of all units, one after the other: tokens per unit (A, B), ids (A, B),
+        and whether a token ends a group (A, B); then whether a unit is given
+        back whole (others have no tokens).  Units are encoded many at a time,
+        joined by the spaces at which texts are cut."""
+        whole = np.ones(len(units), dtype=bool)
+        out = []
+        joins = np.array([self.cuts and bool(u) and not u[-1].isspace() and "▁" not in u for u in units], dtype=bool)
+        own = [np.flatnonzero(joins)[i:i + CHUNK_UNITS] for i in range(0, int(joins.sum()), CHUNK_UNITS)]
+        own += [np.array([i]) for i in np.flatnonzero(~joins)]
+        while own:
+            part = own.pop()
+            got = self.encode(" ".join([units[i] for i in part]))
+            if got is None and len(part) > 1:
+                own += [part[:len(part) // 2], part[len(part) // 2:]]
+                continue
+            if got is None:
+                whole[part] = False
                 continue
-            x, y = ids_a[i - 1], ids_b[j - 1]
-            if i - i0 == 1 and j - j0 == 1:
-                groups.append(f"{x}|{y}")
-                if self.identity[x] == y:
-                    regular.append(x)
-                else:
-                    irregular.append(x << 32 | y)
-            else:
-                groups.append(f"{','.join(map(str, ids_a[i0:i]))}|{','.join(map(str, ids_b[j0:j]))}")
-                irregular.append(x << 32 | y)
-            i0, j0 = i, j
-        return len(ids_a), len(ids_b), len(groups), ";".join(groups), regular, irregular
-
-    def records(self, units: list[str]) -> list[tuple | None]:
-        got = [self.memo.get(u, 0) for u in units]
-        new = [i for i, r in enumerate(got) if r == 0]
-        if new:
-            texts = [units[i] for i in new]
-            coded = self.a.encode_batch_fast([" " + u for u in texts], add_special_tokens=False)
-            for i, u, x, y in zip(new, texts, coded, self.b.encode(texts, num_threads=1), strict=True):
-                got[i] = self.align(u, x.ids, y)
-                if len(u) <= MEMO_UNIT_CHARS:
-                    if len(self.memo) >= MEMO_UNITS:
-                        self.memo.clear()
-                    self.memo[u] = got[i]
-        return got
+            ends_a, ends_b = np.cumsum(self.size_a[got[0]]), np.cumsum(self.size_b[got[1]])
+            unit_ends = np.cumsum([1 + len(units[i].encode()) for i in part])
+            out.append((part, np.diff(np.searchsorted(ends_a, unit_ends, side="right"), prepend=0),
+                        np.diff(np.searchsorted(ends_b, unit_ends, side="right"), prepend=0), *got,
+                        np.isin(ends_a, ends_b, assume_unique=True), np.isin(ends_b, ends_a, assume_unique=True)))
+        n_a, n_b = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        for part, x, y, *_ in out:
+            n_a[part], n_b[part] = x, y
+        flat = [np.empty(n.sum(), dtype=t) for n, t in ((n_a, np.int32), (n_b, np.int32), (n_a, bool), (n_b, bool))]
+        starts = [np.cumsum(n) - n for n in (n_a, n_b)]
+        for part, x, y, *arrays in out:
+            for k, values in enumerate(arrays):
+                n = (x, y)[k % 2]
+                flat[k][np.repeat(starts[k % 2][part] - (np.cumsum(n) - n), n) + np.arange(len(values))] = values
+        return n_a, n_b, *flat, whole
+
+
+class Links:
+    """The links of a block's units, worked out from the unit tables."""
+
+    def __init__(self, pair: Aligner, n_a, n_b, ids_a, ids_b, end_a, end_b):
+        last_a, last_b = np.flatnonzero(end_a), np.flatnonzero(end_b)
+        x, y = ids_a[last_a].astype(np.int64), ids_b[last_b].astype(np.int64)
+        single = (np.diff(last_a, prepend=-1) == 1) & (np.diff(last_b, prepend=-1) == 1) & (pair.identity_of[x] == y)
+        unit = np.repeat(np.arange(len(n_a)), n_a)[last_a]
+        self.n_groups = np.bincount(unit, minlength=len(n_a))
+        self.regular, self.regular_unit = x[single], unit[single]
+        self.pairs, self.places = np.unique((x << 32 | y)[~single], return_inverse=True)
+        self.irregular_unit = unit[~single]
 
 
 @functools.lru_cache(maxsize=2)
@@ -146,53 +162,62 @@ class Block:
     """Documents as unit numbers, and the units' tables."""
 
     def __init__(self, pair: Aligner):
-        self.pair, self.codes, self.sizes, self.ids, self.chars = pair, array("i"), [], [], 0
+        self.pair, self.codes, self.sizes, self.ids, self.chars = pair, array("i"), array("i"), [], 0
         self.numbers: dict[str, int] = {}
-        self.records: list[tuple | None] = []
 
     def add(self, doc_id, text: str) -> None:
-        units, numbers, known = self.pair.units(text), self.numbers, len(self.records)
-        codes = [numbers.setdefault(u, len(numbers)) for u in units]
-        if len(numbers) > known:
-            fresh = list(dict.fromkeys(u for u, c in zip(units, codes, strict=True) if c >= known))
-            self.records += self.pair.records(fresh)
-        if any(self.records[c] is None for c in set(codes)):
-            codes = []
+        numbers = self.numbers
+        codes = [numbers.setdefault(u, len(numbers)) for u in self.pair.units(text)]
         self.codes.extend(codes)
         self.sizes.append(len(codes))
         self.ids.append(doc_id)
         self.chars += len(text)
 
     def row(self, block: int) -> dict:
-        empty = (0, 0, 0, "", [], [])
-        records = [r or empty for r in self.records]
-        codes = np.frombuffer(self.codes, dtype=np.int32)
-        uses = np.bincount(codes, minlength=len(records)).astype(np.int64)
-        flat = lambda k: np.fromiter((x for r in records for x in r[k]), dtype=np.int64)
-        lens = np.array([[r[0], r[1], r[2], len(r[4]), len(r[5])] for r in records], dtype=np.int32).reshape(-1, 5)
-        regular, links = flat(4), flat(5)
+        *tables, whole = self.pair.tables(list(self.numbers))
+        codes, sizes = np.frombuffer(self.codes, dtype=np.int32), np.frombuffer(self.sizes, dtype=np.int32)
+        if not whole.all():                               # documents with such a unit have no tokens
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            broken = np.zeros(len(sizes), dtype=bool)
+            broken[doc[~whole[codes]]] = True
+            codes, sizes = codes[~broken[doc]], np.where(broken, 0, sizes).astype(np.int32)
+        uses = np.bincount(codes, minlength=len(self.numbers))
+        links = Links(self.pair, *tables)
         vector = np.zeros(len(self.pair.bytes_a), dtype=np.int64)
-        np.add.at(vector, regular, np.repeat(uses, lens[:, 3]))
-        pairs, places = np.unique(links, return_inverse=True)
-        pairs_n = np.zeros(len(pairs), dtype=np.int64)
-        np.add.at(pairs_n, places, np.repeat(uses, lens[:, 4]))
+        np.add.at(vector, links.regular, uses[links.regular_unit])
+        pairs_n = np.zeros(len(links.pairs), dtype=np.int64)
+        np.add.at(pairs_n, links.places, uses[links.irregular_unit])
         used = np.flatnonzero(vector)
-        parts = [np.array(self.sizes, np.int32), codes, lens.ravel(), regular.astype(np.int32), places.astype(np.int32)]
+        parts = [p.astype(np.int32) for p in (sizes, codes, *tables)]
         head = np.array([len(p) for p in parts], dtype=np.int64)
         body = zstandard.ZstdCompressor(level=3).compress(b"".join([head.tobytes(), *[p.tobytes() for p in parts]]))
-        return {"block": block, "ids": self.ids, "body": body, "unit_groups": [r[3] for r in records], "regular": used,
-                "regular_n": vector[used], "pairs": pairs, "pairs_n": pairs_n}
+        return {"block": block, "ids": self.ids, "body": body, "regular": used, "regular_n": vector[used],
+                "pairs": links.pairs, "pairs_n": pairs_n}
 
 
 def _parts(body: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(body)
-    head = np.frombuffer(raw, dtype=np.int64, count=5)
-    flat = np.frombuffer(raw, dtype=np.int32, offset=head.nbytes)
-    return np.split(flat, np.cumsum(head)[:-1])
+    head = np.frombuffer(raw, dtype=np.int64, count=8)
+    return np.split(np.frombuffer(raw, dtype=np.int32, offset=head.nbytes), np.cumsum(head)[:-1])
+
+
+def unit_groups(n_a, n_b, ids_a, ids_b, end_a, end_b) -> list[str]:
+    """Every unit's groups as ``a1,a2|b1;a3|b2;``, a semicolon after each."""
+    before_a = np.cumsum(end_a) - end_a                      # groups that ended before each token
+    before_b = np.cumsum(end_b) - end_b
+    upto_a = np.concatenate([[0], np.flatnonzero(end_a) + 1])
+    upto_b = np.concatenate([[0], np.flatnonzero(end_b) + 1])
+    pieces = np.empty(len(ids_a) + len(ids_b), dtype=object)
+    for at, ids, end, (inner, last) in ((np.arange(len(ids_a)) + upto_b[before_a], ids_a, end_a, ",|"),
+                                        (np.arange(len(ids_b)) + upto_a[before_b + 1], ids_b, end_b, ",;")):
+        names = np.array([f"{i}{c}" for c in (inner, last) for i in range(int(ids.max(initial=0)) + 1)], dtype=object)
+        pieces[at] = names[ids + end * (len(names) // 2)]
+    pieces, ends = pieces.tolist(), np.cumsum(n_a + n_b).tolist()
+    return ["".join(pieces[s:e]) for s, e in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
 
 
 _BLOCK_TYPES = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("body", pa.binary()),
-                          ("unit_groups", pa.list_(pa.string())), ("regular", pa.list_(pa.int32())),
+                          ("regular", pa.list_(pa.int32())),
                           ("regular_n", pa.list_(pa.int64())), ("pairs", pa.list_(pa.int64())), ("pairs_n", pa.list_(pa.int64()))])
 
 
@@ -236,37 +261,36 @@ def aligned(blocks: DataFrame, path_a: str, path_b: str) -> DataFrame:
         best[pair.identity[a_id]] = max(best[pair.identity[a_id]], n)
     for b_id, n in irregular.groupBy(F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b_id")).agg(F.max("n")).collect():
         best[b_id] = max(best[b_id], n)
-    is_best = np.array([n > 0 and n == best[b] for n, b in zip(total, pair.identity, strict=True)], dtype=np.int64)
+    is_best = (total > 0) & (total == best[pair.identity_of])
     used = blocks.select(F.col("block").alias("of"), F.posexplode("pairs").alias("place", "pair"))
-    counted = used.join(irregular, "pair").select("of", "place", "pair", "n")
+    counted = used.join(irregular, "pair").select("of", "place", "n")
     types = pa.schema([*[(c, pa.int64()) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")],
                        ("groups", pa.string())])
 
-    def place(block: pa.Table, links: pa.Table) -> pa.Table:
-        links = links.sort_by("place")
-        ids_b, n = links.column("pair").to_numpy() & 0xFFFFFFFF, links.column("n").to_numpy()
-        link_best = (best[ids_b] == n).astype(np.int64)
-        out = []
+    def place(block: pa.Table, counts: pa.Table) -> pa.Table:
+        pair, out = aligner(path_a, path_b), []
+        n = counts.sort_by("place").column("n").to_numpy()
         for row in block.to_pylist():
-            sizes, codes, lens, reg, irr = _parts(row["body"])
-            lens = lens.reshape(-1, 5)
-            if len(irr) and irr.max() >= len(n):
+            sizes, codes, *tables = _parts(row["body"])
+            links = Links(pair, *tables)
+            if len(links.pairs) != len(n):
                 raise ValueError("a block's pair table is not whole")
-
-            def per_unit(values, k, lens=lens):
-                ends = np.concatenate([[0], np.cumsum(values)])[np.cumsum(lens[:, k])] if len(lens) else np.zeros(0, np.int64)
-                return np.diff(ends, prepend=0)
-            units = np.stack([*lens[:, :3].T.astype(np.int64), per_unit(is_best[reg], 3) + per_unit(link_best[irr], 4),
-                              per_unit(total[reg], 3) + per_unit(n[irr], 4)])
+            n_units = len(tables[0])
+            unit = np.zeros((5, n_units + 1), dtype=np.int64)        # n_a, n_b, n_groups, n_best, count_sum
+            unit[:3, :-1] = tables[0], tables[1], links.n_groups
+            np.add.at(unit[3], links.regular_unit, is_best[links.regular])
+            np.add.at(unit[3], links.irregular_unit, (best[links.pairs & 0xFFFFFFFF] == n)[links.places])
+            np.add.at(unit[4], links.regular_unit, total[links.regular])
+            np.add.at(unit[4], links.irregular_unit, n[links.places])
             ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-            sums = np.concatenate([np.zeros((5, 1), np.int64), np.cumsum(units[:, codes], axis=1)], axis=1)[:, ends]
+            sums = np.stack([np.concatenate([[0], np.cumsum(u[codes])])[ends] for u in unit])
             n_a, n_b, n_groups, n_best, count_sum = np.diff(sums, axis=1)
-            strings = row["unit_groups"]
-            groups = [";".join([strings[c] for c in codes[s:e].tolist()]) for s, e in zip(ends[:-1], ends[1:], strict=True)]
+            strings = unit_groups(*tables)
+            groups = ["".join([strings[c] for c in codes[s:e].tolist()])[:-1] for s, e in zip(ends[:-1], ends[1:], strict=True)]
             out.append(pa.table([pa.array(row["ids"], pa.int64()), *[pa.array(x) for x in (n_a, n_b, n_groups, n_groups, n_best, count_sum)],
                                  pa.array(groups, pa.string())], schema=types))
         return pa.concat_tables(out) if out else types.empty_table()
-    return (blocks.select("block", "ids", "body", "unit_groups").groupBy("block").cogroup(counted.groupBy("of"))
+    return (blocks.select("block", "ids", "body").groupBy("block").cogroup(counted.groupBy("of"))
             .applyInArrow(place, DOC_SCHEMA))
 
 
