@@ -174,13 +174,16 @@ def metric_candidates(spark, d):
     return candidates_from(spark, table(spark, d, "events"))
 
 
-def candidates_from(spark, e):
-    """Events breaching a metric rule (batch or streaming input)."""
+def candidates_from(spark, e, keep_others=False):
+    """Events breaching a metric rule (batch or streaming input);
+    ``keep_others``: also the others, as rows without a metric name."""
     r = spark.createDataFrame(METRIC_RULES, "metric_name string, comparison string, threshold double, severity string")
-    j = e.join(F.broadcast(r), e.event_type == r.metric_name)  # fixed 2-row rule table
+    j = e.join(F.broadcast(r), e.event_type == r.metric_name, "left" if keep_others else "inner")  # fixed 2-row rule table
     hit = F.when(F.col("comparison") == "gt", F.col("value") > F.col("threshold")).otherwise(F.col("value") < F.col("threshold"))
     cd = F.when(F.col("severity") == "critical", F.lit(A.COOLDOWN_CRITICAL_S)).otherwise(F.lit(A.COOLDOWN_OTHER_S))
-    return j.where(hit).select("metric_name", "ts", "event_id", "value", "severity", cd.cast("double").alias("cooldown_s"))
+    name = F.when(hit, F.col("metric_name")) if keep_others else F.col("metric_name")
+    return (j if keep_others else j.where(hit)).select(name.alias("metric_name"), "ts", "event_id", "value", "severity",
+                                                       cd.cast("double").alias("cooldown_s"))
 
 
 CAND_SQL = ("SELECT metric_name, ts, event_id, value, severity, CAST(CASE WHEN severity = 'critical' THEN 1800 ELSE 3600 END AS DOUBLE) "
@@ -203,7 +206,36 @@ def q_cooldown(spark, d):
     return round_doubles(folds.alert_cooldown(metric_candidates(spark, d), "metric_name", "ts", "event_id", "cooldown_s"), DIGITS)
 
 
-@register("broadcast_on_change", P.with_panel_views(sql_round(f"""WITH RECURSIVE s AS (SELECT ticker, date, close,
+# An emitted value expires after an hour; a series' score is its
+# events' value over 50.
+BROADCAST_TTL_S, SERIES_UNIT = 3600.0, 50.0
+
+
+def series_scores(e):
+    """(series, ts, event_id, score) of events, batch or stream; one series per
+    event type."""
+    return e.select(F.col("event_type").alias("series"), "ts", "event_id", (F.col("value") / F.lit(SERIES_UNIT)).alias("score"))
+
+
+@register("broadcast_on_change", sql_round(f"""WITH RECURSIVE s AS (SELECT event_type AS series, ts, event_id, value / {SERIES_UNIT} AS score,
+    epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
+  f(series, rn, last_val, last_us, emitted, change) AS (
+    SELECT series, rn, score, us, true, 0.0::DOUBLE FROM s WHERE rn = 1
+    UNION ALL
+    SELECT d.series, d.rn, CASE WHEN d.expired OR d.moved THEN d.score ELSE d.last_val END,
+      CASE WHEN d.expired OR d.moved THEN d.us ELSE d.last_us END, d.expired OR d.moved,
+      CASE WHEN d.expired THEN 0.0::DOUBLE WHEN d.moved THEN d.score - d.last_val END
+    FROM (SELECT s.series, s.rn, s.score, s.us, f.last_val, f.last_us, s.us - f.last_us >= {int(BROADCAST_TTL_S * 1e6)} AS expired,
+            abs(s.score - f.last_val) >= 1.0 AS moved
+          FROM f JOIN s ON s.series = f.series AND s.rn = f.rn + 1) d)
+  SELECT s.series, s.ts, s.event_id, s.score, f.emitted, f.change FROM s JOIN f USING (series, rn)""",
+    keep=["series", "emitted"], digits=DIGITS))
+def q_broadcast(spark, d):
+    s = series_scores(table(spark, d, "events"))
+    return round_doubles(folds.emit_on_change(s, "series", ["ts", "event_id"], "score", A.BROADCAST_MIN_CHANGE, BROADCAST_TTL_S), DIGITS)
+
+
+@register("broadcast_on_change_daily", P.with_panel_views(sql_round(f"""WITH RECURSIVE s AS (SELECT ticker, date, close,
     row_number() OVER (PARTITION BY ticker ORDER BY date) AS rn FROM prices_daily),
   f(ticker, rn, last_val, emitted, change) AS (
     SELECT ticker, rn, close, true, 0.0::DOUBLE FROM s WHERE rn = 1
@@ -213,7 +245,7 @@ def q_cooldown(spark, d):
     FROM f JOIN s ON s.ticker = f.ticker AND s.rn = f.rn + 1)
   SELECT s.ticker, s.date, s.close, f.emitted, f.change FROM s JOIN f USING (ticker, rn)""",
     keep=["emitted"], digits=DIGITS), "prices_daily"))
-def q_broadcast(spark, d):
+def q_broadcast_daily(spark, d):
     return round_doubles(folds.emit_on_change(P.prices_daily(spark, d).select("ticker", "date", "close"), "ticker", ["date"], "close",
                                               A.BROADCAST_MIN_CHANGE), DIGITS)
 

@@ -4,11 +4,17 @@
 the value moved >= x since the last emitted value" cannot be expressed with
 window functions over rows: the reference point is a previous output.
 
-Batch twin: rows are hash-partitioned by key and sorted by (key, time) inside
-each partition; ``mapInPandas`` then walks the sorted Arrow batches carrying
-O(1) state per key.  No group is ever collected into memory -- a key of any
-size streams through.  Streaming: the same step function runs inside
-``applyInPandasWithState`` with the state held in the state store.
+``alert_cooldown`` has few keys (rules) with many rows each, so it is a
+parallel prefix composition: rows are range-partitioned and cut into blocks,
+each block becomes a small step function (time last fired before it -> time
+last fired after it), functions are composed over groups of blocks, level by
+level, and the times go back down to the blocks, which then mark their rows.
+No task sees more than a block of rows or a group of functions.
+
+``emit_on_change`` has many keys with few rows each: rows are hash-partitioned
+by key and sorted by (key, time) inside each partition; ``mapInPandas`` walks
+the sorted batches carrying O(1) state per key.  Both have streaming versions
+with state in the state store (``streaming.stateful``).
 """
 
 from __future__ import annotations
@@ -17,141 +23,212 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-
-def _sorted_by_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, key).sortWithinPartitions(key, *order)
-
-
-def cooldown_step(last_fired, t, cooldown):
-    """Fire when nothing fired before or strictly more than ``cooldown`` passed."""
-    return last_fired is None or (t - last_fired) > cooldown
+from pyspark.sql.types import StructType
+
+from riskloom.operators.alerts import micros
+from riskloom.session import cut_lineage, scratch_table_path
+
+NEVER = -(1 << 62)      # nothing fired yet
+BLOCK_ROWS = 1 << 16
+FAN = 256               # functions composed in one task
+
+
+# ------------------------------------------------------------ alert cooldown
+class Block:
+    """Rows of one key in order, as the fold sees them: a row fires if the last
+    fire is before ``edge`` = time - cooldown.  After a fire at t the next row
+    to fire is the first whose running maximum of edges is beyond t (edges of
+    earlier rows are at most t)."""
+
+    def __init__(self, t: np.ndarray, cooldown: np.ndarray):
+        self.t = t
+        wait = np.where(np.isnan(cooldown), 0.0, np.maximum(np.round(cooldown * 1e6), 0.0)).astype(np.int64)
+        self.edge = np.where(np.isnan(cooldown), NEVER + 1, t - wait)
+        self.reach = np.maximum.accumulate(self.edge)
+        self.after = np.searchsorted(self.reach, t, side="right")
+
+    def function(self) -> tuple[np.ndarray, np.ndarray]:
+        """Step function (breaks, outs): a last fire below ``breaks[i]`` (and
+        not below the break before) leads to ``outs[i]``; one at or beyond all
+        breaks stays.  Last fires later than the first row do not occur."""
+        final = self.t.copy()
+        for i in range(len(final) - 2, -1, -1):
+            if self.after[i] < len(final):
+                final[i] = final[self.after[i]]
+        first = np.flatnonzero(np.concatenate([[True], self.reach[1:] > self.reach[:-1]]))
+        upto = np.searchsorted(self.reach[first], self.t[0], side="right") + 1
+        return merged(self.reach[first[:upto]], final[first[:upto]])
+
+    def fired(self, last: int) -> np.ndarray:
+        out = np.zeros(len(self.t), dtype=bool)
+        i = int(np.searchsorted(self.reach, last, side="right"))
+        while i < len(out):
+            out[i] = True
+            i = int(self.after[i])
+        return out
+
+
+def merged(breaks: np.ndarray, outs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbouring steps of equal outcome as one."""
+    keep = np.concatenate([outs[1:] != outs[:-1], [True]]) if len(outs) else np.zeros(0, bool)
+    return breaks[keep], outs[keep]
+
+
+def applied(fn: tuple[np.ndarray, np.ndarray], last: np.ndarray) -> np.ndarray:
+    breaks, outs = fn
+    i = np.searchsorted(breaks, last, side="right")
+    return np.where(i < len(breaks), np.append(outs, 0)[i], last)
+
+
+def composed(first: tuple[np.ndarray, np.ndarray], then: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """``then`` after ``first``; where ``first`` changes nothing, ``then`` alone."""
+    rest = then[0] > (first[0][-1] if len(first[0]) else NEVER)
+    return merged(np.concatenate([first[0], then[0][rest]]), np.concatenate([applied(then, first[1]), then[1][rest]]))
+
+
+_FN = "k long, number long, breaks array<long>, outs array<long>"
+_FN_TYPES = pa.schema([("k", pa.int64()), ("number", pa.int64()), ("breaks", pa.list_(pa.int64())), ("outs", pa.list_(pa.int64()))])
+
+
+def _functions(t: pa.Table) -> list[tuple[int, tuple[np.ndarray, np.ndarray]]]:
+    rows = sorted(t.to_pylist(), key=lambda r: r["number"])
+    return [(r["number"], (np.array(r["breaks"], np.int64), np.array(r["outs"], np.int64))) for r in rows]
+
+
+def _up(fns: DataFrame) -> DataFrame:
+    """One function per ``FAN`` consecutive ones of a key."""
+    def compose(group: pa.Table) -> pa.Table:
+        parts = _functions(group)
+        fn = parts[0][1]
+        for _, nxt in parts[1:]:
+            fn = composed(fn, nxt)
+        return pa.Table.from_pylist([{"k": group.column("k")[0].as_py(), "number": parts[0][0] // FAN,
+                                      "breaks": fn[0], "outs": fn[1]}], schema=_FN_TYPES)
+    return cut_lineage(fns.groupBy("k", F.floor(F.col("number") / FAN).alias("up")).applyInArrow(compose, _FN))
+
+
+def _down(fns: DataFrame, last: DataFrame) -> DataFrame:
+    """(k, number, last): what was last fired before each function, from the
+    same of the groups above."""
+    types = pa.schema([("k", pa.int64()), ("number", pa.int64()), ("last", pa.int64())])
+
+    def walk(group: pa.Table, above: pa.Table) -> pa.Table:
+        at, out = np.array(above.column("last")[0].as_py()), []
+        for number, fn in _functions(group):
+            out.append({"k": group.column("k")[0].as_py(), "number": number, "last": int(at)})
+            at = applied(fn, at)
+        return pa.Table.from_pylist(out, schema=types)
+    up = fns.withColumn("up", F.floor(F.col("number") / FAN))
+    return cut_lineage(up.groupBy("k", "up").cogroup(last.withColumnRenamed("number", "up").groupBy("k", "up"))
+                       .applyInArrow(walk, "k long, number long, last long"))
 
 
 def alert_cooldown(df: DataFrame, key: str, ts: str, tiebreak: str, cooldown_col: str,
-                   block_rows: int = 1 << 16) -> DataFrame:
+                   block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Adds ``fired`` (bool): the candidate alert is sent, given per-key
     cooldowns measured from the last *fired* alert (``cooldown_col`` in
-    seconds, per row, e.g. 1800 for critical and 3600 otherwise).
-
-    Decided from one aggregate row: if some key has more than ``block_rows``
-    candidates and every key has a single cooldown, the distributed chain
-    (``alert_cooldown_chain``) runs; otherwise the per-key fold."""
-    st = (df.groupBy(key).agg(F.count(F.lit(1)).alias("n"),
-                              (F.min(cooldown_col) == F.max(cooldown_col)).alias("one"))
-            .agg(F.max("n").alias("n"), F.min(F.col("one").cast("int")).alias("one")).first())
-    if (st["n"] or 0) > block_rows and st["one"] == 1:
-        return alert_cooldown_chain(df, key, ts, tiebreak, cooldown_col)
-    return _cooldown_fold(df, key, ts, tiebreak, cooldown_col)
-
-
-def _cooldown_fold(df: DataFrame, key: str, ts: str, tiebreak: str, cooldown_col: str) -> DataFrame:
-    out_schema = df.schema.add("fired", "boolean")
-    s = _sorted_by_key(df.withColumn("__us", F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")),
-                       key, [ts, tiebreak])
+    seconds, per row, e.g. 1800 for critical and 3600 otherwise; below 0 as 0;
+    a row with a null cooldown fires only if nothing has fired before)."""
+    spark = df.sparkSession
+    rows = (df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+            .select("row", F.col(f"row.`{key}`").alias("key"), F.xxhash64(f"row.`{key}`").alias("k"),
+                    micros(f"row.`{ts}`").alias("us"), F.col(f"row.`{tiebreak}`").alias("tie"),
+                    F.col(f"row.`{cooldown_col}`").cast("double").alias("cooldown")))
+    ordered = rows.repartitionByRange("key", "us", "tie").sortWithinPartitions("key", "us", "tie")
+    schema = ordered.select("row", "k", "us", "cooldown").schema.add("block", "long").add("place", "integer")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, place, last = (TaskContext.get().partitionId() << 32) - 1, 0, None
+        for b in batches:
+            k = b.column(1).to_pylist()
+            blocks, places = [], []
+            for v in k:
+                if v != last or place >= block_rows:
+                    block, place, last = block + 1, 0, v
+                blocks.append(block)
+                places.append(place)
+                place += 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(blocks, pa.int64()), pa.array(places, pa.int32())],
+                                             names=[*b.schema.names, "block", "place"])
+    path = scratch_table_path(spark, "cooldown_blocks")
+    ordered.select("row", "k", "us", "cooldown").mapInArrow(number, schema).write.parquet(path)
+    numbered = spark.read.parquet(path)
+
+    def _block(t: pa.Table) -> Block:
+        return Block(t.column("us").to_numpy(), t.column("cooldown").to_pandas().to_numpy(dtype=np.float64))
+
+    def function(t: pa.Table) -> pa.Table:
+        t = t.sort_by("place")
+        breaks, outs = _block(t).function()
+        return pa.Table.from_pylist([{"k": t.column("k")[0].as_py(), "number": t.column("block")[0].as_py(),
+                                      "breaks": breaks, "outs": outs}], schema=_FN_TYPES)
+    by_block = cut_lineage(numbered.select("k", "us", "cooldown", "block", "place").groupBy("block").applyInArrow(function, _FN))
+    # blocks of a key in order: one slim row per block
+    order = by_block.select("k", F.col("number").alias("block")).withColumn(
+        "number", (F.row_number().over(Window.partitionBy("k").orderBy("block")) - 1).cast("long"))
+    order = cut_lineage(order)
+    fns = [by_block.withColumnRenamed("number", "block").join(order, ["k", "block"]).select("k", "number", "breaks", "outs")]
+    while (fns[-1].agg(F.max("number")).first()[0] or 0) > 0:
+        fns.append(_up(fns[-1]))
+    last = fns[-1].select("k", "number", F.lit(NEVER).alias("last"))
+    for level in reversed(fns[:-1]):
+        last = _down(level, last)
+    before = last.join(order, ["k", "number"]).select(F.col("block").alias("of"), "last")
+    out_schema = numbered.select("row").schema.add("fired", "boolean")
+
+    def mark(t: pa.Table, at: pa.Table) -> pa.Table:
+        t = t.sort_by("place")
+        return pa.table([t.column("row"), pa.array(_block(t).fired(at.column("last")[0].as_py()))], names=["row", "fired"])
+    marked = numbered.groupBy("block").cogroup(before.groupBy("of")).applyInArrow(mark, out_schema)
+    return marked.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns], "fired")
+
+
+# ------------------------------------------------------------ emit on change
+def _sorted_by_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key).sortWithinPartitions(key, *order)
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur_key, last = object(), None
-        for pdf in it:
-            keys = pdf[key].to_numpy()
-            us = pdf["__us"].to_numpy(dtype=np.int64)
-            cd = (pdf[cooldown_col].to_numpy(dtype=np.float64) * 1e6)
-            fired = np.zeros(len(pdf), dtype=bool)
-            for i in range(len(pdf)):
-                if keys[i] != cur_key:
-                    cur_key, last = keys[i], None
-                if last is None or (us[i] - last) > cd[i]:
-                    fired[i] = True
-                    last = us[i]
-            yield pdf.drop(columns=["__us"]).assign(fired=fired)
 
-    return s.mapInPandas(run, out_schema)
+def emit_step(last, at, value, us, min_change: float, ttl_us: int | None):
+    """Whether a value is emitted, and its change: nothing emitted before, the
+    last emitted value has expired, or the value moved far enough from it."""
+    if last is None or (ttl_us is not None and us - at >= ttl_us):
+        return True, 0.0
+    return (True, value - last) if abs(value - last) >= min_change else (False, None)
 
 
-def emit_on_change(df: DataFrame, key: str, order: list[str], value: str, min_change: float = 1.0) -> DataFrame:
+def emit_on_change(df: DataFrame, key: str, order: list[str], value: str, min_change: float = 1.0,
+                   ttl_s: float | None = None) -> DataFrame:
     """Adds ``emitted`` and ``change``: emit when nothing was emitted before for
-    the key or |value - last emitted value| >= ``min_change``."""
-    out_schema = df.schema.add("emitted", "boolean").add("change", "double")
-    s = _sorted_by_key(df, key, order)
+    the key, |value - last emitted value| >= ``min_change``, or the last emitted
+    value is ``ttl_s`` seconds old (``order[0]`` is the time; None: it stays)."""
+    out_schema = StructType(list(df.schema.fields)).add("emitted", "boolean").add("change", "double")
+    ttl_us = None if ttl_s is None else int(round(ttl_s * 1e6))
+    us = F.lit(0).cast("long") if ttl_us is None else micros(f"`{order[0]}`")
+    s = _sorted_by_key(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), us.alias("us"),
+                                 *[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate([key, *order])]),
+                       "o0", [f"o{i}" for i in range(1, len(order) + 1)]).select("row.*", F.col("us").alias("us of the row"))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur_key, last = object(), None
+        cur_key, last, at = object(), None, None
         for pdf in it:
-            keys = pdf[key].to_numpy()
+            keys, times = pdf[key].to_numpy(), pdf["us of the row"].to_numpy()
             v = pdf[value].to_numpy(dtype=np.float64)
             emitted = np.zeros(len(pdf), dtype=bool)
             change = np.full(len(pdf), np.nan)
             for i in range(len(pdf)):
                 if keys[i] != cur_key:
-                    cur_key, last = keys[i], None
+                    cur_key, last, at = keys[i], None, None
                 if np.isnan(v[i]):
                     continue
-                if last is None or abs(v[i] - last) >= min_change:
-                    emitted[i] = True
-                    change[i] = v[i] - (last if last is not None else v[i])
-                    last = v[i]
-            yield pdf.assign(emitted=emitted, change=pd.Series(change, dtype="Float64").mask(~emitted))
+                emitted[i], moved = emit_step(last, at, v[i], times[i], min_change, ttl_us)
+                if emitted[i]:
+                    change[i], last, at = moved, v[i], times[i]
+            yield pdf.drop(columns=["us of the row"]).assign(
+                emitted=emitted, change=pd.Series(change, dtype="Float64", index=pdf.index).mask(~emitted))
 
     return s.mapInPandas(run, out_schema)
-
-
-# ---------------------------------------------------------------------------
-# Cooldown at scale: the fold above walks each key in one task, and the
-# cooldown is keyed by rule (a handful of keys).  When the cooldown is the
-# same for every row of a key, the fired alerts are a chain: the first row
-# fires, and after a fire at t the next fire is the first row later than
-# t + cooldown.  So
-#   1. each row gets its exact position i and its successor s(i) = number of
-#      rows with time <= t_i + cooldown (an as-of count, bucketed by the
-#      cooldown with the next bucket as halo);
-#   2. the fired set C starts at position 0 and grows by pointer doubling:
-#      C <- C u J(C), J <- J o J, so after k rounds C holds the first 2^k
-#      links of the chain -- O(log n) distributed joins, no key in one task.
-def _micros(ts: str):
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")
-
-
-def alert_cooldown_chain(df: DataFrame, key: str, ts: str, tiebreak: str, cooldown_col: str) -> DataFrame:
-    """``alert_cooldown`` for a cooldown constant within each key, fully
-    distributed (see above).  Same output as the fold."""
-    import math
-
-    from riskloom.operators.ranks import value_counts_ranked
-    from riskloom.operators.windows import row_position
-    from riskloom.session import cut_lineage
-
-    d = df.withColumn("__us", _micros(ts)).withColumn("__cd", F.round(F.col(cooldown_col) * 1e6).cast("long"))
-    p = row_position(d, key, [ts, tiebreak])                       # __i: 0-based position in the key
-    counts = value_counts_ranked(d.select(key, "__us"), "__us", group=key)   # (key, __us, n_upto)
-    cds = d.groupBy(key).agg(F.min("__cd").alias("__cd"), F.max("__cd").alias("__cd_max"),
-                             F.count(F.lit(1)).alias("__n"))
-    # as-of count: rows with time <= t_i + cd.  Partition (key, bucket of width cd);
-    # data points also go to the previous bucket, so [t_i, t_i + cd] is inside.
-    pts = counts.join(cds.select(key, "__cd"), key)
-    bucket = F.floor(F.col("__us") / F.col("__cd"))
-    data = pts.select(key, F.col("__us").alias("__v"), F.lit(0).alias("__side"), "n_upto",
-                      F.explode(F.array(bucket, bucket - 1)).alias("__pb"), F.lit(None).cast("long").alias("__i"))
-    qry = p.select(
-        key, (F.col("__us") + F.col("__cd")).alias("__v"), F.lit(1).alias("__side"),
-        F.lit(None).cast("long").alias("n_upto"), bucket.alias("__pb"), "__i")
-    w = (Window.partitionBy(key, "__pb").orderBy("__v", "__side")
-               .rowsBetween(Window.unboundedPreceding, 0))
-    succ = (data.unionByName(qry).withColumn("__j", F.last("n_upto", ignorenulls=True).over(w))
-                .where(F.col("__side") == 1).select(key, "__i", F.col("__j").cast("long").alias("__j")))
-    jump = cut_lineage(succ)                                           # J_0: i -> s(i); s(i) = n means none
-    fired = cut_lineage(cds.select(key, F.lit(0).cast("long").alias("__i")))
-    largest = cds.agg(F.max("__n")).first()[0] or 0                   # one aggregate row
-    for _ in range(max(1, math.ceil(math.log2(largest + 1)) + 1)):
-        step = (fired.join(jump, [key, "__i"]).join(cds.select(key, "__n"), key)
-                     .where(F.col("__j") < F.col("__n")).select(key, F.col("__j").alias("__i")))
-        fired = cut_lineage(fired.unionByName(step).distinct())
-        nxt = jump.alias("a").join(jump.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) &
-                                   (F.col("a.__j") == F.col("b.__i")), "left")
-        jump = cut_lineage(nxt.select(F.col(f"a.{key}").alias(key), F.col("a.__i").alias("__i"),
-                                      F.coalesce(F.col("b.__j"), F.col("a.__j")).alias("__j")))
-    flag = fired.withColumn("fired", F.lit(True))
-    out = p.join(flag, [key, "__i"], "left").withColumn("fired", F.coalesce(F.col("fired"), F.lit(False)))
-    return out.select(*df.columns, "fired")

@@ -1,89 +1,103 @@
-"""Stateful streaming jobs equal their batch twins when input arrives in time order."""
+"""Stateful streaming jobs equal their batch twins, whatever the order of files."""
+
+import datetime as dt
 
 from pyspark.sql import functions as F
 
-from riskloom.plans.common import round_doubles
+from riskloom.operators import alerts as A
+from riskloom.plans import alerts_queries as AQ
 from riskloom.session import scratch_table_path
 from riskloom.sources.tables import table
-from riskloom.streaming import jobs
+from riskloom.streaming import folds, jobs, stateful
 from tools.check_oracle import canon_rows
 
 import __spark_entry__ as E
 
 
-def _shuffled_files(spark, df, path, n=200):
-    """``df`` in n files, each with rows of all times."""
-    df.withColumn("__h", F.pmod(F.xxhash64(*df.columns), F.lit(n))).repartition(n, "__h").drop("__h").sortWithinPartitions(
-        F.rand(3)).write.option("maxRecordsPerFile", max(1, df.count() // n)).parquet(path)
-
-
 def _same(got, want):
     cols = want.columns
     assert canon_rows(cols, [tuple(r) for r in got.select(*cols).collect()]) == \
         canon_rows(cols, [tuple(r) for r in want.collect()])
 
 
-def test_files_in_any_order_and_several_batches(spark, sf_small):
+def _jobs(spark, base, lateness):
+    """Each job as a function that runs it to the end of what has landed."""
+    at = lambda n: (spark, f"{base}/landing", f"{base}/sink{n}", f"{base}/ckpt{n}")
+    return [lambda: jobs.score_alert_stream(*at(0), lateness_s=lateness),
+            lambda: jobs.cooldown_stream(*at(1), lateness_s=lateness),
+            lambda: jobs.emit_on_change_stream(*at(2), A.BROADCAST_MIN_CHANGE, AQ.BROADCAST_TTL_S, lateness_s=lateness)]
+
+
+def _sinks(spark, base):
+    return [jobs.read_sink(spark, f"{base}/sink{n}", s) for n, s in enumerate((jobs.ALERT_SCHEMA, jobs.COOLDOWN_SCHEMA, jobs.EMIT_SCHEMA))]
+
+
+def _batch(spark, ev):
+    rows = ev.select(F.col("user_id").alias("id"), "ts", "event_id", (F.col("value") / 100.0).alias("score"))
+    alerts = A.change_alerts(A.score_trend(rows, "id", ["ts", "event_id"], "score"))
+    return [alerts.select(*[c.split()[0] for c in jobs.ALERT_SCHEMA.split(", ")]),
+            folds.alert_cooldown(AQ.candidates_from(spark, ev), "metric_name", "ts", "event_id", "cooldown_s"),
+            folds.emit_on_change(AQ.series_scores(ev), "series", ["ts", "event_id"], "score", A.BROADCAST_MIN_CHANGE, AQ.BROADCAST_TTL_S)]
+
+
+def test_shuffled_files_with_restarts_and_a_delay_below_the_span(spark, sf_small):
+    """200 files in four landings; inside a landing files are in no order.  The
+    delay is a landing's width, a quarter of the span.  Every landing is a
+    restart of all three queries; state connects them."""
     base = scratch_table_path(spark, "test-stream")
     ev = table(spark, sf_small, "events")
-    _shuffled_files(spark, ev, f"{base}/landing")
-    span = jobs.span_seconds(ev, "ts")
-    q = jobs.score_alert_stream(spark, f"{base}/landing", f"{base}/s1", f"{base}/c1", lateness_s=span)
-    assert len(q.recentProgress) >= 2
-    _same(round_doubles(jobs.read_sink(spark, f"{base}/s1", jobs.ALERT_SCHEMA), 6), E.queries()["score_change_alert"](spark, sf_small))
-    q = jobs.cooldown_stream(spark, f"{base}/landing", f"{base}/s2", f"{base}/c2", lateness_s=span)
-    assert len(q.recentProgress) >= 2
-    _same(round_doubles(jobs.read_sink(spark, f"{base}/s2", jobs.COOLDOWN_SCHEMA), 6), E.queries()["alert_cooldown"](spark, sf_small))
-    from riskloom.operators.alerts import BROADCAST_MIN_CHANGE
-    from riskloom.sources import panel as P
-    daily = P.prices_daily(spark, sf_small).select("ticker", "date", "close")
-    _shuffled_files(spark, daily, f"{base}/daily")
-    q = jobs.emit_on_change_stream(spark, f"{base}/daily", f"{base}/s3", f"{base}/c3", BROADCAST_MIN_CHANGE,
-                                   lateness_s=jobs.span_seconds(daily, "date"))
-    assert len(q.recentProgress) >= 2
-    _same(round_doubles(jobs.read_sink(spark, f"{base}/s3", jobs.EMIT_SCHEMA), 6), E.queries()["broadcast_on_change"](spark, sf_small))
-
-
-def test_days_in_order_release_as_they_come(spark, sf_small):
-    """With day folders oldest first, batches emit before the input has ended,
-    and carried rows connect them."""
-    base = scratch_table_path(spark, "test-stream-days")
-    ev = table(spark, sf_small, "events")
-    days = sorted(r[0] for r in ev.select(F.to_date("ts")).distinct().collect())[:6]
-    some = ev.where(F.to_date("ts") <= F.lit(days[-1]))
-    for i, d in enumerate(days):
-        some.where(F.to_date("ts") == F.lit(d)).coalesce(1).write.parquet(f"{base}/landing/day={d.isoformat()}")
-        jobs.score_alert_stream(spark, f"{base}/landing", f"{base}/sink", f"{base}/ckpt", close=i == len(days) - 1)
-        jobs.cooldown_stream(spark, f"{base}/landing", f"{base}/sink2", f"{base}/ckpt2", close=i == len(days) - 1)
-        if i == 2:
-            assert jobs.read_sink(spark, f"{base}/sink", jobs.ALERT_SCHEMA).count() > 0
-    from riskloom.operators import alerts as A
-    from riskloom.plans.alerts_queries import candidates_from
-    from riskloom.streaming.folds import alert_cooldown
-    rows = some.select(F.col("user_id").alias("id"), "ts", "event_id", (F.col("value") / 100.0).alias("score"))
-    want = A.change_alerts(A.score_trend(rows, "id", ["ts", "event_id"], "score"))
-    _same(jobs.read_sink(spark, f"{base}/sink", jobs.ALERT_SCHEMA), want.select(*[c.split()[0] for c in jobs.ALERT_SCHEMA.split(", ")]))
-    _same(jobs.read_sink(spark, f"{base}/sink2", jobs.COOLDOWN_SCHEMA),
-          alert_cooldown(candidates_from(spark, some), "metric_name", "ts", "event_id", "cooldown_s"))
-
-
-def test_restart_emits_nothing_twice_and_late_rows_are_set_aside(spark):
-    import datetime as dt
+    lo, hi = ev.agg(F.min("ts"), F.max("ts")).first()
+    width = (hi - lo).total_seconds() / 4 + 1
+    parts = ev.withColumn("part", F.floor((F.unix_micros(F.col("ts").cast("timestamp"))
+                                           - F.unix_micros(F.lit(lo).cast("timestamp"))) / (width * 1e6)))
+    emitted = []
+    for i in range(4):
+        part = parts.where(F.col("part") == i).drop("part")
+        part.withColumn("h", F.pmod(F.xxhash64("event_id"), F.lit(50))).repartition(50, "h").drop("h").sortWithinPartitions(
+            F.rand(3)).write.option("maxRecordsPerFile", max(1, part.count() // 50)).parquet(f"{base}/landing/p{i}")
+        if i == 3:
+            jobs.heartbeat(spark, f"{base}/landing", width)
+        queries = [run() for run in _jobs(spark, base, width)]
+        assert all(stateful.late_rows(q) == 0 for q in queries)
+        emitted.append([s.count() for s in _sinks(spark, base)])
+    assert all(0 < a < b for a, b in zip(emitted[1], emitted[3]))       # rows come out before the input has ended
+    for got, want in zip(_sinks(spark, base), _batch(spark, ev)):
+        _same(got, want)
+    flags = [r["change"] for r in _sinks(spark, base)[2].where("emitted").collect()]
+    assert 0.0 in flags and any(abs(x) >= 1 for x in flags)
+    # after the end no key keeps a waiting row, and expired decisions are gone
+    assert [q.lastProgress["stateOperators"][0]["numRowsTotal"] for q in queries[1:]] == [0, 0]
+    again = [run() for run in _jobs(spark, base, width)]                # nothing new: nothing comes twice
+    assert all(q.exception() is None for q in again)
+    assert [s.count() for s in _sinks(spark, base)] == emitted[3]
+
+
+def test_expiry_and_rows_behind_the_watermark(spark):
     base = scratch_table_path(spark, "test-stream-late")
-    schema = jobs.EVENT_SCHEMA
     t = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
-    first = [(1, t(10), 1, "view", 10.0, "{}"), (2, t(11), 1, "view", 50.0, "{}"), (3, t(12), 1, "view", 90.0, "{}")]
-    then = [(4, t(9), 1, "view", 0.0, "{}"),         # 3 h behind: later than the tolerance
-            (5, t(11, 50), 1, "view", 20.0, "{}")]   # within it: takes its place before event 3
-    spark.createDataFrame(first, schema).coalesce(1).write.parquet(f"{base}/landing/a=1")
-    jobs.score_alert_stream(spark, f"{base}/landing", f"{base}/sink", f"{base}/ckpt", close=False)
-    spark.createDataFrame(then, schema).coalesce(1).write.parquet(f"{base}/landing/a=2")
-    for _ in range(2):
-        jobs.score_alert_stream(spark, f"{base}/landing", f"{base}/sink", f"{base}/ckpt")
-    got = sorted((r["event_id"], r["previous_score"]) for r in jobs.read_sink(spark, f"{base}/sink", jobs.ALERT_SCHEMA).collect())
-    assert got == [(2, .1), (3, .2), (5, .5)]
-    late = spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/ckpt/ordered/late").collect()
-    assert [r["event_id"] for r in late] == [4]
+    event = lambda i, at, v: (i, at, 1, "error", v, "{}")
+    first = [event(1, t(10), 100.0), event(2, t(10, 30), 110.0), event(3, t(10, 59), 200.0), event(4, t(13), 205.0)]
+    then = [event(5, t(9), 0.0),             # hours behind the watermark: dropped and counted
+            event(6, t(12, 40), 206.0),      # behind event 4, within the delay: takes its place before it
+            event(7, t(13, 20), 210.0)]
+    spark.createDataFrame(first, jobs.EVENT_SCHEMA).coalesce(1).write.parquet(f"{base}/landing/a=1")
+    run = _jobs(spark, base, 1800.0)[2]
+    run()
+    spark.createDataFrame(then, jobs.EVENT_SCHEMA).coalesce(1).write.parquet(f"{base}/landing/a=2")
+    late = stateful.late_rows(run())
+    jobs.heartbeat(spark, f"{base}/landing")
+    late += stateful.late_rows(run())
+    got = {r["event_id"]: (r["emitted"], r["change"]) for r in jobs.read_sink(spark, f"{base}/sink2", jobs.EMIT_SCHEMA).collect()}
+    assert late == 1
+    assert got == {1: (True, 0.0), 2: (False, None), 3: (True, 2.0), 6: (True, 0.0), 4: (False, None), 7: (False, None)}
+
+
+def test_empty_events(spark):
+    from riskloom.plans import stream_queries as SQ
+    base = scratch_table_path(spark, "test-stream-empty")
+    none = spark.createDataFrame([], jobs.EVENT_SCHEMA)
+    SQ._land(spark, none, f"{base}/landing", lambda width: None)
+    assert jobs.read_sink(spark, f"{base}/sink", jobs.ALERT_SCHEMA).count() == 0
 
 
 def test_online_sgd_stream_equals_batch_learner(spark, sf_small):
