@@ -42,6 +42,17 @@ def kfold(df: DataFrame, key: str, k: int, seed: int = 1001) -> DataFrame:
     return df.withColumn("fold", F.pmod(hash_bucket(key, seed), F.lit(k)).cast("int"))
 
 
+def stratified_kfold(df: DataFrame, key: str, label: str, k: int, seed: int = 1001) -> DataFrame:
+    """``fold`` 0..k-1 so that every class is spread evenly: a row's rank in the
+    seeded-hash order of its class, modulo ``k``.  Ranks come from distributed
+    prefix counts, so no class is sorted inside one task; rows that share a key
+    share their fold."""
+    h = df.withColumn("__h", seeded_hash(key, seed))
+    r = value_counts_ranked(h, "__h", group=label).select(
+        F.col(label).alias("__label"), F.col("__h").alias("__rank_h"), F.pmod(F.col("n_before"), F.lit(k)).cast("int").alias("fold"))
+    return h.join(r, (F.col("__h") == F.col("__rank_h")) & F.col(label).eqNullSafe(F.col("__label"))).drop("__h", "__rank_h", "__label")
+
+
 def undersample_majority(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame:
     """Every class cut to the minority count: the rows with the smallest seeded
     hashes per class.  Per-class ranks come from distributed prefix counts, so

@@ -82,7 +82,7 @@ FOLD_SQL = "fi AS (" + " UNION ALL ".join(
 FOLD_FEATS = f"fd AS (SELECT *, CAST(({s_bucket('vec_id', 1001)}) % {N_FOLDS} AS INTEGER) AS fold FROM feats)"
 
 
-@register("importance_mean_top40", SQ.fsql(with_cte(f"{FOLD_FEATS}, {FOLD_SQL}", """SELECT feature, avg(importance) AS mean_importance
+@register("correlation_mean_top40", SQ.fsql(with_cte(f"{FOLD_FEATS}, {FOLD_SQL}", """SELECT feature, avg(importance) AS mean_importance
   FROM fi GROUP BY feature ORDER BY mean_importance DESC, feature LIMIT 40""")))
 def q_top40(spark, d):
     fi = fold_importance(spark, d)
@@ -90,7 +90,7 @@ def q_top40(spark, d):
     return round_doubles(SE.top_features(m, 40), DIGITS)
 
 
-@register("semi_join_top_features", SQ.fsql(with_cte(f"{FOLD_FEATS}, {FOLD_SQL}", """SELECT * FROM fi WHERE feature IN (
+@register("semi_join_top_correlated", SQ.fsql(with_cte(f"{FOLD_FEATS}, {FOLD_SQL}", """SELECT * FROM fi WHERE feature IN (
   SELECT feature FROM (SELECT feature, avg(importance) AS m FROM fi GROUP BY feature ORDER BY m DESC, feature LIMIT 3) t)""")))
 def q_semi(spark, d):
     fi = fold_importance(spark, d)

@@ -60,11 +60,78 @@ def q_vote6(spark, d):
     return t.join(best, "feature", "left").withColumn("best", F.coalesce("best", F.lit(False)))
 
 
+N_FOLDS, FOLD_SEED = 2, 1001
+# few rows at the small scale factors: shallower trees than the defaults, larger steps
+SMALL = {"iters": 40, "stepSize": 0.1, "maxDepth": 3, "minInstancesPerNode": 5, "minInfoGain": 0.0}
+
+
+def boosted(spark, d):
+    """Cross-validated boosting on three quarters of the rows, stratified folds;
+    the other quarter is scored by the mean of the models."""
+    from riskloom.operators.sampling import stratified_kfold, train_test_split
+    f = train_test_split(SQ.feats(spark, d), "vec_id", 75, 42)
+    train = stratified_kfold(f.where("is_train"), "vec_id", "y", N_FOLDS, FOLD_SEED)
+    return ML.kfold_gbdt(train, f.where(~F.col("is_train")), "vec_id", SQ.FEATS, "y", "fold", N_FOLDS, **SMALL)
+
+
 @register("kfold_gbdt")
 def q_kfold_gbdt(spark, d):
-    f = kfold(SQ.feats(spark, d), "vec_id", 2, 1001)
-    oof, _ = ML.kfold_gbdt(f, "vec_id", SQ.FEATS, "y", "fold", 2, iters=20)
-    return round_doubles(oof, DIGITS)
+    """Out-of-fold rows with their fold, and test rows (no fold)."""
+    oof, test, _, _ = boosted(spark, d)
+    rows = oof.select("vec_id", "fold", F.col("oof_probability").alias("probability")).unionByName(
+        test.select("vec_id", F.col("test_probability").alias("probability")), allowMissingColumns=True)
+    return round_doubles(rows, DIGITS)
+
+
+@register("kfold_gbdt_auc")
+def q_kfold_auc(spark, d):
+    return round_doubles(boosted(spark, d)[3], DIGITS)
+
+
+@register("importance_mean_top40")
+def q_top40(spark, d):
+    """Mean boosting importance over the folds, the 40 best."""
+    from riskloom.operators.selection import top_features
+    imp = boosted(spark, d)[2]
+    return round_doubles(top_features(imp.groupBy("feature").agg(F.avg("importance").alias("mean_importance")), 40), DIGITS)
+
+
+@register("semi_join_top_features")
+def q_semi(spark, d):
+    """Per-fold boosting importances of the best features by their mean."""
+    from riskloom.operators.selection import top_features
+    imp = boosted(spark, d)[2].select("fold", "feature", "importance")
+    top = top_features(imp.groupBy("feature").agg(F.avg("importance").alias("mean_importance")), 3).select("feature")
+    return round_doubles(imp.join(top, "feature", "left_semi"), DIGITS)
+
+
+STRATIFIED_SQL = f"""SELECT *, CAST((row_number() OVER (PARTITION BY y ORDER BY md5(CAST(vec_id AS VARCHAR) || '|{FOLD_SEED}')) - 1)
+  % {N_FOLDS} AS INTEGER) AS fold FROM feats"""
+
+
+@register("stratified_kfold_split", SQ.fsql(f"SELECT vec_id, y, fold FROM ({STRATIFIED_SQL}) f"))
+def q_stratified(spark, d):
+    from riskloom.operators.sampling import stratified_kfold
+    return round_doubles(stratified_kfold(SQ.feats(spark, d).select("vec_id", "y"), "vec_id", "y", N_FOLDS, FOLD_SEED), DIGITS)
+
+
+def _auc_sql(where: str, fold: str) -> str:
+    return f"""SELECT {fold} AS fold, (sum(CASE WHEN y = 1 THEN r END) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0)
+      / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y <> 1)) AS auc,
+    count(*) FILTER (WHERE y = 1) AS n_pos, count(*) FILTER (WHERE y <> 1) AS n_neg
+  FROM (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r FROM sf {where}) x"""
+
+
+@register("kfold_auc", SQ.fsql(f"""WITH sf AS (SELECT y, fold, {SQ.FEATS[0]} AS s FROM ({STRATIFIED_SQL}) f) """
+          + " UNION ALL ".join([_auc_sql(f"WHERE fold = {k}", str(k)) for k in range(N_FOLDS)] + [_auc_sql("", "-1")])))
+def q_fold_auc(spark, d):
+    """AUC of one feature per stratified fold and over all (fold -1): the
+    scoring step of ``kfold_gbdt`` on a score that SQL has too."""
+    from riskloom.operators.sampling import stratified_kfold
+    from riskloom.operators.stats import auc_roc
+    f = stratified_kfold(SQ.feats(spark, d), "vec_id", "y", N_FOLDS, FOLD_SEED)
+    whole = auc_roc(f, SQ.FEATS[0], "y").withColumn("fold", F.lit(-1))
+    return round_doubles(auc_roc(f, SQ.FEATS[0], "y", group="fold").unionByName(whole), DIGITS)
 
 
 @register("vif")
@@ -95,6 +162,26 @@ def q_shap(spark, d):
     return round_doubles(ML.sampled_contributions(model, f, f, "vec_id", SQ.FEATS, permutations=8), DIGITS)
 
 
+@register("tree_contributions")
+def q_tree_contributions(spark, d):
+    """Exact contributions to a forest's probability, every row and feature."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from riskloom.operators.trees import tree_contributions
+    f = SQ.feats(spark, d)
+    m = RandomForestClassifier(featuresCol="features", labelCol="y", numTrees=20, seed=42).fit(ML.assembled(f, SQ.FEATS))
+    return round_doubles(tree_contributions(m, f, "vec_id", SQ.FEATS), DIGITS)
+
+
+@register("tree_contributions_gbdt")
+def q_tree_contributions_gbdt(spark, d):
+    """Exact contributions to a boosted ensemble's margin."""
+    from pyspark.ml.classification import GBTClassifier
+    from riskloom.operators.trees import tree_contributions
+    f = SQ.feats(spark, d)
+    m = GBTClassifier(featuresCol="features", labelCol="y", maxIter=20, stepSize=0.1, seed=42).fit(ML.assembled(f, SQ.FEATS))
+    return round_doubles(tree_contributions(m, f, "vec_id", SQ.FEATS), DIGITS)
+
+
 @register("online_sgd")
 def q_online_sgd(spark, d):
     from riskloom.streaming.online import online_sgd_batches
