@@ -66,5 +66,17 @@ def text_of(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFram
                        *[F.col(f"`{c}`") for c in more])
 
 
-__all__ = ["QUERIES", "ORACLE", "WORD", "SPACE", "register", "table", "shuffle_partitions", "checkpointed",
+def packed_rows(df: DataFrame, **named) -> DataFrame:
+    """The caller's columns as one struct column ``row`` beside ``named``
+    columns, so that no name of theirs can clash with one of an operator."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in named.items()])
+
+
+def unpacked(columns: list[str], replaced: dict | None = None) -> list:
+    """The caller's columns again, some of them replaced."""
+    replaced = replaced or {}
+    return [replaced[c].alias(c) if c in replaced else F.col(f"row.`{c}`").alias(c) for c in columns]
+
+
+__all__ = ["packed_rows", "unpacked", "QUERIES", "ORACLE", "WORD", "SPACE", "register", "table", "shuffle_partitions", "checkpointed",
            "written", "bucketed", "text_of", "ensure_checkpoint_dir", "scratch_table_path"]

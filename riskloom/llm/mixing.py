@@ -20,8 +20,9 @@ offset plus its place in the bucket.  Everything is DataFrame functions.
 Results for special cases: a null source is a source of its own; sources
 without a given weight, or with one that is not above zero, get the smallest
 share, so that no row is lost; null ids, repeated rows and ties keep one place
-each; extra columns are kept by ``mix`` and never read; an empty table gives an
-empty table.
+each; texts are not read; extra columns, whatever their names, are kept by
+``mix`` (``out_col`` names the one that it adds, which must be a new name); an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import checkpointed, register, table
+from riskloom.llm.common import checkpointed, packed_rows, register, table, unpacked
 
 PERIOD = 1000        # slots of a period, up to rounding of the shares
 BLOCK_ROWS = 16
@@ -95,37 +96,37 @@ def schedules(sources: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, source_col: str = "source", id_col: str = "doc_id",
-        block_rows: int = BLOCK_ROWS, period: int = PERIOD, seed: int = SEED) -> DataFrame:
-    """``docs`` with a struct column ``mix_place``: ``rank`` (row of its source),
+        block_rows: int = BLOCK_ROWS, period: int = PERIOD, seed: int = SEED, out_col: str = "mix_place") -> DataFrame:
+    """``docs`` with a struct column ``out_col``: ``rank`` (row of its source),
     ``block``, ``slot``, ``place`` (row of the block), ``release`` and ``due`` in
     slots.  Sorting by slot and place gives the mixture."""
+    if out_col in docs.columns:
+        raise ValueError(f"the rows have a column {out_col}; give another name for the place")
     src = F.col(f"`{source_col}`")
     weights = target_weights(docs, source_col) if weights is None else weights
     sources = checkpointed(shares(docs, weights, source_col, block_rows, period))
     most = sources.agg(F.max("n_rows")).first()[0] or 0
     buckets = max(64, -(-most // BUCKET_ROWS))
-    own = schedules(sources).withColumnsRenamed({"source": "__s", "share": "__share", "parts": "__parts"})
-    hashed = docs.withColumn("__h", F.xxhash64(F.lit(seed), src, F.col(f"`{id_col}`"))).withColumn(
-        "__b", F.pmod(F.col("__h"), F.lit(buckets)))
-    before = Window.partitionBy("__cs").orderBy("__cb").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = hashed.groupBy(src.alias("__cs"), F.col("__b").alias("__cb")).agg(F.count("*").alias("n")).select(
-        "__cs", "__cb", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
-    ranked = hashed.withColumn("__r", F.row_number().over(
-        Window.partitionBy(src, "__b").orderBy("__h", F.col(f"`{id_col}`"))) - 1)
-    ranked = ranked.join(offsets, src.eqNullSafe(F.col("__cs")) & (F.col("__b") == F.col("__cb")))
-    ranked = ranked.withColumn("__r", F.col("__r") + F.col("__offset"))
-    out = ranked.join(F.broadcast(own), src.eqNullSafe(F.col("__s")))
-    out = out.withColumn("__block", F.expr(f"__r div {block_rows}")).withColumn("__period", F.expr("__block div __share")).withColumn(
-        "__part", F.expr("element_at(filter(__parts, x -> x.first <= __period), -1)")).withColumn(
-        "__i", F.expr("__block % __share"))
-    begin = F.expr("__part.start + (__period - __part.first) * __part.n")
+    own = schedules(sources).withColumnsRenamed({"source": "own_source"})
+    hashed = packed_rows(docs, s=src, id=F.col(f"`{id_col}`"), h=F.xxhash64(F.lit(seed), src, F.col(f"`{id_col}`"))).withColumn(
+        "b", F.pmod(F.col("h"), F.lit(buckets)))
+    before = Window.partitionBy("cs").orderBy("cb").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = hashed.groupBy(F.col("s").alias("cs"), F.col("b").alias("cb")).agg(F.count("*").alias("n")).select(
+        "cs", "cb", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    ranked = hashed.withColumn("r", F.row_number().over(Window.partitionBy("s", "b").orderBy("h", "id")) - 1)
+    ranked = ranked.join(offsets, F.col("s").eqNullSafe(F.col("cs")) & (F.col("b") == F.col("cb")))
+    ranked = ranked.withColumn("r", F.col("r") + F.col("offset"))
+    out = ranked.join(F.broadcast(own), F.col("s").eqNullSafe(F.col("own_source")))
+    out = out.withColumn("block", F.expr(f"r div {block_rows}")).withColumn("period", F.expr("block div share")).withColumn(
+        "part", F.expr("element_at(filter(parts, x -> x.first <= period), -1)")).withColumn("i", F.expr("block % share"))
+    begin = F.expr("part.start + (period - part.first) * part.n")
     place = F.struct(
-        F.col("__r").alias("rank"), F.col("__block").alias("block"),
-        (begin + F.expr("get(__part.slots, cast(__i as int))")).cast("long").alias("slot"),
-        F.expr(f"__r % {block_rows}").alias("place"),
-        (begin + F.expr("floor(__i * __part.n / __part.m)")).cast("long").alias("release"),
-        (begin + F.expr("ceil((__i + 1) * __part.n / __part.m)")).cast("long").alias("due"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c != "mix_place"], place.alias("mix_place"))
+        F.col("r").alias("rank"), F.col("block").alias("block"),
+        (begin + F.expr("get(part.slots, cast(i as int))")).cast("long").alias("slot"),
+        F.expr(f"r % {block_rows}").alias("place"),
+        (begin + F.expr("floor(i * part.n / part.m)")).cast("long").alias("release"),
+        (begin + F.expr("ceil((i + 1) * part.n / part.m)")).cast("long").alias("due"))
+    return out.select(*unpacked(docs.columns), place.alias(out_col))
 
 
 @register("op1_mixing")

@@ -33,7 +33,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import SPACE, checkpointed, register, table
+from riskloom.llm.common import SPACE, checkpointed, packed_rows, register, table, unpacked
 
 MIN_WORDS, WINDOW, MAX_REPEAT_PCT = 20, 8, 30
 MIN_GROUP = 50
@@ -190,9 +190,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The rows of ``docs`` that the rules keep.  Rejected rows are named by id
     and text, so a row that shares an id with one of them stays."""
-    named = docs.withColumn(id_col, F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
-    gone = quality_rules(named, id_col, text_col, **kw).where(~F.col("kept")).select(F.col("doc_id").alias("__row")).distinct()
-    return docs.join(gone, F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")) == F.col("__row"), "left_anti")
+    name = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    gone = quality_rules(docs.withColumn(id_col, name), id_col, text_col, **kw).where(~F.col("kept")).select(
+        F.col("doc_id").alias("gone")).distinct()
+    kept = packed_rows(docs, name=name).join(gone, F.col("name") == F.col("gone"), "left_anti")
+    return kept.select(*unpacked(docs.columns))
 
 
 @register("op6_quality_rules")

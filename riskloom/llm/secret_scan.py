@@ -7,11 +7,10 @@ matches and of the texts between them.
 
 Every base value, and every other long mixed string of letters and digits, is
 a candidate.  Candidates are hashed and counted over the corpus by distinct
-repositories and owners: a value that many owners hold is a copied example, a
-value of a single owner looks like a live credential.  Other strings outside
-of base spans become spans of kind ``live`` when no more than ``live_owners``
-owners have them: one in the query, as in its SQL; the pipeline masks all that
-is not an example, below ``EXAMPLE_OWNERS``.
+repositories and owners.  One boundary parts them: a value of ``EXAMPLE_OWNERS``
+owners, or of ``EXAMPLE_REPOS`` repositories (also of one owner), is a copied
+example; any other looks like a live credential of its owner.  Live strings
+outside of base spans become spans of kind ``live``.
 
 A value copied into a third of all rows is counted by partial sums; joining
 the counts back is a sort-merge join that Spark splits where it is skewed.
@@ -27,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import checkpointed, register, table
+from riskloom.llm.common import checkpointed, packed_rows, register, table, unpacked
 
 # Kind, pattern, group that holds the value, least length of value.
 KINDS = [
@@ -43,6 +42,7 @@ ORDER = [k for k, *_ in KINDS] + [LIVE]
 OTHER = r"([A-Za-z0-9+/_=-]{20,})"
 DISTINCT_CHARS = 10
 EXAMPLE_OWNERS = 3
+EXAMPLE_REPOS = 4
 MASK = "<secret>"
 
 SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
@@ -102,17 +102,18 @@ def ownership(found: DataFrame) -> DataFrame:
                                                F.count("*").alias("n_owners"))
 
 
-def secret_spans(docs: DataFrame, live_owners: int = 1, **cols) -> DataFrame:
+def secret_spans(docs: DataFrame, live_owners: int = EXAMPLE_OWNERS - 1, live_repos: int = EXAMPLE_REPOS - 1,
+                 **cols) -> DataFrame:
     """One row per document: ``base`` and ``live`` spans in order, and how many
     of its candidates are ``n_live`` or ``n_example`` by ownership."""
     found = checkpointed(candidates(docs, **cols))
     some = found.where(F.size("base") + F.size("other") > 0).select("doc_id", "text_hash", "base", "other").distinct()
     each = some.select("doc_id", "text_hash", F.explode(F.concat("base", "other")).alias("s")).withColumn(
         "value_hash", F.sha2(F.col("s.value"), 256))
+    live = (F.col("n_owners") <= live_owners) & (F.col("n_repos") <= live_repos)
     judged = each.join(ownership(found), "value_hash").groupBy("doc_id", "text_hash").agg(
-        F.array_sort(F.collect_list(F.when((F.col("s.kind") != LIVE) | (F.col("n_owners") <= live_owners), F.col("s")))).alias("spans"),
-        F.count_if(F.col("n_owners") <= live_owners).alias("n_live"),
-        F.count_if(F.col("n_owners") >= EXAMPLE_OWNERS).alias("n_example"))
+        F.array_sort(F.collect_list(F.when((F.col("s.kind") != LIVE) | live, F.col("s")))).alias("spans"),
+        F.count_if(live).alias("n_live"), F.count_if(~live).alias("n_example"))
     judged = judged.withColumnsRenamed({"doc_id": "j_id", "text_hash": "j_hash"})
     return found.select("doc_id", "text_hash").join(
         judged, F.col("doc_id").eqNullSafe(F.col("j_id")) & (F.col("text_hash") == F.col("j_hash")), "left").select(
@@ -142,12 +143,12 @@ def masked(text: Column, spans: Column, mask: str = MASK) -> Column:
 def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **cols) -> DataFrame:
     """``docs`` with the spans of every text masked; other columns unchanged."""
     spans = secret_spans(docs, id_col=id_col, text_col=text_col, **cols).where(F.size("spans") > 0).select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans")).distinct()
+        F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), "spans").distinct()
     text = F.col(f"`{text_col}`")
-    return docs.join(spans, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id"))
-                     & (F.xxhash64(text) == F.col("__hash")), "left").withColumn(
-        text_col, F.when(F.col("__spans").isNull(), text).otherwise(masked(text, F.col("__spans")))).drop(
-        "__id", "__hash", "__spans")
+    found = packed_rows(docs, text=text, id=F.col(f"`{id_col}`").cast("long"), hash=F.xxhash64(text)).join(
+        spans, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash")), "left")
+    clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("spans")))
+    return found.select(*unpacked(docs.columns, {text_col: clean}))
 
 
 def oracle() -> str:
@@ -171,13 +172,15 @@ def oracle() -> str:
     AND regexp_matches(val, '[A-Z]') AND len(list_distinct(string_split(val, ''))) >= 10
     AND NOT EXISTS (SELECT 1 FROM b WHERE b.rid = f.rid AND b.s < f.s + f.n AND f.s < b.e)),
   c AS (SELECT * FROM b UNION ALL SELECT * FROM o),
-  w AS (SELECT val, count(DISTINCT coalesce('s' || source, 'n')) AS owners FROM c JOIN d USING (rid) GROUP BY val),
-  j AS (SELECT c.*, owners FROM c JOIN w USING (val)),
+  w AS (SELECT val, count(DISTINCT coalesce('s' || source, 'n')) < {EXAMPLE_OWNERS}
+      AND count(DISTINCT {{'s': coalesce('s' || source, 'n'), 'l': coalesce('l' || lang, 'n')}}) < {EXAMPLE_REPOS} AS live
+    FROM c JOIN d USING (rid) GROUP BY val),
+  j AS (SELECT c.*, live FROM c JOIN w USING (val)),
   g AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
       count(*) FILTER (kind = 'hex') AS n_hex,
       string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (kind <> 'live') AS base,
-      string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (kind <> 'live' OR owners = 1) AS spans,
-      count(*) FILTER (owners = 1) AS n_live, count(*) FILTER (owners >= 3) AS n_example FROM j GROUP BY rid)
+      string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (kind <> 'live' OR live) AS spans,
+      count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM j GROUP BY rid)
   SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
     sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
     coalesce(n_example, 0) AS n_example FROM d LEFT JOIN g USING (rid)"""

@@ -83,6 +83,16 @@ def test_buckets_number_rows_once(spark, monkeypatch):
     assert {(r.doc_id, r.source): r.mix_place for r in got} == {(r.doc_id, r.source): r.mix_place for r in again}
 
 
+def test_columns_of_any_name_are_kept(spark):
+    names = ["__s", "__h", "__r", "__b", "s", "id", "h", "b", "r", "row", "block", "part", "mix_place"]
+    rows = [(i, "ab"[i % 2], *[f"{c}{i}" for c in names]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, " + ", ".join(f"{c} string" for c in names))
+    got = M.mix(df, block_rows=3, out_col="at").collect()
+    assert sorted(tuple(r)[:-1] for r in got) == rows
+    assert sorted((r["at"].slot, r["at"].place) for r in got) == sorted(
+        (r.mix_place.slot, r.mix_place.place) for r in M.mix(df.select("doc_id", "source"), block_rows=3).collect())
+
+
 def test_query_and_no_python_in_plan(spark):
     from riskloom.llm.registry import queries
     sf = "/root/testdata/sf0.001"

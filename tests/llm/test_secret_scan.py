@@ -43,19 +43,26 @@ def rows_of(seed=1):
                    (503, mixed[0], "only", "en", "c", "c"), (504, "Qq7ab1cd2ef3gh4ij5kl6mn", "solo", "en", "c", "c")]
 
 
+def live_values(rows):
+    """Values below both boundaries; rows hold (..., text, source, lang)."""
+    owners, repos = defaultdict(set), defaultdict(set)
+    for text, source, lang in rows:
+        for x in base(text) + others(text):
+            owners[x[4]].add(source)
+            repos[x[4]].add((source, lang))
+    return {v for v in owners if len(owners[v]) < 3 and len(repos[v]) < 4}
+
+
 def test_against_brute_force(spark):
     rows = rows_of()
-    owners = defaultdict(set)
-    for _, t, s, _, *_ in rows:
-        for x in base(t) + others(t):
-            owners[x[4]].add(s)
+    live = live_values([(r[1], r[2], r[3]) for r in rows])
     want = []
     for i, t, s, _, *_ in rows:
         b, o = base(t), others(t)
-        spans = sorted(b + [x for x in o if len(owners[x[4]]) == 1])
+        spans = sorted(b + [x for x in o if x[4] in live])
         text = lambda xs: ",".join(f"{x[3]}:{x[0]}:{x[2]}" for x in xs)
-        want.append((i, hashlib.sha256(text(b).encode()).hexdigest(), text(spans), sum(len(owners[x[4]]) == 1 for x in b + o),
-                     sum(len(owners[x[4]]) >= 3 for x in b + o)))
+        want.append((i, hashlib.sha256(text(b).encode()).hexdigest(), text(spans), sum(x[4] in live for x in b + o),
+                     sum(x[4] not in live for x in b + o)))
     got = S.secret_spans(spark.createDataFrame(rows, SCHEMA).repartition(3)).select(
         "doc_id", F.sha2(S.listed(F.filter("spans", lambda s: s["kind"] != "live")), 256),
         S.listed(F.col("spans")), "n_live", "n_example").collect()
@@ -64,9 +71,22 @@ def test_against_brute_force(spark):
     assert S.secret_spans(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_one_boundary_of_owners_and_repositories(spark):
+    values = [f"Zk9abCdeF0123ghIJklMN450{i}" for i in range(4)]
+    held = [(0, "a", "en"), (0, "b", "en"),                                   # two owners: live
+            (1, "a", "en"), (1, "b", "en"), (1, None, "en"),                  # three owners: example
+            *[(2, "a", x) for x in ("en", "de", "fr", "es")],                 # one owner, four repositories: example
+            *[(3, "a", "en")] * 9]                                            # nine copies in one repository: live
+    rows = [(i, f"key {values[v]} {i}", s, x, "c", "c") for i, (v, s, x) in enumerate(held)]
+    got = {r.doc_id: r.n for r in S.secret_spans(spark.createDataFrame(rows, SCHEMA)).select("doc_id", F.size("spans").alias("n")).collect()}
+    assert got == {i: int(v in (0, 3)) for i, (v, _, _) in enumerate(held)}
+
+
 def test_masking(spark):
     rows = rows_of(4)
-    df = spark.createDataFrame(rows, SCHEMA)
+    clash = SCHEMA.replace("spans", "id").replace("base", "of_id") + ", __id string, __hash int, row string"
+    df = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], clash)
+    rows = [(*r, "x", 1, "y") for r in rows]
     got = S.mask_secrets(df).collect()
     assert len(got) == len(rows) and got[0].__fields__ == df.columns
     spans = {(r.doc_id, r.text_hash): r.spans for r in S.secret_spans(df).collect()}
