@@ -8,12 +8,13 @@ last return the columns of ``documents``.
 2. ``near_duplicates`` keeps the smallest id of each class of documents that
    are alike (five-word shingles, similarity 0.8).
 3. ``secrets`` masks secret spans in texts; candidates count as live below
-   ``EXAMPLE_OWNERS`` owners.
+   ``EXAMPLE_OWNERS`` owners and ``EXAMPLE_REPOS`` repositories.
 4. ``mixing`` orders rows so that sources interleave by target weight.
 5. ``tokens`` encodes every text; one row per document with its ids, and its
    slot and place in the mixture (worked out again: files and blocks keep no
    order).  Sorting by slot and place gives the mixture.
 
+Extra columns, whatever their names, pass the first four stages unchanged.
 Null or empty texts fail the quality rules.  Rows that share an id share their
 class; repeated rows with the smallest id of a class all stay.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.mixing import mix
 from riskloom.llm.quality_rules import passing
-from riskloom.llm.secret_scan import EXAMPLE_OWNERS, mask_secrets
+from riskloom.llm.secret_scan import mask_secrets
 from riskloom.llm.shingle_join import near_documents
 from riskloom.llm.word_codec import encode
 from riskloom.session import ensure_checkpoint_dir, prepare
@@ -49,18 +50,21 @@ def near_duplicates(spark, docs, sf_dir):
 
 def secrets(spark, docs, sf_dir):
     prepare(spark)
-    return mask_secrets(docs, live_owners=EXAMPLE_OWNERS - 1).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return mask_secrets(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mixing(spark, docs, sf_dir):
     prepare(spark)
-    return mix(docs).orderBy("mix_place.slot", "mix_place.place").drop("mix_place")
+    at = "mix_place"
+    while at in docs.columns:
+        at += "_"
+    return mix(docs, out_col=at).orderBy(f"{at}.slot", f"{at}.place").drop(at)
 
 
 def tokens(spark, docs, sf_dir):
     prepare(spark)
     import public_tokenizers
-    placed = mix(docs).select("doc_id", "text", F.col("mix_place.slot").cast("long").alias("slot"),
+    placed = mix(docs.select("doc_id", "source", "text")).select("doc_id", "text", F.col("mix_place.slot").cast("long").alias("slot"),
                               F.col("mix_place.place").cast("long").alias("place"))
     ids = encode(placed, public_tokenizers.path("word_bpe_49k.json"), carry=("slot", "place"))
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "slot", "place")
