@@ -14,6 +14,7 @@ from riskloom.operators import stats as ST
 from riskloom.operators.aggregates import discover_vocabulary, mean_of, var_of, one_hot_exprs
 from riskloom.plans import sqlgen
 from riskloom.plans.common import register, round_doubles, sql_round, with_cte
+from riskloom.session import scratch_table_path
 from riskloom.sources.tables import table
 
 DIGITS = 6
@@ -280,7 +281,9 @@ def _knn_cols():
 def q_impute_knn(spark, d):
     from riskloom.operators.knn import impute_knn
     from riskloom.plans.company_panel import merged_panel
-    m = merged_panel(spark, d).select("ticker", "date", *_knn_cols())
+    path = scratch_table_path(spark, "panel")      # read several times below: written once
+    merged_panel(spark, d).select("ticker", "date", *_knn_cols()).write.parquet(path)
+    m = spark.read.parquet(path)
     return round_doubles(impute_knn(m, "ticker", "date", _knn_cols(), k=5, min_rows=10), DIGITS)
 
 

@@ -70,3 +70,34 @@ def test_knn_small_groups_untouched(spark):
     df = spark.createDataFrame(rows, "g string, i int, a double")
     got = {r.i: r.a for r in impute_knn(df, "g", "i", ["a"], k=5, min_rows=10).collect()}
     assert got[0] is None and got[3] == 3.0
+
+
+def test_far_blocks_are_not_scored(spark):
+    """Two columns always present, one with gaps: only neighbouring blocks meet,
+    so pairs grow with the rows, not with their square."""
+    rnd = random.Random(3)
+    share = {}
+    for n in (400, 1600):
+        rows = [("g", i, float(i % 97), i / 7.0 + rnd.random(), None if rnd.random() < .2 else float(i)) for i in range(n)]
+        rows = [(g, i, 0.001 * a, b, c) for g, i, a, b, c in rows]
+        df = spark.createDataFrame(rows, "g string, i int, a double, b double, c double")
+        seen = []
+        got = {(r.g, r.i): [r.a, r.b, r.c] for r in impute_knn(df, "g", "i", ["a", "b", "c"], block_rows=20, seen=seen).collect()}
+        scored, every = seen
+        share[n] = scored / (n / 20)
+        assert scored < every / 4
+        if n == 400:
+            for key, w in brute_force(rows, ["a", "b", "c"], 5, 10).items():
+                assert np.allclose(got[key], w, rtol=1e-12, atol=1e-12)
+    assert share[1600] < 2 * share[400]
+
+
+def test_knn_plan_and_null_groups(spark):
+    rows = [(None if i % 2 else "g", i, None if i % 5 == 0 else float(i), float(i % 3)) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, i int, a double, b double")
+    out = impute_knn(df, "g", "i", ["a", "b"], block_rows=4)
+    got = {(r.g, r.i): [r.a, r.b] for r in out.collect()}
+    for key, w in brute_force(rows, ["a", "b"], 5, 10).items():
+        assert np.allclose(got[key], w)
+    assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange") <= 10
+    assert impute_knn(df.limit(0), "g", "i", ["a", "b"]).count() == 0
