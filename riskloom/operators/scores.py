@@ -94,14 +94,16 @@ def stress_indicator(columns: Sequence[str]) -> Column:
 
 
 def confidence_index(df: DataFrame) -> Column:
-    """Mean of filled 7-row sentiment, filled 30-row momentum, normalised volume trend."""
+    """Mean of filled 7-row sentiment, filled 30-row momentum and the volume
+    trend brought to 0..1 (``volume_trend_norm`` of ``minmax_component``; not
+    filled, so rows without a trend have no index)."""
     parts = []
     if "news_sentiment_7d" in df.columns:
         parts.append(F.coalesce(F.col("news_sentiment_7d"), F.lit(0.0)))
     if "price_momentum_30d" in df.columns:
         parts.append(F.coalesce(F.col("price_momentum_30d"), F.lit(0.0)))
-    if "volume_trend" in df.columns:
-        raise NotImplementedError("normalised volume needs minmax_component first")
+    if "volume_trend_norm" in df.columns:
+        parts.append(F.col("volume_trend_norm"))
     if not parts:
         return F.lit(None).cast("double")
     s = parts[0] + F.lit(0.0) if len(parts) == 1 else parts[0]

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from riskloom.functions.scalar import clip, sdiv
 from riskloom.operators import joins as J
 from riskloom.operators import windows as W
-from riskloom.operators.scores import (composite_weighted, confidence_index, event_impact, event_impact_weights,
+from riskloom.operators.scores import (COMPOSITE_WEIGHTS as COMPOSITE, composite_weighted, confidence_index, event_impact, event_impact_weights,
                                        financial_ratios, liquidity_risk, minmax_component, profitability_trend,
                                        stress_indicator)
 from riskloom.plans.common import register, round_doubles, sql_round
+from riskloom.session import scratch_table_path
 from riskloom.sources import panel as P
 
 DIGITS = 6
@@ -407,30 +408,37 @@ def q_rolling_std_fin(spark, d):
         "net_income_growth_yoy", "total_assets_growth_yoy", "shareholders_equity_growth_yoy", "revenue_trend"), DIGITS)
 
 
+def panel_features(spark: SparkSession, d: str) -> DataFrame:
+    """Financial, news and market features on panel rows, written once: scores
+    need statistics of the whole panel and then its rows."""
+    w = day_window()
+    m = news_features(financial_panel(spark, d), w)
+    m = W.pct_change(m, "close", w, 30, "price_momentum_30d")
+    m = m.withColumn("volume_trend", W.rolling_mean("volume", w, 30, 10))
+    path = scratch_table_path(spark, "panel_features")
+    m.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def derived_panel(spark: SparkSession, d: str) -> DataFrame:
-    """Financial panel + news features on panel rows + composite scores."""
-    m = financial_panel(spark, d)
-    m = news_features(m, day_window())
-    m = composite_weighted(m)
+    """Panel features + composite scores."""
+    m = composite_weighted(minmax_component(panel_features(spark, d), ["volume_trend"]))
     m = m.withColumn("financial_stress_indicator", stress_indicator(m.columns))
     m = m.withColumn("market_confidence_index", confidence_index(m))
     m = m.withColumn("liquidity_risk_score", liquidity_risk())
     return m.withColumn("profitability_trend_score", profitability_trend(m.columns))
 
 
-COMPOSITE = [("debt_to_equity_ratio", 0.25), ("current_ratio", -0.20), ("roa", -0.20), ("roe", -0.15),
-             ("news_sentiment_30d", -0.10), ("event_impact_score", 0.10)]
-
-
 def derived_sql() -> str:
-    base = news_sql(financial_panel_sql(), DW)
-    mm = ", ".join(f"min({c}) OVER () AS __mn_{c}, max({c}) OVER () AS __mx_{c}" for c, _ in COMPOSITE)
+    base = f"""SELECT *, {s_pct('close', DW, 30)} AS price_momentum_30d, {s_mean('volume', DW, 30, 10)} AS volume_trend
+      FROM (SELECT *, {s_ffill('close', DW)} AS __ff_close FROM ({news_sql(financial_panel_sql(), DW)}) b0) b1"""
+    mm = ", ".join(f"min({c}) OVER () AS __mn_{c}, max({c}) OVER () AS __mx_{c}" for c in [*[c for c, _ in COMPOSITE], "volume_trend"])
     norm = lambda c: f"(CASE WHEN __mx_{c} = __mn_{c} THEN 0.0 ELSE ({c} - __mn_{c}) / (__mx_{c} - __mn_{c}) END)"
     total = sum(abs(w) for _, w in COMPOSITE)
     comp = " + ".join(f"({w!r}) * {norm(c)}" for c, w in COMPOSITE)
     stress = ("(CAST(coalesce(debt_to_equity_ratio > 1.5, false) AS DOUBLE) + CAST(coalesce(current_ratio < 1.0, false) AS DOUBLE)"
               " + CAST(coalesce(roa < 0, false) AS DOUBLE) + CAST(coalesce(cash_flow_operations < 0, false) AS DOUBLE)) / 4.0")
-    conf = "(coalesce(news_sentiment_7d, 0.0) + 0.0) / 1.0"
+    conf = f"(coalesce(news_sentiment_7d, 0.0) + coalesce(price_momentum_30d, 0.0) + {norm('volume_trend')}) / 3.0"
     liq = (f"0.4 * (2.0 - {s_clip('current_ratio', 0.0, 4.0)}) / 4.0 + 0.4 * (1.5 - {s_clip('quick_ratio', 0.0, 3.0)}) / 3.0"
            f" + 0.2 * (0.5 - {s_clip('cash_ratio', 0.0, 1.0)}) / 1.0")
     prof = "(coalesce(revenue_growth_yoy, 0.0) + coalesce(profit_margin, 0.0) + coalesce(roa, 0.0) + coalesce(roe, 0.0)) / 4.0"
@@ -467,6 +475,45 @@ def q_minmax(spark, d):
     return round_doubles(minmax_component(f, cols, suffix="_norm").select("ticker", "date", *[f"{c}_norm" for c in cols]), DIGITS)
 
 
+SCALED = ["debt_to_equity_ratio", "roa", "profit_margin", "total_assets", "close", "volume", "news_volume", "sentiment_score"]
+SCALE_CUT = "2024-01-16"
+
+
+def scale_groups() -> list[dict]:
+    """The library's groups, news by least and largest value."""
+    from riskloom.operators.scaling import GROUPS
+    return [{**g, "method": "minmax"} if g["name"] == "news" else g for g in GROUPS]
+
+
+def _scale_sql() -> str:
+    from riskloom.operators.scaling import members
+    now, ctes = {c: f"CAST({c} AS DOUBLE)" for c in SCALED}, []
+    for g in scale_groups():
+        own, k = members(SCALED, g), len(ctes)
+        centre = {"robust": "quantile_cont({x}, 0.5)", "standard": "avg({x})", "minmax": "min({x})"}[g["method"]]
+        scale = {"robust": "quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25)", "standard": "stddev_pop({x})",
+                 "minmax": "max({x}) - min({x})"}[g["method"]]
+        before = "".join(f", s_{i}" for i in range(k))
+        stats = ", ".join(f"{centre.format(x=now[c])} AS c_{c}_{k}, {scale.format(x=now[c])} AS d_{c}_{k}" for c in own)
+        for c in own:
+            now[c] = f"(({now[c]}) - coalesce(c_{c}_{k}, 0.0)) / CASE WHEN coalesce(d_{c}_{k}, 0.0) = 0 THEN 1.0 ELSE d_{c}_{k} END"
+        ctes.append(f"s_{k} AS (SELECT {stats} FROM p{before} WHERE date < DATE '{SCALE_CUT}')")
+    return (f"WITH p AS (SELECT *, {FIN_RATIO_SQL} FROM ({MERGED_SQL}) m), {', '.join(ctes)} SELECT ticker, date, "
+            + ", ".join(f"{now[c]} AS {c}" for c in SCALED) + " FROM p, " + ", ".join(f"s_{k}" for k in range(len(ctes))))
+
+
+@register("scale_by_group", P.with_panel_views(sql_round(_scale_sql(), digits=DIGITS), "fundamentals", "prices_daily", "news_daily"))
+def q_scale_by_group(spark, d):
+    """Groups fitted on the rows before ``SCALE_CUT``, the model saved and read
+    back, then applied to all rows."""
+    from riskloom.operators.scaling import GroupScaler, GroupScalerModel
+    path = scratch_table_path(spark, "scaled_panel")
+    financial_ratios(merged_panel(spark, d)).select("ticker", "date", *SCALED).write.parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows")
+    GroupScaler(SCALED, scale_groups()).fit(rows.where(F.col("date") < F.lit(SCALE_CUT).cast("date"))).save(f"{path}/model")
+    return round_doubles(GroupScalerModel.load(f"{path}/model").transform(rows), DIGITS)
+
+
 @register("lag_features")
 def q_lag_features(spark, d):
     m = financial_ratios(merged_panel(spark, d))

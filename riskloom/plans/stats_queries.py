@@ -75,6 +75,16 @@ def q_feature_quality(spark, d):
     return round_doubles(ST.feature_quality(feats(spark, d), FEATS, "y"), DIGITS)
 
 
+@register("feature_quality_summary", fsql(f"""SELECT count(*) AS total_features, avg(importance_score) AS avg_importance,
+  count(*) FILTER (WHERE data_quality_score > 0.7) AS high_quality_features,
+  count(*) FILTER (WHERE missing_ratio > 0.2) AS features_with_high_missing FROM ({_fq_sql()}) q"""))
+def q_feature_quality_summary(spark, d):
+    q = ST.feature_quality(feats(spark, d), FEATS, "y")
+    return round_doubles(q.agg(F.count(F.lit(1)).alias("total_features"), F.avg("importance_score").alias("avg_importance"),
+                               F.count_if(F.col("data_quality_score") > 0.7).alias("high_quality_features"),
+                               F.count_if(F.col("missing_ratio") > 0.2).alias("features_with_high_missing")), DIGITS)
+
+
 def scaled_sql(how: str) -> str:
     if how == "minmax":
         cols = ", ".join(f"(e{i} - min(e{i}) OVER ()) / (CASE WHEN max(e{i}) OVER () - min(e{i}) OVER () = 0 THEN 1.0 "
