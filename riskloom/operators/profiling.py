@@ -56,7 +56,7 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, distinct: bool = F
     else:
         long = long.withColumn("n_unique", F.lit(None).cast("bigint"))
     return long.select("column_name", "dtype", F.col("__n").alias("n_rows"), "non_null",
-                       ((F.col("__n") - F.col("non_null")) * 100.0 / F.col("__n")).alias("pct_missing"),
+                       ((F.col("__n") - F.col("non_null")) * 100.0 / F.nullif("__n", F.lit(0))).alias("pct_missing"),
                        "n_unique", "min", "max", "std")
 
 
@@ -74,7 +74,7 @@ def fill_rate(prof: DataFrame, top: int | None = None, include_full: bool = Fals
 
 def decisions(prof: DataFrame) -> DataFrame:
     """Boolean cleaning decisions per column."""
-    share = F.col("non_null") / F.col("n_rows")
+    share = F.col("non_null") / F.nullif("n_rows", F.lit(0))  # a table without rows has no shares
     return prof.select(
         "column_name",
         (F.col("n_unique") == 1).alias("single_value"),

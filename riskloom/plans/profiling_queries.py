@@ -1,7 +1,8 @@
 """Profiling, cleaning decisions, filters and validations (§2.2, §2.4).
 
-Profiled frame: application LEFT JOIN the POS aggregate (clients without
-orders give NULL columns; one share column is constant).
+Profiled frame: application LEFT JOIN the POS aggregate, with three amounts
+that are filled for few, some and most clients, and a constant flag, so that
+every cleaning rule has columns on both sides.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.scalar import clamp_positive, null_if_infinite, null_if_sentinel
+from riskloom.operators import cleaning as CL
 from riskloom.operators import profiling as PR
 from riskloom.operators.aggregates import mean_of
 from riskloom.plans import client_features as CF
@@ -22,18 +24,25 @@ DIGITS = 6
 
 
 def pf(spark: SparkSession, d: str) -> DataFrame:
-    return CF.application_features(spark, d).join(CF.pos_agg(spark, d), "SK_ID_CURR", "left")
+    a = CF.application_features(spark, d).join(CF.pos_agg(spark, d), "SK_ID_CURR", "left")
+    amount = F.col("AMT_BALANCE")
+    return a.select("*", F.when(amount < 0, -amount).alias("AMT_OVERDRAFT"), F.when(amount > 5000, amount).alias("AMT_RESERVE"),
+                    F.when(amount > 0, amount).alias("AMT_CREDIT_LINE"), F.lit(1).alias("FLAG_SOURCE"))
 
 
-PF_SQL = f"SELECT * FROM ({CF._app_sql()}) a LEFT JOIN ({CF._pos_agg_sql()}) USING (SK_ID_CURR)"
+PF_SQL = f"""SELECT *, CASE WHEN AMT_BALANCE < 0 THEN -AMT_BALANCE END AS AMT_OVERDRAFT,
+  CASE WHEN AMT_BALANCE > 5000 THEN AMT_BALANCE END AS AMT_RESERVE,
+  CASE WHEN AMT_BALANCE > 0 THEN AMT_BALANCE END AS AMT_CREDIT_LINE, CAST(1 AS INTEGER) AS FLAG_SOURCE
+  FROM ({CF._app_sql()}) a LEFT JOIN ({CF._pos_agg_sql()}) USING (SK_ID_CURR)"""
 SEGS = [f"NAME_CONTRACT_TYPE_{sqlgen.clean_token(v)}" for v in sqlgen.DOMAINS["c_mktsegment"]]
 POS_COLS = ([f"POS_{c}_{f.upper()}" for c, fs in CF.POS_SPEC.items() for f in fs]
             + [f"POS_NAME_CONTRACT_STATUS_{v}_MEAN" for v in sqlgen.DOMAINS["l_linestatus"]]
             + ["POS_NAME_CONTRACT_STATUS_nan_MEAN", "POS_COUNT"])
-PF_COLS = ["SK_ID_CURR", "TARGET", "NATION_KEY", "AMT_BALANCE"] + SEGS + POS_COLS
+EXTRA_COLS = ["AMT_OVERDRAFT", "AMT_RESERVE", "AMT_CREDIT_LINE", "FLAG_SOURCE"]
+PF_COLS = ["SK_ID_CURR", "TARGET", "NATION_KEY", "AMT_BALANCE"] + SEGS + POS_COLS + EXTRA_COLS
 DTYPES = {"SK_ID_CURR": "bigint", "TARGET": "int", "NATION_KEY": "int", "AMT_BALANCE": "double",
           **{s: "int" for s in SEGS}, "POS_MONTHS_BALANCE_MAX": "int", "POS_MONTHS_BALANCE_SIZE": "bigint",
-          "POS_SK_DPD_MAX": "int", "POS_SK_DPD_DEF_MAX": "int", "POS_COUNT": "bigint"}
+          "POS_SK_DPD_MAX": "int", "POS_SK_DPD_DEF_MAX": "int", "POS_COUNT": "bigint", "FLAG_SOURCE": "int"}
 
 
 def dtype_of(c: str) -> str:
@@ -106,6 +115,44 @@ def q_downcast(spark, d):
     return PR.downcast_plan(PR.profile(pf(spark, d)))
 
 
+# ------------------------------------------------------------- cleaning that rewrites the table
+CLEAN_FRAME = ["SK_ID_CURR", "TARGET", "NATION_KEY", "AMT_BALANCE", *EXTRA_COLS]
+# Rules of each query, and the columns that they drop whatever the size of the tables.
+CLEANINGS = {
+    "clean_drop_sparse": (("single_value", "sparse"), ("FLAG_SOURCE", "AMT_OVERDRAFT")),
+    "clean_drop_missing": (("missing",), ("AMT_OVERDRAFT", "AMT_RESERVE")),
+    "clean_downcast": ((), ()),
+}
+
+
+def _clean_query(rules):
+    def q(spark, d):
+        frame = pf(spark, d).select(*CLEAN_FRAME)
+        return round_doubles(CL.clean(frame, CL.decide(frame, rules, protect=["SK_ID_CURR"])), DIGITS)
+    return q
+
+
+def _clean_sql(dropped):
+    cols = [f"CAST(CAST({c} AS FLOAT) AS DOUBLE) AS {c}" if dtype_of(c) == "double" else c
+            for c in CLEAN_FRAME if c not in dropped]
+    return pfsql(f"SELECT {', '.join(cols)} FROM pf")
+
+
+for _key, (_rules, _dropped) in CLEANINGS.items():
+    register(_key, _clean_sql(_dropped))(_clean_query(_rules))
+
+
+@register("clean_decisions", pfsql(f"""SELECT p.column_name, p.dtype,
+  CASE WHEN p.column_name = 'SK_ID_CURR' THEN NULL WHEN p.n_unique = 1 THEN 'single_value' WHEN NOT x.keep_sparse_rule THEN 'sparse'
+    WHEN x.drop_missing_rule THEN 'missing' END AS rule
+  FROM ({PROFILE_SQL}) p JOIN ({DEC_SQL}) x USING (column_name) WHERE p.column_name IN ({", ".join(f"'{c}'" for c in CLEAN_FRAME)})""",
+    keep=["rule"]))
+def q_clean_decisions(spark, d):
+    """The record that the rewritten tables follow, all rules at once."""
+    frame = pf(spark, d).select(*CLEAN_FRAME)
+    return CL.as_table(spark, CL.decide(frame, ("single_value", "sparse", "missing"), protect=["SK_ID_CURR"])).drop("target_dtype")
+
+
 @register("numeric_columns_only", pfsql("SELECT SK_ID_CURR, TARGET, NATION_KEY, AMT_BALANCE FROM pf"))
 def q_numeric_only(spark, d):
     a = CF.application_features(spark, d).select("SK_ID_CURR", "TARGET", "NATION_KEY", "AMT_BALANCE")
@@ -175,10 +222,12 @@ def q_drop(spark, d):
     return round_doubles(credit_card(spark, d).drop("SK_ID_PREV", "NOT_A_COLUMN"), DIGITS)
 
 
-@register("filter_not_equal_keep_null", "SELECT o_orderkey FROM orders WHERE o_orderpriority IS DISTINCT FROM '5-LOW'")
+@register("filter_not_equal_keep_null", """SELECT o_orderkey, priority FROM (
+  SELECT o_orderkey, nullif(o_orderpriority, '4-NOT SPECIFIED') AS priority FROM orders) o WHERE priority IS DISTINCT FROM '5-LOW'""")
 def q_ne_keep_null(spark, d):
-    o = table(spark, d, "orders")
-    return o.where(~F.col("o_orderpriority").eqNullSafe("5-LOW")).select("o_orderkey")
+    """Orders of no stated priority are null and stay."""
+    o = table(spark, d, "orders").select("o_orderkey", F.nullif("o_orderpriority", F.lit("4-NOT SPECIFIED")).alias("priority"))
+    return o.where(~F.col("priority").eqNullSafe("5-LOW"))
 
 
 @register("filter_point", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey = 42")

@@ -152,10 +152,12 @@ def q_distinct_list(spark, d):
                .groupBy("ticker").agg(F.array_sort(F.collect_set("kw")).alias("matched_keywords")))
 
 
-@register("set_minus", "SELECT c_custkey AS k FROM customer EXCEPT ALL SELECT DISTINCT o_custkey FROM orders")
+@register("set_minus", """SELECT c_custkey AS k FROM customer
+  EXCEPT ALL SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'""")
 def q_minus(spark, d):
+    """Clients without an urgent order that is done."""
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct()
+    o = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")).distinct()
     return c.exceptAll(o)
 
 

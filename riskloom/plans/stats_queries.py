@@ -161,7 +161,7 @@ def q_factorize(spark, d):
 
 
 # ------------------------------------------------------------- imputation
-IMP_COLS = ["POS_SK_DPD_MEAN", "POS_MONTHS_BALANCE_MEAN"]
+IMP_COLS = ["POS_SK_DPD_MEAN", "POS_MONTHS_BALANCE_MEAN", "AMT_RESERVE", "AMT_OVERDRAFT"]
 
 
 @register("impute_median", None)
