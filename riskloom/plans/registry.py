@@ -23,6 +23,7 @@ PLAN_MODULES = [
     "riskloom.plans.misc_queries",
     "riskloom.plans.ml_queries",
     "riskloom.plans.stream_queries",
+    "riskloom.plans.history_queries",
 ]
 
 for _m in PLAN_MODULES:
