@@ -106,3 +106,41 @@ def test_clean_stay_and_no_python(spark):
     rows = df.join(labels, "doc_id").where("not base_failed").select("quality", "kept").collect()
     good, bad = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
     assert sum(good) >= .99 * len(good) and sum(bad) <= .2 * len(bad)
+
+
+def test_each_statistic_alone_rejects(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 7)))
+    lines = lambda n: [" ".join(word() for _ in range(8)) for _ in range(n)]
+    rows = [(i, "\n".join(lines(10)), "en", "s", "c", "g") for i in range(200)]
+    same = lines(6)
+    twice = [word() for _ in range(12)]
+    few = [word() for _ in range(8)]
+    planted = {
+        900: "\n".join(" ".join(w + "#" for w in x.split()) for x in lines(10)),   # symbols
+        901: "\n".join(" ".join(w * 6 for w in x.split()) for x in lines(10)),     # word length
+        902: "\n".join(rng.choice(few) for _ in range(60)),                        # repeated lines, few windows twice
+        903: " ".join(twice + [word() for _ in range(29)] + twice + [word() for _ in range(29)]),  # repeated words, one line
+        904: "\n".join(same + lines(4)),                                            # clean
+    }
+    rows += [(i, t, "en", "s", "c", "g") for i, t in planted.items()]
+    got = {r.doc_id: r for r in Q.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(got[i].base_failed for i in planted)
+    assert got[902].n_dup_lines == 52 and got[902].n_repeat_words == 0
+    assert got[903].n_dup_lines == 0 and got[903].n_repeat_words == 24
+    assert [got[i].kept for i in planted] == [False, False, False, False, True]
+    assert sum(got[i].kept for i in range(200)) >= 198
+
+
+def test_salted_groups_give_the_same(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * rng.randint(2, 8) for _ in range(rng.randint(20, 60))), rng.choice(["en", None]),
+             rng.choice("sst"), "c", "g") for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = {r.doc_id: r for r in Q.quality_rules(df).collect()}
+    monkeypatch.setattr(Q, "BROADCAST_GROUPS", 0)
+    got = {r.doc_id: r for r in Q.quality_rules(df).collect()}
+    assert got.keys() == want.keys()
+    for i, r in got.items():
+        assert r[:7] == want[i][:7] and r.kept == want[i].kept
+        assert (r.d2 is None) == (want[i].d2 is None) and (r.d2 is None or abs(r.d2 - want[i].d2) <= 1e-6 * (1 + r.d2))
