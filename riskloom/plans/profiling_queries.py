@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from riskloom.functions.scalar import clamp_positive, null_if_infinite, null_if_sentinel
 from riskloom.operators import cleaning as CL
 from riskloom.operators import profiling as PR
+from riskloom.operators import ratios as RT
 from riskloom.operators.aggregates import mean_of
 from riskloom.plans import client_features as CF
 from riskloom.plans import sqlgen
 from riskloom.plans.common import register, round_doubles, sql_round, with_views, with_cte
 from riskloom.sources import panel as P
-from riskloom.sources.tables import table
+from riskloom.sources.tables import days_from_ref, table
 
 DIGITS = 6
 
@@ -210,6 +211,46 @@ def q_ratio(spark, d):
     return round_doubles(CF.instalments_frame(spark, d).select("SK_ID_CURR", "PAYMENT_PERC", "PAYMENT_DIFF"), DIGITS)
 
 
+def application_amounts(spark, d):
+    """Applications with the amounts and days that their ratios are made of,
+    from the client's orders: days of the first order stand for birth, of the
+    last urgent one for employment (the sentinel where there is none)."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("SK_ID_CURR"), F.col("o_totalprice").alias("amount"),
+                                         days_from_ref(F.col("o_orderdate")).alias("day"), (F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
+    own = o.groupBy("SK_ID_CURR").agg(F.sum("amount").alias("AMT_CREDIT"), F.avg("amount").alias("AMT_ANNUITY"), F.min("day").alias("DAYS_BIRTH"),
+                                      F.coalesce(F.max(F.when(F.col("urgent"), F.col("day"))), F.lit(365243)).alias("DAYS_EMPLOYED"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("SK_ID_CURR"), F.col("c_acctbal").alias("AMT_INCOME_TOTAL"),
+                                           (F.col("c_nationkey") % 6).alias("CNT_FAM_MEMBERS"))
+    return c.join(own, "SK_ID_CURR", "left")
+
+
+_AMOUNTS_SQL = """SELECT c_custkey AS SK_ID_CURR, c_acctbal AS AMT_INCOME_TOTAL, c_nationkey % 6 AS CNT_FAM_MEMBERS, o.* EXCLUDE (o_custkey)
+  FROM customer LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS AMT_CREDIT, avg(o_totalprice) AS AMT_ANNUITY,
+    min(datediff('day', DATE '2001-12-31', CAST(o_orderdate AS DATE))) AS DAYS_BIRTH,
+    coalesce(max(CASE WHEN o_orderpriority = '1-URGENT' THEN datediff('day', DATE '2001-12-31', CAST(o_orderdate AS DATE)) END), 365243) AS DAYS_EMPLOYED
+    FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey"""
+
+
+def _ratio_sql(ratios) -> str:
+    value = lambda c: f"CAST(nullif({c}, 365243) AS DOUBLE)" if c in RT.SENTINEL_COLS else f"CAST({c} AS DOUBLE)"
+    return ", ".join(f"CASE WHEN {value(b)} <> 0 THEN {value(a)} / {value(b)} END AS {name}" for name, (a, b) in ratios.items())
+
+
+@register("ratio_projection_application", sql_round(
+    f"SELECT SK_ID_CURR, {_ratio_sql(RT.APPLICATION_RATIOS)} FROM ({_AMOUNTS_SQL}) a", digits=DIGITS))
+def q_ratio_application(spark, d):
+    return round_doubles(RT.ratio_columns(application_amounts(spark, d), RT.APPLICATION_RATIOS).select(
+        "SK_ID_CURR", *RT.APPLICATION_RATIOS), DIGITS)
+
+
+@register("ratio_projection_previous", with_views(sql_round(
+    f"SELECT SK_ID_PREV, {_ratio_sql(RT.PREVIOUS_RATIOS)} FROM previous_application", digits=DIGITS), "previous_application"))
+def q_ratio_previous(spark, d):
+    from riskloom.sources.tables import previous_application
+    return round_doubles(RT.ratio_columns(previous_application(spark, d), RT.PREVIOUS_RATIOS).select(
+        "SK_ID_PREV", *RT.PREVIOUS_RATIOS), DIGITS)
+
+
 @register("clamp_positive_diff", with_views(sql_round(
     f"SELECT SK_ID_CURR, DPD, DBD FROM {CF._INS_FRAME_SQL} i", digits=DIGITS), "instalments"))
 def q_clamp(spark, d):

@@ -70,3 +70,12 @@ def test_empty_table_is_left_alone(spark):
     found = C.decide(empty, tuple(C.RULES))
     assert rules_of(found) == {} and C.clean(empty, found).schema == empty.schema
     assert C.overflow_counts(empty, found).count() == 0
+
+
+def test_ratios_are_null_where_the_divisor_says_nothing(spark):
+    from riskloom.operators.ratios import APPLICATION_RATIOS, ratio_columns
+    rows = [(-500, -1000, 100.0, 400.0, 4, 20.0), (365243, -1000, 0.0, 0.0, 0, 5.0), (None, 0, None, None, None, None)]
+    df = spark.createDataFrame(rows, "DAYS_EMPLOYED int, DAYS_BIRTH int, AMT_INCOME_TOTAL double, AMT_CREDIT double, "
+                                     "CNT_FAM_MEMBERS int, AMT_ANNUITY double")
+    got = [tuple(r)[6:] for r in ratio_columns(df, APPLICATION_RATIOS).collect()]
+    assert got == [(.5, .25, 25.0, .2, .05), (None,) * 5, (None,) * 5]
