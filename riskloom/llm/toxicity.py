@@ -85,8 +85,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> tuple[n
     rows = labels.where(y.isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
         F.max(y).cast("int").alias("y"))
     some = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS).withColumnRenamed("doc_id", "l_id")
-    # at most TRAIN_ROWS rows of 12 bytes
-    train = docs.join(F.broadcast(checkpointed(some)), F.col("doc_id") == F.col("l_id")).select("text", "y")
+    # at most TRAIN_ROWS rows of 12 bytes; the texts that they name are read once
+    train = checkpointed(docs.join(F.broadcast(checkpointed(some)), F.col("doc_id") == F.col("l_id")).select("text", "y"))
     totals = {r.y: r["count"] for r in train.groupBy("y").count().collect()}
     p, n = totals.get(1, 0), totals.get(0, 0)
     none = np.empty(0, np.int64), np.empty(0)
