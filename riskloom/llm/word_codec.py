@@ -1,13 +1,16 @@
 """BPE encoding and decoding through a table of distinct words.
 
 1. Splitting: each task packs documents into blocks of about 32 million
-   characters and numbers the block's distinct words; a document becomes a run
-   of word numbers.  Blocks are written once, bucketed by block.
-2. The distinct words of all blocks are encoded, each once.
-3. Their ids are joined back to (block, word number), and each block replaces
-   word numbers by ids, position by position.  The table of a block has one
-   row per distinct word, so no word is hot: a frequent one has a row per
-   block.
+   characters and numbers the block's distinct words in the order of a hash; a
+   document becomes a run of word numbers.  Blocks are written once, bucketed
+   by block.
+2. The hash cuts every block's words into ranges, their number counted from the
+   words' bytes.  A (range, block) is one packed row, so a frequent word is
+   there once a block, and a range's distinct words meet in one task, which
+   reads the packed rows one after another and encodes each word once.
+3. A packed row goes back to its block as the packed ids of its words.  Ranges
+   in order are the words in the order of their numbers, so each block replaces
+   word numbers by ids, position by position.
 4. Decoding joins ids to the pieces of the vocabulary (whose size is fixed)
    and strings them together as the library does.
 
@@ -19,11 +22,11 @@ columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -32,19 +35,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.byte_pieces import to_alphabet, vocabulary
-from riskloom.llm.common import bucketed, register, table, text_of
+from riskloom.llm.common import bucketed, register, shuffle_partitions, table, text_of
 
 BLOCK_CHARS = 32 << 20
+RANGE_BYTES = 32 << 20    # packed words of a hash range, about
+TABLE_WORDS = 2_000_000   # distinct words a task holds with their ids; the table is emptied beyond
 
-BLOCK_SCHEMA = "block long, ids array<long>, sizes array<int>, words array<string>, codes binary"
+BLOCK_SCHEMA = "block long, ids array<long>, sizes array<int>, words binary, codes binary"
+
+
+def packed(lens: list[int] | np.ndarray, body: bytes) -> bytes:
+    """Lengths and what they cut, compressed."""
+    head = np.asarray(lens, np.int32)
+    return zstandard.ZstdCompressor(level=3).compress(np.int64(len(head)).tobytes() + head.tobytes() + body)
+
+
+def unpacked_parts(blob: bytes) -> tuple[np.ndarray, bytes]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    return np.frombuffer(data, np.int32, n, 8), data[8 + 4 * n:]
+
+
+def cut_words(blob: bytes) -> list[bytes]:
+    lens, body = unpacked_parts(blob)
+    ends = np.cumsum(lens, dtype=np.int64).tolist()
+    return [body[e - n:e] for e, n in zip(ends, lens.tolist(), strict=True)]
 
 
 def word_blocks(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per block: its documents, their numbers of words, its distinct
-    words and the word numbers of all documents in order, and the documents'
-    ``carry`` columns."""
+    words by hash, packed, the word numbers of all documents in order, and the
+    documents' ``carry`` columns."""
     types = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())),
-                       ("words", pa.list_(pa.string())), ("codes", pa.binary()),
+                       ("words", pa.binary()), ("codes", pa.binary()),
                        *[(c, pa.list_(pa.int64())) for c in carry]])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,9 +75,15 @@ def word_blocks(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS, carr
         ids, sizes, codes, words, chars, kept = [], [], array("i"), {}, 0, [[] for _ in carry]
 
         def full():
-            body = zstandard.ZstdCompressor(level=3).compress(codes.tobytes())
-            return pa.RecordBatch.from_pylist([{"block": block, "ids": ids, "sizes": sizes, "words": list(words),
-                                                "codes": body, **dict(zip(carry, kept, strict=True))}], schema=types)
+            raw = [w.encode() for w in words]
+            order = np.argsort(np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw)), kind="stable")
+            number = np.empty(len(raw), np.int32)
+            number[order] = np.arange(len(raw), dtype=np.int32)
+            raw = [raw[i] for i in order.tolist()]
+            body = zstandard.ZstdCompressor(level=3).compress(number[np.frombuffer(codes, np.int32)].tobytes())
+            return pa.RecordBatch.from_pylist([{
+                "block": block, "ids": ids, "sizes": sizes, "words": packed([len(w) for w in raw], b"".join(raw)),
+                "codes": body, **dict(zip(carry, kept, strict=True))}], schema=types)
         for batch in batches:
             for doc_id, text, *more in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 before = len(codes)
@@ -75,15 +104,48 @@ def word_blocks(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS, carr
     return docs.mapInArrow(pack, ", ".join([BLOCK_SCHEMA, *[f"{c} array<long>" for c in carry]]))
 
 
-def word_encoder(path: str):
-    """Pandas UDF: the ids of a word."""
-    @F.pandas_udf("array<int>")
-    def ids_of(words: pd.Series) -> pd.Series:
+def hash_ranges(blocks: DataFrame, n_ranges: int) -> DataFrame:
+    """A block's words as one packed row per hash range that has some."""
+    types = pa.schema([("range", pa.int32()), ("of", pa.int64()), ("words", pa.binary())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, blob in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                words = cut_words(blob)
+                hashes = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+                own = (hashes * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int32)
+                found, first = np.unique(own, return_index=True)
+                ends = [*first[1:].tolist(), len(words)]
+                rows = [packed([len(w) for w in words[i:j]], b"".join(words[i:j])) for i, j in zip(first.tolist(), ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([block] * len(rows), pa.int64()),
+                                                  pa.array(rows, pa.binary())], schema=types)
+    return blocks.select("block", "words").mapInArrow(cut, "range int, of long, words binary")
+
+
+def range_ids(ranges: DataFrame, path: str) -> DataFrame:
+    """Packed ids of the words of every (range, block); rows of a range are in
+    one task, which encodes a distinct word once."""
+    types = pa.schema([("range", pa.int32()), ("of", pa.int64()), ("ids", pa.binary())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)
-        model = voc.library.model
-        return pd.Series([[voc.special[w]] if w in voc.special
-                          else [t.id for t in model.tokenize(to_alphabet(w.encode()))] for w in words], dtype=object)
-    return ids_of
+        model, special = voc.library.model, {w.encode(): i for w, i in voc.special.items()}
+        table: dict[bytes, tuple[int, ...]] = {}
+
+        def ids_of(word: bytes) -> tuple[int, ...]:
+            if len(table) >= TABLE_WORDS:
+                table.clear()
+            ids = (special[word],) if word in special else tuple(t.id for t in model.tokenize(to_alphabet(word)))
+            table[word] = ids
+            return ids
+        for batch in batches:
+            rows = []
+            for blob in batch.column(2).to_pylist():
+                got = [table.get(w) or ids_of(w) for w in cut_words(blob)]
+                flat = array("i", [i for ids in got for i in ids])
+                rows.append(packed([len(ids) for ids in got], flat.tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], schema=types)
+    return ranges.mapInArrow(work, "range int, of long, ids binary")
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -91,20 +153,17 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """One row per document: ``doc_id``, its ``ids`` and its ``carry`` columns
     (long)."""
     blocks = bucketed(word_blocks(text_of(docs, id_col, text_col, *carry), path, block_chars, carry), "block", "word_blocks")
-    used = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    distinct = used.select("word").distinct().withColumn("word_ids", word_encoder(path)("word"))
-    coded = used.join(distinct, "word").select(F.col("block").alias("of"), "place", "word_ids")
+    total = blocks.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    n_ranges = max(shuffle_partitions(docs.sparkSession), -(-total // RANGE_BYTES))
+    coded = range_ids(hash_ranges(blocks, n_ranges).repartition(n_ranges, "range"), path)
     types = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), *[(c, pa.int64()) for c in carry]])
 
     def place(block: pa.Table, words: pa.Table) -> pa.Table:
         out = []
-        words = words.sort_by("place").combine_chunks()
-        lists = words.column("word_ids").combine_chunks()
-        if isinstance(lists, pa.ChunkedArray):
-            lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
-        starts = lists.offsets.to_numpy().astype(np.int64)
-        flat = lists.values.to_numpy()
-        lens = np.diff(starts)
+        parts = [unpacked_parts(x.as_py()) for x in words.sort_by("range")["ids"]]
+        lens = np.concatenate([n for n, _ in parts] or [np.empty(0, np.int32)]).astype(np.int64)
+        flat = np.concatenate([np.frombuffer(body, np.int32) for _, body in parts] or [np.empty(0, np.int32)])
+        starts = np.cumsum(lens) - lens
         for row in block.to_pylist():
             codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["codes"]), dtype=np.int32)
             if len(codes) and codes.max() >= len(lens):
