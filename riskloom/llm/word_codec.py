@@ -1,6 +1,6 @@
 """BPE encoding and decoding through a table of distinct words.
 
-1. Splitting: each task packs documents into blocks of about 32 million
+1. Splitting: each task packs documents into blocks of about 6 million
    characters and numbers the block's distinct words in the order of a hash; a
    document becomes a run of word numbers.  Blocks are written once, bucketed
    by block.
@@ -37,9 +37,11 @@ from pyspark.sql import functions as F
 from riskloom.llm.byte_pieces import to_alphabet, vocabulary
 from riskloom.llm.common import bucketed, register, shuffle_partitions, table, text_of
 
-BLOCK_CHARS = 32 << 20
-RANGE_BYTES = 32 << 20    # packed words of a hash range, about
-TABLE_WORDS = 2_000_000   # distinct words a task holds with their ids; the table is emptied beyond
+BLOCK_CHARS = 6 << 20
+RANGE_BYTES = 64 << 20    # packed words of a hash range, about
+TABLE_WORDS = 500_000     # distinct words a task holds with their ids; the table is emptied beyond
+SLICE_WORDS = 250_000     # words whose ids are put in place at once, if a document has no more
+SLICE_ROWS = 500          # documents decoded at once
 
 BLOCK_SCHEMA = "block long, ids array<long>, sizes array<int>, words binary, codes binary"
 
@@ -168,14 +170,18 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["codes"]), dtype=np.int32)
             if len(codes) and codes.max() >= len(lens):
                 raise ValueError("a block's word table is not whole")
-            n = lens[codes]
-            ends = np.cumsum(n)
-            take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[codes] - (ends - n), n)
-            word_ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(row["sizes"], dtype=np.int64)])]
-            out.append(pa.table([pa.array(row["ids"], pa.int64()),
-                                 pa.ListArray.from_arrays(pa.array(word_ends.astype(np.int32)),
-                                                          pa.array(flat[take].astype(np.int32))),
-                                 *[pa.array(row[c], pa.int64()) for c in carry]], schema=types))
+            ends = np.concatenate([[0], np.cumsum(row["sizes"], dtype=np.int64)])
+            i = 0
+            while i < len(row["ids"]):
+                j = max(i + 1, int(np.searchsorted(ends, ends[i] + SLICE_WORDS, "right")) - 1)
+                own = codes[ends[i]:ends[j]]
+                after = np.cumsum(lens[own])
+                take = np.arange(after[-1] if len(after) else 0) + np.repeat(starts[own] - (after - lens[own]), lens[own])
+                cuts = np.concatenate([[0], after])[ends[i:j + 1] - ends[i]]
+                out.append(pa.table([pa.array(row["ids"][i:j], pa.int64()),
+                                     pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat[take])),
+                                     *[pa.array(row[c][i:j], pa.int64()) for c in carry]], schema=types))
+                i = j
         return pa.concat_tables(out) if out else types.empty_table()
     return (blocks.select("block", "ids", "sizes", "codes", *carry).groupBy("block").cogroup(coded.groupBy("of"))
             .applyInArrow(place, ", ".join(["doc_id long, ids array<int>", *[f"{c} long" for c in carry]])))
@@ -195,10 +201,14 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "de
             pieces[i] = piece
         pieces = pa.array(pieces, pa.string())
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index(ids_col))
-            text = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, pc.take(pieces, ids.values)), " ")
-            text = pc.if_else(ids.is_valid(), text, pa.scalar(None, pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, out_col])
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                ids = part.column(part.schema.get_field_index(ids_col))
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(), dtype=np.int64)
+                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+                text = pc.binary_join(pa.ListArray.from_arrays(offsets, pc.take(pieces, ids.flatten())), " ")
+                text = pc.if_else(ids.is_valid(), text, pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, text], names=[*part.schema.names, out_col])
     return coded.drop(out_col).mapInArrow(join, schema)
 
 
