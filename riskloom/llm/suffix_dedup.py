@@ -7,7 +7,8 @@ for that: each string is decided at its anchor, the start of the shingle of
 strings have equal anchors at equal places, and about one position in sixteen
 is one.
 
-1. Documents are packed into blocks, written once, bucketed by block.
+1. Documents are packed into blocks with the places of their anchors, written
+   once, bucketed by block.
 2. Hashes of all anchors go to buckets, sorted and packed; a bucket answers
    which of them occur in several documents.
 3. Only those anchors send their context, the bytes around them that their
@@ -45,6 +46,7 @@ from riskloom.llm.suffix_sort import deep_shallow
 LENGTH, ANCHOR = 50, 20
 SPAN = LENGTH - ANCHOR + 1     # shingles of a string
 BLOCK_BYTES = 4 << 20
+BUCKET_BYTES = 16 << 20        # bytes of text for which a bucket of hashes and contexts is added
 HOT = 100_000                  # occurrences of an anchor's shingle from which strings are keyed one by one
 NO_ID = np.iinfo(np.int64).max
 
@@ -53,10 +55,30 @@ def _powers(n: int) -> np.uint64:
     return np.uint64(pow(0xD6E8FEB86659FD93, n, 1 << 64))
 
 
+def _byte_hash(buf: np.ndarray) -> np.ndarray:
+    h = (buf.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _hash_at(buf: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """``_rolling(buf, k)[at]``, worked out at these positions only."""
+    of = _byte_hash(np.arange(256, dtype=np.uint8))
+    h = np.zeros(len(at), np.uint64)
+    for i in range(k):
+        h *= _powers(1)
+        h += of[buf[at + i]]
+    return _mixed(h)
+
+
 def _rolling(buf: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k bytes from every position, by doubling lengths."""
-    h = (buf.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
+    h = _byte_hash(buf)
     out, done, size = None, 0, 1
     while True:
         if k & size:
@@ -69,9 +91,7 @@ def _rolling(buf: np.ndarray, k: int) -> np.ndarray:
             break
         n = len(h) - size
         h, size = h[:n] * _powers(size) + h[size:], size * 2
-    out = out ^ (out >> np.uint64(31))
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(32))
+    return _mixed(out)
 
 
 def _sliding(a: np.ndarray, w: int, f) -> np.ndarray:
@@ -86,11 +106,11 @@ def _sliding(a: np.ndarray, w: int, f) -> np.ndarray:
 
 def anchors(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Anchors that own strings of the packed documents (which begin at
-    ``starts``): position, hash, first and last start of their strings."""
+    ``starts``): position, first and last start of their strings."""
     n = len(buf) - LENGTH + 1
     none = np.empty(0, np.int64)
     if n <= 0:
-        return none, np.empty(0, np.uint64), none, none
+        return none, none, none
     h = _rolling(buf, ANCHOR)
     low = _sliding(h, SPAN, np.minimum)                        # of each string
     inside = np.ones(n, np.bool_)                              # strings within one document
@@ -123,12 +143,12 @@ def anchors(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.maximum(np.maximum(edge[r], before), p - SPAN + 1)
     last = np.minimum(run_end[r], p)
     ok = first <= last
-    return p[ok], h[p[ok]], first[ok], last[ok]
+    return p[ok], first[ok], last[ok]
 
 
 def _pack(a: np.ndarray) -> bytes:
     """A sorted or small-valued array, byte planes of its differences."""
-    raw = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes()
+    raw = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
@@ -148,7 +168,10 @@ class Block:
         self.raw = zstandard.ZstdDecompressor().decompress(row["body"], max_output_size=int(self.sizes.sum()))
         self.buf = np.frombuffer(self.raw, np.uint8)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
-        self.at, self.hash, self.first, self.last = anchors(self.buf, self.starts)
+        self.at = np.cumsum(_unpack(row["at"], np.int64))
+        self.first = self.at - _unpack(row["first"], np.uint8)
+        self.last = self.at - _unpack(row["last"], np.uint8)
+        self.hash = _hash_at(self.buf, self.at, ANCHOR)
 
     def doc(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, at, side="right") - 1
@@ -201,15 +224,18 @@ class Block:
 
 def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     types = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())),
-                       ("body", pa.binary())])
+                       ("body", pa.binary()), ("at", pa.binary()), ("first", pa.binary()), ("last", pa.binary())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
 
         def full():
+            body, sizes = b"".join(texts), [len(x) for x in texts]
+            at, first, last = anchors(np.frombuffer(body, np.uint8), np.cumsum([0, *sizes[:-1]]))
             return pa.RecordBatch.from_pylist([{
-                "block": block, "ids": ids, "sizes": [len(x) for x in texts],
-                "body": zstandard.ZstdCompressor(level=3).compress(b"".join(texts))}], schema=types)
+                "block": block, "ids": ids, "sizes": sizes, "body": zstandard.ZstdCompressor(level=3).compress(body),
+                "at": _pack(np.diff(at, prepend=0)), "first": _pack((at - first).astype(np.uint8)),
+                "last": _pack((at - last).astype(np.uint8))}], schema=types)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(doc_id)
@@ -220,7 +246,8 @@ def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                     block, ids, texts, size = block + 1, [], [], 0
         if ids:
             yield full()
-    return docs.mapInArrow(pack, "block long, ids array<long>, sizes array<long>, body binary")
+    return docs.mapInArrow(
+        pack, "block long, ids array<long>, sizes array<long>, body binary, at binary, first binary, last binary")
 
 
 def _rows(t: pa.Table) -> list[dict]:
@@ -372,7 +399,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     (start and end in bytes) and the bytes ``kept``."""
     spark = docs.sparkSession
     blocks = bucketed(blocks_of(text_of(docs, id_col, text_col), block_bytes), "block", "text_blocks")
-    buckets = max(1, shuffle_partitions(spark))
+    size = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    buckets = max(1, shuffle_partitions(spark), -(-size // BUCKET_BYTES))
     told = checkpointed(_shared(_sent_hashes(blocks, buckets), hot))
     answers = _decided(_sent_contexts(blocks, told, buckets))
     types = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),

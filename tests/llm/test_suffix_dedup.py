@@ -85,12 +85,13 @@ def test_anchors_own_each_string_once():
     rng = np.random.default_rng(2)
     for buf in (rng.integers(0, 4, 3000).astype(np.uint8), np.zeros(500, np.uint8), np.tile(np.arange(3, dtype=np.uint8), 200)):
         starts = np.array([0, 0, 100, 130, 131, 600]) if len(buf) > 600 else np.array([0, 60])
-        p, h, first, last = S.anchors(buf, starts)
+        p, first, last = S.anchors(buf, starts)
         owned = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last)]) if len(p) else []
         ends = np.append(starts[1:], len(buf))
         want = [i for s, e in zip(starts, ends) for i in range(s, e - 49)]
         assert sorted(owned) == want
         assert ((first <= p) & (p - last >= 0) & (p - first <= 30)).all()
+        assert (S._hash_at(buf, p, S.ANCHOR) == S._rolling(buf, S.ANCHOR)[p]).all()
 
 
 def test_against_brute_force(spark):
@@ -107,5 +108,7 @@ def test_edges(spark):
     docs = [(None, long), (None, long), (5, long), (2, None), (7, ""), (9, long + "!")]
     want = brute([(i, (t or "").encode()) for i, t in docs])
     assert run(spark, docs) == want
+    short = [(1, "too short"), (2, "too short"), (3, ""), (4, None)]
+    assert run(spark, short) == brute([(i, (t or "").encode()) for i, t in short])
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert S.remove_repeats(empty).count() == 0
