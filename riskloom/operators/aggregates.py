@@ -102,21 +102,32 @@ def clean_token(v) -> str:
     return re.sub(r"[^0-9A-Za-z]+", "_", str(v)).strip("_") or "blank"
 
 
-def discover_vocabulary(df: DataFrame, cols: Sequence[str]) -> dict[str, list]:
-    """Distinct values per categorical column in one distributed job.
+MAX_CATEGORIES = 20_000   # values of all category columns together; each becomes an output column
 
-    Each value becomes an output column, so what is collected is as large as
-    the schema it makes.
-    """
+
+def category_values(pairs: DataFrame) -> dict[str, list]:
+    """Sorted distinct values ``v`` of each column name ``k``.  No more than
+    ``MAX_CATEGORIES`` + 1 rows reach the driver; more values than that are an
+    error, as they would be columns."""
+    found = pairs.where(F.col("v").isNotNull()).distinct().limit(MAX_CATEGORIES + 1).collect()
+    if len(found) > MAX_CATEGORIES:
+        raise ValueError(f"more than {MAX_CATEGORIES} category values would become columns; "
+                         f"leave out the columns that are no categories: {sorted({r['k'] for r in found})}")
+    vocab: dict[str, list] = {}
+    for r in found:
+        vocab.setdefault(r["k"], []).append(r["v"])
+    return {k: sorted(vs) for k, vs in vocab.items()}
+
+
+def discover_vocabulary(df: DataFrame, cols: Sequence[str]) -> dict[str, list]:
+    """Distinct values per categorical column in one distributed job."""
     if not cols:
         return {}
     pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in cols
-    ])).alias("p")).select("p.k", "p.v").where(F.col("v").isNotNull()).distinct()
-    vocab: dict[str, list] = {c: [] for c in cols}
-    for r in pairs.collect():
-        vocab[r["k"]].append(r["v"])
-    return {c: sorted(vs) for c, vs in vocab.items()}
+    ])).alias("p")).select("p.k", "p.v")
+    vocab = category_values(pairs)
+    return {c: vocab.get(c, []) for c in cols}
 
 
 def category_tokens(values: Sequence) -> dict:

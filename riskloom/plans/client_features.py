@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.scalar import clamp_positive, sdiv
-from riskloom.operators.aggregates import (agg_all_columns, agg_multi_stat, category_share_exprs,
+from riskloom.operators.aggregates import (agg_all_columns, agg_multi_stat, category_share_exprs, category_values,
                                            discover_vocabulary, integral_columns, multi_stat_exprs,
                                            one_hot_exprs)
 from riskloom.plans import sqlgen
@@ -153,8 +153,7 @@ def vocabularies(spark: SparkSession, d: str) -> dict[str, list]:
         p = table(spark, d, name).select(F.explode(F.array(*[
             F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in cols])).alias("p")).select("p.*")
         pairs = p if pairs is None else pairs.unionByName(p)
-    found = pairs.where("v IS NOT NULL").groupBy("k").agg(F.array_sort(F.collect_set("v")).alias("v")).collect()
-    return {r["k"]: r["v"] for r in found}
+    return category_values(pairs)
 
 
 def order_level_agg(spark: SparkSession, d: str, vocab: dict) -> DataFrame:

@@ -108,22 +108,32 @@ def q_left_text(spark, d):
     return round_doubles(doc.select("doc_id", "source").join(s, "source", "left"), DIGITS)
 
 
-@register("longest_substring_join", """WITH n AS (SELECT DISTINCT lower(split_part(text, '.', 1)) AS name FROM documents),
-  d AS (SELECT DISTINCT w AS entry FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM conversations) x
+@register("longest_substring_join", r"""WITH n AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '\p{L}+'))) AS word FROM documents),
+  d AS (SELECT DISTINCT w AS entry FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w FROM conversations) x
         WHERE length(w) >= 3),
-  c AS (SELECT n.name, d.entry, row_number() OVER (PARTITION BY n.name ORDER BY length(d.entry) DESC, d.entry) AS rn
-        FROM n JOIN d ON contains(n.name, d.entry))
-  SELECT n.name, coalesce(c.entry, '_new_col') AS matched FROM n LEFT JOIN c ON c.name = n.name AND c.rn = 1""")
+  p AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM (SELECT DISTINCT word FROM n) x),
+  s AS (SELECT DISTINCT word, substr(word, i, l) AS entry FROM (SELECT word, i, unnest(range(3, least(
+        length(word) - i + 1, (SELECT max(length(entry)) FROM d)) + 1)) AS l FROM p) x),
+  c AS (SELECT n.doc_id, d.entry, row_number() OVER (PARTITION BY n.doc_id ORDER BY length(d.entry) DESC, d.entry) AS rn
+        FROM n JOIN s USING (word) JOIN d USING (entry))
+  SELECT x.doc_id, coalesce(c.entry, '_new_col') AS matched FROM documents x LEFT JOIN c ON c.doc_id = x.doc_id AND c.rn = 1""")
 def q_longest(spark, d):
-    """Each document title → the longest word of the conversation vocabulary
-    it contains (ties: alphabetical); both sides grow with the tables."""
+    """Each document → the longest word of the conversation vocabulary that
+    its whole text contains (ties: alphabetical).  Entries are runs of letters,
+    so one that a text contains lies inside one of its runs: every distinct run
+    of the corpus is searched once, and a document takes the best of its own."""
     from riskloom.operators.joins import longest_substring_join
     from riskloom.sources.tables import table
-    names = table(spark, d, "documents").select(F.lower(F.split_part("text", F.lit("."), F.lit(1))).alias("name")).distinct()
-    words = (table(spark, d, "conversations")
-             .select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("entry"))
-             .where(F.length("entry") >= 3).distinct())
-    return longest_substring_join(names, "name", words.withColumn("ord", F.col("entry")), "entry", "ord")
+    runs = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
+    docs = table(spark, d, "documents")
+    own = docs.select("doc_id", F.explode(F.array_distinct(runs)).alias("word"))
+    entries = table(spark, d, "conversations").select(F.explode(runs).alias("entry")).where(F.length("entry") >= 3).distinct()
+    found = longest_substring_join(own.select("word").distinct(), "word", entries.withColumn("ord", F.col("entry")), "entry", "ord",
+                                   default="")
+    best = own.join(found.where("matched <> ''"), "word").groupBy("doc_id").agg(
+        F.min(F.struct((-F.length("matched")).alias("shorter"), "matched")).alias("best"))
+    return docs.select("doc_id").join(best, "doc_id", "left").select(
+        "doc_id", F.coalesce("best.matched", F.lit("_new_col")).alias("matched"))
 
 
 @register("rule_metric_join", None)

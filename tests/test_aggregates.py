@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators.aggregates import agg_multi_stat, discover_vocabulary
@@ -21,3 +22,13 @@ def test_pandas_semantics(spark):
     # conditional subset: clients without a 'B' row get NULL, also for sums
     assert out[1].ACT_x_SUM is None and out[2].ACT_x_SIZE is None
     assert out[3].ACT_x_SUM == 1.0 and out[3].ACT_x_SIZE == 1
+
+
+def test_vocabulary_beyond_the_bound_is_an_error(spark, monkeypatch):
+    from riskloom.operators import aggregates as A
+    df = spark.range(50).selectExpr("cast(id AS string) AS c", "cast(id % 3 AS string) AS k")
+    assert A.discover_vocabulary(df, ["k", "c"])["k"] == ["0", "1", "2"]
+    monkeypatch.setattr(A, "MAX_CATEGORIES", 20)
+    with pytest.raises(ValueError, match="category values"):
+        A.discover_vocabulary(df, ["c"])
+    assert A.discover_vocabulary(df.where("false"), ["c"]) == {"c": []}

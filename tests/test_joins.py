@@ -44,3 +44,15 @@ def test_longest_substring_across_chunk_boundary(spark):
     dic = spark.createDataFrame([("boundaryword", 1), ("boundary", 0), ("yyyy", 2), ("zz", 3)], "entry string, ord int")
     out = {r.name: r.matched for r in longest_substring_join(names, "name", dic, "entry", "ord").collect()}
     assert out == {name: "boundaryword", "yyy": "_new_col", "": "_new_col"}
+
+
+def test_longest_word_of_whole_texts(spark, tmp_path):
+    from riskloom.plans.registry import queries
+    texts = {1: "Nothing here. But later: the überzeugend word", 2: "plain", 3: "", 4: None, 5: "ab. xhelloY",
+             6: "x" * 9000 + " hello " + "ü" * 5000}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("Hello über! PLAIN zeugen ab",), ("zeug",), (None,)], "text string").write.parquet(
+        f"{tmp_path}/conversations.parquet")
+    got = {r.doc_id: r.matched for r in queries()["longest_substring_join"](spark, str(tmp_path)).collect()}
+    assert got == {1: "zeugen", 2: "plain", 3: "_new_col", 4: "_new_col", 5: "hello", 6: "hello"} | {
+        1: max((e for e in ("hello", "über", "plain", "zeugen", "zeug") if e in texts[1].lower()), key=len)}
