@@ -1,17 +1,22 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Rows of a source are put in a fixed random order and cut into blocks.  Every
-block is a unit job: block ``i`` of a source that owns ``m`` of a period's
-``n`` slots is released at ``floor(i n / m)`` and due at ``ceil((i + 1) n / m)``,
-and each slot takes the released block that is due first.  At no slot is a
-source a block or more ahead of or behind its share.
-
-Weights become whole shares of a period of about ``PERIOD`` slots.  All periods
-with the same shares have the same schedule, so only different ones are worked
-out: shares change when a source ends, at most twice per source (its last
-period is a part of one).  Schedules depend on the weights and the sources'
-numbers of blocks alone; there are at most ``2 S + 1`` of ``PERIOD + S`` slots
-for ``S <= MAX_SOURCES`` sources, and only these are broadcast.
+Rows of a source are put in a fixed random order and cut into blocks; a slot
+takes one block.  The target is a fluid: at "level" v source s has had
+min(blocks, weight v) blocks, and their sum is the slot.  While no source has
+ended that is weight times slot; later the others share its slots in proportion.
+Block ``i`` is released at the floor of the slot at which the fluid begins it and
+due at the ceiling of the one at which it ends, and each slot takes the
+released block that is due first.  At no slot is a source a block or more ahead
+of or behind the fluid.  Weights are whole shares of 2^32 and windows are worked
+out in whole numbers, so nothing drifts; the rounding of a weight moves a target
+by at most slots / 2^33 blocks.
+
+The schedule is worked out in parts of about ``PART`` slots, side by side.  What
+is pending at a part's start needs no earlier part: with U(t) the blocks
+released before slot t less t, exactly U(t) are pending, at least U(t) - U(a) of
+them released at a or later, and beyond that those due last.  So a part needs
+its own blocks and one candidate per source.  One task sees the table of
+sources (a row each) and that of parts (a count each), and no more.
 
 Rows are numbered without a task that sees a whole source: a hash splits each
 source into buckets, buckets are counted, and a row's number is its bucket's
@@ -32,9 +37,11 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import checkpointed, packed_rows, register, table, unpacked
 
-PERIOD = 1000        # slots of a period, up to rounding of the shares
+PART = 256           # slots of a part, at least; the number of sources if that is more
+SHARES = 1 << 32     # whole shares of all weights
 BLOCK_ROWS = 16
-MAX_SOURCES = 1000
+BROADCAST_SOURCES = 100_000  # rows of the table of sources that are broadcast; joined by shuffle beyond
+RUN = 1 << 14        # blocks that one row of the list of blocks stands for
 BUCKET_ROWS = 50_000  # rows of a source that are numbered in one group, about
 SEED = 17
 
@@ -44,59 +51,95 @@ def target_weights(docs: DataFrame, source_col: str = "source", power: float = 0
     return docs.groupBy(F.col(f"`{source_col}`").alias("source")).agg(F.pow(F.count("*"), F.lit(power)).alias("weight"))
 
 
-def shares(docs: DataFrame, weights: DataFrame, source_col: str, block_rows: int, period: int) -> DataFrame:
-    """One row per source: number of blocks and slots of a period."""
+def shares(docs: DataFrame, weights: DataFrame, source_col: str, block_rows: int) -> DataFrame:
+    """One row per source: number, rows, blocks, whole share ``w``."""
     n = docs.groupBy(F.col(f"`{source_col}`").alias("source")).agg(F.count("*").alias("n_rows"))
     given = weights.groupBy(F.col("source").alias("w_source")).agg(F.max(F.col("weight").cast("double")).alias("weight"))
     n = checkpointed(n.join(given, F.col("source").eqNullSafe(F.col("w_source")), "left").select(
-        "source", "n_rows", F.when(F.col("weight") > 0, F.col("weight")).otherwise(0.0).alias("weight")))
-    found, total = n.agg(F.count("*"), F.sum("weight")).first()
-    if found > MAX_SOURCES:
-        raise ValueError(f"{found} sources; the schedules of at most {MAX_SOURCES} are of a bounded size")
-    return n.select("source", "n_rows", F.ceil(F.col("n_rows") / block_rows).alias("blocks"), F.greatest(
-        F.lit(1), F.round(F.col("weight") * period / (total or 1.0))).cast("long").alias("share"))
-
-
-def schedules(sources: DataFrame) -> DataFrame:
-    """One row per source with what places its blocks.  For each stretch of
-    like periods (k): first period, first slot, slots of a period, and the slot
-    in the period of each of the source's blocks."""
-    whole = F.expr("blocks div share")
-    one = sources.agg(
-        F.array_sort(F.collect_list(F.struct("source", "blocks", "share"))).alias("all"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array(F.lit(0).cast("long"), whole, whole + 1))))).alias("cuts"),
-        F.max(F.ceil(F.col("blocks") / F.col("share"))).alias("periods"))
-    stretch = one.select("all", "periods", "cuts", F.posexplode(F.filter("cuts", lambda c: c < F.col("periods"))).alias("k", "first"))
-    # shares that each source still has in the periods of the stretch
-    stretch = stretch.select("k", "first", F.coalesce(F.get("cuts", F.col("k") + 1), "periods").alias("next"), F.transform(
-        "all", lambda x, i: F.struct(i.alias("i"), x["source"].alias("source"), F.greatest(F.lit(0), F.least(
-            x["share"], x["blocks"] - F.col("first") * x["share"])).alias("m"), F.lit(0).cast("long").alias("done"))).alias("jobs"))
-    total = F.aggregate("jobs", F.lit(0).cast("long"), lambda a, x: a + x["m"])
-    stretch = checkpointed(stretch.select("k", "first", F.least("next", F.expr("9223372036854775807")).alias("next"),
-                                          total.alias("n"), "jobs").where("n > 0"))
-
-    def slot(acc, t):
-        left = F.filter(acc["jobs"], lambda x: (x["done"] < x["m"]) & (F.floor(x["done"] * F.col("n") / x["m"]) <= t))
-        pick = F.array_min(F.transform(left, lambda x: F.struct(
-            F.ceil((x["done"] + 1) * F.col("n") / x["m"]).alias("due"), x["i"].alias("i"))))["i"]
-        return F.struct(F.transform(acc["jobs"], lambda x: x.withField(
-            "done", x["done"] + (x["i"] == pick).cast("long"))).alias("jobs"),
-            F.concat(acc["out"], F.array(pick)).alias("out"))
-    order = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), F.struct(
-        F.col("jobs").alias("jobs"), F.array().cast("array<int>").alias("out")), slot)["out"]
-    spread = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    timed = checkpointed(stretch.select("k", "first", "n", "jobs", order.alias("order"), F.coalesce(F.sum(
-        F.col("n") * (F.col("next") - F.col("first"))).over(spread), F.lit(0)).alias("start")))
-    placed = timed.select("k", "first", "start", "n", "order", F.explode("jobs").alias("j")).select(
-        F.col("j.source").alias("source"), F.struct("k", "first", "start", "n", F.col("j.m").alias("m"), F.expr(
-            "transform(filter(transform(order, (s, t) -> struct(s, t)), x -> x.s = j.i), x -> x.t)").alias("slots")).alias("part"))
-    parts = placed.groupBy("source").agg(F.array_sort(F.collect_list("part")).alias("parts"))
-    return parts.withColumnRenamed("source", "p_source").join(
-        sources.select("source", "share"), F.col("p_source").eqNullSafe(F.col("source"))).select("source", "share", "parts")
+        "source", "n_rows", F.when((F.col("weight") > 0) & (F.col("weight") < float("inf")), F.col("weight")).otherwise(0.0).alias("weight")))
+    total = n.agg(F.sum("weight")).first()[0] or 1.0
+    return n.select((F.row_number().over(Window.orderBy("source")) - 1).cast("long").alias("sid"), "source", "n_rows",
+                    F.ceil(F.col("n_rows") / block_rows).cast("long").alias("blocks"),
+                    F.greatest(F.lit(1), F.round(F.col("weight") / total * SHARES)).cast("long").alias("w"))
+
+
+def _div(a, b):
+    return F.call_function("div", a, b)
+
+
+def windows(sources: DataFrame) -> DataFrame:
+    """One row per block (sid, i): ``release`` and ``due``.  With ``ended``
+    blocks of the sources that ended before and ``left`` shares of the others,
+    the fluid has given a source ``i`` blocks at slot ended + i left / w."""
+    by_end = Window.orderBy("end", "sid")
+    ends = sources.select("sid", "blocks", "w", (F.col("blocks") / F.col("w")).alias("end")).select(
+        "end", F.sum("blocks").over(by_end).alias("ended"),
+        (F.sum("w").over(Window.partitionBy()) - F.sum("w").over(by_end)).alias("left"), "w")
+    one_row = ends.agg(F.array_sort(F.collect_list(F.struct("end", "ended", "left"))).alias("ends"), F.sum("w").alias("all_w"))
+    runs = sources.select("sid", "blocks", "w", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.col("blocks") - 1, F.lit(RUN).cast("long"))).alias("from")).repartition("sid", "from")
+    b = runs.crossJoin(F.broadcast(one_row)).select("sid", "w", "ends", "all_w", F.explode(F.sequence(
+        F.col("from"), F.least(F.col("from") + RUN, F.col("blocks")) - 1)).alias("i"))
+    over = lambda i: F.size(F.filter("ends", lambda x: x["end"] * F.col("w") < i))
+    b = b.select("*", over(F.col("i")).alias("n0"), over(F.col("i") + 1).alias("n1"))
+
+    def slot(i, n, more):
+        last = F.get("ends", F.col(n) - 1)
+        left = F.coalesce(last["left"], F.col("all_w"))
+        return F.coalesce(last["ended"], F.lit(0)) + _div(i * left + more, F.col("w"))
+    return b.select("sid", "i", slot(F.col("i"), "n0", F.lit(0)).alias("release"),
+                    slot(F.col("i") + 1, "n1", F.col("w") - 1).alias("due"))
+
+
+def schedule(sources: DataFrame) -> DataFrame:
+    """The slot of every block: (sid, i, slot, release, due)."""
+    spark = sources.sparkSession
+    n, n_sources = sources.agg(F.coalesce(F.sum("blocks"), F.lit(0)), F.count("*")).first()
+    part = max(PART, n_sources)
+    blocks = checkpointed(windows(sources).withColumn("k", F.expr(f"release div {part}")))
+    # U at every release and at the start of every part
+    at = blocks.groupBy("k", "release").agg(F.count("*").alias("n"))
+    past = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = spark.range(-(-n // part)).withColumnRenamed("id", "k").join(at.groupBy("k").agg(F.sum("n").alias("n")), "k", "left")
+    parts = checkpointed(parts.select("k", past(Window.orderBy("k")).alias("before")))
+    at = at.withColumn("own", past(Window.partitionBy("k").orderBy("release"))).join(parts, "k").select(
+        "release", (F.col("before") + F.col("own") - F.col("release")).alias("u"))
+    # candidates for what is pending: blocks whose window spans the start of a part
+    job = F.struct("due", "sid", "i", "release")
+    spans = blocks.where(f"(due - 1) div {part} > k").select(job.alias("job"), "release", F.explode(
+        F.sequence(F.col("k") + 1, F.expr(f"(due - 1) div {part}"))).alias("k"))
+    like = spans.groupBy("k", "release").agg(F.collect_list("job").alias("jobs")).join(at, "release")
+    like = like.groupBy("k").agg(F.reverse(F.array_sort(F.collect_list(F.struct("release", "u", "jobs")))).alias("like"))
+    like = like.join(parts, "k").withColumn("all", F.col("before") - F.col("k") * part)
+
+    def drop(acc, more, need):
+        seen = F.array_sort(F.concat(acc["seen"], more))
+        short = F.greatest(F.lit(0).cast("long"), need - F.size(acc["out"])).cast("int")
+        kept = F.size(seen) - short
+        return F.struct(F.slice(seen, F.lit(1), kept).alias("seen"),
+                        F.concat(acc["out"], F.slice(seen, kept + 1, short)).alias("out"))
+    kind = "array<struct<due:bigint,sid:bigint,i:bigint,release:bigint>>"
+    none = F.array().cast(kind)
+    pending = like.select("k", F.aggregate(
+        "like", F.struct(none.alias("seen"), none.alias("out")), lambda acc, x: drop(acc, x["jobs"], F.col("all") - x["u"]),
+        lambda acc: drop(acc, none, F.col("all"))["out"]).alias("jobs"))
+    own = blocks.groupBy("k").agg(F.collect_list(job).alias("jobs"))
+    jobs = checkpointed(parts.select("k").join(own, "k", "left").join(pending.withColumnRenamed("jobs", "old"), "k", "left").select(
+        "k", F.concat(F.coalesce("jobs", none), F.coalesce("old", none)).cast(kind).alias("jobs")))
+
+    def slot(acc, x):
+        pick = F.array_min(F.filter(acc["jobs"], lambda j: j["release"] <= F.col("k") * part + x))
+        return F.transform(F.array(pick), lambda p: F.struct(
+            F.filter(acc["jobs"], lambda j: (j["sid"] != p["sid"]) | (j["i"] != p["i"])).alias("jobs"),
+            F.concat(acc["out"], F.array(p)).alias("out")))[0]
+    order = F.aggregate(F.sequence(F.lit(0).cast("long"), F.least(F.lit(part), F.lit(n) - F.col("k") * part) - 1),
+                        F.struct(F.col("jobs").alias("jobs"), none.alias("out")), slot)["out"]
+    return jobs.select("k", F.posexplode(order).alias("x", "job")).select(
+        "job.sid", "job.i", (F.col("k") * part + F.col("x")).alias("slot"), "job.release", "job.due")
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, source_col: str = "source", id_col: str = "doc_id",
-        block_rows: int = BLOCK_ROWS, period: int = PERIOD, seed: int = SEED, out_col: str = "mix_place") -> DataFrame:
+        block_rows: int = BLOCK_ROWS, seed: int = SEED, out_col: str = "mix_place") -> DataFrame:
     """``docs`` with a struct column ``out_col``: ``rank`` (row of its source),
     ``block``, ``slot``, ``place`` (row of the block), ``release`` and ``due`` in
     slots.  Sorting by slot and place gives the mixture."""
@@ -104,10 +147,13 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source_col: str = "so
         raise ValueError(f"the rows have a column {out_col}; give another name for the place")
     src = F.col(f"`{source_col}`")
     weights = target_weights(docs, source_col) if weights is None else weights
-    sources = checkpointed(shares(docs, weights, source_col, block_rows, period))
-    most = sources.agg(F.max("n_rows")).first()[0] or 0
+    sources = checkpointed(shares(docs, weights, source_col, block_rows))
+    n_sources, most = sources.agg(F.count("*"), F.max("n_rows")).first()
+    if not n_sources:
+        return docs.withColumn(out_col, F.lit(None).cast("struct<rank:bigint,block:bigint,slot:bigint,place:bigint,release:bigint,due:bigint>"))
     buckets = max(64, -(-most // BUCKET_ROWS))
-    own = schedules(sources).withColumnsRenamed({"source": "own_source"})
+    names = sources.select("sid", F.col("source").alias("own"))
+    slots = schedule(sources).join(F.broadcast(names) if n_sources <= BROADCAST_SOURCES else names, "sid")
     hashed = packed_rows(docs, s=src, id=F.col(f"`{id_col}`"), h=F.xxhash64(F.lit(seed), src, F.col(f"`{id_col}`"))).withColumn(
         "b", F.pmod(F.col("h"), F.lit(buckets)))
     before = Window.partitionBy("cs").orderBy("cb").rowsBetween(Window.unboundedPreceding, -1)
@@ -116,16 +162,9 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source_col: str = "so
     ranked = hashed.withColumn("r", F.row_number().over(Window.partitionBy("s", "b").orderBy("h", "id")) - 1)
     ranked = ranked.join(offsets, F.col("s").eqNullSafe(F.col("cs")) & (F.col("b") == F.col("cb")))
     ranked = ranked.withColumn("r", F.col("r") + F.col("offset"))
-    out = ranked.join(F.broadcast(own), F.col("s").eqNullSafe(F.col("own_source")))
-    out = out.withColumn("block", F.expr(f"r div {block_rows}")).withColumn("period", F.expr("block div share")).withColumn(
-        "part", F.expr("element_at(filter(parts, x -> x.first <= period), -1)")).withColumn("i", F.expr("block % share"))
-    begin = F.expr("part.start + (period - part.first) * part.n")
-    place = F.struct(
-        F.col("r").alias("rank"), F.col("block").alias("block"),
-        (begin + F.expr("get(part.slots, cast(i as int))")).cast("long").alias("slot"),
-        F.expr(f"r % {block_rows}").alias("place"),
-        (begin + F.expr("floor(i * part.n / part.m)")).cast("long").alias("release"),
-        (begin + F.expr("ceil((i + 1) * part.n / part.m)")).cast("long").alias("due"))
+    ranked = ranked.withColumn("block", F.expr(f"r div {block_rows}"))
+    out = ranked.join(slots, F.col("s").eqNullSafe(F.col("own")) & (F.col("block") == F.col("i")))
+    place = F.struct(F.col("r").alias("rank"), "block", "slot", F.expr(f"r % {block_rows}").alias("place"), "release", "due")
     return out.select(*unpacked(docs.columns), place.alias(out_col))
 
 

@@ -14,55 +14,89 @@ def docs_of(sizes, seed=1):
     return rows
 
 
-def check(rows, got, shares, block_rows):
-    """got: rows of the mixture.  Every row once, blocks whole, and at every
-    slot of a period each source within one block of its share."""
-    assert Counter((r.doc_id, r.source) for r in got) == Counter((r[0], r[1]) for r in rows)
-    by_slot = {}
-    for r in got:
-        by_slot.setdefault(r.mix_place.slot, []).append(r)
-    assert sorted(by_slot) == list(range(len(by_slot)))
-    total = Counter(r[1] for r in rows)
-    blocks = {s: -(-n // block_rows) for s, n in total.items()}
-    seen = Counter()
-    order = []
-    for t in range(len(by_slot)):
-        src = {r.source for r in by_slot[t]}
-        assert len(src) == 1
-        s = src.pop()
-        rows_in = by_slot[t]
-        assert sorted(r.mix_place.place for r in rows_in) == list(range(len(rows_in)))
-        assert all(r.mix_place.block == seen[s] for r in rows_in)
-        assert len(rows_in) == block_rows or seen[s] == blocks[s] - 1
-        assert all(r.mix_place.release <= t < r.mix_place.due for r in rows_in)
-        seen[s] += 1
-        order.append(s)
-    # period by period: what each source has left, at most its share
-    t, period = 0, 0
-    while t < len(order):
-        m = {s: max(0, min(shares[s], blocks[s] - period * shares[s])) for s in shares}
-        n = sum(m.values())
-        had = Counter()
-        for k in range(n):
-            had[order[t + k]] += 1
-            for s in m:
-                assert abs(had[s] - Fraction((k + 1) * m[s], n)) < 1
-        assert all(had[s] == m[s] for s in m)
-        t, period = t + n, period + 1
-
-
-def test_deviation_below_one_block(spark):
+def fluid(blocks, w):
+    """Slots at which the shares change, and what each source has had then."""
+    had, t, out = {s: Fraction(0) for s in blocks}, Fraction(0), []
+    while any(had[s] < blocks[s] for s in blocks):
+        live = [s for s in blocks if had[s] < blocks[s]]
+        total = sum(w[s] for s in live)
+        step = min((blocks[s] - had[s]) * total / w[s] for s in live)
+        out.append((t, dict(had), {s: w[s] / total for s in live}))
+        for s in live:
+            had[s] += step * w[s] / total
+        t += step
+    return out
+
+
+def check(order, blocks, w, slack=Fraction(0)):
+    """order: source of each slot.  At every slot every source is within a
+    block of the fluid."""
+    assert Counter(order) == Counter(blocks)
+    phases, p, had = fluid(blocks, w), 0, Counter()
+    for t, s in enumerate(order, 1):
+        had[s] += 1
+        while p + 1 < len(phases) and phases[p + 1][0] <= t:
+            p += 1
+        start, before, rate = phases[p]
+        for x in blocks:
+            want = before[x] + (t - start) * rate.get(x, 0)
+            assert abs(had[x] - want) < 1 + slack, (t, x, had[x], float(want))
+
+
+def order_of(spark, blocks, w):
+    names = list(blocks)
+    rows = [(k, blocks[s], w[s]) for k, s in enumerate(names)]
+    got = M.schedule(spark.createDataFrame(rows, "sid long, blocks long, w long")).collect()
+    got.sort(key=lambda r: r.slot)
+    assert [r.slot for r in got] == list(range(len(got)))
+    assert all(r.release <= r.slot < r.due for r in got)
+    for k, s in enumerate(names):
+        assert [r.i for r in got if r.sid == k] == list(range(blocks[s]))
+    return [names[r.sid] for r in got]
+
+
+def test_every_slot_within_a_block_of_the_fluid(spark, monkeypatch):
+    rng = random.Random(5)
+    for part, n in ((7, 2), (16, 6), (64, 21)):
+        monkeypatch.setattr(M, "PART", part)
+        for equal in (False, True):
+            blocks = {k: rng.choice([1, 3, 20, 90]) for k in range(n)}
+            w = {k: Fraction(4 if equal else rng.choice([1, 2, 7, 30, 1000])) for k in range(n)}
+            w[0], blocks[0] = sum(w.values()) / 2, 150                       # one holds a third of the shares
+            check(order_of(spark, blocks, {k: int(v) for k, v in w.items()}), blocks, {k: Fraction(int(v)) for k, v in w.items()})
+
+
+def test_many_slots_keep_to_the_given_weights(spark):
+    given = {"a": .6664, "b": .3332, "c": .0004}
+    blocks = {"a": 66640, "b": 33320, "c": 40}
+    w = {s: round(x * M.SHARES) for s, x in given.items()}
+    order, had = order_of(spark, blocks, w), Counter()
+    for t, s in enumerate(order, 1):
+        had[s] += 1
+        assert all(abs(had[x] - given[x] * t) < 1 + 1e-4 for x in given)
+
+
+def test_rows_of_blocks(spark):
     sizes = {"hot": 400, "b": 100, "c": 57, "d": 3, None: 20}
     rows = docs_of(sizes)
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    weights = spark.createDataFrame([("hot", 5.0), ("b", 3.0), ("c", 1.5), (None, .5), ("absent", 9.0)], "source string, weight double")
-    for period, block in ((20, 2), (7, 5), (50, 1)):
-        total = 5.0 + 3.0 + 1.5 + .5
-        w = {"hot": 5.0, "b": 3.0, "c": 1.5, None: .5, "d": 0.0}
-        # as Spark rounds: half up
-        shares = {s: max(1, int(w[s] * period / total + .5)) for s in sizes}
-        got = M.mix(df, weights, block_rows=block, period=period).collect()
-        check(rows, got, shares, block)
+    given = {"hot": 5.0, "b": 3.0, "c": 1.5, None: .5}
+    weights = spark.createDataFrame([*given.items(), ("absent", 9.0)], "source string, weight double")
+    for block in (1, 5):
+        got = M.mix(df, weights, block_rows=block).collect()
+        assert Counter((r.doc_id, r.source) for r in got) == Counter((r[0], r[1]) for r in rows)
+        by_slot = {}
+        for r in got:
+            by_slot.setdefault(r.mix_place.slot, []).append(r)
+        assert sorted(by_slot) == list(range(len(by_slot)))
+        order = []
+        for t in range(len(by_slot)):
+            assert len({(r.source, r.mix_place.block) for r in by_slot[t]}) == 1
+            assert sorted(r.mix_place.place for r in by_slot[t]) == list(range(len(by_slot[t])))
+            order.append(by_slot[t][0].source)
+        blocks = {s: -(-n // block) for s, n in sizes.items()}
+        w = {s: Fraction(max(1, round(given.get(s, 0) / 10 * M.SHARES))) for s in sizes}
+        check(order, blocks, w)
 
 
 def test_repeated_rows_and_one_source(spark):
