@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import checkpointed, packed_rows, register, table, unpacked
+from riskloom.llm.common import checkpointed, packed_rows, register, shuffle_partitions, table, unpacked
 
 PART = 256           # slots of a part, at least; the number of sources if that is more
 SHARES = 1 << 32     # whole shares of all weights
@@ -96,6 +96,7 @@ def schedule(sources: DataFrame) -> DataFrame:
     spark = sources.sparkSession
     n, n_sources = sources.agg(F.coalesce(F.sum("blocks"), F.lit(0)), F.count("*")).first()
     part = max(PART, n_sources)
+    tasks = shuffle_partitions(spark)   # few bytes, much work: not to be merged into few tasks
     blocks = checkpointed(windows(sources).withColumn("k", F.expr(f"release div {part}")))
     # U at every release and at the start of every part
     at = blocks.groupBy("k", "release").agg(F.count("*").alias("n"))
@@ -110,7 +111,7 @@ def schedule(sources: DataFrame) -> DataFrame:
         F.sequence(F.col("k") + 1, F.expr(f"(due - 1) div {part}"))).alias("k"))
     like = spans.groupBy("k", "release").agg(F.collect_list("job").alias("jobs")).join(at, "release")
     like = like.groupBy("k").agg(F.reverse(F.array_sort(F.collect_list(F.struct("release", "u", "jobs")))).alias("like"))
-    like = like.join(parts, "k").withColumn("all", F.col("before") - F.col("k") * part)
+    like = like.join(parts, "k").withColumn("all", F.col("before") - F.col("k") * part).repartition(tasks, "k")
 
     def drop(acc, more, need):
         seen = F.array_sort(F.concat(acc["seen"], more))
@@ -125,7 +126,7 @@ def schedule(sources: DataFrame) -> DataFrame:
         lambda acc: drop(acc, none, F.col("all"))["out"]).alias("jobs"))
     own = blocks.groupBy("k").agg(F.collect_list(job).alias("jobs"))
     jobs = checkpointed(parts.select("k").join(own, "k", "left").join(pending.withColumnRenamed("jobs", "old"), "k", "left").select(
-        "k", F.concat(F.coalesce("jobs", none), F.coalesce("old", none)).cast(kind).alias("jobs")))
+        "k", F.concat(F.coalesce("jobs", none), F.coalesce("old", none)).cast(kind).alias("jobs")).repartition(tasks, "k"))
 
     def slot(acc, x):
         pick = F.array_min(F.filter(acc["jobs"], lambda j: j["release"] <= F.col("k") * part + x))
