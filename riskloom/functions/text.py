@@ -2,7 +2,7 @@
 
 Matching is *substring* containment on the lower-cased whole text (as in the
 reference: 'sec' matches 'seconds'); each keyword counts once.  Dictionaries
-are bounded literal lists, so every annotator is a fixed number of ``instr``
+are bounded literal lists, so every annotator is a fixed number of ``contains``
 scans per row inside whole-stage codegen -- no Python UDF.
 """
 
@@ -71,9 +71,15 @@ FALLBACK_CONFIDENCE = 0.6
 WHITESPACE_CHARS = "".join(chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace())
 WS_CLASS = "[" + WHITESPACE_CHARS.replace("\\", "\\\\").replace("]", "\\]") + "]"
 
+# The same class for Spark's regular expressions, and its complement: Unicode's
+# White_Space and the four separators.  A property is one test a character; the
+# listed class tries its members in turn, about 1 µs a character.
+WS = r"[\p{IsWhite_Space}\x1C-\x1F]"
+NOT_WS = r"[^\p{IsWhite_Space}\x1C-\x1F]"
+
 
 def contains(text: Column, kw: str) -> Column:
-    return F.instr(text, F.lit(kw)) > 0
+    return text.contains(kw)
 
 
 def count_contained(text: Column, words: Sequence[str]) -> Column:
@@ -115,11 +121,13 @@ def impact_category(title: Column, desc: Column) -> Column:
 
 
 def event_types(text: Column, patterns=EVENT_PATTERNS) -> Column:
+    """``text``: a column worked out in a projection before, as the list is
+    built by a function that would work it out for every keyword."""
     return F.array_compact(F.array(*[F.when(any_contained(text, ws), F.lit(name)) for name, ws in patterns.items()]))
 
 
 def is_blank(c: Column) -> Column:
-    return F.coalesce(c.rlike("^" + WS_CLASS + "*$"), F.lit(True))
+    return F.coalesce(~c.rlike(NOT_WS), F.lit(True))
 
 
 def sentiment_label(text: Column) -> Column:
@@ -130,17 +138,18 @@ def sentiment_label(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """len(text.split()) with Python's whitespace rule."""
-    stripped = F.regexp_replace(text, "^" + WS_CLASS + "+|" + WS_CLASS + "+$", "")
-    return F.when(stripped == "", F.lit(0)).otherwise(F.size(F.split(stripped, WS_CLASS + "+")))
+    return F.regexp_count(text, F.lit(NOT_WS + "+"))
 
 
-def sentiment_score(text: Column) -> Column:
-    """clip(5 · (pos - neg) / max(words, 10), -1, 1); blank text → 0."""
-    t = F.lower(text)
+def sentiment_score(text: Column, low: Column | None = None) -> Column:
+    """clip(5 · (pos - neg) / max(words, 10), -1, 1); null text → 0.  Blank text
+    has no words and no keyword, so it is 0 without a branch: inside one, the
+    lower-cased text would be worked out again for every keyword.  ``low``: the
+    lower-cased text, where the caller has it."""
+    t = F.lower(text) if low is None else low
     net = (count_contained(t, SENTIMENT_POSITIVE) - count_contained(t, SENTIMENT_NEGATIVE)).cast("double")
-    wc = word_count(text)
-    s = F.least(F.greatest(net / F.greatest(wc, F.lit(10)).cast("double") * F.lit(5.0), F.lit(-1.0)), F.lit(1.0))
-    return F.when(is_blank(text), F.lit(0.0)).otherwise(s)
+    s = F.coalesce(net / F.greatest(word_count(text), F.lit(10)).cast("double") * F.lit(5.0), F.lit(0.0))
+    return F.least(F.greatest(s, F.lit(-1.0)), F.lit(1.0))
 
 
 def first_non_empty(*cols: Column) -> Column:
@@ -171,7 +180,7 @@ def summary_sentence(joined: Column) -> Column:
 
 
 def squeeze_ws(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, WS_CLASS + "+", " "))
+    return F.trim(F.regexp_replace(c, WS + "+", " "))
 
 
 def strip_tags(c: Column) -> Column:

@@ -9,13 +9,13 @@ from riskloom.functions import text as TX
 
 
 def enrich_articles(a: DataFrame) -> DataFrame:
-    """All article annotators in one projection (no per-row Python)."""
-    td = F.concat_ws(" ", TX.lower_or_empty(F.col("title")), TX.lower_or_empty(F.col("description")))
-    return a.select(
+    """All article annotators in one projection (no per-row Python) over the
+    content lower-cased once."""
+    return a.withColumn("__low", F.lower("content")).select(
         "doc_id", "ticker",
         TX.sentiment_label(F.col("title")).alias("label"),
-        TX.event_types(F.lower("content"), TX.CONTENT_EVENT_PATTERNS).alias("key_events"),
-        TX.sentiment_score(F.col("content")).alias("sentiment_score"),
+        TX.event_types(F.col("__low"), TX.CONTENT_EVENT_PATTERNS).alias("key_events"),
+        TX.sentiment_score(F.col("content"), F.col("__low")).alias("sentiment_score"),
         TX.impact_category(F.col("title"), F.col("description")).alias("impact_level"),
         F.lit(True).alias("nlp_processed"),
     )

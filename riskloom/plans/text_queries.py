@@ -99,7 +99,7 @@ def _events_sql(t: str, patterns: dict) -> str:
 def q_events(spark, d):
     a = articles(spark, d)
     t = F.concat_ws(" ", TX.lower_or_empty(F.col("title")), TX.lower_or_empty(F.col("description")))
-    return a.select("doc_id", TX.event_types(t).alias("key_events"))
+    return a.select("doc_id", t.alias("__t")).select("doc_id", TX.event_types(F.col("__t")).alias("key_events"))
 
 
 @register("event_types_content", asql(
@@ -107,7 +107,8 @@ def q_events(spark, d):
     f"FROM (SELECT doc_id, lower(content) AS t FROM articles) a"))
 def q_events_content(spark, d):
     a = articles(spark, d)
-    return a.select("doc_id", TX.event_types(F.lower("content"), TX.CONTENT_EVENT_PATTERNS).alias("key_events"))
+    low = a.select("doc_id", F.lower("content").alias("__low"))
+    return low.select("doc_id", TX.event_types(F.col("__low"), TX.CONTENT_EVENT_PATTERNS).alias("key_events"))
 
 
 def _label_sql(x: str) -> str:
