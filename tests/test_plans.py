@@ -52,3 +52,12 @@ def test_client_row_scans_each_base_table_at_most_twice(plan):
 @pytest.mark.parametrize("name", ["missing_share", "fill_rate", "downcast_types", "columns_full"])
 def test_profiles_without_distinct_counts_do_not_expand(plan, name):
     assert "Expand" not in plan(name)
+
+
+def test_client_row_shuffles_narrow_rows(plan):
+    """Rows are brought together by key before the wide aggregates: no partial
+    aggregate of a client or an order goes through an exchange."""
+    final = plan("wide_feature_join").split("== Initial Plan ==")[-1]
+    lines = [x.lstrip(" :+-*()0123456789") for x in final.splitlines()]
+    below = [b for a, b in zip(lines, lines[1:]) if re.match(r"Exchange hashpartitioning\((SK_ID|l_orderkey|o_orderkey)", a)]
+    assert len(below) >= 4 and not any("Aggregate" in b for b in below)
