@@ -1,9 +1,11 @@
 """Stateful operators on streams, with state in Spark's state store.
 
 Events reach a key in any order within the watermark's delay.  Each key keeps
-its waiting rows as list state and the outcome of its last decision (previous
-score, last fired alert, last emitted value) as value state.  Event-time timers
-release waiting rows once the watermark has passed them: no row before them can
+its waiting rows as list state (an entry holds up to ``ENTRY_ROWS`` rows, column
+by column, so the state store is called per block and not per row) and the
+outcome of its last decision (previous score, last fired alert, last emitted
+value) as value state.  An event-time timer for the earliest waiting row
+releases rows once the watermark has passed them: no row before them can
 still come, so they are decided in event-time order, and the result is that of
 the batch operator however rows were dealt to files and micro-batches.  Rows
 behind the watermark are dropped by Spark and counted in the query's progress
@@ -19,7 +21,9 @@ micro-batches it holds the key's rows of one watermark delay.
 from __future__ import annotations
 
 import datetime as dt
+from bisect import bisect_right
 from collections.abc import Iterator
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -28,6 +32,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from riskloom.streaming.folds import emit_step
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ENTRY_ROWS = 4096             # rows of one entry of the list state
 _EPOCH = dt.datetime(1970, 1, 1)
 
 
@@ -51,8 +56,8 @@ class InOrder(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         columns = "us long, tie long, value double" + (f", {self.more}" if self.more else "")
-        self.names = [c.split()[0] for c in columns.split(", ")]
-        self.waiting = handle.getListState("waiting", columns)
+        self.names, types = zip(*(c.split() for c in columns.split(", ")))
+        self.waiting = handle.getListState("waiting", ", ".join(f"{n} array<{t}>" for n, t in zip(self.names, types)))
         self.last = handle.getValueState("last", self.last_schema)
 
     def decide(self, key, row: tuple, last: tuple | None) -> tuple[Row | None, tuple | None]:
@@ -66,17 +71,27 @@ class InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         if key[0] is None:
             return
-        new = [tuple(r[c] for c in self.names) for r in rows]
-        self.waiting.appendList(new)
-        span = self.step_ms * 1000
-        for end in {-(-r[0] // span) for r in new}:
-            self.handle.registerTimer(end * self.step_ms)
+        new, at = [], None
+        for r in rows:
+            at = at or [r.__fields__.index(c) for c in self.names]
+            values = tuple(r)
+            new.append(tuple([values[i] for i in at]))
+        self.waiting.appendList(self.packed(new))
+        self.wake(min(r[0] for r in new))
         yield from ()
 
+    def packed(self, rows: list[tuple]) -> list[tuple]:
+        return [tuple(map(list, zip(*rows[i:i + ENTRY_ROWS]))) for i in range(0, len(rows), ENTRY_ROWS)]
+
+    def wake(self, us: int) -> None:
+        """A timer for the earliest of some waiting rows; when it goes off, the
+        earliest of those left gets the next."""
+        self.handle.registerTimer(-(-us // (self.step_ms * 1000)) * self.step_ms)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
-        due = [r for r in rows if r[0] <= now]
+        rows = sorted(r for entry in self.waiting.get() for r in zip(*entry)) if self.waiting.exists() else []
+        due = rows[:bisect_right(rows, now, key=itemgetter(0))]
         last = tuple(self.last.get()) if self.last.exists() else None
         for row in due:
             out, last = self.decide(key, row, last)
@@ -86,7 +101,8 @@ class InOrder(StatefulProcessor):
             if len(due) == len(rows):
                 self.waiting.clear()
             else:
-                self.waiting.put(rows[len(due):])
+                self.waiting.put(self.packed(rows[len(due):]))
+                self.wake(rows[len(due)][0])
         end = None if last is None else self.expires(last)
         if end is not None and end <= now and len(due) == len(rows):
             last = None

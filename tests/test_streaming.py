@@ -106,3 +106,72 @@ def test_online_sgd_stream_equals_batch_learner(spark, sf_small):
     want = q["online_sgd"](spark, sf_small)
     assert got.columns == want.columns
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
+
+
+class _Calls:
+    """A handle that counts the calls of a processor to its state."""
+
+    def __init__(self):
+        self.calls, self.rows, self.timers = 0, [], set()
+
+    def getListState(self, name, schema):
+        return self
+
+    def getValueState(self, name, schema):
+        self.value = None
+        return _Value()
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return iter(self.rows)
+
+    def appendList(self, rows):
+        self.calls, self.rows = self.calls + len(rows), self.rows + rows
+
+    def put(self, rows):
+        self.calls, self.rows = self.calls + len(rows), list(rows)
+
+    def clear(self):
+        self.rows = []
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+
+class _Value:
+    row = None
+
+    def exists(self):
+        return self.row is not None
+
+    def get(self):
+        return self.row
+
+    def update(self, row):
+        self.row = row
+
+    def clear(self):
+        self.row = None
+
+
+def test_state_is_called_per_block_and_timers_per_key():
+    from pyspark.sql import Row
+    n, h = 10_000, _Calls()
+    p = stateful.ScoreAlerts(1000, 0.1)
+    p.init(h)
+    made = [Row(id=1, ts=None, us=(i * 7919 % n) * 1_000_000, tie=i, value=float(i % 5)) for i in range(n)]
+    assert list(p.handleInputRows((1,), iter(made), None)) == []
+    assert h.calls <= n // 1000 and len(h.timers) == 1
+    out = []
+    for now in (n // 2 * 1000, n * 1000):            # half of the rows are due, then the rest
+        clock = type("", (), {"getCurrentWatermarkInMs": lambda self, at=now: at})()
+        assert any(t <= now for t in h.timers)
+        h.timers = {t for t in h.timers if t > now}
+        out += list(p.handleExpiredTimer((1,), clock, None))
+    assert not h.exists() and not h.timers
+    order = sorted(made, key=lambda r: r.us)
+    want = [(b.tie, b.value, a.value) for a, b in zip(order, order[1:]) if abs(b.value - a.value) >= 0.1]
+    assert [(r.event_id, r.score, r.previous_score) for r in out] == want
