@@ -226,6 +226,10 @@ def predict_probability(model, df: DataFrame, key: str) -> DataFrame:
     return model.transform(df).select(key, vector_to_array("probability")[1].alias("y_pred_proba"))
 
 
+# Fixed value: scored instances of one task of ``sampled_contributions``.
+INSTANCES = 250_000
+
+
 def sampled_contributions(model, rows: DataFrame, background: DataFrame, key: str, feats: Sequence[str],
                           permutations: int = 8, seed: int = 7) -> DataFrame:
     """Permutation-sampling Shapley values for any fitted model.
@@ -234,6 +238,11 @@ def sampled_contributions(model, rows: DataFrame, background: DataFrame, key: st
     p, no cross product); features enter in a seeded-hash order; the k+1
     partial instances are scored by one distributed ``transform`` and the
     marginal changes averaged per (row, feature).
+
+    An instance's score counts for the feature that entered last and against
+    the one that enters next, so the changes are sums by (row, feature),
+    combined in the task that scored them: instances are neither shuffled nor
+    sorted.  Rows of one key share its contribution by equal parts.
     """
     from pyspark.sql import Window
     k = len(feats)
@@ -242,22 +251,31 @@ def sampled_contributions(model, rows: DataFrame, background: DataFrame, key: st
     h = F.xxhash64(*[F.col(f"__b_{f}") for f in feats], F.lit(seed))
     picked = (background.select(*[F.col(f).alias(f"__b_{f}") for f in feats]).withColumn("__h", h)
                         .orderBy("__h").limit(permutations))
-    bg = picked.withColumn("__p", F.row_number().over(Window.orderBy("__h")) - 1).drop("__h")
-    r = rows.select(key, *feats).withColumn("__p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    j = r.join(bg, "__p")
+    bg = cut_lineage(picked.select((F.row_number().over(Window.orderBy("__h")) - 1).alias("__p"),
+                                   F.struct(*[F.col(f"__b_{f}").alias(f"f{i}") for i, f in enumerate(feats)]).alias("__bg")))
+    pairs = bg.count()
+    # a row becomes pairs * (k + 1) instances: tasks are cut by their number, not by the bytes of the rows
+    r = rows.select(key, F.struct(*[F.col(f).alias(f"f{i}") for i, f in enumerate(feats)]).alias("__own"))
+    tasks = -(-rows.count() * pairs * (k + 1) // INSTANCES)
+    r = r.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, tasks))
+    j = (r.withColumn("__p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+          .join(F.broadcast(bg), "__p"))   # at most ``permutations`` rows
     # features in the order of this (row, p) permutation, by seeded hash
     hashed = F.array(*[F.struct(F.xxhash64(F.col(key), F.col("__p"), F.lit(f), F.lit(seed)).alias("h"), F.lit(i).alias("i"))
                        for i, f in enumerate(feats)])
-    j = j.withColumn("__order", F.transform(F.array_sort(hashed), lambda x: x["i"]))
+    j = j.withColumn("__order", F.sort_array(hashed)["i"])
+    # and the place of each feature in it
+    j = j.withColumn("__place", F.sort_array(F.transform("__order", lambda i, at: F.struct(i.alias("i"), at.alias("at"))))["at"])
     j = j.withColumn("__step", F.explode(F.sequence(F.lit(0), F.lit(k))))
     # step s has the row's own value of the first s features
-    j = j.withColumn("__own", F.slice("__order", F.lit(1), F.col("__step")))
-    inst = j.select(key, "__p", "__step",
-                    *[F.when(F.array_contains("__own", i), F.col(f)).otherwise(F.col(f"__b_{f}")).alias(f)
-                      for i, f in enumerate(feats)],
-                    F.get(F.array(*[F.lit(f) for f in feats]), F.get("__order", F.col("__step") - 1)).alias("__added"))
-    scored = model.transform(inst).select(key, "__p", "__step", "__added", vector_to_array("probability")[1].alias("__pr"))
-    w = Window.partitionBy(key, "__p").orderBy("__step")
-    marg = scored.withColumn("__delta", F.col("__pr") - F.lag("__pr").over(w)).where(F.col("__step") > 0)
-    return marg.groupBy(key, F.col("__added").alias("feature")).agg(F.avg("__delta").alias("contribution"),
-                                                                    F.count(F.lit(1)).alias("n_permutations"))
+    inst = j.select(key, F.get("__order", F.col("__step") - 1).alias("__last"), F.get("__order", F.col("__step")).alias("__next"),
+                    *[F.when(F.get("__place", F.lit(i)) < F.col("__step"), F.col(f"__own.f{i}")).otherwise(F.col(f"__bg.f{i}")).alias(f)
+                      for i, f in enumerate(feats)])
+    scored = model.transform(inst).select(key, "__last", "__next", vector_to_array("probability")[1].alias("__pr"))
+    both = F.array(F.struct(F.col("__last").alias("i"), F.col("__pr").alias("v"), F.lit(1).alias("n")),
+                   F.struct(F.col("__next").alias("i"), (-F.col("__pr")).alias("v"), F.lit(0).alias("n")))
+    marg = scored.select(key, F.explode(both).alias("__m")).where(F.col("__m.i").isNotNull())
+    sums = marg.groupBy(key, F.col("__m.i").alias("__i")).agg(F.sum("__m.v").alias("__v"), F.sum("__m.n").alias("n_permutations"))
+    n = F.col("n_permutations")
+    return sums.select(key, F.get(F.array(*[F.lit(f) for f in feats]), F.col("__i")).alias("feature"),
+                       (F.col("__v") / n / (n / F.lit(pairs))).alias("contribution"), "n_permutations")

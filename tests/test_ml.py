@@ -149,3 +149,33 @@ def test_tree_contributions_of_missing_values_and_empty_tables(spark, sf_small):
     assert len(rows) == 6 and all(r["contribution"] is not None for r in rows)
     assert all((r["value"] is None) == (r["feature"] == feats[0]) for r in rows)
     assert tree_contributions(m, f.limit(0), "vec_id", feats).count() == 0
+
+
+def test_sampled_contributions_add_up_without_sorting_instances(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    feats = ["a", "b", "c"]
+    data = [(i, float(i % 5), math.sin(i), i % 7, int(i % 3 == 0)) for i in range(60)]
+    f = spark.createDataFrame([*data, data[11], (None, 1.0, 2.0, 3, 1)], "id long, a double, b double, c int, y int")   # one row twice, one without key
+    model = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="features"),
+                             LogisticRegression(labelCol="y", regParam=0.01)]).fit(f)
+    out = ML.sampled_contributions(model, f, f, "id", feats, permutations=4)
+    # instances are summed where they are scored: no window brings them together by row and permutation
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["id"], {})[r["feature"]] = r
+    assert set(got) == {*range(60), None} and all(set(v) == set(feats) for v in got.values())
+    h = F.xxhash64(*feats, F.lit(7))
+    p = vector_to_array("probability")[1].alias("p")
+    base = [r["p"] for r in model.transform(f.orderBy(h).limit(4)).select(p).collect()]
+    for r in model.transform(f).select("id", p).collect():
+        copies = 2 if r["id"] == 11 else 1
+        rows = got[r["id"]].values()
+        assert all(x["n_permutations"] == 4 * copies for x in rows)
+        assert math.isclose(copies * sum(x["contribution"] for x in rows), r["p"] - sum(base) / 4, abs_tol=1e-9)
+    few = ML.sampled_contributions(model, f.limit(3), f.limit(2), "id", feats, permutations=4)   # fewer background rows than asked for
+    assert {r["n_permutations"] for r in few.collect()} == {2}
+    assert ML.sampled_contributions(model, f.limit(0), f, "id", feats).count() == 0
