@@ -120,20 +120,16 @@ def q_left_text(spark, d):
 def q_longest(spark, d):
     """Each document → the longest word of the conversation vocabulary that
     its whole text contains (ties: alphabetical).  Entries are runs of letters,
-    so one that a text contains lies inside one of its runs: every distinct run
-    of the corpus is searched once, and a document takes the best of its own."""
-    from riskloom.operators.joins import longest_substring_join
+    so one that a text contains lies inside one of its runs: runs are searched
+    longest first, each distinct one once, and a document takes the best of its
+    own."""
+    from riskloom.operators.joins import longest_entry_of_texts
     from riskloom.sources.tables import table
     runs = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
     docs = table(spark, d, "documents")
-    own = docs.select("doc_id", F.explode(F.array_distinct(runs)).alias("word"))
-    entries = table(spark, d, "conversations").select(F.explode(runs).alias("entry")).where(F.length("entry") >= 3).distinct()
-    found = longest_substring_join(own.select("word").distinct(), "word", entries.withColumn("ord", F.col("entry")), "entry", "ord",
-                                   default="")
-    best = own.join(found.where("matched <> ''"), "word").groupBy("doc_id").agg(
-        F.min(F.struct((-F.length("matched")).alias("shorter"), "matched")).alias("best"))
-    return docs.select("doc_id").join(best, "doc_id", "left").select(
-        "doc_id", F.coalesce("best.matched", F.lit("_new_col")).alias("matched"))
+    entries = table(spark, d, "conversations").select(F.explode(runs).alias("entry")).where(F.length("entry") >= 3)
+    best = longest_entry_of_texts(docs.select("doc_id", "text"), "doc_id", runs, entries, "entry")
+    return docs.select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("matched", F.lit("_new_col")).alias("matched"))
 
 
 @register("rule_metric_join", None)

@@ -1,5 +1,9 @@
 import datetime as dt
 
+import pytest
+from pyspark.sql import functions as F
+
+from riskloom.operators import joins as J
 from riskloom.operators.joins import asof_nearest_join, longest_substring_join
 
 
@@ -56,3 +60,45 @@ def test_longest_word_of_whole_texts(spark, tmp_path):
     got = {r.doc_id: r.matched for r in queries()["longest_substring_join"](spark, str(tmp_path)).collect()}
     assert got == {1: "zeugen", 2: "plain", 3: "_new_col", 4: "_new_col", 5: "hello", 6: "hello"} | {
         1: max((e for e in ("hello", "über", "plain", "zeugen", "zeug") if e in texts[1].lower()), key=len)}
+
+
+def test_longest_substring_of_least_length(spark):
+    names = spark.createDataFrame([("credit_sum", 6), ("amt_credit", 7), ("sum", 1)], "name string, least int")
+    dic = spark.createDataFrame([("credit", 0), ("sum", 1), ("amt", 2), ("sum", 3)], "entry string, ord int")
+    got = {r.name: r.matched for r in longest_substring_join(names, "name", dic, "entry", "ord", least_col="least").collect()}
+    assert got == {"credit_sum": "credit", "amt_credit": "_new_col", "sum": "sum"}
+
+
+def _recorded(monkeypatch):
+    """The names that the substring join is given from now on."""
+    searched, search = [], J.longest_substring_join
+    monkeypatch.setattr(J, "longest_substring_join", lambda names, *a, **k: (
+        searched.extend(r[0] for r in names.select("word").collect()), search(names, *a, **k))[1])
+    return searched
+
+
+@pytest.mark.parametrize("keys", [0, 2_000_000])
+def test_longest_entries_of_texts(spark, monkeypatch, keys):
+    """Every key gets its longest entry, also where it is not in one of the
+    longest words, is tied, or lies in another row of the key."""
+    monkeypatch.setattr(J, "BROADCAST_KEYS", keys)
+    entries = ["abc", "abd", "planet", "harbour", "zebra"]
+    junk = [c * n for c, n in zip("qwxvjkyfg", range(20, 29))]   # nine long words that hold no entry
+    texts = [(1, ["abc", "abd", "xplanetx"]), (2, ["abd", "abc"]), (3, [*junk, "harbour", "planets", "zebra"]), (4, junk),
+             (5, ["zebra"]), (5, [*junk, "planet"]), (6, []), (7, None), (None, ["planet"])]
+    t = spark.createDataFrame(texts, "id long, words array<string>")
+    dic = spark.createDataFrame([(e,) for e in [*entries, "abc", None]], "entry string")
+    got = {r.id: r.matched for r in J.longest_entry_of_texts(t, "id", F.col("words"), dic, "entry").collect()}
+    assert got == {1: "planet", 2: "abc", 3: "harbour", 5: "planet"}
+
+
+def test_longest_words_query_searches_no_word_too_short_to_matter(spark, tmp_path, monkeypatch):
+    from riskloom.plans.registry import queries
+    searched = _recorded(monkeypatch)
+    small = ["".join(chr(97 + int(c)) for c in f"{i:03d}") for i in range(300)]
+    big = ["considerable", *[f"longerthanthose{x}" for x in small[:7]]]
+    spark.createDataFrame([(1, " ".join(small + big)), (2, "acd")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("Considerable acd",)], "text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.doc_id: r.matched for r in queries()["longest_substring_join"](spark, str(tmp_path)).collect()}
+    assert got == {1: "considerable", 2: "acd"}
+    assert sorted(searched) == sorted([*big, "acd"])
