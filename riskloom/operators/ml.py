@@ -240,9 +240,9 @@ def sampled_contributions(model, rows: DataFrame, background: DataFrame, key: st
     marginal changes averaged per (row, feature).
 
     An instance's score counts for the feature that entered last and against
-    the one that enters next, so the changes are sums by (row, feature),
-    combined in the task that scored them: instances are neither shuffled nor
-    sorted.  Rows of one key share its contribution by equal parts.
+    the one that enters next, so the changes are sums by (row, feature), one
+    for each permutation, combined in the task that scored them: instances are
+    neither shuffled nor sorted.  Rows of one key share its contribution by equal parts.
     """
     from pyspark.sql import Window
     k = len(feats)
@@ -268,14 +268,17 @@ def sampled_contributions(model, rows: DataFrame, background: DataFrame, key: st
     j = j.withColumn("__place", F.sort_array(F.transform("__order", lambda i, at: F.struct(i.alias("i"), at.alias("at"))))["at"])
     j = j.withColumn("__step", F.explode(F.sequence(F.lit(0), F.lit(k))))
     # step s has the row's own value of the first s features
-    inst = j.select(key, F.get("__order", F.col("__step") - 1).alias("__last"), F.get("__order", F.col("__step")).alias("__next"),
+    inst = j.select(key, "__p", F.get("__order", F.col("__step") - 1).alias("__last"), F.get("__order", F.col("__step")).alias("__next"),
                     *[F.when(F.get("__place", F.lit(i)) < F.col("__step"), F.col(f"__own.f{i}")).otherwise(F.col(f"__bg.f{i}")).alias(f)
                       for i, f in enumerate(feats)])
-    scored = model.transform(inst).select(key, "__last", "__next", vector_to_array("probability")[1].alias("__pr"))
+    scored = model.transform(inst).select(key, "__p", "__last", "__next", vector_to_array("probability")[1].alias("__pr"))
     both = F.array(F.struct(F.col("__last").alias("i"), F.col("__pr").alias("v"), F.lit(1).alias("n")),
                    F.struct(F.col("__next").alias("i"), (-F.col("__pr")).alias("v"), F.lit(0).alias("n")))
-    marg = scored.select(key, F.explode(both).alias("__m")).where(F.col("__m.i").isNotNull())
-    sums = marg.groupBy(key, F.col("__m.i").alias("__i")).agg(F.sum("__m.v").alias("__v"), F.sum("__m.n").alias("n_permutations"))
+    marg = scored.select(key, "__p", F.explode(both).alias("__m")).where(F.col("__m.i").isNotNull())
+    sums = marg.groupBy(key, F.col("__m.i").alias("__i")).agg(
+        *[F.sum(F.when(F.col("__p") == p, F.col("__m.v")).otherwise(0.0)).alias(f"__v{p}") for p in range(pairs)],
+        F.sum("__m.n").alias("n_permutations"))
     n = F.col("n_permutations")
+    total = sum((F.col(f"__v{p}") for p in range(pairs)), F.lit(0.0))
     return sums.select(key, F.get(F.array(*[F.lit(f) for f in feats]), F.col("__i")).alias("feature"),
-                       (F.col("__v") / n / (n / F.lit(pairs))).alias("contribution"), "n_permutations")
+                       (total / n / (n / F.lit(pairs))).alias("contribution"), "n_permutations")
